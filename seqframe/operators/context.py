@@ -74,7 +74,7 @@ def neighbour_sites(df: DataFrame, key: str = "seq_id", seq: str = "sequence") -
     pos = F.col("p") + 1
     left = F.when(pos == 1, F.lit(BOS)).otherwise(F.substring(s, pos - 1, F.lit(1)))
     right = F.when(pos == F.length(s), F.lit(EOS)).otherwise(F.substring(s, pos + 1, F.lit(1)))
-    return x.select(key, pos.cast("int").alias("pos"), left.alias("left"), "aa", right.alias("right"))
+    return x.select(key, pos.cast("int").alias("pos"), left.alias("prev_aa"), "aa", right.alias("next_aa"))
 
 
 def context_model_fit(df: DataFrame, key: str = "seq_id", seq: str = "sequence",
@@ -89,27 +89,27 @@ def context_model_fit(df: DataFrame, key: str = "seq_id", seq: str = "sequence",
     """
     spark = df.sparkSession
     sites = neighbour_sites(df, key, seq).where(F.col("aa").isin(list(alphabet)))
-    tri = sites.groupBy("left", "right", "aa").agg(F.count(F.lit(1)).alias("n"))
+    tri = sites.groupBy("prev_aa", "next_aa", "aa").agg(F.count(F.lit(1)).alias("n"))
     bg = sites.groupBy("aa").agg(F.count(F.lit(1)).alias("n_aa"))
     letters = alphabet_table(spark, alphabet).drop("aa_index")
-    lefts = alphabet_table(spark, BOS + alphabet, "left").drop("aa_index")
-    rights = alphabet_table(spark, alphabet + EOS, "right").drop("aa_index")
+    lefts = alphabet_table(spark, BOS + alphabet, "prev_aa").drop("aa_index")
+    rights = alphabet_table(spark, alphabet + EOS, "next_aa").drop("aa_index")
     grid = lefts.crossJoin(rights).crossJoin(letters)  # fixed (L+1)^2 * L rows
     pc = F.lit(float(pseudocount))
     bgp = (letters.join(bg, "aa", "left").withColumn("n_aa", F.coalesce("n_aa", F.lit(0)))
            .withColumn("p_bg", (F.col("n_aa") + pc) / (F.sum("n_aa").over(Window.partitionBy()) + pc * F.lit(len(alphabet))))
            .select("aa", "p_bg"))
     k = F.lit(float(strength))
-    m = (grid.join(tri, ["left", "right", "aa"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    m = (grid.join(tri, ["prev_aa", "next_aa", "aa"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
          .join(F.broadcast(bgp), "aa"))
-    nctx = F.sum("n").over(Window.partitionBy("left", "right"))
-    return m.select("left", "right", "aa",
+    nctx = F.sum("n").over(Window.partitionBy("prev_aa", "next_aa"))
+    return m.select("prev_aa", "next_aa", "aa",
                     F.log((F.col("n") + k * F.col("p_bg")) / (nctx + k)).alias("log_prob"))
 
 
 def background_model(model: DataFrame) -> DataFrame:
     """Residue log-probabilities of unseen contexts (back-off row of K5)."""
-    return model.where((F.col("left") == BOS) & (F.col("right") == EOS)).select("aa", "log_prob")
+    return model.where((F.col("prev_aa") == BOS) & (F.col("next_aa") == EOS)).select("aa", "log_prob")
 
 
 def mlm_mask(df: DataFrame, key: str = "seq_id", seq: str = "sequence", p: float = 0.15,
@@ -146,8 +146,8 @@ def masked_sites(masked: DataFrame, key: str = "seq_id") -> DataFrame:
     """Neighbour context of each chosen site as seen in the masked input."""
     w = Window.partitionBy(key).orderBy("pos")
     # windows per sequence: one sequence is at most a few thousand residues
-    x = masked.withColumn("left", F.coalesce(F.lag("input").over(w), F.lit(BOS))) \
-              .withColumn("right", F.coalesce(F.lead("input").over(w), F.lit(EOS)))
+    x = masked.withColumn("prev_aa", F.coalesce(F.lag("input").over(w), F.lit(BOS))) \
+              .withColumn("next_aa", F.coalesce(F.lead("input").over(w), F.lit(EOS)))
     return x.where(F.col("label").isNotNull())
 
 
@@ -158,13 +158,13 @@ def predict_sites(sites: DataFrame, model: DataFrame) -> DataFrame:
     background row. Ties of the argmax go to the alphabetically first residue.
     """
     bg = background_model(model)
-    best = model.groupBy("left", "right").agg(
+    best = model.groupBy("prev_aa", "next_aa").agg(
         F.min_by("aa", F.struct(-F.col("log_prob"), F.col("aa"))).alias("pred"))
     bg_best = bg.agg(F.min_by("aa", F.struct(-F.col("log_prob"), F.col("aa"))).alias("bg_pred"))
     bgl = bg.select(F.col("aa").alias("label"), F.col("log_prob").alias("bg_lp"))
-    lp = model.select("left", "right", F.col("aa").alias("label"), "log_prob")
-    return (sites.join(F.broadcast(lp), ["left", "right", "label"], "left")
-            .join(F.broadcast(best), ["left", "right"], "left")
+    lp = model.select("prev_aa", "next_aa", F.col("aa").alias("label"), "log_prob")
+    return (sites.join(F.broadcast(lp), ["prev_aa", "next_aa", "label"], "left")
+            .join(F.broadcast(best), ["prev_aa", "next_aa"], "left")
             .join(F.broadcast(bgl), "label", "left")
             .crossJoin(F.broadcast(bg_best))
             .select("*", F.coalesce("log_prob", "bg_lp").alias("lp_true"),
@@ -177,8 +177,8 @@ def context_model_eval(test: DataFrame, model: DataFrame, key: str = "seq_id", s
     model and of its background (no-context) form on held-out sequences."""
     sites = masked_sites(mlm_mask(test, key, seq, p, seed), key)
     ctx = predict_sites(sites, model)
-    bgm = model.where((F.col("left") == BOS) & (F.col("right") == EOS))
-    bg_as_model = (model.select("left", "right").distinct()
+    bgm = model.where((F.col("prev_aa") == BOS) & (F.col("next_aa") == EOS))
+    bg_as_model = (model.select("prev_aa", "next_aa").distinct()
                    .crossJoin(bgm.select("aa", "log_prob")))
     base = predict_sites(sites, bg_as_model)
 

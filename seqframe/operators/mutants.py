@@ -43,7 +43,8 @@ def single_residue_mutants(wt: DataFrame, key: list[str] | tuple = (), seq: str
     """19 x L full mutant sequences (wt->wt excluded)."""
     key = list(key)
     m = single_mutations(wt, key, seq, alphabet).where(F.col("wt") != F.col("mt"))
-    m = m.join(wt.select(*key, seq), key) if key else m.crossJoin(wt.select(seq))
+    # one wild-type row per protein: joined on the key, or broadcast when single
+    m = m.join(wt.select(*key, seq), key) if key else m.crossJoin(F.broadcast(wt.select(seq)))
     return m.select(*key, "mutant", "pos", "mt",
                     apply_mutation(seq, "pos", "mt").alias("mutant_sequence"))
 
@@ -107,7 +108,7 @@ def masked_log_probs(wt: DataFrame, model: DataFrame, key: list[str] | tuple = (
     kcol = key[0] if key else "_k"
     w = wt if key else wt.withColumn("_k", F.lit(0))
     sites = neighbour_sites(w, kcol, seq).drop("aa")
-    lp = sites.join(F.broadcast(model), ["left", "right"]).select(kcol, "pos", "aa", "log_prob")
+    lp = sites.join(F.broadcast(model), ["prev_aa", "next_aa"]).select(kcol, "pos", "aa", "log_prob")
     return lp if key else lp.drop("_k")
 
 
@@ -118,19 +119,19 @@ def pseudo_ppl(muts: DataFrame, wt: DataFrame, model: DataFrame, out: str = "sco
     the wild type, so: wild-type total + the three site deltas.
     Works for one wild type (the ``wt`` table has one row)."""
     wsites = neighbour_sites(wt.withColumn("_k", F.lit(0)), "_k", seq)
-    lp = model.select("left", "aa", "right", "log_prob")
-    wsc = wsites.join(F.broadcast(lp), ["left", "aa", "right"]).select("pos", "left", "aa", "right", "log_prob")
+    lp = model.select("prev_aa", "aa", "next_aa", "log_prob")
+    wsc = wsites.join(F.broadcast(lp), ["prev_aa", "aa", "next_aa"]).select("pos", "prev_aa", "aa", "next_aa", "log_prob")
     total = wsc.agg(F.sum("log_prob").alias("wt_total"))
     # affected sites of each mutant, with the mutated triple
     d = muts.select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("_d"))
     d = d.withColumn("_site", F.col("pos") + F.col("_d"))
     d = d.join(F.broadcast(wsc.withColumnRenamed("pos", "_site")), "_site")
-    nl = F.when(F.col("_d") == 1, F.col("mt")).otherwise(F.col("left"))
+    nl = F.when(F.col("_d") == 1, F.col("mt")).otherwise(F.col("prev_aa"))
     nc = F.when(F.col("_d") == 0, F.col("mt")).otherwise(F.col("aa"))
-    nr = F.when(F.col("_d") == -1, F.col("mt")).otherwise(F.col("right"))
+    nr = F.when(F.col("_d") == -1, F.col("mt")).otherwise(F.col("next_aa"))
     d = d.select(*muts.columns, nl.alias("nl"), nc.alias("nc"), nr.alias("nr"),
                  F.col("log_prob").alias("lp_wt"))
-    lpm = lp.select(F.col("left").alias("nl"), F.col("aa").alias("nc"), F.col("right").alias("nr"),
+    lpm = lp.select(F.col("prev_aa").alias("nl"), F.col("aa").alias("nc"), F.col("next_aa").alias("nr"),
                     F.col("log_prob").alias("lp_mt"))
     d = d.join(F.broadcast(lpm), ["nl", "nc", "nr"])
     delta = d.groupBy(*muts.columns).agg(F.sum(F.col("lp_mt") - F.col("lp_wt")).alias("_delta"))
