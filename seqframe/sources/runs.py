@@ -7,7 +7,6 @@ import time
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def save_model(model, path: str) -> None:
@@ -34,6 +33,3 @@ def append_run_log(spark: SparkSession, path: str, run: str, values: dict) -> Da
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).orderBy("ts", "run", "key")
 
-
-def parse_value(col: str = "value"):
-    return F.col(col)
