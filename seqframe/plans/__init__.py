@@ -6,3 +6,4 @@ Importing this package registers every query module.
 from seqframe.plans import mutation_queries  # noqa: F401
 from seqframe.plans import sequence_queries  # noqa: F401
 from seqframe.plans import split_metric_queries  # noqa: F401
+from seqframe.plans import feature_queries  # noqa: F401
