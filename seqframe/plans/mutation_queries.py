@@ -37,3 +37,133 @@ def mutant_scan_top10(spark, sf):
     scored = mz.score_mutations(muts, prof, bound_rows=10_000)
     top = scored.orderBy(F.round("score", 9).desc(), "mutant").limit(10)
     return top.select("mutant", "pos", F.round("score", R).alias("score"))
+
+
+@query("single_mutations", ("Z1", "J6", "X9"),
+       q.with_ctes(q.SEQS, q.ALPHA, q.WT, q.SINGLE_MUTATIONS,
+                   body="SELECT mutant, wt, CAST(pos AS BIGINT) AS pos, mt FROM muts"))
+def single_mutations_q(spark, sf):
+    wt = t.wild_type(t.seqs(spark, sf))
+    m = mz.single_mutations(wt)
+    return m.select("mutant", "wt", F.col("pos").cast("bigint"), "mt")
+
+
+@query("single_residue_mutants", ("Z2", "X10"), q.with_ctes(q.SEQS, q.ALPHA, q.WT, q.SINGLE_MUTATIONS, body="""
+SELECT m.mutant, CAST(m.pos AS BIGINT) AS pos, m.mt,
+       substr(w.wt_sequence, 1, m.pos - 1) || m.mt || substr(w.wt_sequence, m.pos + 1) AS mutant_sequence
+FROM muts m CROSS JOIN wt w WHERE m.mt <> m.wt"""))
+def single_residue_mutants_q(spark, sf):
+    wt = t.wild_type(t.seqs(spark, sf))
+    m = mz.single_residue_mutants(wt)
+    return m.select("mutant", F.col("pos").cast("bigint"), "mt", "mutant_sequence")
+
+
+@query("site_profile", ("A23", "J6"), q.with_ctes(q.RESIDUES, q.ALPHA, q.profile(), body="""
+SELECT CAST(pos AS BIGINT) AS pos, aa, round(log_prob, 6) AS log_prob FROM profile"""))
+def site_profile_q(spark, sf):
+    p = ctx.site_profile(t.residues(spark, sf))
+    return p.select(F.col("pos").cast("bigint"), "aa", F.round("log_prob", R).alias("log_prob"))
+
+
+@query("position_log_softmax", ("A17",), q.with_ctes(q.RESIDUES, q.ALPHA, q.profile(), body=""",
+c AS (SELECT g.pos, g.aa, CAST(coalesce(k.n, 0) AS DOUBLE) / 4.0 AS logit
+      FROM profile_grid g LEFT JOIN profile_counts k ON g.pos = k.pos AND g.aa = k.aa),
+cm AS (SELECT *, max(logit) OVER (PARTITION BY pos) AS m FROM c)
+SELECT CAST(pos AS BIGINT) AS pos, aa,
+  round(logit - m - ln(sum(exp(logit - m)) OVER (PARTITION BY pos)), 6) AS log_prob
+FROM cm"""))
+def position_log_softmax(spark, sf):
+    """Residue counts / 4 used as logits, normalised per position."""
+    res = t.residues(spark, sf)
+    counts = res.groupBy("pos", "aa").agg(F.count(F.lit(1)).alias("n"))
+    grid = res.select("pos").distinct().crossJoin(F.broadcast(ctx.alphabet_table(spark).drop("aa_index")))
+    g = grid.join(counts, ["pos", "aa"], "left").select(
+        "pos", "aa", (F.coalesce("n", F.lit(0)).cast("double") / 4.0).alias("logit"))
+    ls = ctx.log_softmax(g, ["pos"], "logit")
+    return ls.select(F.col("pos").cast("bigint"), "aa", F.round("log_prob", R).alias("log_prob"))
+
+
+CTX_CTES = [
+    """sites AS (SELECT seq_id, CAST(pos AS INTEGER) AS pos,
+   CASE WHEN pos = 1 THEN '^' ELSE substr(sequence, pos - 1, 1) END AS prev_aa,
+   substr(sequence, pos, 1) AS aa,
+   CASE WHEN pos = length(sequence) THEN '$' ELSE substr(sequence, pos + 1, 1) END AS next_aa
+   FROM res_pos)""",
+    "lefts AS (SELECT unnest(string_split('^ACDEFGHIKLMNPQRSTVWY', '')) AS prev_aa)",
+    "rights AS (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY$', '')) AS next_aa)",
+    """tri AS (SELECT prev_aa, next_aa, aa, count(*) AS n FROM sites GROUP BY prev_aa, next_aa, aa)""",
+    """bgc AS (SELECT a.aa, coalesce(c.n, 0) AS n_aa FROM alpha a LEFT JOIN
+   (SELECT aa, count(*) AS n FROM sites GROUP BY aa) c ON a.aa = c.aa)""",
+    """bgp AS (SELECT aa, (n_aa + 1.0) / (sum(n_aa) OVER () + 20.0) AS p_bg FROM bgc)""",
+    """cgrid AS (SELECT l.prev_aa, r.next_aa, a.aa FROM lefts l CROSS JOIN rights r CROSS JOIN alpha a)""",
+    """model AS (SELECT g.prev_aa, g.next_aa, g.aa,
+   ln((coalesce(t.n, 0) + 20.0 * b.p_bg) / (sum(coalesce(t.n, 0)) OVER (PARTITION BY g.prev_aa, g.next_aa) + 20.0)) AS log_prob
+   FROM cgrid g LEFT JOIN tri t ON g.prev_aa = t.prev_aa AND g.next_aa = t.next_aa AND g.aa = t.aa
+   JOIN bgp b ON b.aa = g.aa)""",
+]
+
+
+@query("context_model", ("K5",), q.with_ctes(q.RESIDUES, q.ALPHA, CTX_CTES, body="""
+SELECT prev_aa, next_aa, aa, round(log_prob, 6) AS log_prob FROM model"""))
+def context_model_q(spark, sf):
+    m = ctx.context_model_fit(t.seqs(spark, sf))
+    return m.select("prev_aa", "next_aa", "aa", F.round("log_prob", R).alias("log_prob"))
+
+
+@query("masked_marginals", ("Z4", "Z7"), q.with_ctes(q.RESIDUES, q.ALPHA, CTX_CTES, q.WT, q.SINGLE_MUTATIONS, body=""",
+wsites AS (SELECT pos, CASE WHEN pos = 1 THEN '^' ELSE substr(wt_sequence, pos - 1, 1) END AS prev_aa,
+   CASE WHEN pos = length(wt_sequence) THEN '$' ELSE substr(wt_sequence, pos + 1, 1) END AS next_aa FROM wt_pos),
+lp AS (SELECT w.pos, m.aa, m.log_prob FROM wsites w JOIN model m ON m.prev_aa = w.prev_aa AND m.next_aa = w.next_aa)
+SELECT mu.mutant, CAST(mu.pos AS BIGINT) AS pos, round(a.log_prob - b.log_prob, 6) AS score
+FROM muts mu JOIN lp a ON a.pos = mu.pos AND a.aa = mu.mt JOIN lp b ON b.pos = mu.pos AND b.aa = mu.wt"""))
+def masked_marginals(spark, sf):
+    """Each wild-type position masked in turn and scored by the context model."""
+    s = t.seqs(spark, sf)
+    wt = t.wild_type(s)
+    model = ctx.context_model_fit(s)
+    scored = mz.zero_shot(mz.single_mutations(wt), wt, "masked-marginals", context_model=model)
+    return scored.select("mutant", F.col("pos").cast("bigint"), F.round("score", R).alias("score"))
+
+
+@query("pseudo_ppl_scores", ("Z5", "A16", "X10"), q.with_ctes(q.RESIDUES, q.ALPHA, CTX_CTES, q.WT, q.SINGLE_MUTATIONS, body=""",
+ms AS (SELECT mu.mutant, substr(w.wt_sequence, 1, mu.pos - 1) || mu.mt || substr(w.wt_sequence, mu.pos + 1) AS s
+       FROM muts mu CROSS JOIN wt w),
+mp AS (SELECT mutant, s, unnest(generate_series(1, length(s))) AS i FROM ms),
+mx AS (SELECT mutant, CASE WHEN i = 1 THEN '^' ELSE substr(s, i - 1, 1) END AS prev_aa, substr(s, i, 1) AS aa,
+              CASE WHEN i = length(s) THEN '$' ELSE substr(s, i + 1, 1) END AS next_aa FROM mp)
+SELECT mx.mutant, round(sum(m.log_prob), 6) AS score
+FROM mx JOIN model m ON m.prev_aa = mx.prev_aa AND m.aa = mx.aa AND m.next_aa = mx.next_aa
+GROUP BY mx.mutant"""))
+def pseudo_ppl_scores(spark, sf):
+    """Sum over all positions of log p(residue | neighbours) of each mutant
+    sequence (delta form: only three sites differ from the wild type)."""
+    s = t.seqs(spark, sf)
+    wt = t.wild_type(s)
+    model = ctx.context_model_fit(s)
+    scored = mz.zero_shot(mz.single_mutations(wt).select("mutant", "wt", "pos", "mt"), wt, "pseudo-ppl",
+                          context_model=model)
+    return scored.select("mutant", F.round("score", R).alias("score"))
+
+
+MSA_N = 128
+
+
+MSA_SQL = q.with_ctes(q.RESIDUES, q.ALPHA, q.WT, q.SINGLE_MUTATIONS, [
+    f"msa AS (SELECT seq_id FROM seqs ORDER BY seq_id LIMIT {MSA_N})",
+    "mres AS (SELECT r.pos, r.aa FROM residues r JOIN msa USING (seq_id) WHERE r.seq_id <> (SELECT wt_id FROM wt))",
+], q.profile("mres", "mprof"), body="""
+SELECT mu.mutant, CAST(mu.pos AS BIGINT) AS pos, round(a.log_prob - b.log_prob, 6) AS score
+FROM muts mu JOIN mprof a ON a.pos = mu.pos AND a.aa = mu.mt JOIN mprof b ON b.pos = mu.pos AND b.aa = mu.wt""")
+
+
+@query("msa_marginals", ("Z6", "S5", "T3", "Z7"), MSA_SQL)
+def msa_marginals(spark, sf):
+    """Profile of the first 128 aligned records with the query (first record)
+    left out of its own columns; every single mutant scored against it."""
+    s = t.seqs(spark, sf)
+    wt = t.wild_type(s)
+    msa = s.orderBy("seq_id").limit(MSA_N)  # nseq: the alignment depth parameter
+    lp = mz.msa_log_probs(t.residues_of(msa), t.residues_of(
+        msa.join(F.broadcast(wt.select(F.col("wt_id").alias("seq_id"))), "seq_id")))
+    scored = mz.zero_shot(mz.single_mutations(wt), wt, "msa", profile=lp)
+    return scored.select("mutant", F.col("pos").cast("bigint"), F.round("score", R).alias("score"))
