@@ -70,7 +70,7 @@ c AS (SELECT g.pos, g.aa, CAST(coalesce(k.n, 0) AS DOUBLE) / 4.0 AS logit
       FROM profile_grid g LEFT JOIN profile_counts k ON g.pos = k.pos AND g.aa = k.aa),
 cm AS (SELECT *, max(logit) OVER (PARTITION BY pos) AS m FROM c)
 SELECT CAST(pos AS BIGINT) AS pos, aa,
-  round(logit - m - ln(sum(exp(logit - m)) OVER (PARTITION BY pos)), 6) AS log_prob
+  round(logit - m - ln(sum(exp(logit - m)) OVER (PARTITION BY pos)), 6) + 0.0 AS log_prob
 FROM cm"""))
 def position_log_softmax(spark, sf):
     """Residue counts / 4 used as logits, normalised per position."""
@@ -80,7 +80,7 @@ def position_log_softmax(spark, sf):
     g = grid.join(counts, ["pos", "aa"], "left").select(
         "pos", "aa", (F.coalesce("n", F.lit(0)).cast("double") / 4.0).alias("logit"))
     ls = ctx.log_softmax(g, ["pos"], "logit")
-    return ls.select(F.col("pos").cast("bigint"), "aa", F.round("log_prob", R).alias("log_prob"))
+    return ls.select(F.col("pos").cast("bigint"), "aa", (F.round("log_prob", R) + 0.0).alias("log_prob"))
 
 
 CTX_CTES = [
