@@ -14,14 +14,20 @@ from pyspark.sql import functions as F
 
 from seqframe.functions.hashing import stable_hash, stable_uniform
 from seqframe.functions.sequences import ALPHABET
-from seqframe.session import bounded_broadcast
+from seqframe.session import literal_table
 
 BOS, EOS, MASK = "^", "$", "#"
 
 
 def alphabet_table(spark: SparkSession, alphabet: str = ALPHABET, col: str = "aa") -> DataFrame:
     """The residue alphabet as a table (fixed 20 rows)."""
-    return spark.createDataFrame([(a, i) for i, a in enumerate(alphabet)], f"{col} string, aa_index int")
+    return literal_table(spark, [(a, i) for i, a in enumerate(alphabet)], [col, "aa_index"])
+
+
+def with_alphabet(df: DataFrame, alphabet: str = ALPHABET, col: str = "aa") -> DataFrame:
+    """Every row x every letter, as a narrow explode of a literal array
+    (no join, no shuffle; the letter list is a 20-entry constant)."""
+    return df.select("*", F.explode(F.array(*[F.lit(a) for a in alphabet])).alias(col))
 
 
 def log_softmax(df: DataFrame, group: list[str], score: str, out: str = "log_prob") -> DataFrame:
@@ -46,8 +52,6 @@ def site_profile(residues: DataFrame, alphabet: str = ALPHABET, pseudocount: flo
     to subtract from the counts (e.g. the query sequence itself).
     """
     key = list(key)
-    spark = residues.sparkSession
-    alpha = bounded_broadcast(alphabet_table(spark, alphabet).drop("aa_index"), len(alphabet))
     counted = residues.where(F.col("aa").isin(list(alphabet)))
     counts = counted.groupBy(*key, "pos", "aa").agg(F.count(F.lit(1)).alias("n"))
     if exclude is not None:
@@ -56,7 +60,7 @@ def site_profile(residues: DataFrame, alphabet: str = ALPHABET, pseudocount: flo
         counts = (counts.join(ex, [*key, "pos", "aa"], "left")
                   .select(*key, "pos", "aa", (F.col("n") - F.coalesce("n_ex", F.lit(0))).alias("n")))
     positions = residues.select(*key, "pos").distinct()
-    grid = positions.crossJoin(alpha)  # J6: positions x alphabet, alphabet broadcast
+    grid = with_alphabet(positions, alphabet)  # J6: positions x alphabet
     g = grid.join(counts, [*key, "pos", "aa"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     tot = F.sum("n").over(Window.partitionBy(*key, "pos"))
     pc = F.lit(float(pseudocount))
@@ -92,9 +96,9 @@ def context_model_fit(df: DataFrame, key: str = "seq_id", seq: str = "sequence",
     tri = sites.groupBy("prev_aa", "next_aa", "aa").agg(F.count(F.lit(1)).alias("n"))
     bg = sites.groupBy("aa").agg(F.count(F.lit(1)).alias("n_aa"))
     letters = alphabet_table(spark, alphabet).drop("aa_index")
-    lefts = alphabet_table(spark, BOS + alphabet, "prev_aa").drop("aa_index")
-    rights = alphabet_table(spark, alphabet + EOS, "next_aa").drop("aa_index")
-    grid = lefts.crossJoin(rights).crossJoin(letters)  # fixed (L+1)^2 * L rows
+    # fixed (A+1)^2 * A grid of contexts x letters, generated without joins
+    grid = with_alphabet(with_alphabet(with_alphabet(spark.range(1).drop("id"), BOS + alphabet, "prev_aa"),
+                                       alphabet + EOS, "next_aa"), alphabet, "aa")
     pc = F.lit(float(pseudocount))
     bgp = (letters.join(bg, "aa", "left").withColumn("n_aa", F.coalesce("n_aa", F.lit(0)))
            .withColumn("p_bg", (F.col("n_aa") + pc) / (F.sum("n_aa").over(Window.partitionBy()) + pc * F.lit(len(alphabet))))
@@ -179,7 +183,7 @@ def context_model_eval(test: DataFrame, model: DataFrame, key: str = "seq_id", s
     ctx = predict_sites(sites, model)
     bgm = model.where((F.col("prev_aa") == BOS) & (F.col("next_aa") == EOS))
     bg_as_model = (model.select("prev_aa", "next_aa").distinct()
-                   .crossJoin(bgm.select("aa", "log_prob")))
+                   .crossJoin(F.broadcast(bgm.select("aa", "log_prob"))))  # 441 contexts x 20
     base = predict_sites(sites, bg_as_model)
 
     def summary(d: DataFrame, name: str) -> DataFrame:

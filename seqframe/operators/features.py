@@ -14,6 +14,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqframe.session import literal_table
+
 # Fixed values -------------------------------------------------------------
 # Descriptor names used for the reference's feature sets. Their numeric
 # tables are not bundled; supply them as a (descriptor, aa, values) table.
@@ -66,7 +68,7 @@ def descriptor_table(spark: SparkSession, names=None, tables: dict | None = None
         if n not in src:
             raise ValueError(f"descriptor {n!r} has no bundled values; pass it in `tables`")
         rows += [(n, aa, [float(v) for v in vals]) for aa, vals in src[n].items()]
-    return spark.createDataFrame(rows, "descriptor string, aa string, values array<double>")
+    return literal_table(spark, rows, ["descriptor", "aa", "values"])
 
 
 def descriptor_map(table: dict[str, list[float]]) -> Column:

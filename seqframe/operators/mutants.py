@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.functions.sequences import ALPHABET, apply_mutation, format_mutation, parse_mutation
-from seqframe.operators.context import alphabet_table, neighbour_sites
+from seqframe.operators.context import neighbour_sites, with_alphabet
 from seqframe.session import bounded_broadcast
 
 STRATEGIES = ("wt-marginals", "masked-marginals", "pseudo-ppl", "msa")
@@ -31,9 +31,7 @@ def single_mutations(wt: DataFrame, key: list[str] | tuple = (), seq: str = "wt_
     """Every position x every letter (wt->wt included), code numbered
     from ``offset``. Columns: key..., mutant, wt, pos, mt."""
     key = list(key)
-    spark = wt.sparkSession
-    alpha = bounded_broadcast(alphabet_table(spark, alphabet, "mt").drop("aa_index"), len(alphabet))
-    grid = wt_residues(wt, key, seq).crossJoin(alpha)  # J6
+    grid = with_alphabet(wt_residues(wt, key, seq), alphabet, "mt")  # J6
     number = F.col("pos") + F.lit(offset - 1)
     return grid.select(*key, format_mutation("wt", number, "mt").alias("mutant"), "wt", "pos", "mt")
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqframe.operators import context as ctx
+from seqframe.functions.hashing import stable_hash_sql
 from seqframe.operators import mutants as mz
+from seqframe.operators import split as sp
 from seqframe.plans import sqlparts as q
 from seqframe.plans.registry import query
 from seqframe.sources import tables as t
@@ -76,31 +78,36 @@ def position_log_softmax(spark, sf):
     """Residue counts / 4 used as logits, normalised per position."""
     res = t.residues(spark, sf)
     counts = res.groupBy("pos", "aa").agg(F.count(F.lit(1)).alias("n"))
-    grid = res.select("pos").distinct().crossJoin(F.broadcast(ctx.alphabet_table(spark).drop("aa_index")))
+    grid = ctx.with_alphabet(res.select("pos").distinct())
     g = grid.join(counts, ["pos", "aa"], "left").select(
         "pos", "aa", (F.coalesce("n", F.lit(0)).cast("double") / 4.0).alias("logit"))
     ls = ctx.log_softmax(g, ["pos"], "logit")
     return ls.select(F.col("pos").cast("bigint"), "aa", (F.round("log_prob", R) + 0.0).alias("log_prob"))
 
 
-CTX_CTES = [
-    """sites AS (SELECT seq_id, CAST(pos AS INTEGER) AS pos,
+def ctx_ctes(src: str = "res_pos", p: str = "") -> list[str]:
+    """K5 context model over a (seq_id, sequence, pos) CTE; names prefixed by ``p``."""
+    return [
+        f"""{p}sites AS (SELECT seq_id, CAST(pos AS INTEGER) AS pos,
    CASE WHEN pos = 1 THEN '^' ELSE substr(sequence, pos - 1, 1) END AS prev_aa,
    substr(sequence, pos, 1) AS aa,
    CASE WHEN pos = length(sequence) THEN '$' ELSE substr(sequence, pos + 1, 1) END AS next_aa
-   FROM res_pos)""",
-    "lefts AS (SELECT unnest(string_split('^ACDEFGHIKLMNPQRSTVWY', '')) AS prev_aa)",
-    "rights AS (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY$', '')) AS next_aa)",
-    """tri AS (SELECT prev_aa, next_aa, aa, count(*) AS n FROM sites GROUP BY prev_aa, next_aa, aa)""",
-    """bgc AS (SELECT a.aa, coalesce(c.n, 0) AS n_aa FROM alpha a LEFT JOIN
-   (SELECT aa, count(*) AS n FROM sites GROUP BY aa) c ON a.aa = c.aa)""",
-    """bgp AS (SELECT aa, (n_aa + 1.0) / (sum(n_aa) OVER () + 20.0) AS p_bg FROM bgc)""",
-    """cgrid AS (SELECT l.prev_aa, r.next_aa, a.aa FROM lefts l CROSS JOIN rights r CROSS JOIN alpha a)""",
-    """model AS (SELECT g.prev_aa, g.next_aa, g.aa,
+   FROM {src})""",
+        "lefts AS (SELECT unnest(string_split('^ACDEFGHIKLMNPQRSTVWY', '')) AS prev_aa)",
+        "rights AS (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY$', '')) AS next_aa)",
+        f"""{p}tri AS (SELECT prev_aa, next_aa, aa, count(*) AS n FROM {p}sites GROUP BY prev_aa, next_aa, aa)""",
+        f"""{p}bgc AS (SELECT a.aa, coalesce(c.n, 0) AS n_aa FROM alpha a LEFT JOIN
+   (SELECT aa, count(*) AS n FROM {p}sites GROUP BY aa) c ON a.aa = c.aa)""",
+        f"""{p}bgp AS (SELECT aa, (n_aa + 1.0) / (sum(n_aa) OVER () + 20.0) AS p_bg FROM {p}bgc)""",
+        """cgrid AS (SELECT l.prev_aa, r.next_aa, a.aa FROM lefts l CROSS JOIN rights r CROSS JOIN alpha a)""",
+        f"""{p}model AS (SELECT g.prev_aa, g.next_aa, g.aa,
    ln((coalesce(t.n, 0) + 20.0 * b.p_bg) / (sum(coalesce(t.n, 0)) OVER (PARTITION BY g.prev_aa, g.next_aa) + 20.0)) AS log_prob
-   FROM cgrid g LEFT JOIN tri t ON g.prev_aa = t.prev_aa AND g.next_aa = t.next_aa AND g.aa = t.aa
-   JOIN bgp b ON b.aa = g.aa)""",
-]
+   FROM cgrid g LEFT JOIN {p}tri t ON g.prev_aa = t.prev_aa AND g.next_aa = t.next_aa AND g.aa = t.aa
+   JOIN {p}bgp b ON b.aa = g.aa)""",
+    ]
+
+
+CTX_CTES = ctx_ctes()
 
 
 @query("context_model", ("K5",), q.with_ctes(q.RESIDUES, q.ALPHA, CTX_CTES, body="""
@@ -167,3 +174,115 @@ def msa_marginals(spark, sf):
         msa.join(F.broadcast(wt.select(F.col("wt_id").alias("seq_id"))), "seq_id")))
     scored = mz.zero_shot(mz.single_mutations(wt), wt, "msa", profile=lp)
     return scored.select("mutant", F.col("pos").cast("bigint"), F.round("score", R).alias("score"))
+
+
+OFFSET = 24
+
+MUTLIST_SQL = q.with_ctes(q.RESIDUES, q.ALPHA, q.profile(), q.WT, body=f""",
+fwd AS (SELECT DISTINCT w.wt || CAST(r.pos + {OFFSET - 1} AS VARCHAR) || r.aa AS mutant
+        FROM residues r JOIN wt_res w ON w.pos = r.pos
+        WHERE r.aa <> w.wt AND r.seq_id <> (SELECT wt_id FROM wt)),
+rev AS (SELECT DISTINCT r.aa || CAST(r.pos + {OFFSET - 1} AS VARCHAR) || w.wt AS mutant
+        FROM residues r JOIN wt_res w ON w.pos = r.pos
+        WHERE r.aa <> w.wt AND r.seq_id <> (SELECT wt_id FROM wt)),
+lst AS (SELECT mutant FROM fwd UNION SELECT mutant FROM rev),
+parsed AS (SELECT mutant, substr(mutant, 1, 1) AS wt,
+                  CAST(substr(mutant, 2, length(mutant) - 2) AS INTEGER) - {OFFSET - 1} AS pos,
+                  right(mutant, 1) AS mt FROM lst)
+SELECT p.mutant, CAST(p.pos AS BIGINT) AS pos, coalesce(w.wt = p.wt, false) AS wt_ok,
+       round(a.log_prob - b.log_prob, 6) AS score
+FROM parsed p LEFT JOIN wt_res w ON w.pos = p.pos
+  JOIN profile a ON a.pos = p.pos AND a.aa = p.mt JOIN profile b ON b.pos = p.pos AND b.aa = p.wt""")
+
+
+def _homolog_mutation_list(spark, sf, s, wt):
+    """Codes of every residue where a homolog differs from the wild type
+    (forward: wt->homolog) plus the reversed codes (stated wt is wrong)."""
+    w = mz.wt_residues(wt)
+    others = t.residues_of(s.join(F.broadcast(wt.select(F.col("wt_id").alias("seq_id"))), "seq_id", "left_anti"))
+    d = others.join(F.broadcast(w), "pos").where(F.col("aa") != F.col("wt"))
+    number = F.col("pos") + F.lit(OFFSET - 1)
+    fwd = d.select(F.concat("wt", number.cast("string"), "aa").alias("mutant"))
+    rev = d.select(F.concat("aa", number.cast("string"), "wt").alias("mutant"))
+    return fwd.union(rev).distinct(), fwd.distinct()
+
+
+@query("score_mutation_list", ("Z8", "X8", "P13", "J5"), MUTLIST_SQL)
+def score_mutation_list(spark, sf):
+    """Score a mutation list numbered from offset 24 (parse, check the stated
+    wild-type residue, score against the site profile)."""
+    s, wt, prof = _profile_and_wt(spark, sf)
+    lst, _ = _homolog_mutation_list(spark, sf, s, wt)
+    parsed = mz.parse_mutations(lst, "mutant", offset=OFFSET)
+    checked = mz.check_wild_type(parsed, wt, on_mismatch="flag")
+    scored = mz.score_mutations(checked, prof, bound_rows=10_000)
+    return scored.select("mutant", F.col("pos").cast("bigint"), "wt_ok", F.round("score", R).alias("score"))
+
+
+HEAT_START, HEAT_END = OFFSET + 4, OFFSET + 19
+
+HEATMAP_SQL = q.with_ctes(q.RESIDUES, q.ALPHA, q.profile(), q.WT, body=f""",
+fwd AS (SELECT DISTINCT w.wt || CAST(r.pos + {OFFSET - 1} AS VARCHAR) || r.aa AS mutant, r.pos, w.wt, r.aa AS mt
+        FROM residues r JOIN wt_res w ON w.pos = r.pos
+        WHERE r.aa <> w.wt AND r.seq_id <> (SELECT wt_id FROM wt)),
+sc AS (SELECT f.mutant, min(a.log_prob - b.log_prob) AS score FROM fwd f
+       JOIN profile a ON a.pos = f.pos AND a.aa = f.mt JOIN profile b ON b.pos = f.pos AND b.aa = f.wt GROUP BY f.mutant),
+grid AS (SELECT a.aa, w.pos + {OFFSET - 1} AS number, w.wt || CAST(w.pos + {OFFSET - 1} AS VARCHAR) || a.aa AS mutant
+         FROM wt_res w CROSS JOIN alpha a WHERE w.pos + {OFFSET - 1} BETWEEN {HEAT_START} AND {HEAT_END})
+SELECT g.aa, CAST(g.number AS BIGINT) AS number, g.mutant,
+       coalesce(round(s.score, 6), 'nan'::DOUBLE) AS score
+FROM grid g LEFT JOIN sc s USING (mutant)""")
+
+
+@query("heatmap_grid", ("Z10", "J7", "P15"), HEATMAP_SQL)
+def heatmap_grid_q(spark, sf):
+    """20 x window grid of the homolog mutation scores, NaN where a code was
+    not in the list (window 28..43 inclusive, codes numbered from 24)."""
+    s, wt, prof = _profile_and_wt(spark, sf)
+    _, fwd = _homolog_mutation_list(spark, sf, s, wt)
+    scored = mz.score_mutations(mz.parse_mutations(fwd, offset=OFFSET), prof, bound_rows=10_000)
+    g = mz.heatmap_grid(scored, wt, HEAT_START, HEAT_END, offset=OFFSET)
+    return g.select("aa", F.col("number").cast("bigint"), "mutant",
+                    F.when(F.isnan("score"), F.col("score")).otherwise(F.round("score", R)).alias("score"))
+
+
+K6_SQL = q.with_ctes(q.SEQS, q.TVT, q.ALPHA, [
+    """tr_pos AS (SELECT seq_id, sequence, unnest(generate_series(1, length(sequence))) AS pos FROM tvt WHERE split = 'train')""",
+], ctx_ctes("tr_pos"), [
+    """te_pos AS (SELECT seq_id, sequence, unnest(generate_series(1, length(sequence))) AS pos FROM tvt WHERE split = 'test')""",
+    f"""u AS (SELECT seq_id, CAST(pos AS INTEGER) AS pos, substr(sequence, pos, 1) AS aa,
+        {stable_hash_sql('42:pick', 'seq_id', 'CAST(pos AS INTEGER)')} / 4294967296.0 AS u1,
+        {stable_hash_sql('42:kind', 'seq_id', 'CAST(pos AS INTEGER)')} / 4294967296.0 AS u2,
+        substr('ACDEFGHIKLMNPQRSTVWY', CAST({stable_hash_sql('42:rand', 'seq_id', 'CAST(pos AS INTEGER)')} % 20 + 1 AS INTEGER), 1) AS rnd
+      FROM te_pos)""",
+    """mk AS (SELECT seq_id, pos, aa,
+        CASE WHEN u1 >= 0.15 THEN aa WHEN u2 < 0.8 THEN '#' WHEN u2 < 0.9 THEN rnd ELSE aa END AS input,
+        CASE WHEN u1 < 0.15 THEN aa END AS label FROM u)""",
+    """ms AS (SELECT *, coalesce(lag(input) OVER (PARTITION BY seq_id ORDER BY pos), '^') AS prev_aa,
+               coalesce(lead(input) OVER (PARTITION BY seq_id ORDER BY pos), '$') AS next_aa FROM mk)""",
+    "st AS (SELECT * FROM ms WHERE label IS NOT NULL)",
+    """best AS (SELECT prev_aa, next_aa, aa AS pred FROM
+        (SELECT *, row_number() OVER (PARTITION BY prev_aa, next_aa ORDER BY log_prob DESC, aa) AS k FROM model) WHERE k = 1)""",
+    "bg AS (SELECT aa, log_prob FROM model WHERE prev_aa = '^' AND next_aa = '$')",
+    "bgbest AS (SELECT aa AS pred FROM bg ORDER BY log_prob DESC, aa LIMIT 1)",
+    """cp AS (SELECT s.label, coalesce(m.log_prob, b.log_prob) AS lp, coalesce(bs.pred, (SELECT pred FROM bgbest)) AS pred
+        FROM st s LEFT JOIN model m ON m.prev_aa = s.prev_aa AND m.next_aa = s.next_aa AND m.aa = s.label
+        LEFT JOIN best bs ON bs.prev_aa = s.prev_aa AND bs.next_aa = s.next_aa
+        LEFT JOIN bg b ON b.aa = s.label)""",
+    """bp AS (SELECT s.label, b.log_prob AS lp, (SELECT pred FROM bgbest) AS pred FROM st s LEFT JOIN bg b ON b.aa = s.label)""",
+], body="""
+SELECT 'context' AS model, count(*) AS n_sites, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       round(exp(avg(-lp)), 6) AS perplexity FROM cp
+UNION ALL
+SELECT 'background', count(*), round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6), round(exp(avg(-lp)), 6) FROM bp""")
+
+
+@query("context_model_eval", ("K6", "K3", "A11", "A15", "A22", "W3"), K6_SQL)
+def context_model_eval(spark, sf):
+    """Fit the neighbour-context model on the train split; masked-residue
+    accuracy and perplexity on the test split, against its no-context form."""
+    s = sp.train_valid_test(t.seqs(spark, sf), "seq_id")
+    model = ctx.context_model_fit(sp.filter_split(s, "train"))
+    ev = ctx.context_model_eval(sp.filter_split(s, "test"), model)
+    return ev.select("model", "n_sites", F.round("accuracy", R).alias("accuracy"),
+                     F.round("perplexity", R).alias("perplexity"))

@@ -38,10 +38,7 @@ def kfold_contiguous(spark, sf):
     return f.select(F.col("seq_id").cast("bigint"), "fold")
 
 
-TVT_CTE = [f"""tvt_r AS (SELECT seq_id, sequence,
-   row_number() OVER (ORDER BY {H_SEQ}, seq_id) AS rn, count(*) OVER () AS n FROM seqs)""",
-           """tvt AS (SELECT seq_id, sequence, CASE WHEN rn <= ceil(0.2 * n) THEN 'test'
-   WHEN rn <= ceil(0.2 * n) + ceil(0.2 * (n - ceil(0.2 * n))) THEN 'valid' ELSE 'train' END AS split FROM tvt_r)"""]
+TVT_CTE = q.TVT
 
 
 @query("train_valid_test_split", ("W3", "P12"),
@@ -133,7 +130,7 @@ def rank_correlation_table(spark, sf):
                                              (F.col("o_custkey") % 97).cast("double").alias("p"))
     s = mt.spearman(o, "y", "p")
     n = o.agg(F.count(F.lit(1)).alias("n"))
-    return s.crossJoin(n).select(F.round("spearman", R).alias("spearman"), "n")
+    return s.crossJoin(F.broadcast(n)).select(F.round("spearman", R).alias("spearman"), "n")
 
 
 REG_SQL = """
@@ -199,7 +196,8 @@ def classification_metrics(spark, sf):
     ce = mt.mean_cross_entropy(e, "z", "label")
     bce = mt.mean_bce(e, "z", "y")
     n = e.agg(F.count(F.lit(1)).alias("n"))
-    return acc.crossJoin(ce).crossJoin(bce).crossJoin(n).select(
+    # four one-row aggregates side by side
+    return acc.crossJoin(F.broadcast(ce)).crossJoin(F.broadcast(bce)).crossJoin(F.broadcast(n)).select(
         F.round("accuracy", R).alias("accuracy"), F.round("cross_entropy", R).alias("cross_entropy"),
         F.round("bce", R).alias("bce"), "n")
 

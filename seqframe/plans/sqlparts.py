@@ -6,6 +6,7 @@ Each constant is a list of CTE definitions that mirror a derived view in
 
 from __future__ import annotations
 
+from seqframe.functions.hashing import stable_hash_sql
 from seqframe.functions.sequences import ALPHABET
 
 ALLOWED = ALPHABET + ALPHABET.lower()
@@ -50,6 +51,15 @@ SINGLE_MUTATIONS = [
 ]
 
 
+H_SEQ = stable_hash_sql(42, "seq_id")
+
+# W3 split of seqs (exact sizes, hash order)
+TVT = [f"""tvt_r AS (SELECT seq_id, sequence,
+   row_number() OVER (ORDER BY {H_SEQ}, seq_id) AS rn, count(*) OVER () AS n FROM seqs)""",
+       """tvt AS (SELECT seq_id, sequence, CASE WHEN rn <= ceil(0.2 * n) THEN 'test'
+   WHEN rn <= ceil(0.2 * n) + ceil(0.2 * (n - ceil(0.2 * n))) THEN 'valid' ELSE 'train' END AS split FROM tvt_r)"""]
+
+
 def with_ctes(*parts: list[str], body: str) -> str:
     seen, out = set(), []
     for group in parts:

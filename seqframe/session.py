@@ -91,3 +91,15 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     if max_rows > 5_000_000:
         return df
     return F.broadcast(df)
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small constant table built from literals in the JVM (``inline`` of
+    an array of structs). Unlike ``createDataFrame(list)`` it needs no Python
+    worker and no RDD scan, and Catalyst folds it into a local relation."""
+    def lit(v):
+        if isinstance(v, (list, tuple)):
+            return F.array(*[F.lit(float(x)) for x in v]) if v else F.array().cast("array<double>")
+        return F.lit(v)
+    structs = [F.struct(*[lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
