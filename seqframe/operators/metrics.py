@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from seqframe.functions.numeric import argmax_index, bce_with_logits, cross_entropy
 from seqframe.operators.ranking import average_rank
 
-NAN = F.lit(float("nan"))
+
+def _nan():
+    return F.lit(float("nan"))
 
 
 def _agg(df: DataFrame, by, *cols: Column) -> DataFrame:
@@ -29,7 +31,7 @@ def pearson_expr(y: str, p: str) -> Column:
     """
     sy, sp = F.stddev_pop(y), F.stddev_pop(p)
     r = F.try_divide(F.covar_pop(y, p), sy * sp)
-    return F.when((sy == 0) | (sp == 0) | sy.isNull() | sp.isNull(), NAN).otherwise(r)
+    return F.when((sy == 0) | (sp == 0) | sy.isNull() | sp.isNull(), _nan()).otherwise(r)
 
 
 def pearson(df: DataFrame, y: str, p: str, by=None, out: str = "pearson") -> DataFrame:
