@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 POOLS = ("mean", "sum", "max", "global")
 
@@ -99,7 +100,7 @@ def embed(df: DataFrame, seqcol: str, encoder: Encoder, how: str = "mean", out:
     """
     if how not in POOLS:
         raise ValueError(f"unknown pooling {how!r}; expected one of {POOLS}")
-    schema = df.schema.add(out, "array<double>")
+    schema = StructType(list(df.schema.fields) + [StructField(out, ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
