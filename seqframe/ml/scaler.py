@@ -10,7 +10,7 @@ applied with ``zip_with`` in generated code.
 from __future__ import annotations
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
@@ -64,3 +64,15 @@ class PopulationScalerModel(Model, _ScalerParams, DefaultParamsReadable, Default
         ms = F.arrays_zip(mu.alias("m"), sd.alias("s"))
         z = F.zip_with(x, ms, lambda xi, p: (xi - p["m"]) / p["s"])
         return df.withColumn(self.getOutputCol(), z)
+
+
+class ArrayToVector(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """ARRAY<DOUBLE> -> ML vector, as a persistable pipeline stage."""
+
+    @keyword_only
+    def __init__(self, *, inputCol: str = "scaled", outputCol: str = "features_vec"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.getOutputCol(), array_to_vector(F.col(self.getInputCol()).cast("array<double>")))

@@ -8,3 +8,4 @@ from seqframe.plans import sequence_queries  # noqa: F401
 from seqframe.plans import split_metric_queries  # noqa: F401
 from seqframe.plans import feature_queries  # noqa: F401
 from seqframe.plans import ml_queries  # noqa: F401
+from seqframe.plans import io_queries  # noqa: F401

@@ -91,7 +91,7 @@ def descriptor_pair_join(spark, sf):
                     F.round(chk, 4).alias("checksum"))
 
 
-@query("residue_hydropathy", ("J4",), q.with_ctes(q.RESIDUES, DESC_CTES, body="""
+@query("residue_hydropathy", ("J4", "D4"), q.with_ctes(q.RESIDUES, DESC_CTES, body="""
 SELECT CAST(r.seq_id AS BIGINT) AS seq_id, round(avg(d.vals[1]), 6) AS mean_hydropathy
 FROM residues r LEFT JOIN d_kyte_doolittle d USING (aa) GROUP BY r.seq_id"""))
 def residue_hydropathy(spark, sf):

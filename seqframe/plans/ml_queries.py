@@ -51,7 +51,7 @@ def lasso_nested_cv(spark, sf):
     return se.lasso_nested_cv(_featurised(spark, sf), "seq_id", ALPHAS)
 
 
-@query("kernel_svr_cv", ("M2", "H5"))
+@query("kernel_svr_cv", ("M2", "H5", "D3"))
 def kernel_svr_cv(spark, sf):
     """5-fold scores of the default kernel SVR (random Fourier features)."""
     scores = se.cross_validate(se.MODELS["svr"], {}, _featurised(spark, sf), "seq_id")
@@ -142,7 +142,7 @@ def default_vs_tuned(spark, sf):
                                   json.dumps(r["best_params"]))], ["default", "tuned", "reported", "best_params"])
 
 
-@query("pool_compare", ("F3", "F4", "A1", "A2", "A3"))
+@query("pool_compare", ("F3", "F4", "A1", "A2", "A3", "D2"))
 def pool_compare(spark, sf):
     """Window-descriptor encoder + mean/max/sum pooling, one Lasso per pool."""
     enc = pl.descriptor_window_encoder(ft.Z3_HELLBERG, window=2)
@@ -155,3 +155,37 @@ def pool_compare(spark, sf):
         sc, m = se.fit_scaled(se.MODELS["linr"], {"alpha": 0.01}, sp.filter_split(part, "train"))
         rows.append((pool, float(scorer("spearman").evaluate(se.predict_scaled(sc, m, sp.filter_split(part, "test"))))))
     return literal_table(spark, rows, ["pool", "spearman"])
+
+
+@query("random_search_trials", ("H2", "H4"))
+def random_search_trials(spark, sf):
+    trials, best, _ = se.random_search(se.MODELS["linr"], {"alpha": [1e-3, 1.0]}, _featurised(spark, sf), "seq_id",
+                                       n_iter=4, k=3, refit=False)
+    return trials.select("trial", "params", F.round("value", R).alias("value"))
+
+
+@query("model_persistence_roundtrip", ("S7", "S8", "S9", "M8", "J8"))
+def model_persistence_roundtrip(spark, sf):
+    """Scaler + Lasso pipeline fitted on train, saved to and loaded from the
+    shared folder, predictions on test written sorted, the score appended
+    to a run table; returns the written predictions."""
+    import uuid
+
+    from pyspark.ml import Pipeline
+
+    from seqframe.ml.models import lasso
+    from seqframe.ml.scaler import ArrayToVector, PopulationScaler
+    from seqframe.session import scratch_path
+    from seqframe.sources import files as fs
+    from seqframe.sources import runs
+
+    tr, te = _train_test(spark, sf)
+    pipe = Pipeline(stages=[PopulationScaler(inputCol="features", outputCol="scaled"),
+                            ArrayToVector(inputCol="scaled", outputCol="features_vec"), lasso(0.01)])
+    base = scratch_path(spark, f"model-{uuid.uuid4().hex}")
+    runs.save_model(pipe.fit(tr), f"{base}/model")
+    pred = runs.load_model(f"{base}/model").transform(te).select("seq_id", "label", "prediction")
+    fs.write_predictions(pred, f"{base}/predictions", "prediction", fmt="parquet")
+    back = spark.read.parquet(f"{base}/predictions")
+    runs.append_run_log(spark, f"{base}/runs", "lasso_0.01", {"spearman": scorer("spearman").evaluate(back)})
+    return back.select("seq_id", "label", F.round("prediction", R).alias("prediction"))

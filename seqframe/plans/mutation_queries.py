@@ -41,7 +41,7 @@ def mutant_scan_top10(spark, sf):
     return top.select("mutant", "pos", F.round("score", R).alias("score"))
 
 
-@query("single_mutations", ("Z1", "J6", "X9"),
+@query("single_mutations", ("Z1", "J6", "X9", "D5", "D1"),
        q.with_ctes(q.SEQS, q.ALPHA, q.WT, q.SINGLE_MUTATIONS,
                    body="SELECT mutant, wt, CAST(pos AS BIGINT) AS pos, mt FROM muts"))
 def single_mutations_q(spark, sf):

@@ -23,14 +23,15 @@ def read_csv_table(spark: SparkSession, path: str, schema: StructType | str | No
 
 
 def read_split_json(spark: SparkSession, directory: str, names=SPLITS, stem: str = "{name}.json",
-                    schema: StructType | str | None = None) -> DataFrame:
-    """One JSON file per split, tagged with its split name and stacked.
+                    schema: StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+    """One JSON input per split, tagged with its split name and stacked.
 
-    Label columns that are arrays in some files are unwrapped with P1 by the
-    caller (``unwrap_label``)."""
+    ``multi_line`` reads one JSON document (array of records) per file;
+    False reads JSON Lines (splittable). Label columns that are arrays in
+    some files are unwrapped with P1 by the caller (``unwrap_label``)."""
     parts = []
     for n in names:
-        r = spark.read.option("multiLine", True)
+        r = spark.read.option("multiLine", multi_line)
         if schema is not None:
             r = r.schema(schema)
         parts.append(r.json(f"{directory}/{stem.format(name=n)}").withColumn("split", F.lit(n)))
