@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seqframe.functions.hashing import stable_hash, stable_uniform
 from seqframe.functions.sequences import ALPHABET
-from seqframe.session import literal_table
+from seqframe.session import cut_lineage, literal_table
 
 BOS, EOS, MASK = "^", "$", "#"
 
@@ -41,6 +41,41 @@ def log_softmax(df: DataFrame, group: list[str], score: str, out: str = "log_pro
     return df.withColumn(out, F.col(score) - lse)
 
 
+def residue_counts(residues: DataFrame, key: list[str] | tuple = (), id_col: str | None = None) -> DataFrame:
+    """(key..., pos, aa, n[, first_id]): one aggregation over the residue
+    table (map-side partial counts; the result has at most L x |letters|
+    rows per protein). ``first_id`` = lowest ``id_col`` holding that letter,
+    which identifies the reference (lowest-id) sequence's residues."""
+    key = list(key)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if id_col:
+        aggs.append(F.min(id_col).alias("first_id"))
+    return residues.groupBy(*key, "pos", "aa").agg(*aggs)
+
+
+def reference_from_counts(counts: DataFrame, key: list[str] | tuple = ()) -> DataFrame:
+    """(key..., pos, wt): residue of the lowest-id sequence at every position,
+    read off the count table (no second pass over the residues)."""
+    key = list(key)
+    return counts.groupBy(*key, "pos").agg(F.min_by("aa", "first_id").alias("wt"))
+
+
+def site_profile_from_counts(counts: DataFrame, alphabet: str = ALPHABET, pseudocount: float = 1.0,
+                             key: list[str] | tuple = ()) -> DataFrame:
+    """A23 from a ``residue_counts`` table: positions x alphabet grid,
+    log((n + pc) / (n(pos) + |alphabet| pc)); non-alphabet letters (gaps)
+    keep their position in the grid but count towards nothing."""
+    key = list(key)
+    positions = counts.select(*key, "pos").distinct()
+    grid = with_alphabet(positions, alphabet)  # J6: positions x alphabet
+    counted = counts.where(F.col("aa").isin(list(alphabet))).select(*key, "pos", "aa", "n")
+    g = grid.join(counted, [*key, "pos", "aa"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    tot = F.sum("n").over(Window.partitionBy(*key, "pos"))
+    pc = F.lit(float(pseudocount))
+    return g.select(*key, "pos", "aa",
+                    F.log((F.col("n") + pc) / (tot + pc * F.lit(len(alphabet)))).alias("log_prob"))
+
+
 def site_profile(residues: DataFrame, alphabet: str = ALPHABET, pseudocount: float = 1.0,
                  key: list[str] | tuple = (), exclude: DataFrame | None = None) -> DataFrame:
     """Position-specific log-frequencies from aligned residues.
@@ -50,22 +85,15 @@ def site_profile(residues: DataFrame, alphabet: str = ALPHABET, pseudocount: flo
     log((n(pos,aa) + pc) / (n(pos) + |alphabet| * pc)). Letters outside the
     alphabet (gaps) count towards nothing. ``exclude``: residues (key..., pos, aa)
     to subtract from the counts (e.g. the query sequence itself).
+    One aggregation over the residues; positions come from its result.
     """
     key = list(key)
-    counted = residues.where(F.col("aa").isin(list(alphabet)))
-    counts = counted.groupBy(*key, "pos", "aa").agg(F.count(F.lit(1)).alias("n"))
+    counts = residue_counts(residues, key)
     if exclude is not None:
-        ex = exclude.where(F.col("aa").isin(list(alphabet))).groupBy(*key, "pos", "aa").agg(
-            F.count(F.lit(1)).alias("n_ex"))
+        ex = residue_counts(exclude, key).withColumnRenamed("n", "n_ex")
         counts = (counts.join(ex, [*key, "pos", "aa"], "left")
                   .select(*key, "pos", "aa", (F.col("n") - F.coalesce("n_ex", F.lit(0))).alias("n")))
-    positions = residues.select(*key, "pos").distinct()
-    grid = with_alphabet(positions, alphabet)  # J6: positions x alphabet
-    g = grid.join(counts, [*key, "pos", "aa"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    tot = F.sum("n").over(Window.partitionBy(*key, "pos"))
-    pc = F.lit(float(pseudocount))
-    return g.select(*key, "pos", "aa",
-                    F.log((F.col("n") + pc) / (tot + pc * F.lit(len(alphabet)))).alias("log_prob"))
+    return site_profile_from_counts(counts, alphabet, pseudocount, key)
 
 
 def neighbour_sites(df: DataFrame, key: str = "seq_id", seq: str = "sequence") -> DataFrame:
@@ -93,8 +121,10 @@ def context_model_fit(df: DataFrame, key: str = "seq_id", seq: str = "sequence",
     """
     spark = df.sparkSession
     sites = neighbour_sites(df, key, seq).where(F.col("aa").isin(list(alphabet)))
-    tri = sites.groupBy("prev_aa", "next_aa", "aa").agg(F.count(F.lit(1)).alias("n"))
-    bg = sites.groupBy("aa").agg(F.count(F.lit(1)).alias("n_aa"))
+    # the fit: one pass over the sites into a (21 x 21 x 20)-bounded count
+    # table, checkpointed to the shared folder so both uses below read it
+    tri = cut_lineage(sites.groupBy("prev_aa", "next_aa", "aa").agg(F.count(F.lit(1)).alias("n")))
+    bg = tri.groupBy("aa").agg(F.sum("n").alias("n_aa"))  # from the small table: one pass over sites
     letters = alphabet_table(spark, alphabet).drop("aa_index")
     # fixed (A+1)^2 * A grid of contexts x letters, generated without joins
     grid = with_alphabet(with_alphabet(with_alphabet(spark.range(1).drop("id"), BOS + alphabet, "prev_aa"),

@@ -30,8 +30,14 @@ def single_mutations(wt: DataFrame, key: list[str] | tuple = (), seq: str = "wt_
                      alphabet: str = ALPHABET, offset: int = 1) -> DataFrame:
     """Every position x every letter (wt->wt included), code numbered
     from ``offset``. Columns: key..., mutant, wt, pos, mt."""
+    return mutations_of_residues(wt_residues(wt, key, seq), key, alphabet, offset)
+
+
+def mutations_of_residues(wt_res: DataFrame, key: list[str] | tuple = (), alphabet: str = ALPHABET,
+                          offset: int = 1) -> DataFrame:
+    """Z1 from a (key..., pos, wt) residue table of the wild type."""
     key = list(key)
-    grid = with_alphabet(wt_residues(wt, key, seq), alphabet, "mt")  # J6
+    grid = with_alphabet(wt_res, alphabet, "mt")  # J6
     number = F.col("pos") + F.lit(offset - 1)
     return grid.select(*key, format_mutation("wt", number, "mt").alias("mutant"), "wt", "pos", "mt")
 
@@ -53,15 +59,17 @@ def parse_mutations(muts: DataFrame, col: str = "mutant", offset: int = 1) -> Da
     return muts.withColumn("_m", p).select("*", "_m.wt", "_m.pos", "_m.mt").drop("_m")
 
 
-def check_wild_type(muts: DataFrame, wt: DataFrame, key: list[str] | tuple = (),
-                    seq: str = "wt_sequence", on_mismatch: str = "flag") -> DataFrame:
+def check_wild_type(muts: DataFrame, wt: DataFrame | None, key: list[str] | tuple = (),
+                    seq: str = "wt_sequence", on_mismatch: str = "flag",
+                    wt_res: DataFrame | None = None) -> DataFrame:
     """Does the stated wt residue equal the wild type at pos?
 
     ``flag`` adds ``wt_ok``; ``drop`` keeps matching rows; ``error`` raises
-    when any row mismatches (one count, no rows fetched).
+    when any row mismatches (one count, no rows fetched). The wild type is a
+    sequence table ``wt`` or its residue table ``wt_res`` (key..., pos, wt).
     """
     key = list(key)
-    ref = wt_residues(wt, key, seq).withColumnRenamed("wt", "_wt_ref")
+    ref = (wt_res if wt_res is not None else wt_residues(wt, key, seq)).withColumnRenamed("wt", "_wt_ref")
     ok = F.coalesce(F.col("_wt_ref") == F.col("wt"), F.lit(False))
     x = muts.join(ref, [*key, "pos"], "left").withColumn("wt_ok", ok).drop("_wt_ref")
     if on_mismatch == "flag":
@@ -169,15 +177,15 @@ def top_k(df: DataFrame, k: int, by: str, tie: list[str]) -> DataFrame:
     return df.orderBy(F.col(by).desc(), *[F.col(t) for t in tie]).limit(k)
 
 
-def heatmap_grid(scores: DataFrame, wt: DataFrame, start: int | None = None, end: int | None = None,
+def heatmap_grid(scores: DataFrame, wt: DataFrame | None, start: int | None = None, end: int | None = None,
                  offset: int = 1, alphabet: str = ALPHABET, score: str = "score",
-                 order: str | None = None, seq: str = "wt_sequence") -> DataFrame:
+                 order: str | None = None, seq: str = "wt_sequence", wt_res: DataFrame | None = None) -> DataFrame:
     """Alphabet x [start, end] (inclusive, in code numbering) grid of
     scores for codes wt+number+aa; NaN where no score exists (J7).
     Duplicated codes keep the first row by ``order`` (min_by), else the min.
     Columns: aa, number, mutant, score."""
-    spark = scores.sparkSession
-    codes = single_mutations(wt, seq=seq, alphabet=alphabet, offset=offset)
+    res = wt_res if wt_res is not None else wt_residues(wt, (), seq)
+    codes = mutations_of_residues(res, (), alphabet, offset)
     number = F.col("pos") + F.lit(offset - 1)
     if start is not None:
         codes = codes.where(number >= start)  # P15

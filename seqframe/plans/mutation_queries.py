@@ -10,18 +10,12 @@ from seqframe.operators import mutants as mz
 from seqframe.operators import split as sp
 from seqframe.plans import sqlparts as q
 from seqframe.plans.registry import query
+from seqframe.session import cut_lineage
 from seqframe.sources import tables as t
 
 R = 6  # decimals kept in float outputs compared with the oracle
 
 
-def _profile_and_wt(spark, sf):
-    s = t.seqs(spark, sf)
-    wt = t.wild_type(s)
-    prof = ctx.site_profile(t.residues_of(s))
-    return s, wt, prof
-
-
 FLAGSHIP_SQL = q.with_ctes(q.RESIDUES, q.ALPHA, q.profile(), q.WT, q.SINGLE_MUTATIONS, body=""", scored AS (
   SELECT m.mutant, m.pos, pm.log_prob - pw.log_prob AS score
   FROM muts m JOIN profile pm ON pm.pos = m.pos AND pm.aa = m.mt
@@ -30,12 +24,20 @@ SELECT mutant, CAST(pos AS INTEGER) AS pos, round(score, 6) AS score
 FROM scored ORDER BY round(score, 9) DESC, mutant LIMIT 10""")
 
 
+def _profile_and_reference(spark, sf):
+    """Profile and wild-type residues from ONE aggregation over the family's
+    residues (the documents are scanned once; the small count table feeds
+    both, its exchange is reused)."""
+    counts = cut_lineage(ctx.residue_counts(t.residues(spark, sf), id_col="seq_id"))  # <= L x 20 rows
+    return ctx.site_profile_from_counts(counts), ctx.reference_from_counts(counts), counts
+
+
 @query("mutant_scan_top10", ("A23", "A17", "J6", "Z1", "Z3", "Z9", "J5", "T2"), FLAGSHIP_SQL)
 def mutant_scan_top10(spark, sf):
     """Score every single-residue mutant of the wild type against the
     family's site profile and keep the ten best."""
-    s, wt, prof = _profile_and_wt(spark, sf)
-    muts = mz.single_mutations(wt)
+    prof, wt_res, _ = _profile_and_reference(spark, sf)
+    muts = mz.mutations_of_residues(wt_res)
     scored = mz.score_mutations(muts, prof, bound_rows=10_000)
     top = scored.orderBy(F.round("score", 9).desc(), "mutant").limit(10)
     return top.select("mutant", "pos", F.round("score", R).alias("score"))
@@ -195,26 +197,26 @@ FROM parsed p LEFT JOIN wt_res w ON w.pos = p.pos
   JOIN profile a ON a.pos = p.pos AND a.aa = p.mt JOIN profile b ON b.pos = p.pos AND b.aa = p.wt""")
 
 
-def _homolog_mutation_list(spark, sf, s, wt):
-    """Codes of every residue where a homolog differs from the wild type
-    (forward: wt->homolog) plus the reversed codes (stated wt is wrong)."""
-    w = mz.wt_residues(wt)
-    others = t.residues_of(s.join(F.broadcast(wt.select(F.col("wt_id").alias("seq_id"))), "seq_id", "left_anti"))
-    d = others.join(F.broadcast(w), "pos").where(F.col("aa") != F.col("wt"))
+def _homolog_mutation_list(counts, wt_res):
+    """Codes of every (pos, letter) where some homolog differs from the wild
+    type (forward: wt->homolog) plus the reversed codes (stated wt is wrong).
+    Read off the residue count table: a letter other than the wild-type one
+    seen at a position can only come from a homolog."""
+    d = counts.join(F.broadcast(wt_res), "pos").where(F.col("aa") != F.col("wt"))
     number = F.col("pos") + F.lit(OFFSET - 1)
     fwd = d.select(F.concat("wt", number.cast("string"), "aa").alias("mutant"))
     rev = d.select(F.concat("aa", number.cast("string"), "wt").alias("mutant"))
-    return fwd.union(rev).distinct(), fwd.distinct()
+    return fwd.union(rev).distinct(), fwd
 
 
 @query("score_mutation_list", ("Z8", "X8", "P13", "J5"), MUTLIST_SQL)
 def score_mutation_list(spark, sf):
     """Score a mutation list numbered from offset 24 (parse, check the stated
     wild-type residue, score against the site profile)."""
-    s, wt, prof = _profile_and_wt(spark, sf)
-    lst, _ = _homolog_mutation_list(spark, sf, s, wt)
+    prof, wt_res, counts = _profile_and_reference(spark, sf)
+    lst, _ = _homolog_mutation_list(counts, wt_res)
     parsed = mz.parse_mutations(lst, "mutant", offset=OFFSET)
-    checked = mz.check_wild_type(parsed, wt, on_mismatch="flag")
+    checked = mz.check_wild_type(parsed, None, on_mismatch="flag", wt_res=wt_res)
     scored = mz.score_mutations(checked, prof, bound_rows=10_000)
     return scored.select("mutant", F.col("pos").cast("bigint"), "wt_ok", F.round("score", R).alias("score"))
 
@@ -238,10 +240,10 @@ FROM grid g LEFT JOIN sc s USING (mutant)""")
 def heatmap_grid_q(spark, sf):
     """20 x window grid of the homolog mutation scores, NaN where a code was
     not in the list (window 28..43 inclusive, codes numbered from 24)."""
-    s, wt, prof = _profile_and_wt(spark, sf)
-    _, fwd = _homolog_mutation_list(spark, sf, s, wt)
+    prof, wt_res, counts = _profile_and_reference(spark, sf)
+    _, fwd = _homolog_mutation_list(counts, wt_res)
     scored = mz.score_mutations(mz.parse_mutations(fwd, offset=OFFSET), prof, bound_rows=10_000)
-    g = mz.heatmap_grid(scored, wt, HEAT_START, HEAT_END, offset=OFFSET)
+    g = mz.heatmap_grid(scored, None, HEAT_START, HEAT_END, offset=OFFSET, wt_res=wt_res)
     return g.select("aa", F.col("number").cast("bigint"), "mutant",
                     F.when(F.isnan("score"), F.col("score")).otherwise(F.round("score", R)).alias("score"))
 
