@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.functions.numeric import argmax_index, bce_with_logits, cross_entropy
-from seqframe.operators.ranking import average_rank
+from seqframe.operators.ranking import distinct_value_ranks
+from seqframe.session import cut_lineage
 
 
 def _nan():
@@ -39,11 +40,34 @@ def pearson(df: DataFrame, y: str, p: str, by=None, out: str = "pearson") -> Dat
 
 
 def spearman(df: DataFrame, y: str, p: str, by=None, out: str = "spearman") -> DataFrame:
-    """Pearson of average ranks (ties share ranks); NaN on constant input."""
+    """Pearson correlation of average ranks (ties share ranks); NaN on
+    constant input.
+
+    Plan: one pass collapses the input to distinct (y, p) pairs with counts
+    and checkpoints them to the shared folder (predictions are often costly
+    to recompute); ranks of the distinct y and p values come from that small
+    table; the correlation is a count-weighted aggregate. Average ranks have
+    mean (n + 1) / 2, which centres the moments without another pass.
+    """
     by = list(by or [])
-    r = average_rank(df.select(*by, y, p), y, by, out="_ry")
-    r = average_rank(r, p, by, out="_rp")
-    return _agg(r, by, pearson_expr("_ry", "_rp").alias(out))
+    ok = (F.col(y).isNotNull() & F.col(p).isNotNull() & ~F.isnan(F.col(y).cast("double"))
+          & ~F.isnan(F.col(p).cast("double")))
+    pairs = cut_lineage(df.where(ok).groupBy(*by, y, p).agg(F.count(F.lit(1)).alias("_c")))
+    ry = distinct_value_ranks(pairs.groupBy(*by, y).agg(F.sum("_c").alias("_c")), y, by, "_c", "_ry")
+    rp = distinct_value_ranks(pairs.groupBy(*by, p).agg(F.sum("_c").alias("_c")), p, by, "_c", "_rp")
+    j = pairs.join(ry, [*by, y]).join(rp, [*by, p])
+    c = F.col("_c").cast("double")
+    n = F.sum(c)
+    m = (n + F.lit(1.0)) / F.lit(2.0)
+    cov = F.sum(c * F.col("_ry") * F.col("_rp")) / n - m * m
+    vy = F.sum(c * F.col("_ry") * F.col("_ry")) / n - m * m
+    vp = F.sum(c * F.col("_rp") * F.col("_rp")) / n - m * m
+    tiny = F.lit(1e-12) * m * m
+    rho = F.when((vy <= tiny) | (vp <= tiny), _nan()).otherwise(F.try_divide(cov, F.sqrt(vy * vp)))
+    res = _agg(j, by, rho.alias(out))
+    if not by:
+        return res.select(F.coalesce(out, _nan()).alias(out))  # empty input -> NaN
+    return res
 
 
 def rmse(df: DataFrame, y: str, p: str, by=None, out: str = "rmse") -> DataFrame:

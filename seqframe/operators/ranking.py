@@ -80,24 +80,33 @@ def row_number_by(df: DataFrame, order: list[str], by: list[str] | tuple = (), o
     return res.drop("_bkt", "_rn_in", "_off")
 
 
+def distinct_value_ranks(counts: DataFrame, col: str, by: list[str] | tuple = (), count_col: str = "_c",
+                         out: str = "rank", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Average ranks of the distinct values of ``col`` given their row
+    counts: (by..., col, out). A value held by c rows at offset o (rows with
+    smaller values) has rank o + (c + 1) / 2."""
+    by = list(by)
+    d = _quantile_bucket(counts, col, "_bkt", buckets)
+    w = Window.partitionBy(*by, "_bkt").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_cum", F.sum(count_col).over(w))
+    tot = d.groupBy(*by, "_bkt").agg(F.sum(count_col).alias("_bc"))
+    offs = _bucket_offsets(tot, by, "_bkt", "_bc").drop("_bc")
+    if not by:
+        offs = F.broadcast(offs)  # at most `buckets` rows
+    return (d.join(offs, [*by, "_bkt"])
+            .withColumn(out, (F.col("_off") + F.col("_cum") - F.col(count_col)).cast("double")
+                        + (F.col(count_col).cast("double") + F.lit(1.0)) / F.lit(2.0))
+            .select(*by, col, out))
+
+
 def average_rank(df: DataFrame, col: str, by: list[str] | tuple = (), out: str = "rank",
                  buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """1-based average rank of ``col`` within ``by`` (ties share the mean).
 
-    Nulls and NaN get a null rank and do not count.
+    Nulls and NaN get a null rank and do not count. Ranks are computed on the
+    distinct values after a partial aggregation, then joined back.
     """
     by = list(by)
     valid = F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))
-    d = (df.where(valid).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c")))
-    d = _quantile_bucket(d, col, "_bkt", buckets)
-    w = Window.partitionBy(*by, "_bkt").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_cum", F.sum("_c").over(w))
-    tot = d.groupBy(*by, "_bkt").agg(F.sum("_c").alias("_bc"))
-    offs = _bucket_offsets(tot, by, "_bkt", "_bc").drop("_bc")
-    if not by:
-        offs = F.broadcast(offs)
-    d = (d.join(offs, [*by, "_bkt"])
-         .withColumn(out, (F.col("_off") + F.col("_cum") - F.col("_c")).cast("double")
-                     + (F.col("_c").cast("double") + F.lit(1.0)) / F.lit(2.0))
-         .select(*by, col, out))
-    return df.join(d, [*by, col], "left")
+    d = df.where(valid).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c"))
+    return df.join(distinct_value_ranks(d, col, by, "_c", out, buckets), [*by, col], "left")
