@@ -8,6 +8,7 @@ from seqframe.functions import sequences as sq
 from seqframe.functions import tokens as tk
 from seqframe.functions.hashing import stable_hash_sql
 from seqframe.operators import context as ctx
+from seqframe.operators import relational as rel
 from seqframe.plans import sqlparts as q
 from seqframe.plans.registry import query
 from seqframe.sources import tables as t
@@ -143,3 +144,16 @@ FROM s""")
 def masked_copies(spark, sf):
     m = ctx.mask_each_position(t.seqs(spark, sf))
     return m.select(F.col("seq_id").cast("bigint"), F.col("pos").cast("bigint"), "aa", "masked")
+
+
+@query("keyless_row_ids", ("P9",),
+       "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_ids, "
+       "CAST(0 AS BIGINT) AS n_dup_ids FROM conversations")
+def keyless_row_ids(spark, sf):
+    """Ids for a table read without its key (the text column only).
+    Uniqueness is checked by a shuffle on the id, not on the driver."""
+    x = rel.with_row_id(t.table(spark, sf, "conversations").select("text"))
+    per_id = x.groupBy("row_id").agg(F.count(F.lit(1)).alias("c"))
+    return per_id.agg(F.sum("c").cast("bigint").alias("n_rows"),
+                      F.count(F.lit(1)).cast("bigint").alias("n_ids"),
+                      F.coalesce(F.sum(F.when(F.col("c") > 1, F.lit(1))), F.lit(0)).cast("bigint").alias("n_dup_ids"))
