@@ -28,15 +28,16 @@ def _c(c) -> Column:
 def clean_residues(text, alphabet: str = ALPHABET) -> Column:
     """Keep ASCII letters whose upper case is in ``alphabet``, upper-cased.
 
-    One regex pass over the whole text (no per-character Python).
+    One regex pass over the whole text (no per-character Python); runs of
+    dropped characters are removed as one match.
     """
     allowed = alphabet + alphabet.lower()
-    return F.upper(F.regexp_replace(_c(text), f"[^{allowed}]", ""))
+    return F.upper(F.regexp_replace(_c(text), f"[^{allowed}]+", ""))
 
 
 def ascii_letters_upper(text) -> Column:
     """Strip everything but ASCII letters, then upper-case (X4 input form)."""
-    return F.upper(F.regexp_replace(_c(text), "[^A-Za-z]", ""))
+    return F.upper(F.regexp_replace(_c(text), "[^A-Za-z]+", ""))
 
 
 def to_residues(seq) -> Column:

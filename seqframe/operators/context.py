@@ -146,27 +146,53 @@ def background_model(model: DataFrame) -> DataFrame:
     return model.where((F.col("prev_aa") == BOS) & (F.col("next_aa") == EOS)).select("aa", "log_prob")
 
 
+def _mask_rule(key: str, pos, aa, p: float, seed: int, alphabet: str, mask_token: str):
+    """(chosen, input) of the residue ``aa`` at ``pos``: chosen when u1 < p;
+    a chosen residue becomes the mask token when u2 < 0.8, a random residue
+    when u2 < 0.9, else stays. u1, u2 and the random letter are stable hashes
+    of (seed, key, pos), so any site's masked letter is computable in place."""
+    u1 = stable_uniform(f"{seed}:pick", key, pos)
+    u2 = stable_uniform(f"{seed}:kind", key, pos)
+    rnd = F.substring(F.lit(alphabet), (stable_hash(f"{seed}:rand", key, pos) % len(alphabet) + 1).cast("int"), F.lit(1))
+    chosen = u1 < F.lit(p)
+    inp = (F.when(~chosen, aa)
+           .when(u2 < F.lit(0.8), F.lit(mask_token))
+           .when(u2 < F.lit(0.9), rnd)
+           .otherwise(aa))
+    return chosen, inp
+
+
 def mlm_mask(df: DataFrame, key: str = "seq_id", seq: str = "sequence", p: float = 0.15,
              seed: int = 42, alphabet: str = ALPHABET, mask_token: str = MASK) -> DataFrame:
     """K3: per residue (key, pos, aa, input, label).
 
-    A residue is chosen when u1 < p; a chosen residue becomes the mask token
-    when u2 < 0.8, a random residue when u2 < 0.9, else stays. ``label`` is
-    the true residue on chosen sites and null elsewhere (the -100 rule).
-    u1, u2 and the random letter are stable hashes of (seed, key, pos).
+    ``label`` is the true residue on chosen sites and null elsewhere (the
+    -100 rule); see ``_mask_rule`` for the choice and the replacement.
     """
     x = df.select(key, F.posexplode(F.split(seq, "")).alias("p", "aa")).withColumn("pos", (F.col("p") + 1).cast("int"))
-    u1 = stable_uniform(f"{seed}:pick", key, "pos")
-    u2 = stable_uniform(f"{seed}:kind", key, "pos")
-    rnd = F.substring(F.lit(alphabet), (stable_hash(f"{seed}:rand", key, "pos") % len(alphabet) + 1).cast("int"), F.lit(1))
-    chosen = u1 < F.lit(p)
-    inp = (F.when(~chosen, F.col("aa"))
-           .when(u2 < F.lit(0.8), F.lit(mask_token))
-           .when(u2 < F.lit(0.9), rnd)
-           .otherwise(F.col("aa")))
+    chosen, inp = _mask_rule(key, "pos", F.col("aa"), p, seed, alphabet, mask_token)
     return x.select(key, "pos", "aa", inp.alias("input"), F.when(chosen, F.col("aa")).alias("label"))
 
 
+def masked_sites_of(df: DataFrame, key: str = "seq_id", seq: str = "sequence", p: float = 0.15,
+                    seed: int = 42, alphabet: str = ALPHABET, mask_token: str = MASK) -> DataFrame:
+    """K3 + neighbour context, narrow: the chosen sites of ``mlm_mask`` with
+    the masked letters left and right of them, (key, pos, aa, input, label,
+    prev_aa, next_aa). The neighbours' masked letters are recomputed from the
+    sequence string and the position hash, so no window and no shuffle."""
+    s = F.col(seq)
+    x = (df.select(key, seq, F.posexplode(F.split(s, "")).alias("p", "aa"))
+         .withColumn("pos", (F.col("p") + 1).cast("int")))
+    chosen, inp = _mask_rule(key, "pos", F.col("aa"), p, seed, alphabet, mask_token)
+    x = x.where(chosen).withColumn("input", inp).withColumn("label", F.col("aa"))
+    x = x.withColumn("_lp", F.col("pos") - 1).withColumn("_rp", F.col("pos") + 1)
+    _, left = _mask_rule(key, "_lp", F.substring(s, F.col("_lp"), F.lit(1)), p, seed, alphabet, mask_token)
+    _, right = _mask_rule(key, "_rp", F.substring(s, F.col("_rp"), F.lit(1)), p, seed, alphabet, mask_token)
+    return x.select(key, "pos", "aa", "input", "label",
+                    F.when(F.col("pos") == 1, F.lit(BOS)).otherwise(left).alias("prev_aa"),
+                    F.when(F.col("pos") == F.length(s), F.lit(EOS)).otherwise(right).alias("next_aa"))
+
+
 def mask_each_position(df: DataFrame, key: str = "seq_id", seq: str = "sequence",
                        mask_token: str = MASK) -> DataFrame:
     """K4: one copy of each sequence per position with that residue masked."""
@@ -209,7 +235,7 @@ def context_model_eval(test: DataFrame, model: DataFrame, key: str = "seq_id", s
                        p: float = 0.15, seed: int = 42) -> DataFrame:
     """K6: masked-residue accuracy (A11) and perplexity (A15) of the context
     model and of its background (no-context) form on held-out sequences."""
-    sites = masked_sites(mlm_mask(test, key, seq, p, seed), key)
+    sites = masked_sites_of(test, key, seq, p, seed)
     ctx = predict_sites(sites, model)
     bgm = model.where((F.col("prev_aa") == BOS) & (F.col("next_aa") == EOS))
     bg_as_model = (model.select("prev_aa", "next_aa").distinct()

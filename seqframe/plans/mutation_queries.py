@@ -283,7 +283,9 @@ SELECT 'background', count(*), round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.
 def context_model_eval(spark, sf):
     """Fit the neighbour-context model on the train split; masked-residue
     accuracy and perplexity on the test split, against its no-context form."""
-    s = sp.train_valid_test(t.seqs(spark, sf), "seq_id")
+    # the split table feeds both the fit and the evaluation: one pass over
+    # the documents, written to the shared checkpoint folder
+    s = cut_lineage(sp.train_valid_test(t.seqs(spark, sf), "seq_id"))
     model = ctx.context_model_fit(sp.filter_split(s, "train"))
     ev = ctx.context_model_eval(sp.filter_split(s, "test"), model)
     return ev.select("model", "n_sites", F.round("accuracy", R).alias("accuracy"),
