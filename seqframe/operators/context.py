@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from seqframe.functions.hashing import stable_hash, stable_uniform
 from seqframe.functions.sequences import ALPHABET
+from seqframe.operators.relational import attach_row
 from seqframe.session import cut_lineage, literal_table
 
 BOS, EOS, MASK = "^", "$", "#"
@@ -226,7 +227,7 @@ def predict_sites(sites: DataFrame, model: DataFrame) -> DataFrame:
     return (sites.join(F.broadcast(lp), ["prev_aa", "next_aa", "label"], "left")
             .join(F.broadcast(best), ["prev_aa", "next_aa"], "left")
             .join(F.broadcast(bgl), "label", "left")
-            .crossJoin(F.broadcast(bg_best))
+            .transform(lambda d: attach_row(d, bg_best))
             .select("*", F.coalesce("log_prob", "bg_lp").alias("lp_true"),
                     F.coalesce("pred", "bg_pred").alias("predicted")))
 
@@ -238,8 +239,11 @@ def context_model_eval(test: DataFrame, model: DataFrame, key: str = "seq_id", s
     sites = masked_sites_of(test, key, seq, p, seed)
     ctx = predict_sites(sites, model)
     bgm = model.where((F.col("prev_aa") == BOS) & (F.col("next_aa") == EOS))
-    bg_as_model = (model.select("prev_aa", "next_aa").distinct()
-                   .crossJoin(F.broadcast(bgm.select("aa", "log_prob"))))  # 441 contexts x 20
+    # every context (a fixed 21 x 21 grid) with the background row's letters:
+    # the alphabet-sized background row is one array attached and exploded
+    bg_row = bgm.agg(F.collect_list(F.struct("aa", "log_prob")).alias("_bg"))
+    bg_as_model = (attach_row(model.select("prev_aa", "next_aa").distinct(), bg_row)
+                   .select("prev_aa", "next_aa", F.inline("_bg")))
     base = predict_sites(sites, bg_as_model)
 
     def summary(d: DataFrame, name: str) -> DataFrame:

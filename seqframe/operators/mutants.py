@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from seqframe.functions.sequences import ALPHABET, apply_mutation, format_mutation, parse_mutation
 from seqframe.operators.context import neighbour_sites, with_alphabet
+from seqframe.operators.relational import attach_row
 from seqframe.session import bounded_broadcast
 
 STRATEGIES = ("wt-marginals", "masked-marginals", "pseudo-ppl", "msa")
@@ -48,7 +49,7 @@ def single_residue_mutants(wt: DataFrame, key: list[str] | tuple = (), seq: str
     key = list(key)
     m = single_mutations(wt, key, seq, alphabet).where(F.col("wt") != F.col("mt"))
     # one wild-type row per protein: joined on the key, or broadcast when single
-    m = m.join(wt.select(*key, seq), key) if key else m.crossJoin(F.broadcast(wt.select(seq)))
+    m = m.join(wt.select(*key, seq), key) if key else attach_row(m, wt.select(seq))
     return m.select(*key, "mutant", "pos", "mt",
                     apply_mutation(seq, "pos", "mt").alias("mutant_sequence"))
 
@@ -141,7 +142,7 @@ def pseudo_ppl(muts: DataFrame, wt: DataFrame, model: DataFrame, out: str = "sco
                     F.col("log_prob").alias("lp_mt"))
     d = d.join(F.broadcast(lpm), ["nl", "nc", "nr"])
     delta = d.groupBy(*muts.columns).agg(F.sum(F.col("lp_mt") - F.col("lp_wt")).alias("_delta"))
-    return delta.crossJoin(F.broadcast(total)).select(
+    return attach_row(delta, total).select(
         *muts.columns, (F.col("wt_total") + F.col("_delta")).alias(out))
 
 
@@ -200,7 +201,12 @@ def heatmap_grid(scores: DataFrame, wt: DataFrame | None, start: int | None = No
                     F.coalesce(F.col("_s").cast("double"), F.lit(float("nan"))).alias(score))
 
 
-def heatmap_wide(grid: DataFrame, score: str = "score") -> DataFrame:
-    """Z10 wide form: one row per residue, one column per position."""
-    return grid.groupBy("aa").pivot("number").agg(F.first(score))
+def heatmap_wide(grid: DataFrame, score: str = "score", numbers: list[int] | None = None) -> DataFrame:
+    """Z10 wide form: one row per residue, one column per position.
+
+    Pass ``numbers`` (the window, e.g. ``range(start, end + 1)``) when known:
+    the pivot then needs no extra job to find the distinct positions."""
+    g = grid.groupBy("aa")
+    p = g.pivot("number", list(numbers)) if numbers is not None else g.pivot("number")
+    return p.agg(F.first(score))
 

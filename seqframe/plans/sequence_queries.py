@@ -104,7 +104,7 @@ def tokenize_pad(spark, sf):
     c = t.table(spark, sf, "conversations").select("conv_id", "turn", sq.ascii_letters_upper("text").alias("s"))
     k = c.where(F.length("s") > 0).withColumn("ids", tk.tokenize("s"))
     width = k.agg(F.max(F.size("ids")).alias("width"))
-    k = k.crossJoin(F.broadcast(width))  # one row
+    k = rel.attach_row(k, width)  # one row
     padded = tk.pad("ids", F.col("width"))
     return k.select(
         F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"),

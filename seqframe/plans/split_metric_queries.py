@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqframe.functions.hashing import stable_hash_sql
+from seqframe.functions import numeric as nu
 from seqframe.functions.numeric import sigmoid_score
 from seqframe.functions.sequences import squeeze, unwrap_label
 from seqframe.ml.scaler import PopulationScaler
 from seqframe.operators import metrics as mt
+from seqframe.operators import relational as rel
 from seqframe.operators import split as sp
 from seqframe.operators.ranking import average_rank, row_number_by
 from seqframe.plans import sqlparts as q
@@ -130,7 +132,7 @@ def rank_correlation_table(spark, sf):
                                              (F.col("o_custkey") % 97).cast("double").alias("p"))
     s = mt.spearman(o, "y", "p")
     n = o.agg(F.count(F.lit(1)).alias("n"))
-    return s.crossJoin(F.broadcast(n)).select(F.round("spearman", R).alias("spearman"), "n")
+    return rel.attach_row(s, n).select(F.round("spearman", R).alias("spearman"), "n")
 
 
 REG_SQL = """
@@ -192,12 +194,12 @@ def classification_metrics(spark, sf):
     e = e.withColumn("y", F.transform(F.sequence(F.lit(0), F.lit(9)),
                                       lambda i: F.when(i == F.col("label"), F.lit(1.0)).otherwise(F.lit(0.0))))
     e = mt.argmax_class(e, "z", "pred")
-    acc = mt.accuracy(e, "label", "pred")
-    ce = mt.mean_cross_entropy(e, "z", "label")
-    bce = mt.mean_bce(e, "z", "y")
-    n = e.agg(F.count(F.lit(1)).alias("n"))
-    # four one-row aggregates side by side
-    return acc.crossJoin(F.broadcast(ce)).crossJoin(F.broadcast(bce)).crossJoin(F.broadcast(n)).select(
+    # the four metrics as one aggregation over one scan
+    m = e.agg(F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"),
+              F.avg(nu.cross_entropy("z", "label")).alias("cross_entropy"),
+              F.avg(nu.bce_with_logits("z", "y")).alias("bce"),
+              F.count(F.lit(1)).alias("n"))
+    return m.select(
         F.round("accuracy", R).alias("accuracy"), F.round("cross_entropy", R).alias("cross_entropy"),
         F.round("bce", R).alias("bce"), "n")
 

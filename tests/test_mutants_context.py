@@ -110,6 +110,30 @@ def test_heatmap_grid_nan_and_window(spark):
     assert math.isnan(rows[("D", 2)])
 
 
+def test_heatmap_wide_given_window(spark):
+    wt = wt_table(spark, "MKTW")
+    scores = spark.createDataFrame([("K2A", 1.5), ("T3C", -1.0)], "mutant string, score double")
+    w = mz.heatmap_wide(mz.heatmap_grid(scores, wt, start=2, end=3), numbers=range(2, 4))
+    assert w.columns == ["aa", "2", "3"] and w.count() == 20
+    r = {x["aa"]: x for x in w.collect()}
+    assert r["A"]["2"] == 1.5 and r["C"]["3"] == -1.0 and math.isnan(r["D"]["2"])
+
+
+def test_masked_sites_match_window_form(spark):
+    fam = spark.createDataFrame([(i, rand_seq(50, i)) for i in range(30)], "seq_id long, sequence string")
+    narrow = ctx.masked_sites_of(fam).select("seq_id", "pos", "input", "label", "prev_aa", "next_aa")
+    windowed = ctx.masked_sites(ctx.mlm_mask(fam)).select("seq_id", "pos", "input", "label", "prev_aa", "next_aa")
+    a, b = sorted(map(tuple, narrow.collect())), sorted(map(tuple, windowed.collect()))
+    assert len(a) > 100 and a == b
+
+
+def test_attach_row(spark):
+    from seqframe.operators.relational import attach_row
+    df = spark.range(5).withColumnRenamed("id", "x")
+    one = df.agg(F.max("x").alias("mx"))
+    assert sorted((r["x"], r["mx"]) for r in attach_row(df, one).collect()) == [(i, 4) for i in range(5)]
+
+
 def test_mlm_mask_rule(spark):
     fam = spark.createDataFrame([(i, rand_seq(200, i)) for i in range(20)], "seq_id long, sequence string")
     m = ctx.mlm_mask(fam)
