@@ -313,6 +313,30 @@ def predict_rank(sc, model, df: DataFrame, prediction: str = "prediction") -> Da
     return predict_scaled(sc, model, df).orderBy(F.col(prediction).desc())
 
 
+WORKFLOW_MODES = ("select", "construct", "predict", "all")
+
+
+def workflow(make: Make, candidates: list[dict], df: DataFrame, key: str, pred_df: DataFrame | None = None,
+             mode: str = "all", k: int = 5, metric: str = "spearman", seed: int = 42,
+             features: str = "features", label: str = "label") -> dict:
+    """Select (nested CV of default vs grid), construct (grid search on
+    all rows, refit the best) and predict (rank ``pred_df`` with the refitted
+    scaler and model). Every fit and score runs as Spark jobs; the result
+    holds Python numbers and DataFrames, nothing row-sized."""
+    if mode not in WORKFLOW_MODES:
+        raise ValueError(f"unknown workflow mode {mode!r}; expected one of {WORKFLOW_MODES}")
+    res: dict = {}
+    if mode in ("select", "all"):
+        res["default_cv"] = cross_validate(make, {}, df, key, k, metric, seed, features, label)
+        res["nested_cv"] = nested_cv(make, candidates, df, key, k, metric, seed, features=features, label=label)
+    if mode in ("construct", "predict", "all"):
+        trials, best, fitted = grid_search(make, candidates, df, key, k, metric, seed, features=features, label=label)
+        res.update(trials=trials, best_params=best, fitted=fitted)
+        if mode in ("predict", "all") and pred_df is not None:
+            res["ranked"] = predict_rank(*fitted, pred_df)
+    return res
+
+
 # --- fast path: Lasso from per-fold sufficient statistics --------------------
 
 def fold_statistics(df: DataFrame, group_cols: list[str], features: str = "features", label: str = "label") -> dict:

@@ -173,6 +173,25 @@ def zero_shot(muts: DataFrame, wt: DataFrame, strategy: str, *, profile: DataFra
     raise ValueError(f"unknown scoring strategy {strategy!r}; expected one of {STRATEGIES}")
 
 
+def wt_marginals(muts: DataFrame, log_probs: DataFrame, out: str = "score") -> DataFrame:
+    """Z3: log p(mt) - log p(wt) under unmasked per-position log-probabilities
+    (a site profile, or any model's (pos, aa, log_prob) table)."""
+    return score_mutations(muts, log_probs, out=out)
+
+
+def masked_marginals(muts: DataFrame, wt: DataFrame, context_model: DataFrame, out: str = "score",
+                     seq: str = "wt_sequence") -> DataFrame:
+    """The same difference with each wild-type position masked in turn."""
+    return zero_shot(muts, wt, "masked-marginals", context_model=context_model, out=out, seq=seq)
+
+
+def msa_marginals(muts: DataFrame, aligned_residues: DataFrame, query_residues: DataFrame,
+                  out: str = "score", pseudocount: float = 1.0) -> DataFrame:
+    """Marginals from the alignment's site profile, the query sequence
+    left out of its own column counts (select the alignment depth first)."""
+    return score_mutations(muts, msa_log_probs(aligned_residues, query_residues, pseudocount=pseudocount), out=out)
+
+
 def top_k(df: DataFrame, k: int, by: str, tie: list[str]) -> DataFrame:
     """K best rows by ``by`` desc, unique tie-break (TakeOrderedAndProject)."""
     return df.orderBy(F.col(by).desc(), *[F.col(t) for t in tie]).limit(k)

@@ -120,11 +120,11 @@ def predict_rank_mutants(spark, sf):
     """Fit on the labelled family, predict every single-residue mutant of
     the wild type, ranked (the unseen prediction list)."""
     lab = _featurised(spark, sf)
-    _, best, (sc, model) = se.grid_search(se.MODELS["linr"], [{"alpha": 0.01}, {"alpha": 0.1}], lab, "seq_id")
     wt = t.wild_type(t.seqs(spark, sf))
     muts = ft.aa_features(mz.single_residue_mutants(wt), "mutant_sequence", ft.Z3_HELLBERG)
-    ranked = se.predict_rank(sc, model, muts)
-    return ranked.select("mutant", F.round("prediction", R).alias("prediction"), F.lit(json.dumps(best)).alias("params"))
+    w = se.workflow(se.MODELS["linr"], [{"alpha": 0.01}, {"alpha": 0.1}], lab, "seq_id", muts, mode="predict")
+    return w["ranked"].select("mutant", F.round("prediction", R).alias("prediction"),
+                              F.lit(json.dumps(w["best_params"])).alias("params"))
 
 
 @query("adaptive_search_trials", ("H3", "H4", "A19"))

@@ -96,3 +96,16 @@ def test_leaderboard_and_predict_rank(spark, data):
     sc, m = se.fit_scaled(se.MODELS["linr"], {"alpha": 0.01}, tr)
     ranked = [r["prediction"] for r in se.predict_rank(sc, m, te).collect()]
     assert ranked == sorted(ranked, reverse=True)
+
+
+def test_workflow_modes(spark, data):
+    cands = [{"alpha": 0.01}, {"alpha": 5.0}]
+    pred = data.limit(20)  # a small prediction list for the test
+    w = se.workflow(se.MODELS["linr"], cands, data, "id", pred, mode="predict", k=3)
+    assert w["best_params"] == {"alpha": 0.01}
+    ranked = [r["prediction"] for r in w["ranked"].collect()]
+    assert len(ranked) == 20 and ranked == sorted(ranked, reverse=True)
+    sel = se.workflow(se.MODELS["linr"], cands, data, "id", mode="select", k=3)
+    assert len(sel["default_cv"]) == 3 and len(sel["nested_cv"]) == 3
+    with pytest.raises(ValueError):
+        se.workflow(se.MODELS["linr"], cands, data, "id", mode="mp")

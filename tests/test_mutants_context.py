@@ -110,6 +110,23 @@ def test_heatmap_grid_nan_and_window(spark):
     assert math.isnan(rows[("D", 2)])
 
 
+def test_named_zero_shot_strategies(spark):
+    fam = family(spark)
+    res = residues_of(fam)
+    wt = fam.agg(F.min_by("sequence", "seq_id").alias("wt_sequence"))
+    muts = mz.single_mutations(wt)
+    prof = ctx.site_profile(res)
+    a = {r["mutant"]: r["score"] for r in mz.wt_marginals(muts, prof).collect()}
+    b = {r["mutant"]: r["score"] for r in mz.zero_shot(muts, wt, "wt-marginals", profile=prof).collect()}
+    assert a == b and len(a) == 20 * 12
+    model = ctx.context_model_fit(fam)
+    c = {r["mutant"]: r["score"] for r in mz.masked_marginals(muts, wt, model).collect()}
+    assert len(c) == 240 and all(abs(v) < 1e-12 for k, v in c.items() if k[0] == k[-1])
+    q = res.where(F.col("seq_id") == 0)
+    m = {r["mutant"]: r["score"] for r in mz.msa_marginals(muts, res, q).collect()}
+    assert len(m) == 240 and all(abs(v) < 1e-12 for k, v in m.items() if k[0] == k[-1])
+
+
 def test_heatmap_wide_given_window(spark):
     wt = wt_table(spark, "MKTW")
     scores = spark.createDataFrame([("K2A", 1.5), ("T3C", -1.0)], "mutant string, score double")
