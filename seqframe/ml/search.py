@@ -93,17 +93,66 @@ def _fold_table(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     return kfold(df, key, k, seed).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _held_out(make: Make, params: dict, f: DataFrame, k: int, features: str, label: str,
+              tag: int = 0) -> DataFrame:
+    """Fit on every training fold (eager Spark fits) and return the lazy
+    held-out predictions of all folds as one table (cand, fold, y, p)."""
+    parts = []
+    for i in range(k):
+        tr, te = f.where(F.col("fold") != i), f.where(F.col("fold") == i)
+        sc, m = fit_scaled(make, params, tr, features)
+        parts.append(predict_scaled(sc, m, te).select(
+            F.lit(tag).alias("cand"), F.lit(i).alias("fold"),
+            F.col(label).cast("double").alias("y"), F.col("prediction").cast("double").alias("p")))
+    out = parts[0]
+    for d in parts[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def _grouped_scores(preds: DataFrame, metric: str, n_cand: int, k: int) -> list[list[float]]:
+    """Score every (candidate, fold) group in one distributed pass; only the
+    n_cand x k numbers reach the driver."""
+    got = {(r["cand"], r["fold"]): r["s"] for r in mt.score(preds, metric, "y", "p", ["cand", "fold"], "s").collect()}
+    return [[float("nan") if got.get((c, i)) is None else float(got[(c, i)]) for i in range(k)]
+            for c in range(n_cand)]
+
+
+# candidates whose held-out predictions are scored together in one pass
+SCORE_CHUNK = 16
+
+
+def cv_scores(make: Make, candidates: list[dict], f: DataFrame, k: int, metric: str = "spearman",
+              features: str = "features", label: str = "label", parallelism: int = 1) -> list[list[float]]:
+    """k fold scores of every candidate on a fold table. Fits run as Spark
+    jobs (optionally several in flight); the held-out predictions of up to
+    ``SCORE_CHUNK`` candidates are scored by one grouped metric pass."""
+    scores: list[list[float]] = []
+    for lo in range(0, len(candidates), SCORE_CHUNK):
+        chunk = candidates[lo:lo + SCORE_CHUNK]
+
+        def run(ic):
+            return _held_out(make, ic[1], f, k, features, label, ic[0])
+
+        if parallelism > 1:
+            with ThreadPoolExecutor(parallelism) as ex:
+                preds = list(ex.map(run, enumerate(chunk)))
+        else:
+            preds = [run(ic) for ic in enumerate(chunk)]
+        allp = preds[0]
+        for d in preds[1:]:
+            allp = allp.unionByName(d)
+        scores.extend(_grouped_scores(allp, metric, len(chunk), k))
+    return scores
+
+
 def cross_validate(make: Make, params: dict, df: DataFrame, key: str, k: int = 5, metric: str = "spearman",
                    seed: int = 42, features: str = "features", label: str = "label",
                    folds: DataFrame | None = None) -> list[float]:
     """H5: k fold scores (scaler and model fitted on each training fold)."""
     f = folds if folds is not None else _fold_table(df, key, k, seed)
-    ev = scorer(metric, labelCol=label)
-    scores = []
-    for i in range(k):
-        tr, te = f.where(F.col("fold") != i), f.where(F.col("fold") == i)
-        sc, m = fit_scaled(make, params, tr, features)
-        scores.append(ev.evaluate(predict_scaled(sc, m, te)))
+    scorer(metric, labelCol=label)  # unknown names raise before any fit
+    scores = cv_scores(make, [params], f, k, metric, features, label)[0]
     if folds is None:
         f.unpersist()
     return scores
@@ -122,14 +171,7 @@ def grid_search(make: Make, candidates: list[dict], df: DataFrame, key: str, k:
     f = _fold_table(df, key, k, seed)
     larger = scorer(metric).isLargerBetter()
 
-    def run(c):
-        return cross_validate(make, c, df, key, k, metric, seed, features, label, folds=f)
-
-    if parallelism > 1:
-        with ThreadPoolExecutor(parallelism) as ex:
-            all_scores = list(ex.map(run, candidates))
-    else:
-        all_scores = [run(c) for c in candidates]
+    all_scores = cv_scores(make, candidates, f, k, metric, features, label, parallelism)
     f.unpersist()
     means = [float(np.mean(s)) if not any(math.isnan(x) for x in s) else float("nan") for s in all_scores]
     order = [i for i in range(len(candidates)) if not math.isnan(means[i])]
@@ -239,15 +281,19 @@ def nested_cv(make: Make, candidates: list[dict], df: DataFrame, key: str, k: in
     k-fold), score the refitted best on the outer test fold.
     Returns a list of (fold, score, best params)."""
     f = _fold_table(df, key, k, seed)
-    out = []
-    ev = scorer(metric, labelCol=label)
+    scorer(metric, labelCol=label)  # unknown names raise before any fit
+    bests, preds = [], None
     for i in range(k):
         tr = f.where(F.col("fold") != i).drop("fold")
-        te = f.where(F.col("fold") == i).drop("fold")
+        te = f.where(F.col("fold") == i)
         _, best, (sc, m) = grid_search(make, candidates, tr, key, k, metric, inner_seed, features=features, label=label)
-        out.append((i, ev.evaluate(predict_scaled(sc, m, te)), best))
+        bests.append(best)
+        p = predict_scaled(sc, m, te).select(F.lit(0).alias("cand"), "fold", F.col(label).cast("double").alias("y"),
+                                             F.col("prediction").cast("double").alias("p"))
+        preds = p if preds is None else preds.unionByName(p)
+    outer = _grouped_scores(preds, metric, 1, k)[0]  # all outer folds in one pass
     f.unpersist()
-    return out
+    return [(i, outer[i], bests[i]) for i in range(k)]
 
 
 def default_vs_tuned(make: Make, spec: dict, train: DataFrame, test: DataFrame, key: str, metric: str = "spearman",
