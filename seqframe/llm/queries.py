@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.llm import common
-from seqframe.llm import langid, packing, quality, token_cache, token_files, url_filter
+from seqframe.llm import decontam, jaccard, langid, packing, passages, pii, quality, token_cache, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -60,6 +60,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.count_tokens(common.table(spark, sf_dir, "documents"), cache, TOKENIZER, limit=512)
 
 
+@query
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = pii.find_personal_data(docs, keep_text=False)
+    counts = [F.size(F.filter("pii", lambda x: x["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(4)]
+    base = pii.span_text(F.filter("pii", lambda x: x["kind"] < 4))
+    return spans.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"))
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,6 +79,21 @@ QUALITY_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repea
 ORACLE["op6_quality_rules"] = quality.oracle_sql(f"SELECT doc_id, {', '.join(QUALITY_COLUMNS)} FROM judged")
 
 
+@query
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(common.table(spark, sf_dir, "documents"), length=5, percent=80)
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), percent=80)
+
+
+@query
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.new_token_path(spark)
