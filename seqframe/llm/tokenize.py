@@ -12,14 +12,20 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct pieces a worker remembers; the store starts anew beyond it (a memory bound only).
-MAX_PIECES = 300_000
+#: Distinct pieces a worker remembers, about 250 MB; the store starts anew beyond it (a memory bound only).
+MAX_PIECES = 1_200_000
+#: Marks that may close a word (fixed set).
+_MARKS = ".,;:!?"
 _GLUED = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r"(?= \S)")
+_TOGETHER = re.compile(r"\s\s|^\s|\s\Z")
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -54,6 +60,7 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.pieces: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.by_piece = False
         if path.endswith(".model"):
             import sentencepiece
@@ -75,25 +82,42 @@ class Encoder:
                          and says.get("normalizer") is None and says["model"]["type"] == "BPE")
         if self.by_piece:
             self.added = [x["content"] for x in says["added_tokens"]]
-            n_bytes = np.zeros(max(says["model"]["vocab"].values()) + 1, np.int64)
-            for token, i in says["model"]["vocab"].items():  # one character of a byte-level token is one byte
-                n_bytes[i] = len(token)
-            self.n_bytes = n_bytes
-            self.model = model
+            # a byte-level vocabulary writes bytes as characters: printable ones as they are, the others from 256 on
+            same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            other = [b for b in range(256) if b not in same]
+            self.byte_chars = {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(other)}
+            self.merge = model.model.tokenize
+            self.line_feed = self._word("\n")
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word as the pre-tokenizer would hand it to the merges."""
+        ids = [x.id for x in self.merge(word.encode().decode("latin-1").translate(self.byte_chars))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, new: list[str]) -> None:
-        """Encode distinct pieces joined in one call; byte lengths tell where each one's ids end."""
-        if len(self.pieces) + len(new) > MAX_PIECES:
-            self.pieces.clear()
-        for at in range(0, len(new), 2000):
-            part = new[at:at + 2000]
-            ids = np.array(self.model.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(x.encode()) for x in part])
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            lo = 0
-            for piece, hi in zip(part, cuts.tolist()):
-                self.pieces[piece] = ids[lo:hi].tobytes()
-                lo = hi
+        """Ids of distinct pieces. A piece stands for itself after a space; without one if it begins with a space or a line feed.
+
+        Latin letters, then closing marks, are two words to the pre-tokenizer;
+        any other piece goes through the library whole.
+        """
+        odd = []
+        for p in new:
+            if p[0] == "\n":
+                lead, text = self.line_feed, p[1:]
+            else:
+                lead, text = b"", p[1:] if p[0] == " " else " " + p
+            core = text.rstrip(_MARKS)
+            letters = core.removeprefix(" ")
+            if letters.isalpha() and max(letters) < "\u0250":
+                ids = lead + self._word(core)
+                if len(core) < len(text):
+                    marks = text[len(core):]
+                    ids += self.marks.get(marks) or self.marks.setdefault(marks, self._word(marks))
+                self.pieces[p] = ids
+            else:
+                odd.append((p, p if lead else text))
+        for (p, _), ids in zip(odd, self.whole([t for _, t in odd])):
+            self.pieces[p] = ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
@@ -101,40 +125,61 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         at = 0
         while at < len(texts):  # about 4 MB of text at a time
-            size, split, whole, need, first = 0, [], [], set(), at
+            size, plain, glued, whole = 0, [], [], []
             while at < len(texts) and size < 4_000_000:
                 text = texts[at]
                 size += len(text)
                 if any(x in text for x in self.added):
                     whole.append(at)
                 elif text:
-                    if _GLUED.search(text):
-                        parts = [x for x in _CUT.split(text) if x]
-                        head = None if len(parts[0]) > 1 and parts[0][0] == " " and not parts[0][1].isspace() else parts.pop(0)
-                        split.append((at, head, [x[1:] for x in parts]))
-                    else:
-                        parts = text.split(" ")
-                        split.append((at, parts[0] or None, parts[1:]))
-                    need.update(split[-1][2])
+                    (glued if _GLUED.search(text) else plain).append(at)
                 at += 1
-            known = self.pieces
-            new = [x for x in (" " + p for p in need) if x not in known]
-            heads = {h for _, h, _ in split if h is not None}
-            if len(known) + len(new) > MAX_PIECES:
-                known.clear()
-                new = [" " + p for p in need]
-            self._learn(new)
-            own = {p: known[" " + p] for p in need}
-            for h, x in zip(heads, self.whole(list(heads))):
-                own[None, h] = x
-            for i, head, parts in split:
-                ids = b"".join([own[p] for p in parts])
-                out[i] = own[None, head] + ids if head is not None else ids
+            for i, x in zip(plain, self._joined(*_split([_lines_apart(texts[i]) for i in plain]))):
+                out[i] = x
+            for i in glued:
+                parts = [x for x in _CUT.split(texts[i]) if x]
+                parts = [x[1:] if x[0] == " " and len(x) > 1 and not x[1].isspace() else " " + x for x in parts]
+                self._know(set(parts))
+                out[i] = b"".join([self.pieces[p] for p in parts])
             for i, x in zip(whole, self.whole([texts[i] for i in whole])):
                 out[i] = x
-            assert at > first
         return out
 
+    def _know(self, pieces: set[str]) -> None:
+        new = pieces.difference(self.pieces)
+        if len(self.pieces) + len(new) > MAX_PIECES:
+            self.pieces.clear()
+            self.marks.clear()
+            new = pieces
+        self._learn(list(new))
+
+    def _joined(self, pieces: list[str], codes: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Ids of texts given as codes of distinct pieces, text after text; an empty piece has none."""
+        self._know(set(pieces) - {""})
+        own = [self.pieces[p] if p else b"" for p in pieces]
+        table, sizes = np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts, n = np.cumsum(sizes) - sizes, sizes[codes]
+        upto = np.cumsum(n)
+        ids = table[np.repeat(starts[codes] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        cuts = np.concatenate([[0], upto])[ends]
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _lines_apart(text: str) -> str:
+    """A line feed alone between two words is a word of its own: cut before it too."""
+    return text if "\n" not in text or _TOGETHER.search(text) else text.replace("\n", " \n")
+
+
+def _split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct pieces of texts without a space before a space or the end; codes of all pieces; where each text's begin, and the end."""
+    lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    ends = lists.offsets.to_numpy()
+    found = lists.values.dictionary_encode()
+    codes, pieces = found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+    heads = [pieces[c] for c in codes[ends[:-1]]]  # a text's first piece has no space before it
+    codes[ends[:-1]] = np.arange(len(pieces), len(pieces) + len(heads))
+    return pieces + [" " + h if h else "" for h in heads], codes, ends
+
 
 def encoded(batches: Iterable, text: int, name: str) -> Iterator[tuple]:
     """(batch, ids of each of its rows); a null text counts as empty."""
