@@ -57,8 +57,8 @@ def frequent_shingles(texts: DataFrame, length: int, at_least: int) -> np.ndarra
             yield counted()
 
     found = (texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-             .where(F.col("n") >= at_least).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).select("token").toPandas())
-    return np.sort(found["token"].to_numpy(np.int64).view(U))
+             .where(F.col("n") >= at_least).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).select("token").toArrow())
+    return np.sort(found.column("token").to_numpy().view(U))
 
 
 def index_sets(texts: DataFrame, frequent: np.ndarray, length: int, percent: int) -> DataFrame:
@@ -156,7 +156,7 @@ class Join:
         return out
 
 
-def link_sets(texts: DataFrame, indexed: DataFrame, length: int, percent: int, short: int, leaders: int, rounds: int) -> DataFrame | None:
+def link_sets(texts: DataFrame, indexed: DataFrame, length: int, percent: int, short: int, leaders: int) -> DataFrame | None:
     """(node, component) of the sets with links; null when there is none."""
     join = Join(texts, indexed, length, percent)
     postings = indexed.select("sid", "n", F.explode("prefix").alias("token"))
@@ -172,37 +172,37 @@ def link_sets(texts: DataFrame, indexed: DataFrame, length: int, percent: int, s
     met = (met.join(in_long.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a", "left")
            .join(in_long.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b", "left"))
     unseen = F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
-    join.link(met.where(F.col("c") + unseen >= join.shared_needed(F.col("na"), F.col("nb"))))
-
+    met = met.where(F.col("c") + unseen >= join.shared_needed(F.col("na"), F.col("nb"))).select("a", "b")
+
+    # long lists: every set with the same few members, the leaders
+    best = many.groupBy("token").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "sid").alias("h"), F.col("sid"), F.col("n"))).alias(f"l{i}")
+                                       for i in range(leaders)])
+    led = best.select("token", F.explode(F.array_distinct(F.transform(F.array(*[f"l{i}" for i in range(leaders)]), lambda x: F.struct(
+        x["sid"].alias("sid"), x["n"].alias("n"))))).alias("l")).select("token", F.col("l.sid").alias("y"), F.col("l.n").alias("ny"))
+    led = many.join(led, "token").where((F.col("sid") != F.col("y")) & join.size_fits(F.col("n"), F.col("ny")))
+    join.link(met.unionAll(led.select(F.least("sid", "y").alias("a"), F.greatest("sid", "y").alias("b"))))
     label = components(join.all_edges()) if join.edges else None
-    for k in range(rounds + 1):
-        if many.isEmpty():
-            break
-        placed = many.withColumn("component", F.col("sid")) if label is None else (
-            many.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
-        per = placed.groupBy("token", "component").agg(F.count("*").alias("c"))
-        main = per.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"))
-        placed = written(placed.join(main.where("parts > 1"), "token"), "placed")  # a list of one component is done
-        outside = placed.where("component <> main").select("token", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-        if k < rounds:
-            best = placed.where("component = main").groupBy("token").agg(*[
-                F.min(F.struct(F.xxhash64(F.lit(k * leaders + i), "sid").alias("h"), F.col("sid"), F.col("n"))).alias(f"l{i}") for i in range(leaders)])
-            other = best.select("token", F.explode(F.array(*[f"l{i}" for i in range(leaders)])).alias("l")).select(
-                "token", F.col("l.sid").alias("y"), F.col("l.n").alias("ny"), F.lit(None).cast("long").alias("cy"))
-        else:  # the sets still outside, with every set of another component
-            other = placed.select("token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-        new = outside.join(other.distinct(), "token").where(
-            (F.col("x") != F.col("y")) & (F.col("cy").isNull() | (F.col("cx") != F.col("cy"))) & join.size_fits(F.col("nx"), F.col("ny")))
-        new = new.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        for done in join.tested:
-            new = new.join(done, ["a", "b"], "left_anti")
-        join.link(new)
-        label = components(join.all_edges()) if join.edges else None
-    return label
+
+    # lists not yet of one component: the sets outside their main component, with every set of another one
+    placed = many.withColumn("component", F.col("sid")) if label is None else (
+        many.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
+    per = placed.groupBy("token", "component").agg(F.count("*").alias("c"))
+    main = per.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"))
+    placed = written(placed.join(main.where("parts > 1"), "token"), "placed")
+    if placed.isEmpty():
+        return label
+    outside = placed.where("component <> main").select("token", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
+    other = placed.select("token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
+    rest = outside.join(other, "token").where((F.col("cx") != F.col("cy")) & join.size_fits(F.col("nx"), F.col("ny")))
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    for done in join.tested:
+        rest = rest.join(done, ["a", "b"], "left_anti")
+    join.link(rest)
+    return components(join.all_edges()) if join.edges else None
 
 
 def similar_documents(docs: DataFrame, length: int = 5, percent: int = 80, frequent: int = 16, short: int = 64,
-                      leaders: int = 8, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                      leaders: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     Sets of distinct shingles of ``length`` words link when their intersection
@@ -210,12 +210,12 @@ def similar_documents(docs: DataFrame, length: int = 5, percent: int = 80, frequ
     that links reach. A text with fewer words is one shingle; a null text, or
     one without a word, has the empty set and is linked with nothing. Rows of
     one text share a component. Null ids stay null and count for no component;
-    repeated ids stay repeated. ``frequent``, ``short``, ``leaders`` and
-    ``rounds`` change the work, never the result.
+    repeated ids stay repeated. ``frequent``, ``short`` and
+    ``leaders`` change the work, never the result.
     """
     texts = _texts(docs, id_col, text_col)
     indexed = written(index_sets(texts, frequent_shingles(texts, length, frequent), length, percent), "indexed")
-    label = link_sets(texts, indexed, length, percent, short, leaders, rounds)
+    label = link_sets(texts, indexed, length, percent, short, leaders)
     rows = indexed.select("doc_id", "sid", F.col("n").alias("n_shingles"))
     some, none = rows.where("n_shingles > 0"), rows.where("n_shingles = 0")
     some = (some.withColumn("component", F.col("sid")) if label is None else
