@@ -296,6 +296,13 @@ def nested_cv(make: Make, candidates: list[dict], df: DataFrame, key: str, k: in
     return [(i, outer[i], bests[i]) for i in range(k)]
 
 
+def _better(new: float, old: float, larger: bool) -> bool:
+    """Whether ``new`` is better than ``old``; any number is better than NaN, and NaN than nothing."""
+    if np.isnan(new):
+        return False
+    return bool(np.isnan(old) or (new > old if larger else new < old))
+
+
 def default_vs_tuned(make: Make, spec: dict, train: DataFrame, test: DataFrame, key: str, metric: str = "spearman",
                      n_trials: int = 5, seed: int = 42, features: str = "features", label: str = "label"):
     """H8: default fit vs searched fit (refit on train with the best), both
@@ -307,7 +314,7 @@ def default_vs_tuned(make: Make, spec: dict, train: DataFrame, test: DataFrame,
                                    label=label)
     sc2, m2 = fit_scaled(make, best, train, features)
     tuned = ev.evaluate(predict_scaled(sc2, m2, test))
-    better = (tuned > default) if ev.isLargerBetter() else (tuned < default)
+    better = _better(tuned, default, ev.isLargerBetter())
     return {"default": default, "tuned": tuned, "best_params": best, "reported": tuned if better else default,
             "trials": trials}
 
@@ -321,7 +328,7 @@ def two_stage_search(make: Make, spec1: dict, spec2: dict, df: DataFrame, key: s
     larger = scorer(metric).isLargerBetter()
     v1 = mt.best_trial(t1, maximize=larger).first()["value"]
     v2 = mt.best_trial(t2, maximize=larger).first()["value"]
-    keep2 = (v2 > v1) if larger else (v2 < v1)
+    keep2 = _better(v2, v1, larger)
     return (dict(b1, **b2) if keep2 else b1), t1.withColumn("stage", F.lit(1)).unionByName(t2.withColumn("stage", F.lit(2)))
 
 

@@ -100,14 +100,19 @@ def site_profile(residues: DataFrame, alphabet: str = ALPHABET, pseudocount: flo
 def neighbour_sites(df: DataFrame, key: str = "seq_id", seq: str = "sequence") -> DataFrame:
     """(key, pos, left, aa, right) per residue; ends padded with ^ and $.
 
-    Computed from the string itself (substring), so no window or shuffle.
+    Letters are zipped with their neighbours before they are exploded: no
+    window, no shuffle, and no row carries the whole sequence.
     """
-    s = F.col(seq)
-    x = df.select(key, seq, F.posexplode(F.split(s, "")).alias("p", "aa"))
-    pos = F.col("p") + 1
-    left = F.when(pos == 1, F.lit(BOS)).otherwise(F.substring(s, pos - 1, F.lit(1)))
-    right = F.when(pos == F.length(s), F.lit(EOS)).otherwise(F.substring(s, pos + 1, F.lit(1)))
-    return x.select(key, pos.cast("int").alias("pos"), left.alias("prev_aa"), "aa", right.alias("next_aa"))
+    return (df.select(key, F.posexplode(_with_neighbours(seq)).alias("p", "x"))
+            .select(key, (F.col("p") + 1).cast("int").alias("pos"), "x.prev_aa", "x.aa", "x.next_aa"))
+
+
+def _with_neighbours(seq: str):
+    """array<struct<aa, prev_aa, next_aa>> of a sequence."""
+    a = F.split(F.col(seq), "")
+    n = F.size(a)
+    return F.arrays_zip(a.alias("aa"), F.concat(F.array(F.lit(BOS)), F.slice(a, F.lit(1), n - 1)).alias("prev_aa"),
+                        F.concat(F.slice(a, F.lit(2), n - 1), F.array(F.lit(EOS))).alias("next_aa"))
 
 
 def context_model_fit(df: DataFrame, key: str = "seq_id", seq: str = "sequence",
@@ -181,17 +186,16 @@ def masked_sites_of(df: DataFrame, key: str = "seq_id", seq: str = "sequence", p
     the masked letters left and right of them, (key, pos, aa, input, label,
     prev_aa, next_aa). The neighbours' masked letters are recomputed from the
     sequence string and the position hash, so no window and no shuffle."""
-    s = F.col(seq)
-    x = (df.select(key, seq, F.posexplode(F.split(s, "")).alias("p", "aa"))
-         .withColumn("pos", (F.col("p") + 1).cast("int")))
+    x = (df.select(key, F.posexplode(_with_neighbours(seq)).alias("p", "x"))
+         .select(key, (F.col("p") + 1).cast("int").alias("pos"), "x.aa", F.col("x.prev_aa").alias("_l"), F.col("x.next_aa").alias("_r")))
     chosen, inp = _mask_rule(key, "pos", F.col("aa"), p, seed, alphabet, mask_token)
     x = x.where(chosen).withColumn("input", inp).withColumn("label", F.col("aa"))
     x = x.withColumn("_lp", F.col("pos") - 1).withColumn("_rp", F.col("pos") + 1)
-    _, left = _mask_rule(key, "_lp", F.substring(s, F.col("_lp"), F.lit(1)), p, seed, alphabet, mask_token)
-    _, right = _mask_rule(key, "_rp", F.substring(s, F.col("_rp"), F.lit(1)), p, seed, alphabet, mask_token)
+    _, left = _mask_rule(key, "_lp", F.col("_l"), p, seed, alphabet, mask_token)
+    _, right = _mask_rule(key, "_rp", F.col("_r"), p, seed, alphabet, mask_token)
     return x.select(key, "pos", "aa", "input", "label",
                     F.when(F.col("pos") == 1, F.lit(BOS)).otherwise(left).alias("prev_aa"),
-                    F.when(F.col("pos") == F.length(s), F.lit(EOS)).otherwise(right).alias("next_aa"))
+                    F.when(F.col("_r") == EOS, F.lit(EOS)).otherwise(right).alias("next_aa"))
 
 
 def mask_each_position(df: DataFrame, key: str = "seq_id", seq: str = "sequence",

@@ -87,6 +87,13 @@ def aa_features(df: DataFrame, seqcol: str, table: dict[str, list[float]], out:
     return df.withColumn(out, F.flatten(per_res))
 
 
+def composition(df: DataFrame, seqcol: str, out: str = "features", alphabet: str = "ACDEFGHIKLMNPQRSTVWY") -> DataFrame:
+    """Share of each letter in the whole sequence: as wide as the alphabet for sequences of any length (empty: zeros)."""
+    n = F.length(seqcol)
+    shares = [(n - F.length(F.replace(F.col(seqcol), F.lit(a), F.lit("")))) / F.greatest(n, F.lit(1)) for a in alphabet]
+    return df.withColumn(out, F.array(*shares))
+
+
 def aa_features_multi(df: DataFrame, seqcol: str, tables: dict[str, dict]) -> DataFrame:
     """F1 for several descriptors in one pass: one ``features_<name>`` column each."""
     for name, tab in tables.items():

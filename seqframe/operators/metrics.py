@@ -137,9 +137,13 @@ def cv_mean(scores: DataFrame, score: str = "score", by=("candidate",), fold: st
 
 def best_trial(trials: DataFrame, by=None, trial: str = "trial", value: str = "value",
                maximize: bool = True) -> DataFrame:
-    """Best value and its trial; ties go to the lowest trial number."""
-    v = F.col(value) if maximize else -F.col(value)
-    key = F.struct(v.alias("v"), (-F.col(trial)).alias("t"))
+    """Best value and its trial; ties go to the lowest trial number.
+
+    A NaN or null value is worse than any number, whichever way is better."""
+    v = F.col(value).cast("double")
+    real = v.isNotNull() & ~F.isnan(v)
+    v = F.when(real, v if maximize else -v)
+    key = F.struct(real.alias("r"), v.alias("v"), (-F.col(trial)).alias("t"))
     cols = [c for c in trials.columns if c not in (list(by or []))]
     best = F.max_by(F.struct(*cols), key)
     return _agg(trials, by, best.alias("_b")).select(*(list(by or [])), "_b.*")

@@ -124,7 +124,11 @@ def pseudo_ppl(muts: DataFrame, wt: DataFrame, model: DataFrame, out: str = "sco
     """Per mutant, sum over all positions of log p(residue | neighbours)
     of the mutant sequence (A16). Only sites pos-1, pos, pos+1 differ from
     the wild type, so: wild-type total + the three site deltas.
-    Works for one wild type (the ``wt`` table has one row)."""
+    Works for one wild type (the ``wt`` table has one row). Distinct mutations
+    are scored once and joined back; one outside the wild type or the model's
+    letters scores null."""
+    given = muts
+    muts = given.select("pos", "wt", "mt").distinct()
     wsites = neighbour_sites(wt.withColumn("_k", F.lit(0)), "_k", seq)
     lp = model.select("prev_aa", "aa", "next_aa", "log_prob")
     wsc = wsites.join(F.broadcast(lp), ["prev_aa", "aa", "next_aa"]).select("pos", "prev_aa", "aa", "next_aa", "log_prob")
@@ -132,18 +136,19 @@ def pseudo_ppl(muts: DataFrame, wt: DataFrame, model: DataFrame, out: str = "sco
     # affected sites of each mutant, with the mutated triple
     d = muts.select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("_d"))
     d = d.withColumn("_site", F.col("pos") + F.col("_d"))
-    d = d.join(F.broadcast(wsc.withColumnRenamed("pos", "_site")), "_site")
+    d = d.join(wsc.withColumnRenamed("pos", "_site"), "_site")
     nl = F.when(F.col("_d") == 1, F.col("mt")).otherwise(F.col("prev_aa"))
     nc = F.when(F.col("_d") == 0, F.col("mt")).otherwise(F.col("aa"))
     nr = F.when(F.col("_d") == -1, F.col("mt")).otherwise(F.col("next_aa"))
-    d = d.select(*muts.columns, nl.alias("nl"), nc.alias("nc"), nr.alias("nr"),
+    d = d.select("_d", *muts.columns, nl.alias("nl"), nc.alias("nc"), nr.alias("nr"),
                  F.col("log_prob").alias("lp_wt"))
     lpm = lp.select(F.col("prev_aa").alias("nl"), F.col("aa").alias("nc"), F.col("next_aa").alias("nr"),
                     F.col("log_prob").alias("lp_mt"))
     d = d.join(F.broadcast(lpm), ["nl", "nc", "nr"])
-    delta = d.groupBy(*muts.columns).agg(F.sum(F.col("lp_mt") - F.col("lp_wt")).alias("_delta"))
-    return attach_row(delta, total).select(
-        *muts.columns, (F.col("wt_total") + F.col("_delta")).alias(out))
+    delta = d.groupBy("pos", "wt", "mt").agg(F.sum(F.col("lp_mt") - F.col("lp_wt")).alias("_delta"),
+                                             F.max((F.col("_d") == 0).cast("int")).alias("_own")).where("_own = 1")
+    scored = attach_row(delta, total).select("pos", "wt", "mt", (F.col("wt_total") + F.col("_delta")).alias(out))
+    return given.join(scored, ["pos", "wt", "mt"], "left").select(*given.columns, out)
 
 
 def msa_log_probs(aligned_residues: DataFrame, query_residues: DataFrame, alphabet: str = ALPHABET,

@@ -30,16 +30,22 @@ DESC_CTES = [_values_sql("d_" + n, tab) for n, tab in ft.BUNDLED.items()]
 F1_SQL = q.with_ctes(q.RESIDUES, DESC_CTES, body=""",
 x AS (SELECT r.seq_id, r.pos, unnest(d.vals) AS v, unnest(generate_series(1, len(d.vals))) AS j, len(d.vals) AS dd
       FROM residues r JOIN d_z3_hellberg d USING (aa))
-SELECT CAST(seq_id AS BIGINT) AS seq_id, CAST((pos - 1) * dd + j - 1 AS BIGINT) AS idx, round(v, 6) AS value FROM x""")
+SELECT CAST(seq_id AS BIGINT) AS seq_id, CAST(count(*) AS BIGINT) AS n_features,
+       round(sum(v * (((pos - 1) * dd + j - 1) % 97 + 1)), 4) AS checksum FROM x GROUP BY seq_id""")
+
+# a checksum over features weighs them by place modulo a prime: sums stay small enough to compare to 4 decimals
+def _checksum(features: str = "features"):
+    return F.round(F.aggregate(F.transform(features, lambda x, i: x * (i % 97 + 1)), F.lit(0.0), lambda a, x: a + x), 4)
+
 
 
 @query("descriptor_features", ("F1", "F2", "X2"), F1_SQL)
 def descriptor_features(spark, sf):
-    """Concatenated per-residue z-scale vectors of every aligned sequence,
-    listed as (seq_id, idx, value)."""
+    """Concatenated per-residue z-scale vectors of every whole sequence, with
+    their number and a place-weighted checksum."""
     f = ft.aa_features(t.seqs(spark, sf), "sequence", ft.Z3_HELLBERG)
-    return f.select(F.col("seq_id").cast("bigint"), F.posexplode("features").alias("idx", "value")).select(
-        "seq_id", F.col("idx").cast("bigint"), F.round("value", R).alias("value"))
+    return f.select(F.col("seq_id").cast("bigint"), F.size("features").cast("bigint").alias("n_features"),
+                    _checksum().alias("checksum"))
 
 
 def _pair_sql():
@@ -61,7 +67,7 @@ nb AS (SELECT seq_id, pair, max(pos) * max(da) AS off FROM a GROUP BY seq_id, pa
 ib AS (SELECT b.seq_id, b.pair, nb.off + (b.pos - 1) * b.db + b.j AS idx, b.v FROM b JOIN nb USING (seq_id, pair)),
 al AS (SELECT * FROM ia UNION ALL SELECT * FROM ib)
 SELECT CAST(seq_id AS BIGINT) AS seq_id, pair, CAST(count(*) AS BIGINT) AS n_features,
-       round(sum(v * idx), 4) AS checksum
+       round(sum(v * ((idx - 1) % 97 + 1)), 4) AS checksum
 FROM al GROUP BY seq_id, pair""")
 
 
@@ -71,14 +77,14 @@ def descriptor_pairs(spark, sf):
     position-weighted checksum per (sequence, pair)."""
     wide = ft.aa_features_multi(t.seqs(spark, sf), "sequence", ft.BUNDLED)
     long = ft.all_descriptor_pairs(wide, "seq_id", list(ft.BUNDLED))
-    chk = F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return long.select(F.col("seq_id").cast("bigint"), "pair", F.size("features").cast("bigint").alias("n_features"),
-                       F.round(chk, 4).alias("checksum"))
+                       _checksum().alias("checksum"))
 
 
 @query("descriptor_pair_join", ("J2", "J1"), q.with_ctes(q.RESIDUES, DESC_CTES, body=""",
-a AS (SELECT r.seq_id, sum(d.vals[1] * r.pos) AS s1, count(*) AS n1 FROM residues r JOIN d_kyte_doolittle d USING (aa) GROUP BY r.seq_id),
-b AS (SELECT r.seq_id, sum(d.vals[1] * (r.pos + 32)) AS s2, count(*) AS n2 FROM residues r JOIN d_hopp_woods d USING (aa) GROUP BY r.seq_id)
+a AS (SELECT r.seq_id, sum(d.vals[1] * ((r.pos - 1) % 97 + 1)) AS s1, count(*) AS n1 FROM residues r JOIN d_kyte_doolittle d USING (aa) GROUP BY r.seq_id),
+b AS (SELECT r.seq_id, sum(d.vals[1] * ((r.pos + length(s.sequence) - 1) % 97 + 1)) AS s2, count(*) AS n2
+  FROM residues r JOIN seqs s ON s.seq_id = r.seq_id JOIN d_hopp_woods d USING (aa) GROUP BY r.seq_id)
 SELECT CAST(seq_id AS BIGINT) AS seq_id, CAST(n1 + n2 AS BIGINT) AS n_features, round(s1 + s2, 4) AS checksum
 FROM a JOIN b USING (seq_id)"""))
 def descriptor_pair_join(spark, sf):
@@ -86,9 +92,8 @@ def descriptor_pair_join(spark, sf):
     f1 = ft.aa_features(t.seqs(spark, sf), "sequence", ft.KYTE_DOOLITTLE)
     f2 = ft.aa_features(t.seqs(spark, sf), "sequence", ft.HOPP_WOODS)
     j = ft.pair_features(f1, f2.drop("sequence"), "seq_id")
-    chk = F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return j.select(F.col("seq_id").cast("bigint"), F.size("features").cast("bigint").alias("n_features"),
-                    F.round(chk, 4).alias("checksum"))
+                    _checksum().alias("checksum"))
 
 
 @query("residue_hydropathy", ("J4", "D4"), q.with_ctes(q.RESIDUES, DESC_CTES, body="""

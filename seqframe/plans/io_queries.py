@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seqframe.functions import numeric as nu
 from seqframe.functions import sequences as sq
+from seqframe.functions.sequences import ALPHABET
 from seqframe.operators import features as ft
 from seqframe.operators import relational as rel
 from seqframe.operators import split as sp
@@ -26,7 +27,7 @@ def _scratch(spark, name):
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-@query("fasta_roundtrip", ("S3", "S4", "S5", "X12"),
+@query("fasta_roundtrip", ("S3", "S5", "X12"),
        q.with_ctes(q.SEQS, body="SELECT CAST(seq_id AS VARCHAR) AS id, sequence FROM seqs"))
 def fasta_roundtrip(spark, sf):
     """The aligned family written as FASTA and read back (records split at
@@ -38,27 +39,25 @@ def fasta_roundtrip(spark, sf):
 
 
 FEATURE_CSV_SQL = q.with_ctes(q.RESIDUES, [
-    """kd AS (SELECT * FROM (VALUES %s) v(aa, val))""" % ", ".join(
-        f"('{a}', CAST({float(v[0])!r} AS DOUBLE))" for a, v in ft.KYTE_DOOLITTLE.items()),
     "lab AS (SELECT doc_id AS seq_id, CAST(quality AS DOUBLE) AS label FROM labels)",
-], body="""
-SELECT CAST(r.seq_id AS BIGINT) AS seq_id, CAST(count(*) AS BIGINT) AS n_features,
-       round(sum(kd.val * r.pos), 4) AS checksum, max(l.label) AS label
-FROM residues r JOIN kd USING (aa) JOIN lab l USING (seq_id)
+], body=f"""
+SELECT CAST(r.seq_id AS BIGINT) AS seq_id, CAST({len(ALPHABET)} AS BIGINT) AS n_features,
+       round(avg(strpos('{ALPHABET}', r.aa)), 4) AS checksum, max(l.label) AS label
+FROM residues r JOIN lab l USING (seq_id)
 GROUP BY r.seq_id""")
 
 
 @query("feature_csv_roundtrip", ("S1", "S6", "P4", "P5", "P6", "J1"), FEATURE_CSV_SQL)
 def feature_csv_roundtrip(spark, sf):
-    """Wide feature CSV (sequence, "0".."31", label) written and read back
+    """Wide feature CSV (sequence, "0".."19", label) written and read back
     with an explicit schema; the block between sequence and label becomes
     one array again (positional slice)."""
     lab = t.labelled(spark, sf)
-    f = rel.sequence_first(ft.aa_features(lab, "sequence", ft.KYTE_DOOLITTLE), "sequence")
+    f = rel.sequence_first(ft.composition(lab, "sequence"), "sequence")
     path = _scratch(spark, "feature_csv")
     fs.write_feature_csv(f.select("sequence", "features", "label", "seq_id"), path, "sequence", "features",
-                         n_features=t.ALIGNED_LENGTH)
-    cols = ", ".join(f"`{i}` double" for i in range(t.ALIGNED_LENGTH))
+                         n_features=len(ALPHABET))
+    cols = ", ".join(f"`{i}` double" for i in range(len(ALPHABET)))
     back = fs.read_csv_table(spark, path, f"sequence string, {cols}, label double, seq_id bigint")
     block = rel.feature_block(back, "sequence", "label")
     block = rel.select_rename(block, {"seq_id": "seq_id", "features": "features", "label": "label"})

@@ -1,7 +1,7 @@
 """Registered queries: estimators and model selection (rows-only checks).
 
 Inputs are the labelled aligned family (``labelled``: documents-derived
-sequences with ``labels.quality``) featurised with F1, and the
+sequences with ``labels.quality``) featurised by whole-sequence composition, and the
 ``embeddings`` table. Iterative fits have no SQL equivalent.
 """
 
@@ -28,7 +28,7 @@ ALPHAS = se.GRIDS["linr"]["alpha"]
 
 
 def _featurised(spark, sf):
-    return ft.aa_features(t.labelled(spark, sf), "sequence", ft.Z3_HELLBERG)
+    return ft.composition(t.labelled(spark, sf), "sequence")
 
 
 def _train_test(spark, sf):
@@ -115,13 +115,13 @@ def regressor_leaderboard(spark, sf):
     return se.leaderboard(tr, te, "spearman").select("model", F.round("score", R).alias("score"))
 
 
-@query("predict_rank_mutants", ("M8", "H10", "Z2", "F1", "T1"))
+@query("predict_rank_mutants", ("M8", "H10", "Z2", "T1"))
 def predict_rank_mutants(spark, sf):
     """Fit on the labelled family, predict every single-residue mutant of
     the wild type, ranked (the unseen prediction list)."""
     lab = _featurised(spark, sf)
-    wt = t.wild_type(t.seqs(spark, sf))
-    muts = ft.aa_features(mz.single_residue_mutants(wt), "mutant_sequence", ft.Z3_HELLBERG)
+    wt = t.wild_type(t.references(spark, sf))
+    muts = ft.composition(mz.single_residue_mutants(wt), "mutant_sequence")
     w = se.workflow(se.MODELS["linr"], [{"alpha": 0.01}, {"alpha": 0.1}], lab, "seq_id", muts, mode="predict")
     return w["ranked"].select("mutant", F.round("prediction", R).alias("prediction"),
                               F.lit(json.dumps(w["best_params"])).alias("params"))
@@ -134,7 +134,7 @@ def adaptive_search_trials(spark, sf):
     return trials.select("trial", "params", F.round("value", R).alias("value"))
 
 
-@query("default_vs_tuned", ("H8", "H9"))
+@query("default_vs_tuned", ("H8",))
 def default_vs_tuned(spark, sf):
     tr, te = _train_test(spark, sf)
     r = se.default_vs_tuned(se.MODELS["linr"], {"alpha": [1e-3, 1.0]}, tr, te, "seq_id", n_trials=3)

@@ -25,11 +25,11 @@ FROM scored ORDER BY round(score, 9) DESC, mutant LIMIT 10""")
 
 
 def _profile_and_reference(spark, sf):
-    """Profile and wild-type residues from ONE aggregation over the family's
-    residues (the documents are scanned once; the small count table feeds
-    both, its exchange is reused)."""
-    counts = cut_lineage(ctx.residue_counts(t.residues(spark, sf), id_col="seq_id"))  # <= L x 20 rows
-    return ctx.site_profile_from_counts(counts), ctx.reference_from_counts(counts), counts
+    """Profile and residue counts from one aggregation over the family's
+    residues (the documents are scanned once), and the wild type's residues."""
+    counts = cut_lineage(ctx.residue_counts(t.residues(spark, sf)))  # <= L x 20 rows
+    wt_res = mz.wt_residues(t.wild_type(t.references(spark, sf)))
+    return ctx.site_profile_from_counts(counts), wt_res, counts
 
 
 @query("mutant_scan_top10", ("A23", "A17", "J6", "Z1", "Z3", "Z9", "J5", "T2"), FLAGSHIP_SQL)
@@ -38,26 +38,26 @@ def mutant_scan_top10(spark, sf):
     family's site profile and keep the ten best."""
     prof, wt_res, _ = _profile_and_reference(spark, sf)
     muts = mz.mutations_of_residues(wt_res)
-    scored = mz.score_mutations(muts, prof, bound_rows=10_000)
+    scored = mz.score_mutations(muts, prof)
     top = scored.orderBy(F.round("score", 9).desc(), "mutant").limit(10)
     return top.select("mutant", "pos", F.round("score", R).alias("score"))
 
 
 @query("single_mutations", ("Z1", "J6", "X9", "D5", "D1"),
-       q.with_ctes(q.SEQS, q.ALPHA, q.WT, q.SINGLE_MUTATIONS,
+       q.with_ctes(q.ALPHA, q.WT, q.SINGLE_MUTATIONS,
                    body="SELECT mutant, wt, CAST(pos AS BIGINT) AS pos, mt FROM muts"))
 def single_mutations_q(spark, sf):
-    wt = t.wild_type(t.seqs(spark, sf))
+    wt = t.wild_type(t.references(spark, sf))
     m = mz.single_mutations(wt)
     return m.select("mutant", "wt", F.col("pos").cast("bigint"), "mt")
 
 
-@query("single_residue_mutants", ("Z2", "X10"), q.with_ctes(q.SEQS, q.ALPHA, q.WT, q.SINGLE_MUTATIONS, body="""
+@query("single_residue_mutants", ("Z2", "X10"), q.with_ctes(q.ALPHA, q.WT, q.SINGLE_MUTATIONS, body="""
 SELECT m.mutant, CAST(m.pos AS BIGINT) AS pos, m.mt,
        substr(w.wt_sequence, 1, m.pos - 1) || m.mt || substr(w.wt_sequence, m.pos + 1) AS mutant_sequence
 FROM muts m CROSS JOIN wt w WHERE m.mt <> m.wt"""))
 def single_residue_mutants_q(spark, sf):
-    wt = t.wild_type(t.seqs(spark, sf))
+    wt = t.wild_type(t.references(spark, sf))
     m = mz.single_residue_mutants(wt)
     return m.select("mutant", F.col("pos").cast("bigint"), "mt", "mutant_sequence")
 
@@ -87,14 +87,11 @@ def position_log_softmax(spark, sf):
     return ls.select(F.col("pos").cast("bigint"), "aa", (F.round("log_prob", R) + 0.0).alias("log_prob"))
 
 
-def ctx_ctes(src: str = "res_pos", p: str = "") -> list[str]:
-    """K5 context model over a (seq_id, sequence, pos) CTE; names prefixed by ``p``."""
+def ctx_ctes(src: str = "residues", p: str = "") -> list[str]:
+    """K5 context model over a (seq_id, pos, aa) CTE; names prefixed by ``p``."""
     return [
-        f"""{p}sites AS (SELECT seq_id, CAST(pos AS INTEGER) AS pos,
-   CASE WHEN pos = 1 THEN '^' ELSE substr(sequence, pos - 1, 1) END AS prev_aa,
-   substr(sequence, pos, 1) AS aa,
-   CASE WHEN pos = length(sequence) THEN '$' ELSE substr(sequence, pos + 1, 1) END AS next_aa
-   FROM {src})""",
+        f"""{p}sites AS (SELECT seq_id, pos, aa, coalesce(lag(aa) OVER o, '^') AS prev_aa, coalesce(lead(aa) OVER o, '$') AS next_aa
+   FROM {src} WINDOW o AS (PARTITION BY seq_id ORDER BY pos))""",
         "lefts AS (SELECT unnest(string_split('^ACDEFGHIKLMNPQRSTVWY', '')) AS prev_aa)",
         "rights AS (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY$', '')) AS next_aa)",
         f"""{p}tri AS (SELECT prev_aa, next_aa, aa, count(*) AS n FROM {p}sites GROUP BY prev_aa, next_aa, aa)""",
@@ -128,7 +125,7 @@ FROM muts mu JOIN lp a ON a.pos = mu.pos AND a.aa = mu.mt JOIN lp b ON b.pos = m
 def masked_marginals(spark, sf):
     """Each wild-type position masked in turn and scored by the context model."""
     s = t.seqs(spark, sf)
-    wt = t.wild_type(s)
+    wt = t.wild_type(t.references(spark, sf))
     model = ctx.context_model_fit(s)
     scored = mz.zero_shot(mz.single_mutations(wt), wt, "masked-marginals", context_model=model)
     return scored.select("mutant", F.col("pos").cast("bigint"), F.round("score", R).alias("score"))
@@ -147,33 +144,29 @@ def pseudo_ppl_scores(spark, sf):
     """Sum over all positions of log p(residue | neighbours) of each mutant
     sequence (delta form: only three sites differ from the wild type)."""
     s = t.seqs(spark, sf)
-    wt = t.wild_type(s)
+    wt = t.wild_type(t.references(spark, sf))
     model = ctx.context_model_fit(s)
     scored = mz.zero_shot(mz.single_mutations(wt).select("mutant", "wt", "pos", "mt"), wt, "pseudo-ppl",
                           context_model=model)
     return scored.select("mutant", F.round("score", R).alias("score"))
 
 
-MSA_N = 128
-
-
 MSA_SQL = q.with_ctes(q.RESIDUES, q.ALPHA, q.WT, q.SINGLE_MUTATIONS, [
-    f"msa AS (SELECT seq_id FROM seqs ORDER BY seq_id LIMIT {MSA_N})",
-    "mres AS (SELECT r.pos, r.aa FROM residues r JOIN msa USING (seq_id) WHERE r.seq_id <> (SELECT wt_id FROM wt))",
+    "mres AS (SELECT pos, aa FROM residues WHERE seq_id <> (SELECT min(seq_id) FROM seqs))",
 ], q.profile("mres", "mprof"), body="""
 SELECT mu.mutant, CAST(mu.pos AS BIGINT) AS pos, round(a.log_prob - b.log_prob, 6) AS score
 FROM muts mu JOIN mprof a ON a.pos = mu.pos AND a.aa = mu.mt JOIN mprof b ON b.pos = mu.pos AND b.aa = mu.wt""")
 
 
-@query("msa_marginals", ("Z6", "S5", "T3", "Z7"), MSA_SQL)
+@query("msa_marginals", ("Z6", "Z7"), MSA_SQL)
 def msa_marginals(spark, sf):
-    """Profile of the first 128 aligned records with the query (first record)
-    left out of its own columns; every single mutant scored against it."""
+    """Profile of all records with the first one (the alignment's query) left
+    out of its own columns; every single mutant of the wild type scored
+    against it."""
     s = t.seqs(spark, sf)
-    wt = t.wild_type(s)
-    msa = s.orderBy("seq_id").limit(MSA_N)  # nseq: the alignment depth parameter
-    lp = mz.msa_log_probs(t.residues_of(msa), t.residues_of(
-        msa.join(F.broadcast(wt.select(F.col("wt_id").alias("seq_id"))), "seq_id")))
+    wt = t.wild_type(t.references(spark, sf))
+    first = s.agg(F.min("seq_id").alias("seq_id"))
+    lp = mz.msa_log_probs(t.residues_of(s), t.residues_of(s.join(F.broadcast(first), "seq_id")))
     scored = mz.zero_shot(mz.single_mutations(wt), wt, "msa", profile=lp)
     return scored.select("mutant", F.col("pos").cast("bigint"), F.round("score", R).alias("score"))
 
@@ -183,10 +176,10 @@ OFFSET = 24
 MUTLIST_SQL = q.with_ctes(q.RESIDUES, q.ALPHA, q.profile(), q.WT, body=f""",
 fwd AS (SELECT DISTINCT w.wt || CAST(r.pos + {OFFSET - 1} AS VARCHAR) || r.aa AS mutant
         FROM residues r JOIN wt_res w ON w.pos = r.pos
-        WHERE r.aa <> w.wt AND r.seq_id <> (SELECT wt_id FROM wt)),
+        WHERE r.aa <> w.wt),
 rev AS (SELECT DISTINCT r.aa || CAST(r.pos + {OFFSET - 1} AS VARCHAR) || w.wt AS mutant
         FROM residues r JOIN wt_res w ON w.pos = r.pos
-        WHERE r.aa <> w.wt AND r.seq_id <> (SELECT wt_id FROM wt)),
+        WHERE r.aa <> w.wt),
 lst AS (SELECT mutant FROM fwd UNION SELECT mutant FROM rev),
 parsed AS (SELECT mutant, substr(mutant, 1, 1) AS wt,
                   CAST(substr(mutant, 2, length(mutant) - 2) AS INTEGER) - {OFFSET - 1} AS pos,
@@ -217,7 +210,7 @@ def score_mutation_list(spark, sf):
     lst, _ = _homolog_mutation_list(counts, wt_res)
     parsed = mz.parse_mutations(lst, "mutant", offset=OFFSET)
     checked = mz.check_wild_type(parsed, None, on_mismatch="flag", wt_res=wt_res)
-    scored = mz.score_mutations(checked, prof, bound_rows=10_000)
+    scored = mz.score_mutations(checked, prof)
     return scored.select("mutant", F.col("pos").cast("bigint"), "wt_ok", F.round("score", R).alias("score"))
 
 
@@ -226,7 +219,7 @@ HEAT_START, HEAT_END = OFFSET + 4, OFFSET + 19
 HEATMAP_SQL = q.with_ctes(q.RESIDUES, q.ALPHA, q.profile(), q.WT, body=f""",
 fwd AS (SELECT DISTINCT w.wt || CAST(r.pos + {OFFSET - 1} AS VARCHAR) || r.aa AS mutant, r.pos, w.wt, r.aa AS mt
         FROM residues r JOIN wt_res w ON w.pos = r.pos
-        WHERE r.aa <> w.wt AND r.seq_id <> (SELECT wt_id FROM wt)),
+        WHERE r.aa <> w.wt),
 sc AS (SELECT f.mutant, min(a.log_prob - b.log_prob) AS score FROM fwd f
        JOIN profile a ON a.pos = f.pos AND a.aa = f.mt JOIN profile b ON b.pos = f.pos AND b.aa = f.wt GROUP BY f.mutant),
 grid AS (SELECT a.aa, w.pos + {OFFSET - 1} AS number, w.wt || CAST(w.pos + {OFFSET - 1} AS VARCHAR) || a.aa AS mutant
@@ -242,20 +235,20 @@ def heatmap_grid_q(spark, sf):
     not in the list (window 28..43 inclusive, codes numbered from 24)."""
     prof, wt_res, counts = _profile_and_reference(spark, sf)
     _, fwd = _homolog_mutation_list(counts, wt_res)
-    scored = mz.score_mutations(mz.parse_mutations(fwd, offset=OFFSET), prof, bound_rows=10_000)
+    scored = mz.score_mutations(mz.parse_mutations(fwd, offset=OFFSET), prof)
     g = mz.heatmap_grid(scored, None, HEAT_START, HEAT_END, offset=OFFSET, wt_res=wt_res)
     return g.select("aa", F.col("number").cast("bigint"), "mutant",
                     F.when(F.isnan("score"), F.col("score")).otherwise(F.round("score", R)).alias("score"))
 
 
-K6_SQL = q.with_ctes(q.SEQS, q.TVT, q.ALPHA, [
-    """tr_pos AS (SELECT seq_id, sequence, unnest(generate_series(1, length(sequence))) AS pos FROM tvt WHERE split = 'train')""",
+K6_SQL = q.with_ctes(q.RESIDUES, q.TVT, q.ALPHA, [
+    "tr_pos AS (SELECT r.* FROM residues r JOIN tvt USING (seq_id) WHERE split = 'train')",
 ], ctx_ctes("tr_pos"), [
-    """te_pos AS (SELECT seq_id, sequence, unnest(generate_series(1, length(sequence))) AS pos FROM tvt WHERE split = 'test')""",
-    f"""u AS (SELECT seq_id, CAST(pos AS INTEGER) AS pos, substr(sequence, pos, 1) AS aa,
-        {stable_hash_sql('42:pick', 'seq_id', 'CAST(pos AS INTEGER)')} / 4294967296.0 AS u1,
-        {stable_hash_sql('42:kind', 'seq_id', 'CAST(pos AS INTEGER)')} / 4294967296.0 AS u2,
-        substr('ACDEFGHIKLMNPQRSTVWY', CAST({stable_hash_sql('42:rand', 'seq_id', 'CAST(pos AS INTEGER)')} % 20 + 1 AS INTEGER), 1) AS rnd
+    "te_pos AS (SELECT r.* FROM residues r JOIN tvt USING (seq_id) WHERE split = 'test')",
+    f"""u AS (SELECT seq_id, pos, aa,
+        {stable_hash_sql('42:pick', 'seq_id', 'pos')} / 4294967296.0 AS u1,
+        {stable_hash_sql('42:kind', 'seq_id', 'pos')} / 4294967296.0 AS u2,
+        substr('ACDEFGHIKLMNPQRSTVWY', CAST({stable_hash_sql('42:rand', 'seq_id', 'pos')} % 20 + 1 AS INTEGER), 1) AS rnd
       FROM te_pos)""",
     """mk AS (SELECT seq_id, pos, aa,
         CASE WHEN u1 >= 0.15 THEN aa WHEN u2 < 0.8 THEN '#' WHEN u2 < 0.9 THEN rnd ELSE aa END AS input,

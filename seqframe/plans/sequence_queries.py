@@ -17,17 +17,22 @@ VOCAB_CHARS = "".join(v for v in tk.VOCAB[4:31] if len(v) == 1)  # single-letter
 
 
 @query("aligned_sequences", ("P2", "X1", "S3-view"),
-       q.with_ctes(q.SEQS, body="SELECT CAST(seq_id AS BIGINT) AS seq_id, sequence FROM seqs"))
+       q.with_ctes(q.SEQS, q.WT, body="""SELECT CAST(seq_id AS BIGINT) AS seq_id, sequence FROM seqs, wt
+WHERE length(sequence) BETWEEN length(wt_sequence) // 2 AND 2 * length(wt_sequence)"""))
 def aligned_sequences(spark, sf):
-    """The fixed-length aligned family derived from documents."""
-    return t.seqs(spark, sf).select(F.col("seq_id").cast("bigint"), "sequence")
+    """The documents' whole residue strings that have the wild type's length to within a factor of two (P2 on the true length)."""
+    wt = t.wild_type(t.references(spark, sf)).first()["wt_sequence"]
+    s = t.seqs(spark, sf).where(F.length("sequence").between(len(wt) // 2, 2 * len(wt)))
+    return s.select(F.col("seq_id").cast("bigint"), "sequence")
 
 
 @query("residue_table", ("X1", "residues"),
-       q.with_ctes(q.RESIDUES, body="SELECT CAST(seq_id AS BIGINT) AS seq_id, CAST(pos AS BIGINT) AS pos, aa FROM residues"))
+       q.with_ctes(q.RESIDUES, body="""SELECT CAST(seq_id AS BIGINT) AS seq_id, aa, CAST(count(*) AS BIGINT) AS n,
+  CAST(sum(pos) AS BIGINT) AS sum_pos FROM residues GROUP BY seq_id, aa"""))
 def residue_table(spark, sf):
-    r = t.residues(spark, sf)
-    return r.select(F.col("seq_id").cast("bigint"), F.col("pos").cast("bigint"), "aa")
+    """All residues with their places, summed per sequence and letter."""
+    r = t.residues(spark, sf).groupBy("seq_id", "aa").agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"))
+    return r.select(F.col("seq_id").cast("bigint"), "aa", "n", "sum_pos")
 
 
 SEQUENCE_FORMS_SQL = """
@@ -120,29 +125,33 @@ u AS (SELECT seq_id, pos, aa,
         {stable_hash_sql('42:pick', 'seq_id', 'pos')} / 4294967296.0 AS u1,
         {stable_hash_sql('42:kind', 'seq_id', 'pos')} / 4294967296.0 AS u2,
         substr('ACDEFGHIKLMNPQRSTVWY', CAST({stable_hash_sql('42:rand', 'seq_id', 'pos')} % 20 + 1 AS INTEGER), 1) AS rnd
-      FROM residues)
-SELECT CAST(seq_id AS BIGINT) AS seq_id, CAST(pos AS BIGINT) AS pos, aa,
+      FROM residues),
+m AS (SELECT seq_id, pos, aa,
        CASE WHEN u1 >= 0.15 THEN aa WHEN u2 < 0.8 THEN '#' WHEN u2 < 0.9 THEN rnd ELSE aa END AS input,
        CASE WHEN u1 < 0.15 THEN aa END AS label
-FROM u""")
+FROM u)
+SELECT CAST(seq_id AS BIGINT) AS seq_id, input, label, CAST(count(*) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos
+FROM m GROUP BY seq_id, input, label""")
 
 
-@query("mlm_masking", ("K3", "P10"), MLM_SQL)
+@query("mlm_masking", ("K3",), MLM_SQL)
 def mlm_masking(spark, sf):
-    m = ctx.mlm_mask(t.seqs(spark, sf))
-    return m.select(F.col("seq_id").cast("bigint"), F.col("pos").cast("bigint"), "aa", "input", "label")
+    """Masked input and label of every residue, summed per sequence, input and label."""
+    m = ctx.mlm_mask(t.seqs(spark, sf)).groupBy("seq_id", "input", "label").agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"))
+    return m.select(F.col("seq_id").cast("bigint"), "input", "label", "n", "sum_pos")
 
 
-MASK_EACH_SQL = q.with_ctes(q.RESIDUES, body=""",
-s AS (SELECT r.seq_id, r.pos, r.aa, s.sequence FROM residues r JOIN seqs s USING (seq_id))
-SELECT CAST(seq_id AS BIGINT) AS seq_id, CAST(pos AS BIGINT) AS pos, aa,
+MASK_EACH_SQL = q.with_ctes(q.REFS, body=""",
+s AS (SELECT seq_id, sequence, unnest(generate_series(1, length(sequence))) AS pos FROM refs)
+SELECT CAST(seq_id AS BIGINT) AS seq_id, CAST(pos AS BIGINT) AS pos, substr(sequence, pos, 1) AS aa,
        substr(sequence, 1, pos - 1) || '#' || substr(sequence, pos + 1) AS masked
 FROM s""")
 
 
 @query("masked_copies", ("K4",), MASK_EACH_SQL)
 def masked_copies(spark, sf):
-    m = ctx.mask_each_position(t.seqs(spark, sf))
+    """A copy per position is quadratic in a sequence's length, so the operator is for reference proteins, not texts."""
+    m = ctx.mask_each_position(t.references(spark, sf))
     return m.select(F.col("seq_id").cast("bigint"), F.col("pos").cast("bigint"), "aa", "masked")
 
 

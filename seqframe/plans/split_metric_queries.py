@@ -173,9 +173,9 @@ def epoch_loss(spark, sf):
 
 
 CLS_SQL = """
-WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[])[1:10] AS z FROM embeddings),
+WITH e AS (SELECT vec_id, label, embedding, CAST(embedding AS DOUBLE[]) AS z FROM embeddings),
 f AS (SELECT vec_id, label, z, list_max(z) AS m,
-        list_transform(range(10), lambda i: CASE WHEN i = label THEN 1.0 ELSE 0.0 END) AS y
+        list_transform(range(len(embedding)), lambda i: CASE WHEN i = label THEN 1.0 ELSE 0.0 END) AS y
       FROM e),
 g AS (SELECT label, z, y,
         m + ln(list_sum(list_transform(z, lambda v: exp(v - m)))) - z[label + 1] AS ce,
@@ -190,8 +190,8 @@ FROM g"""
 @query("classification_metrics", ("A10", "A13", "A14", "A22", "P11"), CLS_SQL)
 def classification_metrics(spark, sf):
     e = t.table(spark, sf, "embeddings").select(
-        "label", F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("z"))
-    e = e.withColumn("y", F.transform(F.sequence(F.lit(0), F.lit(9)),
+        "label", F.col("embedding").cast("array<double>").alias("z"))
+    e = e.withColumn("y", F.transform(F.sequence(F.lit(0), F.size("z") - 1),
                                       lambda i: F.when(i == F.col("label"), F.lit(1.0)).otherwise(F.lit(0.0))))
     e = mt.argmax_class(e, "z", "pred")
     # the four metrics as one aggregation over one scan

@@ -13,21 +13,26 @@ ALLOWED = ALPHABET + ALPHABET.lower()
 
 SEQS = [
     f"""seqs_raw AS (
-  SELECT doc_id AS seq_id,
-         substr(upper(regexp_replace(text, '[^{ALLOWED}]', '', 'g')), 1, 32) AS sequence
-  FROM documents)""",
-    "seqs AS (SELECT seq_id, sequence FROM seqs_raw WHERE length(sequence) = 32)",
+  SELECT doc_id AS seq_id, upper(regexp_replace(text, '[^{ALLOWED}]', '', 'g')) AS sequence FROM documents)""",
+    "seqs AS (SELECT seq_id, sequence FROM seqs_raw WHERE length(sequence) > 0)",
 ]
 
 ALPHA = [f"alpha AS (SELECT unnest(string_split('{ALPHABET}', '')) AS aa)"]
 
 RESIDUES = SEQS + [
-    """res_pos AS (SELECT seq_id, sequence, unnest(generate_series(1, length(sequence))) AS pos FROM seqs)""",
-    """residues AS (SELECT seq_id, CAST(pos AS INTEGER) AS pos, substr(sequence, pos, 1) AS aa FROM res_pos)""",
+    "split_seqs AS (SELECT seq_id, string_split(sequence, '') AS letters FROM seqs)",
+    """residues AS MATERIALIZED (SELECT seq_id, CAST(generate_subscripts(letters, 1) AS INTEGER) AS pos, unnest(letters) AS aa
+  FROM split_seqs)""",
 ]
 
-WT = SEQS + [
-    """wt AS (SELECT sequence AS wt_sequence, seq_id AS wt_id FROM seqs ORDER BY seq_id LIMIT 1)""",
+REFS = [
+    f"""refs_raw AS (
+  SELECT item_id AS seq_id, upper(regexp_replace(text, '[^{ALLOWED}]', '', 'g')) AS sequence FROM benchmark)""",
+    "refs AS (SELECT seq_id, sequence FROM refs_raw WHERE length(sequence) > 0)",
+]
+
+WT = REFS + [
+    """wt AS (SELECT sequence AS wt_sequence, seq_id AS wt_id FROM refs ORDER BY seq_id LIMIT 1)""",
     """wt_pos AS (SELECT wt_sequence, unnest(generate_series(1, length(wt_sequence))) AS pos FROM wt)""",
     """wt_res AS (SELECT CAST(pos AS INTEGER) AS pos, substr(wt_sequence, pos, 1) AS wt FROM wt_pos)""",
 ]

@@ -7,7 +7,7 @@ file is read in parallel splits and nothing passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -49,22 +49,26 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     the record order (file, then byte offset), so first-n stays well defined.
     """
     raw = (spark.read.option("lineSep", "\n>").text(path)
-           .withColumn("_file", F.input_file_name())
-           .withColumn("_order", F.monotonically_increasing_id()))
+           .select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                   F.monotonically_increasing_id().alias("_order")))
     v = F.col("value")
-    # a leading comment block belongs to the first chunk: drop lines up to the first '>'
-    v = F.when(F.locate(">", v) > 0, F.regexp_replace(v, r"^(?:[#!;][^\n]*\n)+", "")).otherwise(v)
-    v = F.regexp_replace(v, "^>", "")
-    x = raw.select("_file", "_order", v.alias("rec")).where(F.length(F.trim("rec")) > 0)
-    x = x.where(~F.col("rec").rlike(r"^[#!;]"))
+    # one row per block of a file: its place among all blocks, and its first chunk
+    blocks = raw.groupBy("_file", "_block").agg(F.min("_order").alias("_first")).withColumn(
+        "_at", F.row_number().over(Window.orderBy("_file", "_block")))
+    # only a file's first chunk can be a comment: a later one followed a ">" and is a record, whatever it begins with
+    lead = (F.col("_block") == 0) & (F.col("_order") == F.col("_first")) & v.rlike(r"^[#!;]")
+    raw = raw.join(blocks, ["_file", "_block"]).withColumn("_lead", lead)
+    v = F.when(F.col("_lead"), F.regexp_replace(v, r"^(?:[#!;][^\n]*(?:\n|$))+", "")).otherwise(v)
+    x = raw
+    x = x.select("_at", "_order", F.regexp_replace(v, "^>", "").alias("rec")).where(F.length(F.trim("rec")) > 0)
     parts = F.split(F.col("rec"), "\n", 2)
     header = F.trim(F.element_at(parts, 1))
     body = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
     seq = F.regexp_replace(body, r"\s+", "")
-    x = x.select("_file", "_order", header.alias("description"), seq.alias("sequence"))
+    x = x.select("_at", "_order", header.alias("description"), seq.alias("sequence"))
     x = x.withColumn("id", F.element_at(F.split("description", r"\s+"), 1))
     from seqframe.operators.ranking import row_number_by
-    x = row_number_by(x, ["_order"], out="rank")
+    x = row_number_by(x, ["_at", "_order"], out="rank")
     return x.select("rank", "id", "description", "sequence")
 
 
@@ -95,7 +99,8 @@ def write_feature_csv(df: DataFrame, path: str, seqcol: str, features: str = "fe
     if n_features is None:
         n_features = df.agg(F.max(F.size(features))).first()[0] or 0
     others = [c for c in (others or df.columns) if c not in (seqcol, features)]
-    cols = [F.col(seqcol)] + [F.col(features)[i].alias(str(i)) for i in range(n_features)] + [F.col(c) for c in others]
+    cols = [F.when(F.size(features) <= n_features, F.col(seqcol)).otherwise(
+        F.raise_error(F.lit(f"a row has more than {n_features} features"))).alias(seqcol)] + [F.col(features)[i].alias(str(i)) for i in range(n_features)] + [F.col(c) for c in others]
     df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
 
 

@@ -1,9 +1,10 @@
 """Driver tables and the derived views the operators work on.
 
-``seqs(seq_id, sequence)``: residues of ``documents.text`` (ASCII letters in
-the 20-letter alphabet, upper-cased), first ``length`` of them, rows of exactly
-that length. This is the fixed-length aligned family; the lowest ``seq_id`` is
-the wild type.
+``seqs(seq_id, sequence)``: all residues of each ``documents.text`` (ASCII
+letters in the 20-letter alphabet, upper-cased), rows with at least one. This is
+the family; a position beyond a sequence's end has nothing from it.
+``references(seq_id, sequence)``: the same from ``benchmark``; the lowest
+``seq_id`` is the wild type.
 ``labelled(seq_id, sequence, label)``: seqs joined with ``labels.quality``.
 ``residues(seq_id, pos, aa)``: seqs exploded, ``pos`` from 1.
 ``vectors(seq_id, pos, embedding)``: ``embeddings`` with ``label`` as seq_id
@@ -25,24 +26,28 @@ from seqframe.operators.ranking import row_number_by
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
-ALIGNED_LENGTH = 32
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def seqs(spark: SparkSession, sf_dir: str, length: int = ALIGNED_LENGTH) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    s = clean_residues("text", ALPHABET)
-    return (docs.select(F.col("doc_id").alias("seq_id"), F.substring(s, 1, length).alias("sequence"))
-            .where(F.length("sequence") == length))
+def _sequences(texts: DataFrame, id_col: str) -> DataFrame:
+    return (texts.select(F.col(id_col).alias("seq_id"), clean_residues("text", ALPHABET).alias("sequence"))
+            .where(F.length("sequence") > 0))
+
+
+def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sequences(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sequences(table(spark, sf_dir, "benchmark"), "item_id")
 
 
-def labelled(spark: SparkSession, sf_dir: str, length: int = ALIGNED_LENGTH) -> DataFrame:
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq_id"),
                                                 F.col("quality").cast("double").alias("label"))
-    return seqs(spark, sf_dir, length).join(lab, "seq_id")
+    return seqs(spark, sf_dir).join(lab, "seq_id")
 
 
 def residues_of(df: DataFrame, key: str = "seq_id", seq: str = "sequence") -> DataFrame:

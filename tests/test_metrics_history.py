@@ -81,3 +81,16 @@ def test_merge_history_and_report(spark):
     assert rep == [1, 10, 20]
     one = m.where("epoch = 10").first()
     assert (one["loss"], one["eval_loss"]) == (10.0, 20.0)
+
+
+def test_best_trial_ranks_nan_and_null_last(spark):
+    rows = spark.createDataFrame([(0, 0.3), (1, float("nan")), (2, 0.5), (3, None)], "trial int, value double")
+    for maximize, want in ((True, 2), (False, 0)):
+        assert mt.best_trial(rows, maximize=maximize).first()["trial"] == want
+
+
+def test_better_never_prefers_nan():
+    from seqframe.ml.search import _better
+    nan = float("nan")
+    assert _better(0.1, nan, True) and not _better(nan, 0.1, True) and not _better(nan, nan, False)
+    assert _better(0.2, 0.1, True) and _better(0.1, 0.2, False)

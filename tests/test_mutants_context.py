@@ -183,3 +183,17 @@ def test_descriptor_pairs_and_features(spark):
     assert len(pairs) == 3 and all(len(p["features"]) in (6, 12) for p in pairs)
     with pytest.raises(ValueError):
         ft.descriptor_table(spark, ["ms_whim_scores"])
+
+
+def test_pseudo_ppl_keeps_repeated_and_unknown_codes(spark):
+    fam = spark.createDataFrame([(i, s) for i, s in enumerate(["MKTAYIAK", "MKTAYLAK", "MRTAYIAR"])], "seq_id long, sequence string")
+    model = ctx.context_model_fit(fam)
+    wt = spark.createDataFrame([("MKTAYIAK",)], "wt_sequence string")
+    codes = spark.createDataFrame([(c,) for c in ["K2A", "K2A", "T3G", "K2X", "K99A"]], "mutant string")
+    rows = mz.pseudo_ppl(mz.parse_mutations(codes), wt, model).collect()
+    assert len(rows) == 5
+    score = {}
+    for r in rows:
+        score.setdefault(r["mutant"], set()).add(r["score"])
+    assert all(len(x) == 1 for x in score.values())
+    assert score["K99A"] == {None} and None not in score["K2A"]

@@ -93,3 +93,20 @@ def test_run_log_and_model_persistence(spark, tmp_dir):
     runs.save_model(model, mp)
     back = runs.load_model(mp)
     assert [r["z"] for r in back.transform(df).collect()] == [[-1.0], [1.0]]
+
+
+def test_read_fasta_many_files_and_hash_headers(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "many")
+    os.makedirs(d)
+    write(os.path.join(d, "a.fasta"), "# note\n>one\nAC\n>#two\nDE\n")
+    write(os.path.join(d, "b.fasta"), ">three\n" + "\n".join(["ACDEFGHIKL"] * 50) + "\n>four\nMK\n")
+    rows = fs.read_fasta(spark, d).orderBy("rank").collect()
+    assert [(r["rank"], r["id"]) for r in rows] == [(1, "one"), (2, "#two"), (3, "three"), (4, "four")]
+    assert fs.read_wild_type(spark, d).first()["wt_id"] == "one"
+    assert [r["id"] for r in fs.read_msa(spark, d, nseq=3).orderBy("rank").collect()] == ["one", "#two", "three"]
+
+
+def test_feature_csv_refuses_a_width_that_drops_features(spark, tmp_dir):
+    df = spark.createDataFrame([("AC", [1.0, 2.0, 3.0])], "sequence string, features array<double>")
+    with pytest.raises(Exception, match="more than 2 features"):
+        fs.write_feature_csv(df, os.path.join(tmp_dir, "w"), "sequence", n_features=2)
