@@ -28,7 +28,9 @@ LENGTH, GRAM = 50, 24
 STRETCH = LENGTH - GRAM + 1
 HALF = GRAM + (LENGTH - GRAM) // 2  # a window reaches this far to the left or to the right of any gram in it
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
+_STEP = 0x9E3779B97F4A7C15 | 1
+_BYTES = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=U)  # a fixed random number for each byte
+_POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 _KEYS = "block int, bucket int, keys binary, docs binary"
 _BITS = "block int, bucket int, smaller binary, shared binary"
 _KEYS_ARROW = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
@@ -37,10 +39,6 @@ _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 _OUT_TEXT = _OUT + ", kept binary"
 
 
-def _power(n: int) -> np.uint64:
-    return U(pow(_BASE, n, 1 << 64))
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> U(29))
     h *= U(0xBF58476D1CE4E5B9)
@@ -49,41 +47,33 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(29))
 
 
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the step and of its inverse, modulo 2 ** 64."""
+    if n > len(_POWERS[0]):
+        size = max(n, 2 * len(_POWERS[0]))
+        for k, step in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
+            x = np.full(size, step, U)
+            x[0] = 1
+            _POWERS[k] = np.cumprod(x)
+    return _POWERS
+
+
 class Prints:
-    """Fingerprints of any stretch of one document, from polynomial hashes of its prefixes."""
+    """Fingerprints of any stretch of one text, from sums over its prefixes."""
 
-    def __init__(self, data: bytes):
-        b = np.frombuffer(data, np.uint8)
-        level = (b.astype(U) + U(1)) * U(0xFF51AFD7ED558CCD)
-        self.n, self.levels, size = len(b), [level], 1
-        while size * 2 <= min(64, self.n):  # hashes of 2, 4, ... bytes from every position
-            level = level[:-size] * _power(size) + level[size:]
-            self.levels.append(level)
-            size *= 2
+    def __init__(self, text: bytes):
+        self.n = len(text)
+        up, self.down = _powers(self.n + 1)
+        self.sums = np.zeros(self.n + 1, U)
+        np.cumsum(_BYTES[np.frombuffer(text, np.uint8)] * up[: self.n], out=self.sums[1:])
 
     def all(self, length: int) -> np.ndarray:
         """Of every stretch of that length."""
-        return _mixed(self._sum(np.arange(self.n - length + 1), length))
+        return _mixed((self.sums[length:] - self.sums[:-length]) * self.down[: self.n - length + 1])
 
     def of(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Of the given stretches, up to 127 bytes long."""
-        h, at = np.zeros(len(starts), U), starts.astype(np.int64)
-        for k in range(len(self.levels) - 1, -1, -1):
-            size = 1 << k
-            has = (lengths & size) != 0
-            h[has] = h[has] * _power(size) + self.levels[k][at[has]]
-            at = at + np.where(has, size, 0)
-        return _mixed(h ^ lengths.astype(U))
-
-    def _sum(self, at: np.ndarray, length: int) -> np.ndarray:
-        h, lo, n = None, 0, len(at)
-        for k in range(len(self.levels) - 1, -1, -1):
-            size = 1 << k
-            if length & size:
-                part = self.levels[k][lo:lo + n]
-                h = part if h is None else h * _power(size) + part
-                lo += size
-        return h
+        """Of the given stretches."""
+        return _mixed((self.sums[starts + lengths] - self.sums[starts]) * self.down[starts] ^ lengths.astype(U))
 
 
 def _sliding(x: np.ndarray, width: int, take) -> np.ndarray:
@@ -94,24 +84,25 @@ def _sliding(x: np.ndarray, width: int, take) -> np.ndarray:
     return take(x[:-(width - size)], x[width - size:]) if width > size else x
 
 
-def anchors(prints: Prints) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor positions, the fingerprints of their grams, and for each 50-byte window the number of its anchor.
+def anchors(prints: Prints) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor positions, the fingerprints of their grams, and the first and last start of each one's 50-byte windows.
 
-    A window's anchor is the first gram in it with the smallest fingerprint.
+    A window's anchor is the first gram in it with the smallest fingerprint, so
+    the windows of an anchor follow each other.
     """
     g = prints.all(GRAM)
     least = _sliding(g, STRETCH, np.minimum)
-    first = np.zeros(len(least), np.int64)
-    # the first position at or after a window's start whose gram is that window's smallest: scan by the stretch's 27 offsets
-    left = np.arange(len(least))
-    for k in range(STRETCH):
-        if not len(left):
-            break
-        hit = g[left + k] == least[left]
-        first[left[hit]] = left[hit] + k
-        left = left[~hit]
-    at, own = np.unique(first, return_inverse=True)
-    return at, g[at], own
+    padded = np.zeros(len(least) + 2 * (STRETCH - 1), U)
+    padded[STRETCH - 1:STRETCH - 1 + len(least)] = least
+    some = np.flatnonzero(_sliding(padded, STRETCH, np.maximum) == g)  # smallest in some window
+    own = np.searchsorted(some, np.arange(len(least)))
+    off = np.flatnonzero(g[some[own]] != least)
+    while len(off):
+        own[off] += 1
+        off = off[g[some[own[off]]] != least[off]]
+    new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    at = some[own[new]]
+    return at, g[at], new, np.r_[new[1:], len(own)] - 1
 
 
 def _send(block: int, keys: np.ndarray, docs: np.ndarray, buckets: int) -> Iterator[tuple]:
@@ -179,29 +170,27 @@ class Rounds:
         self.docs = []
         for i, t in zip(ids, texts):
             if i is not None and len(t) >= LENGTH:
-                p = Prints(t)
-                self.docs.append((i, p, *anchors(p)))
+                self.docs.append((i, t, *anchors(Prints(t))))
         self.doc = np.concatenate([np.full(len(x[2]), x[0], np.int64) for x in self.docs]) if self.docs else np.zeros(0, np.int64)
 
     def grams(self) -> np.ndarray:
         return np.concatenate([x[3] for x in self.docs]) if self.docs else np.zeros(0, U)
 
     def contexts(self, open_: np.ndarray):
-        """For each document its open anchors, their windows' first and last start, and the keys of context, left and right half."""
-        lo = 0
-        for i, p, at, _, own in self.docs:
-            mine = open_[lo:lo + len(at)]
+        """For each document its open anchors' first and last window, and the keys of their contexts, left and right halves."""
+        lo, none, no = 0, np.zeros(0, np.int64), np.zeros(0, bool)
+        for i, t, at, _, first, last in self.docs:
+            pick = np.flatnonzero(open_[lo:lo + len(at)])
             lo += len(at)
-            first = np.searchsorted(own, np.arange(len(at)))
-            last = np.searchsorted(own, np.arange(len(at)), "right") - 1
-            pick = np.flatnonzero(mine)
+            if not len(pick):
+                yield i, t, none, none, none.astype(U), none.astype(U), none.astype(U), no, no
+                continue
+            p, half = Prints(t), np.full(len(pick), HALF)
             a, f, e = at[pick], first[pick], last[pick]
-            whole = p.of(f, e + LENGTH - f)
-            left_from, right_to = a - (HALF - GRAM), a + HALF
-            left = np.where(left_from >= 0, p.of(np.maximum(left_from, 0), np.full(len(a), HALF)), U(0)) if len(a) else whole
-            ok = right_to <= p.n
-            right = np.where(ok, p.of(np.where(ok, a, 0), np.full(len(a), HALF)), U(0)) if len(a) else whole
-            yield i, p, f, e, whole, left ^ U(0x5555), right ^ U(0xAAAA), left_from >= 0, ok
+            has_left, has_right = a >= HALF - GRAM, a + HALF <= len(t)
+            left = p.of(np.where(has_left, a - (HALF - GRAM), 0), np.where(has_left, half, 0)) ^ U(0x5555)
+            right = p.of(np.where(has_right, a, 0), np.where(has_right, half, 0)) ^ U(0xAAAA)
+            yield i, t, f, e, p.of(f, e + LENGTH - f), left, right, has_left, has_right
 
     def ask_contexts(self, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, docs = [], []
@@ -211,24 +200,24 @@ class Rounds:
         return (np.concatenate(keys), np.concatenate(docs)) if keys else (np.zeros(0, U), np.zeros(0, np.int64))
 
     def after_contexts(self, open_: np.ndarray, smaller: np.ndarray, shared: np.ndarray):
-        """(document, prints, its settled windows, its windows still to be compared) in the order of the documents.
+        """(document, text, its settled windows, its windows still to be compared) in the order of the documents.
 
         Settled: a smaller document has the whole context. To be compared: some
         other document has the left or the right half; the smallest document
         with a window is always among these.
         """
         lo = 0
-        for i, p, f, e, whole, left, right, has_left, has_right in self.contexts(open_):
+        for i, t, f, e, whole, left, right, has_left, has_right in self.contexts(open_):
             n, nl, nr = len(whole), int(has_left.sum()), int(has_right.sum())
             settled, half = smaller[lo:lo + n], np.zeros(n, bool)
             half[has_left] = shared[lo + n:lo + n + nl]
             half[has_right] |= shared[lo + n + nl:lo + n + nl + nr]
             lo += n + nl + nr
             span = lambda m: np.concatenate([np.arange(a, b + 1) for a, b in zip(f[m], e[m])]) if m.any() else np.zeros(0, np.int64)
-            yield i, p, span(settled), span(~settled & half)
+            yield i, t, span(settled), span(~settled & half)
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20,
+def remove_repeats(docs: DataFrame, block_bytes: int = 6 << 20, bucket_bytes: int = 16 << 20,
                    id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row (with ``keep_bytes`` also what is kept).
 
@@ -285,14 +274,14 @@ def _of_round(told: pa.Table, round_: int) -> dict[int, tuple[bytes, bytes]]:
 
 
 def _windows_asked(r: Rounds, told: pa.Table) -> list[tuple]:
-    """(document, prints, settled windows, open windows) once the contexts are answered."""
+    """(document, text, settled windows, open windows) once the contexts are answered."""
     _, open_ = _found(r.grams(), r.doc, _of_round(told, 1), r.buckets)
     keys, docs = r.ask_contexts(open_)
     return list(r.after_contexts(open_, *_found(keys, docs, _of_round(told, 2), r.buckets)))
 
 
 def _open_keys(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    keys = [p.of(w, np.full(len(w), LENGTH)) for _, p, _, w in found]
+    keys = [Prints(t).of(w, np.full(len(w), LENGTH)) if len(w) else np.zeros(0, U) for _, t, _, w in found]
     docs = [np.full(len(w), i, np.int64) for i, _, _, w in found]
     return (np.concatenate(keys), np.concatenate(docs)) if keys else (np.zeros(0, U), np.zeros(0, np.int64))
 
