@@ -165,6 +165,7 @@ def link_sets(texts: DataFrame, indexed: DataFrame, length: int, percent: int, s
         F.first("n").alias("n"), F.first("m").alias("m")), "lists")
     few, many = lists.where(F.col("m") <= short), lists.where(F.col("m") > short)
     in_long = many.groupBy("sid").agg(F.count("*").alias("h"))
+    many = many.join(in_long, "sid")
 
     a, b = few.select("token", F.col("sid").alias("a"), F.col("n").alias("na")), few.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"))
     met = (a.join(b, "token").where((F.col("a") < F.col("b")) & join.size_fits(F.col("na"), F.col("nb")))
@@ -174,12 +175,20 @@ def link_sets(texts: DataFrame, indexed: DataFrame, length: int, percent: int, s
     unseen = F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
     met = met.where(F.col("c") + unseen >= join.shared_needed(F.col("na"), F.col("nb"))).select("a", "b")
 
-    # long lists: every set with the same few members, the leaders
-    best = many.groupBy("token").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "sid").alias("h"), F.col("sid"), F.col("n"))).alias(f"l{i}")
+    # Pairs that meet in short lists are settled above. All others share their prefix shingles in long lists alone, so
+    # both sets have as many there as a pair must share.
+    def may_link(n, h, other_n, other_h) -> Column:
+        return join.size_fits(n, other_n) & (F.least(h, other_h) >= join.shared_needed(n, other_n))
+
+    # long lists: every set with the leaders of two of its lists; which ones only changes what is left for the last step
+    best = many.groupBy("token").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "sid").alias("x"), F.col("sid"), F.col("n"), F.col("h"))).alias(f"l{i}")
                                        for i in range(leaders)])
     led = best.select("token", F.explode(F.array_distinct(F.transform(F.array(*[f"l{i}" for i in range(leaders)]), lambda x: F.struct(
-        x["sid"].alias("sid"), x["n"].alias("n"))))).alias("l")).select("token", F.col("l.sid").alias("y"), F.col("l.n").alias("ny"))
-    led = many.join(led, "token").where((F.col("sid") != F.col("y")) & join.size_fits(F.col("n"), F.col("ny")))
+        x["sid"].alias("sid"), x["n"].alias("n"), x["h"].alias("h"))))).alias("l")).select(
+        "token", F.col("l.sid").alias("y"), F.col("l.n").alias("ny"), F.col("l.h").alias("hy"))
+    two = many.groupBy("sid", "n", "h").agg(F.min("token").alias("t0"), F.max("token").alias("t1")).select(
+        "sid", "n", "h", F.explode(F.array_distinct(F.array("t0", "t1"))).alias("token"))
+    led = two.join(led, "token").where((F.col("sid") != F.col("y")) & may_link(F.col("n"), F.col("h"), F.col("ny"), F.col("hy")))
     join.link(met.unionAll(led.select(F.least("sid", "y").alias("a"), F.greatest("sid", "y").alias("b"))))
     label = components(join.all_edges()) if join.edges else None
 
@@ -191,9 +200,9 @@ def link_sets(texts: DataFrame, indexed: DataFrame, length: int, percent: int, s
     placed = written(placed.join(main.where("parts > 1"), "token"), "placed")
     if placed.isEmpty():
         return label
-    outside = placed.where("component <> main").select("token", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    other = placed.select("token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    rest = outside.join(other, "token").where((F.col("cx") != F.col("cy")) & join.size_fits(F.col("nx"), F.col("ny")))
+    outside = placed.where("component <> main").select("token", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("h").alias("hx"), F.col("component").alias("cx"))
+    other = placed.select("token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("h").alias("hy"), F.col("component").alias("cy"))
+    rest = outside.join(other, "token").where((F.col("cx") != F.col("cy")) & may_link(F.col("nx"), F.col("hx"), F.col("ny"), F.col("hy")))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     for done in join.tested:
         rest = rest.join(done, ["a", "b"], "left_anti")
@@ -202,7 +211,7 @@ def link_sets(texts: DataFrame, indexed: DataFrame, length: int, percent: int, s
 
 
 def similar_documents(docs: DataFrame, length: int = 5, percent: int = 80, frequent: int = 16, short: int = 64,
-                      leaders: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                      leaders: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     Sets of distinct shingles of ``length`` words link when their intersection
