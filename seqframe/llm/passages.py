@@ -105,8 +105,20 @@ def anchors(prints: Prints) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return at, g[at], new, np.r_[new[1:], len(own)] - 1
 
 
-def _send(block: int, keys: np.ndarray, docs: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """(block, bucket, sorted distinct keys, smallest document of each)."""
+def _packed(x: np.ndarray) -> bytes:
+    """Unsigned numbers as planes of their bytes, which compress well in a shuffle; the first byte is the number of planes."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros(((len(data) - 1) // data[0], 8), np.uint8)
+    out[:, :data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1).T
+    return out.view("<u8").ravel()
+
+
+def _send(block: int, keys: np.ndarray, docs: np.ndarray, buckets: int, with_docs: bool = True) -> Iterator[tuple]:
+    """(block, bucket, steps between sorted distinct keys, smallest document of each)."""
     if not len(keys):
         return
     order = np.lexsort((docs, keys))
@@ -116,7 +128,8 @@ def _send(block: int, keys: np.ndarray, docs: np.ndarray, buckets: int) -> Itera
     where = (keys >> U(32)) * U(buckets) >> U(32)
     cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
     for lo, hi in zip(cuts, [*cuts[1:], len(keys)]):
-        yield block, int(where[lo]), keys[lo:hi].tobytes(), docs[lo:hi].tobytes()
+        sent = _packed(docs[lo:hi].view(U)) if with_docs else b""
+        yield block, int(where[lo]), _packed(np.r_[keys[lo], np.diff(keys[lo:hi])]), sent
 
 
 def _found(keys: np.ndarray, docs: np.ndarray, answers: dict[int, tuple[bytes, bytes]], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +158,9 @@ def _found(keys: np.ndarray, docs: np.ndarray, answers: dict[int, tuple[bytes, b
 def _answer(table: pa.Table) -> Iterator[tuple]:
     """In one bucket: sort all keys; tell each block which of its keys another block has, with a smaller document and at all."""
     rows = list(zip(*[table.column(x).to_pylist() for x in ("block", "bucket", "keys", "docs")]))
-    keys = np.concatenate([np.frombuffer(r[2], U) for r in rows])
-    docs = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
+    each = [np.cumsum(_unpacked(r[2]), dtype=U) for r in rows]
+    keys = np.concatenate(each)
+    docs = np.concatenate([_unpacked(r[3]).view(np.int64) if r[3] else np.zeros(len(x), np.int64) for r, x in zip(rows, each)])
     order = np.lexsort((docs, keys))
     k = keys[order]
     new = np.r_[True, k[1:] != k[:-1]]
@@ -155,8 +169,8 @@ def _answer(table: pa.Table) -> Iterator[tuple]:
     least[order] = docs[order][at][group]
     shared[order] = (np.diff(np.r_[at, len(k)]) > 1)[group]
     lo = 0
-    for block, bucket, x, _ in rows:
-        hi = lo + len(x) // 8
+    for (block, bucket, _, _), x in zip(rows, each):
+        hi = lo + len(x)
         if shared[lo:hi].any():
             yield block, bucket, np.packbits(least[lo:hi] < docs[lo:hi]).tobytes(), np.packbits(shared[lo:hi]).tobytes()
         lo = hi
@@ -174,7 +188,8 @@ class Rounds:
         self.doc = np.concatenate([np.full(len(x[2]), x[0], np.int64) for x in self.docs]) if self.docs else np.zeros(0, np.int64)
 
     def grams(self) -> np.ndarray:
-        return np.concatenate([x[3] for x in self.docs]) if self.docs else np.zeros(0, U)
+        """The anchors' prints without their last bits: a wrong match here only has more compared."""
+        return np.concatenate([x[3] for x in self.docs]) & U(0xFFFFFFFFFF000000) if self.docs else np.zeros(0, U)
 
     def contexts(self, open_: np.ndarray):
         """For each document its open anchors' first and last window, and the keys of their contexts, left and right halves."""
@@ -217,7 +232,7 @@ class Rounds:
             yield i, t, span(settled), span(~settled & half)
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = 6 << 20, bucket_bytes: int = 16 << 20,
+def remove_repeats(docs: DataFrame, block_bytes: int = 3 << 20, bucket_bytes: int = 8 << 20,
                    id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row (with ``keep_bytes`` also what is kept).
 
@@ -292,7 +307,7 @@ def _rounds(table: pa.Table, told: pa.Table | None, round_: int, buckets: int) -
     block = table.column("block")[0].as_py()
     r = Rounds(block, table.column("doc_id").to_pylist(), table.column("t").to_pylist(), buckets)
     if round_ == 1:
-        yield from _send(block, r.grams(), r.doc, buckets)
+        yield from _send(block, r.grams(), r.doc, buckets, with_docs=False)  # only whether a gram is shared
     elif round_ == 2:
         yield from _send(block, *r.ask_contexts(_found(r.grams(), r.doc, _of_round(told, 1), buckets)[1]), buckets)
     else:
