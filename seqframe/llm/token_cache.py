@@ -12,9 +12,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import text_or_empty
+from seqframe.llm.common import text_or_empty, written
 from seqframe.llm.tokenize import encoded, tokenizer_digest
 
+#: A text with more than this share of all rows is joined by broadcast: fewer than so many digests of 32 bytes.
+OFTEN = 1000
 CACHE = "digest binary, n_tokens long, tokenizer string"
 #: Ways to normalise a text before its digest. ``exact`` fits every tokenizer;
 #: ``lower`` only one that lower-cases and drops white space itself.
@@ -56,12 +58,16 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = "byte_bpe_50
 
     A null text counts as empty (0 bytes, 0 tokens). Ids may be null or
     repeated; each row gives one row. Other columns are ignored. The join back
-    is on the digest; rows that share one text are split by the adaptive skew
-    join, and the cache side has one row per digest.
+    is on the digest. A text that more than one row in ``OFTEN`` holds is
+    joined by broadcast, where its rows lie: fewer than ``OFTEN`` texts can.
     """
     fill_cache(docs, cache_path, tokenizer, normal, text_col)
     own = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(own).cast("long").alias("n_bytes"),
-                       F.unhex(F.sha2(NORMAL[normal](own), 256)).alias("digest"))
-    return rows.join(read_cache(docs.sparkSession, cache_path, tokenizer), "digest").select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(own).cast("long").alias("n_bytes"),
+                               F.unhex(F.sha2(NORMAL[normal](own), 256)).alias("digest")), "digests")
+    counts = read_cache(docs.sparkSession, cache_path, tokenizer)
+    often = rows.groupBy("digest").agg(F.count("*").alias("copies")).where(F.col("copies") * OFTEN > rows.count()).select("digest")
+    often = written(counts.join(F.broadcast(often), "digest"), "often")
+    seldom = rows.join(F.broadcast(often.select("digest")), "digest", "left_anti")
+    found = rows.join(F.broadcast(often), "digest").unionByName(seldom.join(counts, "digest"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -46,7 +46,9 @@ def test_other_tokenizers(name):
     assert len(ids[0]) > 1 and ids[1] == []
 
 
-def test_token_counts_cache(spark, docs):
+@pytest.mark.parametrize("often", [2, 1000])
+def test_token_counts_cache(spark, docs, often, monkeypatch):
+    monkeypatch.setattr(token_cache, "OFTEN", often)
     path = os.path.join(tempfile.mkdtemp(), "cache")
     want = sorted((r.doc_id if r.doc_id is not None else -1, len((r.text or "").encode()), n) for r, n in
                   zip(docs.collect(), map(len, library([r.text for r in docs.collect()]))))
