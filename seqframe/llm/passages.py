@@ -94,8 +94,9 @@ def anchors(prints: Prints) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     least = _sliding(g, STRETCH, np.minimum)
     padded = np.zeros(len(least) + 2 * (STRETCH - 1), U)
     padded[STRETCH - 1:STRETCH - 1 + len(least)] = least
-    some = np.flatnonzero(_sliding(padded, STRETCH, np.maximum) == g)  # smallest in some window
-    own = np.searchsorted(some, np.arange(len(least)))
+    is_some = _sliding(padded, STRETCH, np.maximum) == g  # smallest in some window
+    some = np.flatnonzero(is_some)
+    own = (np.cumsum(is_some) - is_some)[: len(least)]  # the first of these at or after each start
     off = np.flatnonzero(g[some[own]] != least)
     while len(off):
         own[off] += 1
@@ -184,7 +185,8 @@ class Rounds:
         self.docs = []
         for i, t in zip(ids, texts):
             if i is not None and len(t) >= LENGTH:
-                self.docs.append((i, t, *anchors(Prints(t))))
+                prints = Prints(t)
+                self.docs.append((i, prints, *anchors(prints)))
         self.doc = np.concatenate([np.full(len(x[2]), x[0], np.int64) for x in self.docs]) if self.docs else np.zeros(0, np.int64)
 
     def grams(self) -> np.ndarray:
@@ -194,42 +196,42 @@ class Rounds:
     def contexts(self, open_: np.ndarray):
         """For each document its open anchors' first and last window, and the keys of their contexts, left and right halves."""
         lo, none, no = 0, np.zeros(0, np.int64), np.zeros(0, bool)
-        for i, t, at, _, first, last in self.docs:
+        for i, p, at, _, first, last in self.docs:
             pick = np.flatnonzero(open_[lo:lo + len(at)])
             lo += len(at)
             if not len(pick):
-                yield i, t, none, none, none.astype(U), none.astype(U), none.astype(U), no, no
+                yield i, p, none, none, none.astype(U), none.astype(U), none.astype(U), no, no
                 continue
-            p, half = Prints(t), np.full(len(pick), HALF)
+            half = np.full(len(pick), HALF)
             a, f, e = at[pick], first[pick], last[pick]
-            has_left, has_right = a >= HALF - GRAM, a + HALF <= len(t)
+            has_left, has_right = a >= HALF - GRAM, a + HALF <= p.n
             left = p.of(np.where(has_left, a - (HALF - GRAM), 0), np.where(has_left, half, 0)) ^ U(0x5555)
             right = p.of(np.where(has_right, a, 0), np.where(has_right, half, 0)) ^ U(0xAAAA)
-            yield i, t, f, e, p.of(f, e + LENGTH - f), left, right, has_left, has_right
+            yield i, p, f, e, p.of(f, e + LENGTH - f), left, right, has_left, has_right
 
-    def ask_contexts(self, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ask_contexts(self, contexts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         keys, docs = [], []
-        for i, _, _, _, whole, left, right, has_left, has_right in self.contexts(open_):
+        for i, _, _, _, whole, left, right, has_left, has_right in contexts:
             keys += [whole, left[has_left], right[has_right]]
             docs.append(np.full(len(whole) + has_left.sum() + has_right.sum(), i, np.int64))
         return (np.concatenate(keys), np.concatenate(docs)) if keys else (np.zeros(0, U), np.zeros(0, np.int64))
 
-    def after_contexts(self, open_: np.ndarray, smaller: np.ndarray, shared: np.ndarray):
-        """(document, text, its settled windows, its windows still to be compared) in the order of the documents.
+    def after_contexts(self, contexts: list[tuple], smaller: np.ndarray, shared: np.ndarray):
+        """(document, its prints, its settled windows, its windows still to be compared) in the order of the documents.
 
         Settled: a smaller document has the whole context. To be compared: some
         other document has the left or the right half; the smallest document
         with a window is always among these.
         """
         lo = 0
-        for i, t, f, e, whole, left, right, has_left, has_right in self.contexts(open_):
+        for i, p, f, e, whole, left, right, has_left, has_right in contexts:
             n, nl, nr = len(whole), int(has_left.sum()), int(has_right.sum())
             settled, half = smaller[lo:lo + n], np.zeros(n, bool)
             half[has_left] = shared[lo + n:lo + n + nl]
             half[has_right] |= shared[lo + n + nl:lo + n + nl + nr]
             lo += n + nl + nr
             span = lambda m: np.concatenate([np.arange(a, b + 1) for a, b in zip(f[m], e[m])]) if m.any() else np.zeros(0, np.int64)
-            yield i, t, span(settled), span(~settled & half)
+            yield i, p, span(settled), span(~settled & half)
 
 
 def remove_repeats(docs: DataFrame, block_bytes: int = 3 << 20, bucket_bytes: int = 8 << 20,
@@ -289,14 +291,15 @@ def _of_round(told: pa.Table, round_: int) -> dict[int, tuple[bytes, bytes]]:
 
 
 def _windows_asked(r: Rounds, told: pa.Table) -> list[tuple]:
-    """(document, text, settled windows, open windows) once the contexts are answered."""
+    """(document, prints, settled windows, open windows) once the contexts are answered."""
     _, open_ = _found(r.grams(), r.doc, _of_round(told, 1), r.buckets)
-    keys, docs = r.ask_contexts(open_)
-    return list(r.after_contexts(open_, *_found(keys, docs, _of_round(told, 2), r.buckets)))
+    contexts = list(r.contexts(open_))
+    keys, docs = r.ask_contexts(contexts)
+    return list(r.after_contexts(contexts, *_found(keys, docs, _of_round(told, 2), r.buckets)))
 
 
 def _open_keys(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    keys = [Prints(t).of(w, np.full(len(w), LENGTH)) if len(w) else np.zeros(0, U) for _, t, _, w in found]
+    keys = [p.of(w, np.full(len(w), LENGTH)) if len(w) else np.zeros(0, U) for _, p, _, w in found]
     docs = [np.full(len(w), i, np.int64) for i, _, _, w in found]
     return (np.concatenate(keys), np.concatenate(docs)) if keys else (np.zeros(0, U), np.zeros(0, np.int64))
 
@@ -309,7 +312,8 @@ def _rounds(table: pa.Table, told: pa.Table | None, round_: int, buckets: int) -
     if round_ == 1:
         yield from _send(block, r.grams(), r.doc, buckets, with_docs=False)  # only whether a gram is shared
     elif round_ == 2:
-        yield from _send(block, *r.ask_contexts(_found(r.grams(), r.doc, _of_round(told, 1), buckets)[1]), buckets)
+        open_ = _found(r.grams(), r.doc, _of_round(told, 1), buckets)[1]
+        yield from _send(block, *r.ask_contexts(list(r.contexts(open_))), buckets)
     else:
         yield from _send(block, *_open_keys(_windows_asked(r, told)), buckets)
 
