@@ -201,9 +201,15 @@ def link_sets(texts: DataFrame, indexed: DataFrame, length: int, percent: int, s
     if placed.isEmpty():
         return label
     outside = placed.where("component <> main").select("token", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("h").alias("hx"), F.col("component").alias("cx"))
-    other = placed.select("token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("h").alias("hy"), F.col("component").alias("cy"))
-    rest = outside.join(other, "token").where((F.col("cx") != F.col("cy")) & may_link(F.col("nx"), F.col("hx"), F.col("ny"), F.col("hy")))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    other = placed.select("token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("h").alias("hy"), F.col("component").alias("cy"),
+                          (F.col("component") == F.col("main")).alias("in_main"))
+    rest = outside.join(other, "token").where((F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y")))
+                                              & may_link(F.col("nx"), F.col("hx"), F.col("ny"), F.col("hy")))
+    # At most one of two components is a list's main one, so a pair comes once from each list that both sets are in: its
+    # rows are its shared prefix shingles, and fewer than a pair must share rule it out.
+    rest = (rest.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            .agg(F.count("*").alias("c"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+            .where(F.col("c") >= join.shared_needed(F.col("nx"), F.col("ny"))).select("a", "b"))
     for done in join.tested:
         rest = rest.join(done, ["a", "b"], "left_anti")
     join.link(rest)
