@@ -3,16 +3,20 @@
 Edit distance between word sequences is turned into Hamming distance by the
 random walk of Chakraborty, Goldenberg and Koucky: a pointer steps on or stays
 by a random bit of the word it reads, and what it reads at each step is the
-embedding. Samples of a few steps are hash keys; repeated walks and samples
-reach the wanted recall. Windows of an item's size that share a key with an
-item are compared with it by exact edit distance. Windows with too few of the
-items' words or word pairs to be within the distance are not embedded; that
-loses nothing, as an edit spoils one word and two pairs at most.
+embedding. Samples of a few steps are hash keys. As walks drift apart with each
+edit, items are embedded in pieces of 15 to 29 words: of a passage within the
+distance, one piece at least has no more than its share of the edits. Each
+length of piece gets the walks that find it with its share of edits at the
+wanted recall. Where a piece's key is that of a window, the whole item is
+compared by exact edit distance. Windows with too few of the items' words or
+word pairs to hold a piece are not embedded; that loses nothing, as an edit
+spoils one word and two pairs at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +25,10 @@ from pyspark.sql import functions as F
 
 #: Items sent to the tasks at a time: further ones go in further passes over the documents.
 MAX_ITEMS, MAX_ITEM_BYTES = 20_000, 32 << 20
-WALKS, SAMPLES, SAMPLE_STEPS = 6, 8, 4
+#: Words of a piece (up to twice as many less one), keys of a walk, and steps of a key; a piece's steps fit a word's 64 bits.
+PIECE, SAMPLES, SAMPLE_STEPS = 15, 8, 4
+#: Share of pieces with all edits allowed that the walks find in trials; lengths that need more walks are compared at every window.
+RECALL, MAX_WALKS, TRIALS = 0.99, 32, 1000
 COLUMNS = "doc_id long, item_id long, distance long, item_words long, start_word long"
 U = np.uint64
 _NAMES = [x.split()[0] for x in COLUMNS.split(", ")]
@@ -38,6 +45,12 @@ def edits_allowed(n_words: int, percent: int) -> int:
     return n_words * (100 - percent) // 100
 
 
+def pieces(n_words: int) -> list[tuple[int, int]]:
+    """Starts and ends of an item's pieces."""
+    n = max(1, n_words // PIECE)
+    return [(n_words * i // n, n_words * (i + 1) // n) for i in range(n)]
+
+
 def nearest(item: list[int], part: list[int]) -> tuple[int, int]:
     """Least edit distance of the item to any stretch of ``part``, and where the first such stretch ends (bit-parallel)."""
     n, where = len(item), {}
@@ -58,10 +71,62 @@ def nearest(item: list[int], part: list[int]) -> tuple[int, int]:
     return best, end
 
 
+def _walk_bits(walk: int, n_words: int) -> np.ndarray:
+    """64 random bits of each word id for a walk: bit t says if it steps on from that word in step t."""
+    x = (np.arange(n_words, dtype=U) + U(1)) * U(0x9E3779B97F4A7C15) + U((walk + 1) * 0xD1B54A32D192ED03 % 2**64)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> U(shift))) * U(by)
+    return x ^ (x >> U(31))
+
+
+def _picks(walk: int, steps: int) -> list[np.ndarray]:
+    rng = np.random.default_rng([walk, steps])
+    return [np.sort(rng.permutation(steps)[:SAMPLE_STEPS]) for _ in range(SAMPLES)]
+
+
+def _keys(ids: np.ndarray, starts: np.ndarray, bits: np.ndarray, steps: int, picks: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Keys of the windows at ``starts`` for each sample of a walk, in a fixed order."""
+    at, read = starts.copy(), np.empty((steps, len(starts)), np.uint32)
+    for t in range(steps):
+        read[t] = ids[at]
+        at += ((bits[read[t]] >> U(t)) & U(1)).astype(at.dtype)
+    for sample in picks:
+        key = np.zeros(len(starts), U)
+        for t in sample:
+            key = (key ^ (key >> U(31))) * U(0x9E3779B97F4A7C15) + read[t]
+        yield key
+
+
+@lru_cache(maxsize=None)
+def walks_needed(n: int, edits: int, steps: int) -> int | None:
+    """Walks that find ``RECALL`` of random pieces of ``n`` words with ``edits`` random edits; None if ``MAX_WALKS`` do not."""
+    rng, vocabulary = np.random.default_rng([n, edits, steps]), 20_000
+    word = lambda *size: rng.integers(1, vocabulary, size).astype(np.uint32)
+    width = n + 3 * edits + steps + 1
+    items, docs = np.zeros((TRIALS, n + steps + 1), np.uint32), word(TRIALS, width)
+    items[:, :n] = word(TRIALS, n)
+    for item, doc in zip(items, docs):
+        own = item[:n].tolist()
+        for p in sorted(rng.permutation(n)[:edits].tolist(), reverse=True):
+            new = word(1).tolist()
+            own[p:p + 1] = (new, [own[p], *new], [])[rng.integers(3)]
+        doc[edits:edits + len(own)] = own
+    own_starts = np.arange(TRIALS) * items.shape[1]
+    starts = (np.arange(TRIALS)[:, None] * width + np.arange(2 * edits + 1)).ravel()
+    found = np.zeros(TRIALS, bool)
+    for walk in range(MAX_WALKS):
+        bits, picks = _walk_bits(walk, vocabulary), _picks(walk, steps)
+        for a, b in zip(_keys(items.ravel(), own_starts, bits, steps, picks), _keys(docs.ravel(), starts, bits, steps, picks)):
+            found |= (b.reshape(TRIALS, -1) == a[:, None]).any(1)
+        if found.mean() >= RECALL:
+            return walk + 1
+    return None
+
+
 class Finder:
-    """The items of a pass, their vocabulary and their keys, by classes of similar length."""
+    """The items of a pass, their vocabulary and their pieces' keys, by classes of similar length."""
 
-    def __init__(self, items: list[tuple[int, str]], percent: int, seed: int = 1):
+    def __init__(self, items: list[tuple[int, str]], percent: int):
         self.vocabulary: dict[bytes, int] = {}
         self.items, self.percent = [], percent
         for item, text in items:
@@ -69,50 +134,40 @@ class Finder:
                 self.items.append((item, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own]))
         self.lookup = {w: np.uint32(i).tobytes() for w, i in self.vocabulary.items()}
         self.pairs = np.zeros(1 << 24, bool)  # marks the items' word pairs; a wrong mark only embeds a window more
-        for _, own in self.items:
-            self.pairs[self._pair(np.array(own[:-1], np.uint32), np.array(own[1:], np.uint32))] = True
-        by_class: dict[int, list[int]] = {}
+        by_class: dict[int, list[tuple[int, int, int]]] = {}
         for k, (_, own) in enumerate(self.items):
-            by_class.setdefault(int(np.log(len(own)) / np.log(1.25)), []).append(k)
-        self.classes, rng = [], np.random.default_rng(seed)
-        self.margin = 2
+            self.pairs[self._pair(np.array(own[:-1], np.uint32), np.array(own[1:], np.uint32))] = True
+            for lo, hi in pieces(len(own)):
+                by_class.setdefault(int(np.log(hi - lo) / np.log(1.25)), []).append((k, lo, hi))
+        self.classes, self.margin = [], 2
+        self.bits: list[np.ndarray] = []
         for members in by_class.values():
-            sizes = [len(self.items[k][1]) for k in members]
+            sizes = {hi - lo for _, lo, hi in members}
             least = min(n - edits_allowed(n, percent) for n in sizes)
             pairs = min(n - 1 - 2 * edits_allowed(n, percent) for n in sizes)
             span = max(n + edits_allowed(n, percent) for n in sizes)
             steps = max(1, min(sizes) * 8 // 5)
-            walks = rng.integers(0, 2, (WALKS, steps, len(self.vocabulary) + 1), np.uint8)
-            picks = [[np.sort(rng.permutation(steps)[:SAMPLE_STEPS]) for _ in range(SAMPLES)] for _ in range(WALKS)]
-            own = np.zeros((len(members), max(sizes) + steps + 1), np.uint32)
-            for row, k in zip(own, members):
-                row[: len(self.items[k][1])] = self.items[k][1]
-            flat, starts = own.ravel(), np.arange(len(members)) * own.shape[1]
+            needed = [walks_needed(n, edits_allowed(n, percent), steps) for n in sizes]
+            walks = None if None in needed else max(needed)
+            whose = np.array([(k, lo) for k, lo, _ in members])
             tables = []
-            for keys in self._keys(flat, starts, walks, picks):
-                order = np.argsort(keys, kind="stable")
-                tables.append((keys[order], np.array(members)[order]))
-            self.classes.append((least, pairs, span, walks, picks, tables))
+            if walks is not None:
+                own = np.zeros((len(members), max(sizes) + steps + 1), np.uint32)
+                for row, (k, lo, hi) in zip(own, members):
+                    row[: hi - lo] = self.items[k][1][lo:hi]
+                while len(self.bits) < walks:
+                    self.bits.append(_walk_bits(len(self.bits), len(self.vocabulary) + 1))
+                for walk in range(walks):
+                    for keys in _keys(own.ravel(), np.arange(len(members)) * own.shape[1], self.bits[walk], steps, _picks(walk, steps)):
+                        order = np.argsort(keys, kind="stable")
+                        tables.append((keys[order], whose[order]))
+            self.classes.append((least, pairs, span, steps, walks, whose, tables))
             self.margin = max(self.margin, span + steps + 1)
 
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(8)
 
-    @staticmethod
-    def _keys(ids: np.ndarray, starts: np.ndarray, walks, picks) -> Iterator[np.ndarray]:
-        """Keys of the windows at ``starts`` for each walk and sample, in a fixed order."""
-        for walk, samples in zip(walks, picks):
-            at, read = starts.copy(), np.empty((len(walk), len(starts)), np.uint32)
-            for t, bits in enumerate(walk):
-                read[t] = ids[at]
-                at += bits[read[t]]
-            for steps in samples:
-                key = np.zeros(len(starts), U)
-                for t in steps:
-                    key = (key ^ (key >> U(31))) * U(0x9E3779B97F4A7C15) + read[t]
-                yield key
-
     def find(self, docs: list[tuple[int | None, str | None]]) -> list[tuple]:
         """Rows (document, item, distance, item's words, start) of a batch; the best place per document and item."""
         if not self.items:
@@ -131,22 +186,29 @@ class Finder:
         paired = np.concatenate([[0], np.cumsum(self.pairs[self._pair(ids[:-1], ids[1:])] & known[:-1] & known[1:])])
         n = len(ids) - self.margin
         spots = np.flatnonzero(known[:n])
-        near: dict[tuple[int, int], list[int]] = {}
-        for least, pairs, span, walks, picks, tables in self.classes:
+        near: dict[tuple[int, int], set[int]] = {}
+        for least, pairs, span, steps, walks, whose, tables in self.classes:
             starts = spots[(count[spots + span] - count[spots] >= least) & (paired[spots + span - 1] - paired[spots] >= pairs)]
             if not len(starts):
                 continue
-            for (keys, members), own in zip(tables, self._keys(ids, starts, walks, picks)):
-                lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
+            docs_of = np.searchsorted(first, starts, "right") - 1
+            if walks is None:
+                for doc, start in zip(docs_of.tolist(), (starts - first[docs_of]).tolist()):
+                    for k, lo in whose.tolist():
+                        near.setdefault((doc, k), set()).add(start - lo)
+                continue
+            own = (x for w in range(walks) for x in _keys(ids, starts, self.bits[w], steps, _picks(w, steps)))
+            for (keys, members), keyed in zip(tables, own):
+                lo, hi = np.searchsorted(keys, keyed), np.searchsorted(keys, keyed, "right")
                 for i in np.flatnonzero(hi > lo):
-                    doc = int(np.searchsorted(first, starts[i], "right")) - 1
-                    for k in members[lo[i]:hi[i]]:
-                        near.setdefault((doc, int(k)), []).append(int(starts[i]) - int(first[doc]))
+                    doc = int(docs_of[i])
+                    for k, at in members[lo[i]:hi[i]].tolist():
+                        near.setdefault((doc, k), set()).add(int(starts[i] - first[doc]) - at)
         out = []
         for (doc, k), places in sorted(near.items()):
             item, own = self.items[k]
             allowed, best = edits_allowed(len(own), self.percent), None
-            reach, places = len(own) + 2 * allowed, sorted(set(places))
+            reach, places = len(own) + 2 * allowed, sorted(places)
             text, at = ids[first[doc]:first[doc] + sizes[doc]], 0
             while at < len(places):  # places near each other are one stretch
                 lo = max(0, places[at] - reach)

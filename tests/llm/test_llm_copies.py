@@ -184,6 +184,33 @@ def test_leaks_recall_and_precision(spark):
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0 and decontam.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_with_all_edits_allowed_at_any_length(spark):
+    rng = random.Random(18)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 6))) for _ in range(2000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(k, text(n)) for k, n in enumerate([15, 29, 40, 60, 120, 250, 500] * 12)]
+    rows = []
+    for k, own in items:
+        own = list(own)
+        for p in sorted(rng.sample(range(len(own)), len(own) // 5), reverse=True):
+            own[p:p + 1] = [[rng.choice(vocab)], [own[p], rng.choice(vocab)], []][rng.randrange(3)]
+        rows.append((k, [*text(rng.randint(0, 40)), *own, *text(rng.randint(0, 40))]))
+    want = {(d, d): least_edits(items[d][1], own) for d, own in rows}
+    docs = spark.createDataFrame([(d, " ".join(x)) for d, x in rows], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontam.find_leaks(docs, bench).collect()}
+    assert all(want[x] == far for x, far in got.items())
+    assert {k for k, own in items if len(own) >= 60} <= {d for d, _ in got} and len(got) >= 0.97 * len(want)
+
+
+def test_leaks_where_no_number_of_walks_is_enough(spark):
+    docs = spark.createDataFrame([(0, "x x a b y y"), (1, "x a x c y"), (2, "x b y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "a b c")], "item_id long, text string")
+    assert decontam.walks_needed(3, 1, 4) is None
+    got = {(r.doc_id, r.distance) for r in decontam.find_leaks(docs, bench, percent=60).collect()}
+    assert got == {(0, 1), (1, 1)}
+
+
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline as cp
     sf = "/root/testdata/sf0.001"
