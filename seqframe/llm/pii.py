@@ -1,10 +1,10 @@
-"""Personal data: fixed patterns, and terms near them that give them away.
+"""Personal data: fixed patterns, and terms that give them away.
 
 Emails, IP addresses, card and phone numbers are protected entities. Terms that
-stand near an entity are counted over the corpus: a term's pointwise mutual
-information with an entity, as a share of the entity's own information, is how
-far the term discloses it. Terms above a threshold are generalised, above a
-higher one removed. DataFrame functions only.
+share texts with an entity are counted over the corpus: a term's pointwise
+mutual information with an entity, as a share of the entity's own information,
+is how far the term discloses it. Terms above a threshold are generalised, above
+a higher one removed, wherever they stand in any text. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.llm.common import text_or_empty, written
+from seqframe.llm.url_filter import bloom_blocks, may_contain
 
 #: Kinds in the order of results, with their patterns (fixed values, written so that no run of characters is tried twice).
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -78,77 +79,92 @@ def base_spans(text: Column) -> Column:
     return F.concat(*kinds)
 
 
-def near_terms(text: Column, base: Column, reach: int) -> Column:
-    """array<struct<entity, term, s, e>>: the terms within ``reach`` code points of each span; cut words do not count."""
+def terms_of(text: Column, base: Column) -> Column:
+    """array<string>: the distinct lower-cased terms of a text outside its ``base`` spans."""
+    blank = F.transform(base, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("@").alias("tag")))
+    found = F.regexp_extract_all(sanitised(text, blank), F.lit(TERM), 0)
+    return F.array_distinct(F.transform(found, lambda v: F.lower(v)))
 
-    def around(x: Column) -> Column:
-        lo = F.greatest(x["s"] - reach, F.lit(0))
-        before, after = F.substr(text, lo + 1, x["s"] - lo), F.substr(text, x["e"] + 1, F.lit(reach))
-        left = F.filter(_located(before, TERM), lambda t: (t["s"] > 0) | (lo == 0))
-        right = F.filter(_located(after, TERM), lambda t: (t["e"] < reach - 1) | (F.length(after) < reach))
-        entity = F.concat_ws(":", x["kind"].cast("string"), F.lower(x["v"]))
-        as_term = lambda at: lambda t: F.struct(entity.alias("entity"), F.lower(t["v"]).alias("term"),
-                                                (t["s"] + at).alias("s"), (t["e"] + at).alias("e"))
-        return F.concat(F.transform(left, as_term(lo)), F.transform(right, as_term(x["e"])))
 
-    return F.flatten(F.transform(base, around))
+def term_spans(text: Column, base: Column, listed: Column) -> Column:
+    """array<struct<s, e, removed>>: where the terms of ``listed``, a map of term to ``removed``, stand outside ``base``."""
+    found = F.regexp_extract_all(text, F.lit(TERM), 0)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,removed:boolean>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + F.length(x["g"])
+        e = s + F.length(x["v"])
+        removed = F.try_element_at(listed, F.lower(x["v"]))
+        more = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), removed.alias("removed"))))
+        return F.struct(e.alias("at"), F.when(removed.isNotNull(), more).otherwise(acc["out"]).alias("out"))
+
+    between = F.slice(F.split(text, TERM, -1), F.lit(1), F.size(found))
+    spans = F.aggregate(F.arrays_zip(between.alias("g"), found.alias("v")), zero, step, lambda acc: acc["out"])
+    return F.filter(spans, lambda t: ~F.exists(base, lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
 
 
-def term_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n_t): documents with each term, over whole texts; counted in every task before the shuffle."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(TERM), 0))
-    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+def occurrences(rows: DataFrame, terms: Column, wanted: DataFrame) -> DataFrame:
+    """(__digest, term) of each text, less most terms not in ``wanted``: a filter of fixed size keeps them from the shuffle."""
+    spread = rows.select("__digest", F.explode(terms).alias("term"))
+    return may_contain(spread, "term", *bloom_blocks(wanted, "term", wanted.count()), "maybe").where("maybe").drop("maybe")
 
 
-def disclosing_terms(found: DataFrame, frequencies: DataFrame, n_docs: int, support: int, generalise: float, remove: float) -> DataFrame:
+def disclosing_terms(rows: DataFrame, terms: Column, support: int, generalise: float, remove: float) -> DataFrame:
     """(entity, term, disclosure, removed) of the terms at or above ``generalise``.
 
-    ``found`` has one row per distinct text with entities: ``n`` documents and
-    ``near``. Disclosure is PMI(entity; term) over the entity's information:
-    1 if the term never stands without the entity, 0 if they are unrelated. A
-    pair counts only with ``support`` distinct texts, so copies prove nothing.
+    ``rows`` has ``__digest`` and ``__base`` of each text, ``terms`` gives its
+    terms. Disclosure is PMI(entity; term) over the entity's information: 1 if
+    the term never stands in a text without the entity, 0 if they are unrelated.
+    A pair counts only with ``support`` distinct texts, so copies prove nothing;
+    entities in fewer texts have no such pair and are left out before counting.
     """
-    pairs = found.select("n", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(
-        x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x")).select("n", "x.entity", "x.term")
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    entities = found.select("n", F.explode(F.array_distinct(F.transform("base", lambda x: F.concat_ws(
-        ":", x["kind"].cast("string"), F.lower(x["v"]))))).alias("entity")).groupBy("entity").agg(F.sum("n").alias("n_e"))
-    info = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_e"))
-    pmi = F.log2(F.col("n_et") * float(max(n_docs, 1)) / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    scored = pairs.join(entities, "entity").join(frequencies, "term").withColumn("disclosure", F.when(info > 0, pmi / info).otherwise(F.lit(0.0)))
+    n_docs = float(max(rows.count(), 1))
+    some = rows.where(F.size("__base") > 0)
+    names = F.array_distinct(F.transform("__base", lambda x: F.concat_ws(":", x["kind"].cast("string"), F.lower(x["v"]))))
+    found = written(some.select("__digest", F.explode(names).alias("entity")).groupBy("__digest", "entity").agg(F.count("*").alias("n")), "entities")
+    entities = found.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
+    found = found.join(entities, "entity")
+    held = some.join(found.select("__digest").distinct(), "__digest", "left_semi").select("__digest", terms.alias("terms"))
+    held = held.groupBy("__digest").agg(F.first("terms").alias("terms"))
+    pairs = found.join(held, "__digest").select("entity", "n_e", "n", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "n_e", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    pairs = written(pairs, "pairs")
+    frequencies = occurrences(rows, terms, pairs.select("term").distinct()).groupBy("term").agg(F.count("*").alias("n_t"))
+    info = F.log2(F.lit(n_docs) / F.col("n_e"))
+    pmi = F.log2(F.col("n_et") * n_docs / (F.col("n_e") * F.col("n_t")))
+    scored = pairs.join(frequencies, "term").withColumn("disclosure", F.when(info > 0, pmi / info).otherwise(F.lit(0.0)))
     return scored.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", (F.col("disclosure") >= remove).alias("removed"))
 
 
-def find_personal_data(docs: DataFrame, reach: int = 64, support: int = 3, generalise: float = 0.8, remove: float = 0.95,
+def find_personal_data(docs: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95,
                        text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with a column ``pii``: array<struct<kind, s, e, tag>> of all spans by kind, then start.
 
     ``kind`` is the place in ``KINDS``; ``tag`` is what stands for the span in a
-    sanitised text, empty for a removed term. A null or empty text has no span.
-    Rows of one text get one answer; null or repeated ids need no care. A
-    column named ``pii`` is replaced; other columns stay, the text only with
-    ``keep_text``. An empty table stays empty.
+    sanitised text, empty for a removed term. A term that discloses any entity
+    is a span wherever it stands, also in texts without the entity. A null or
+    empty text has no span. Rows of one text get one answer; null or repeated
+    ids need no care. A column named ``pii`` is replaced; other columns stay,
+    the text only with ``keep_text``. An empty table stays empty.
     """
     text = text_or_empty(text_col)
-    rows = docs.drop("pii").withColumn("__base", base_spans(text))
-    rows = rows.withColumn("__near", F.when(F.size("__base") > 0, near_terms(text, F.col("__base"), reach)))
-    rows = rows.withColumn("__digest", F.when(F.size("__base") > 0, F.sha2(text, 256)))
-    frequencies = term_frequencies(docs, text_col)
-    rows = written(rows if keep_text else rows.drop(text_col), "spans")
-    some, none = rows.where("__digest is not null"), rows.where("__digest is null")
-    found = written(some.groupBy("__digest").agg(F.count("*").alias("n"), F.first("__near").alias("near"), F.first("__base").alias("base")), "entities")
-    terms = disclosing_terms(found, frequencies, rows.count(), support, generalise, remove)
-    places = found.select("__digest", F.explode("near").alias("x")).select("__digest", "x.*").join(terms, ["entity", "term"])
-    places = places.groupBy("__digest", "s", "e").agg(F.max("removed").alias("removed")).groupBy("__digest").agg(
-        F.sort_array(F.collect_list(F.struct("s", "e", "removed"))).alias("__terms"))
+    rows = written(docs.drop("pii").withColumn("__base", base_spans(text)).withColumn("__digest", F.sha2(text, 256)), "spans")
+    own = terms_of(text, F.col("__base"))
+    terms = disclosing_terms(rows, own, support, generalise, remove)
+    terms = written(terms.groupBy("term").agg(F.max("removed").alias("removed")), "terms")
+    hits = occurrences(rows, own, terms).join(terms, "term").groupBy("__digest", "term").agg(F.max("removed").alias("removed"))
+    hits = written(hits.groupBy("__digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("__terms")), "hits")
+    rows = may_contain(rows, "__digest", *bloom_blocks(hits, "__digest", hits.count()), "__maybe")
     base = F.transform("__base", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.get(
         F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), x["kind"]).alias("tag")))
-    added = F.transform("__terms", lambda x: F.struct(F.lit(4).alias("kind"), x["s"].alias("s"), x["e"].alias("e"),
-                                                      F.when(x["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("tag")))
+    added = F.transform(term_spans(text, F.col("__base"), F.col("__terms")), lambda x: F.struct(
+        F.lit(4).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.when(x["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("tag")))
     empty = F.array().cast("array<struct<kind:int,s:int,e:int,tag:string>>")
-    some = some.join(places, "__digest", "left").withColumn("pii", F.concat(base, F.coalesce(added, empty)))
-    out = [c for c in rows.columns if not c.startswith("__")] + ["pii"]
-    return some.select(*out).unionAll(none.withColumn("pii", empty).select(*out))
+    some = rows.where("__maybe").join(hits, "__digest", "left")
+    some = some.withColumn("pii", F.concat(base, F.when(F.col("__terms").isNotNull(), added).otherwise(empty)))
+    none = rows.where("not __maybe").withColumn("pii", F.concat(base, empty))
+    out = [c for c in docs.columns if c != "pii" and (keep_text or c != text_col)] + ["pii"]
+    return some.select(*out).unionAll(none.select(*out))
 
 
 def sanitised(text: Column, spans: Column) -> Column:

@@ -154,6 +154,24 @@ def test_disclosing_terms_are_found_near_their_entity(spark):
     assert all(x.kind < 4 for r in pii.find_personal_data(few).collect() for x in r.pii)  # copies of one text prove nothing
 
 
+def test_disclosing_terms_are_replaced_in_every_text(spark):
+    rng = random.Random(14)
+    filler = lambda n=40: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    near = [f"{filler()} Zebulon zeb@corp.io {filler()} zebulon. {filler()}" for _ in range(6)]
+    far = [f"{filler()} Quillon {filler()} q.@corp.io 10.0.0.{i} {filler()}" for i in range(6)]
+    alone = [f"{filler()} ZEBULON, é🎉Zebulons {filler()}", f"zebulon@x.de {filler()}"]
+    others = [f"{filler(8)} write at all please {filler(8)}" for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(near + far + alone + others), (None, alone[0]), (900, None)], "doc_id long, text string").repartition(3)
+    out = pii.find_personal_data(docs).withColumn("clean", pii.sanitised(F.col("text"), F.col("pii"))).collect()
+    want = {**{t: ["Zebulon", "zebulon"] for t in near}, **{t: ["Quillon"] for t in far}, alone[0]: ["ZEBULON"]}
+    assert len(out) == docs.count()
+    for r in out:
+        assert [r.text[x.s:x.e] for x in r.pii if x.kind == 4] == want.get(r.text, []), r.text
+        assert r.text is None or not re.search(r"(?i)\b(zebulon|quillon)\b", r.clean)
+    rows = pii.find_personal_data(docs, keep_text=False)
+    assert rows.columns == ["doc_id", "pii"] and sum(x.kind == 4 for r in rows.collect() for x in r.pii) == 12 + 6 + 2
+
+
 def test_digest_query_columns(spark):
     sf = "/root/testdata/sf0.001"
     rows = queries.QUERIES["op5_personal_data"](spark, sf).collect()
