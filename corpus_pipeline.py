@@ -20,19 +20,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge_quality(docs.select(*COLUMNS)).where("quality.kept").select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each text: what is decided of a text holds for all its rows, whatever their ids."""
+    return docs.select(*COLUMNS).withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Of rows that repeat an id one stays; rows without an id all stay."""
-    docs = docs.select(*COLUMNS)
-    stay = jaccard.similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).unionAll(docs.where("doc_id is null"))
+    """One document of each group: the one with the smallest id; rows without an id come last. Rows without a word all stay."""
+    rows = _keyed(docs)
+    found = jaccard.similar_documents(rows, id_col="__key").groupBy(F.col("doc_id").alias("__key")).agg(
+        F.first("n_shingles").alias("n"), F.first("component_id").alias("component"))
+    found = common.written(found, "components")
+    ids = rows.groupBy("__key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first"))
+    stay = found.where("n > 0").join(ids, "__key").groupBy("component").agg(F.min(F.struct("first", "__key")).alias("x"))
+    stay = stay.select(F.col("x.first.id").alias("id"), F.col("x.__key").alias("key"))
+    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__key") == F.col("key")), "left_semi")
+    wordless = rows.join(found.where("n = 0"), "__key", "left_semi")
+    return kept.dropDuplicates(["doc_id", "__key"]).select(*COLUMNS).unionAll(wordless.select(*COLUMNS))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    docs = docs.select(*COLUMNS)
-    leaks = decontam.find_leaks(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    rows = _keyed(docs)
+    leaks = decontam.find_leaks(rows, common.table(spark, sf_dir, "benchmark"), id_col="__key").select(F.col("doc_id").alias("__key")).distinct()
+    return rows.join(leaks, "__key", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

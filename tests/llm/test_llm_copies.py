@@ -236,6 +236,24 @@ def test_pipeline_against_its_parts(spark):
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "near_copies", "benchmark_passages", "personal_data", "packing"]
 
 
+def test_stages_with_repeated_and_null_ids(spark, tmp_dir):
+    import corpus_pipeline as cp
+    rng = random.Random(21)
+    text = lambda n=60: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c, d, e, item = (text() for _ in range(6))
+    leak = f"{text()} {item} {text()}"
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema).repartition(3)
+    rows = [(1, a), (1, b), (1, a), (2, b), (2, c), (3, a + " more"), (None, d), (None, d), (None, c), (None, e + " x"), (None, ""), (None, ""), (4, None)]
+    got = sorted((r.doc_id or 0, r.text or "") for r in cp.near_copies(spark, frame(rows), tmp_dir).collect())
+    last = [x for x in got if x[1] == e + " x"]
+    assert got == sorted([(1, a), (1, b), (2, c), (0, d), *last, (0, ""), (0, ""), (4, "")]) and len(last) == 1
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_dir}/benchmark.parquet")
+    rows = [(None, leak), (None, a), (7, leak), (7, b), (8, None)]
+    got = {(r.doc_id, r.text) for r in cp.benchmark_passages(spark, frame(rows), tmp_dir).collect()}
+    assert got == {(None, a), (7, b), (8, None)}
+
+
 def test_oracles_hold(spark):
     duckdb = pytest.importorskip("duckdb")
     sf = "/root/testdata/sf0.001"
