@@ -1,11 +1,11 @@
-"""Exact Jaccard join of documents' word shingles, with skipping by set relations.
+"""Exact components of documents by the Jaccard similarity of their word shingles.
 
 Equal sets are one set from the start. Shingles that many documents hold come
 last in each set's order, and only the first part of a set, its prefix, is
 indexed: two sets of the wanted similarity share a known least number of prefix
 shingles. In short index lists pairs are counted and kept if they reach that
-number. A long list belongs to a large group of similar sets: there a set takes
-over the answers of a similar one. Sets are compared with a few members of the
+number. A long list belongs to a large group of similar sets: there only the
+components are sought, not all links. Sets are compared with a few members of the
 list's main component, and only sets still outside it with the others; a list
 whose sets are all in one component is skipped as a whole.
 """
