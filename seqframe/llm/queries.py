@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.llm import common
-from seqframe.llm import decontam, jaccard, langid, packing, passages, pii, quality, token_cache, token_files, url_filter
+from seqframe.llm import (decontam, jaccard, langid, licenses, packing, passages, pii, quality, ranked_search, token_cache, token_files,
+                          url_filter, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,3 +100,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.new_token_path(spark)
     token_files.write_token_files(common.table(spark, sf_dir, "documents"), path, TOKENIZER, end_id=0)
     return token_files.token_checksums(spark, path)
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, fit = whitening.whiten(common.table(spark, sf_dir, "embeddings"), k=8)
+    return whitening.component_rows(out.withColumn("deviation", F.col("deviation").cast("long")), fit)
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), k=20)
+
+
+ORACLE["op12_ranked_search"] = ranked_search.ORACLE_SQL
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_summary(licenses.scan_licenses(common.table(spark, sf_dir, "documents")))
