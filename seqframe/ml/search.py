@@ -533,7 +533,7 @@ def lasso_nested_cv(df: DataFrame, key: str, alphas: list[float], k: int = 5, me
     f = kfold(df, key, k, seed).persist(StorageLevel.MEMORY_AND_DISK)
     outer = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda o: o != F.col("fold")))
     rep = f.withColumn("outer", outer)
-    inner = _inner_folds(rep, key, k, inner_seed)
+    inner = kfold(rep, key, k, inner_seed, out="inner", by=["outer"])
     st = fold_statistics(inner, ["outer", "inner"], features, label)
     larger = scorer(metric).isLargerBetter()
     models = {}
@@ -565,17 +565,3 @@ def lasso_nested_cv(df: DataFrame, key: str, alphas: list[float], k: int = 5, me
             for r in osc]
     f.unpersist()
     return literal_table(spark, rows, ["fold", "best_alpha", "inner_score", "score"])
-
-
-def _inner_folds(rep: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """Exact k-folds of each outer training set (row numbers per outer)."""
-    from seqframe.functions.hashing import stable_hash
-    from seqframe.operators.ranking import row_number_by
-    x = rep.withColumn("_h", stable_hash(seed, key))
-    x = row_number_by(x, ["_h", key], by=["outer"], out="_rn", hash_col="_h", with_total="_n")
-    n, rn = F.col("_n"), F.col("_rn")
-    q = F.floor(n / F.lit(k)).cast("bigint")
-    r = (n % F.lit(k)).cast("bigint")
-    big = r * (q + 1)
-    fold = F.when(rn <= big, F.floor((rn - 1) / (q + 1))).otherwise(r + F.floor((rn - 1 - big) / F.greatest(q, F.lit(1))))
-    return x.withColumn("inner", fold.cast("int")).drop("_h", "_rn", "_n")

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.functions.numeric import argmax_index, bce_with_logits, cross_entropy
-from seqframe.operators.ranking import distinct_value_ranks
-from seqframe.session import cut_lineage
+from seqframe.operators.ranking import attach_values, rank_moments, value_ranks
 
 
 def _nan():
@@ -43,30 +42,28 @@ def spearman(df: DataFrame, y: str, p: str, by=None, out: str = "spearman") -> D
     """Pearson correlation of average ranks (ties share ranks); NaN on
     constant input.
 
-    Plan: one pass collapses the input to distinct (y, p) pairs with counts
-    and checkpoints them to the shared folder (predictions are often costly
-    to recompute); ranks of the distinct y and p values come from that small
-    table; the correlation is a count-weighted aggregate. Average ranks have
-    mean (n + 1) / 2, which centres the moments without another pass.
+    Plan: the distinct y are ranked and the ranks attached to the rows (by a
+    broadcast while they are few), so that each distinct p has its rows and
+    their sum of y ranks; ranks of p are then counted up in range partitions
+    whose sums are put together (``rank_moments``). Average ranks have mean (n + 1) / 2, which centres
+    the moments without another pass. ``df`` is read twice: predictions
+    that are costly to compute should be persisted or written first.
     """
     by = list(by or [])
     ok = (F.col(y).isNotNull() & F.col(p).isNotNull() & ~F.isnan(F.col(y).cast("double"))
           & ~F.isnan(F.col(p).cast("double")))
-    pairs = cut_lineage(df.where(ok).groupBy(*by, y, p).agg(F.count(F.lit(1)).alias("_c")))
-    ry = distinct_value_ranks(pairs.groupBy(*by, y).agg(F.sum("_c").alias("_c")), y, by, "_c", "_ry")
-    rp = distinct_value_ranks(pairs.groupBy(*by, p).agg(F.sum("_c").alias("_c")), p, by, "_c", "_rp")
-    j = pairs.join(ry, [*by, y]).join(rp, [*by, p])
-    c = F.col("_c").cast("double")
-    n = F.sum(c)
-    m = (n + F.lit(1.0)) / F.lit(2.0)
-    cov = F.sum(c * F.col("_ry") * F.col("_rp")) / n - m * m
-    vy = F.sum(c * F.col("_ry") * F.col("_ry")) / n - m * m
-    vp = F.sum(c * F.col("_rp") * F.col("_rp")) / n - m * m
+    d = df.where(ok).select(*by, F.col(y).alias("_y"), F.col(p).alias("_p"))
+    ry, n_values = value_ranks(d, "_y", by, "_ry")
+    d = attach_values(d, ry, by, ["_y"], n_values)
+    sums = d.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c"), F.sum("_ry").alias("_x"),
+                                    F.sum(F.col("_ry") * F.col("_ry")).alias("_xx"))
+    m = (F.col("n") + 1.0) / 2.0
+    cov, vy, vp = [F.try_divide(F.col(c), F.col("n")) - m * m for c in ("xr", "xx", "rr")]
     tiny = F.lit(1e-12) * m * m
     rho = F.when((vy <= tiny) | (vp <= tiny), _nan()).otherwise(F.try_divide(cov, F.sqrt(vy * vp)))
-    res = _agg(j, by, rho.alias(out))
-    if not by:
-        return res.select(F.coalesce(out, _nan()).alias(out))  # empty input -> NaN
+    res = rank_moments(sums, "_p", by).select(*by, rho.alias(out))
+    if not by:  # empty input -> NaN
+        return res.agg(F.coalesce(F.max(out), _nan()).alias(out))
     return res
 
 

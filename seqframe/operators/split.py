@@ -1,10 +1,11 @@
 """Reproducible splitting, folding and sampling.
 
 Rows are ordered by ``stable_hash(seed, key)`` (ties by key). Exact sizes
-(⌈frac·n⌉ rows, first n mod k folds one larger) come from exact row numbers
-computed by ``row_number_by`` - hash-bucketed, so no global window and no
-single task sees a whole table. Membership depends only on (seed, key): it
-is stable under repartitioning and executor loss (tasks recompute the same).
+(⌈frac·n⌉ rows, first n mod k folds one larger) come from the keys at which
+one part ends and the next begins (``selection``): those are found from counts
+and a few keys, and each row is decided by itself, with no shuffle of its other
+columns. Membership depends only on (seed, key): it is stable under
+repartitioning and executor loss. Rows that share a key share a part.
 """
 
 from __future__ import annotations
@@ -14,31 +15,24 @@ import warnings
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.functions.hashing import stable_hash
-from seqframe.operators.ranking import row_number_by
-
-
-def _ranked(df: DataFrame, key: str, seed: int, by: list[str] | tuple = (), shuffle: bool = True) -> DataFrame:
-    if shuffle:
-        x = df.withColumn("_h", stable_hash(seed, key))
-        return row_number_by(x, ["_h", key], by=by, out="_rn", hash_col="_h", with_total="_n").drop("_h")
-    return row_number_by(df, [key], by=by, out="_rn", with_total="_n")
+from seqframe.operators.selection import part_by_hash, part_by_value
 
 
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, shuffle: bool = True,
-          out: str = "fold") -> DataFrame:
-    """Fold 0..k-1; the first n mod k folds get one extra row (ntile rule).
+          out: str = "fold", by: list[str] | tuple = ()) -> DataFrame:
+    """Fold 0..k-1; the first n mod k folds get one extra row (ntile rule), per group ``by``.
 
     ``shuffle=False`` folds contiguous runs of ``key`` order (unshuffled k-fold).
     """
-    x = _ranked(df, key, seed, shuffle=shuffle)
-    n, rn = F.col("_n"), F.col("_rn")
-    q = F.floor(n / F.lit(k)).cast("bigint")
-    r = (n % F.lit(k)).cast("bigint")
-    big = r * (q + 1)
-    fold = F.when(rn <= big, F.floor((rn - 1) / (q + 1))).otherwise(
-        r + F.floor((rn - 1 - big) / F.greatest(q, F.lit(1))))
-    return x.withColumn(out, fold.cast("int")).drop("_rn", "_n")
+    def ends(n):
+        q, r = F.floor(n / F.lit(k)).cast("bigint"), (n % F.lit(k)).cast("bigint")
+        return [F.lit(i) * q + F.least(F.lit(i), r) for i in range(1, k)]
+
+    if shuffle:
+        return part_by_hash(df, key, seed, ends, out, by)
+    if by:
+        raise ValueError("contiguous folds have no groups")
+    return part_by_value(df, key, ends, out)
 
 
 def _ceil_frac(frac: float, n):
@@ -48,20 +42,18 @@ def _ceil_frac(frac: float, n):
 def train_valid_test(df: DataFrame, key: str, frac: float = 0.2, seed: int = 42,
                      out: str = "split") -> DataFrame:
     """test = ⌈frac·n⌉, valid = ⌈frac·(n - test)⌉, the rest train."""
-    x = _ranked(df, key, seed)
-    n_test = _ceil_frac(frac, F.col("_n"))
-    n_valid = _ceil_frac(frac, F.col("_n") - n_test)
-    s = (F.when(F.col("_rn") <= n_test, F.lit("test"))
-         .when(F.col("_rn") <= n_test + n_valid, F.lit("valid"))
-         .otherwise(F.lit("train")))
-    return x.withColumn(out, s).drop("_rn", "_n")
+    def ends(n):
+        n_test = _ceil_frac(frac, n)
+        return [n_test, n_test + _ceil_frac(frac, n - n_test)]
+
+    names = F.array(F.lit("test"), F.lit("valid"), F.lit("train"))
+    return part_by_hash(df, key, seed, ends, "_part").withColumn(out, F.get(names, F.col("_part"))).drop("_part")
 
 
 def train_test(df: DataFrame, key: str, frac: float = 0.2, seed: int = 42, out: str = "split") -> DataFrame:
     """test = ⌈frac·n⌉ rows, the rest train (a true two-way split)."""
-    x = _ranked(df, key, seed)
-    s = F.when(F.col("_rn") <= _ceil_frac(frac, F.col("_n")), F.lit("test")).otherwise(F.lit("train"))
-    return x.withColumn(out, s).drop("_rn", "_n")
+    x = part_by_hash(df, key, seed, lambda n: [_ceil_frac(frac, n)], "_part")
+    return x.withColumn(out, F.when(F.col("_part") == 0, F.lit("test")).otherwise(F.lit("train"))).drop("_part")
 
 
 def truncate(df: DataFrame, key: str, frac: float, seed: int = 42, by: list[str] | tuple = ()) -> DataFrame:
@@ -74,8 +66,7 @@ def truncate(df: DataFrame, key: str, frac: float, seed: int = 42, by: list[str]
     if frac > 1.0:
         warnings.warn("truncate fraction must be <= 1.0; returning all rows", stacklevel=2)
         return df
-    x = _ranked(df, key, seed, by=by)
-    return x.where(F.col("_rn") <= _ceil_frac(frac, F.col("_n"))).drop("_rn", "_n")
+    return part_by_hash(df, key, seed, lambda n: [_ceil_frac(frac, n)], "_part", by).where("_part = 0").drop("_part")
 
 
 def tag_split(df: DataFrame, name: str, col: str = "split") -> DataFrame:

@@ -32,8 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _sequences(texts: DataFrame, id_col: str) -> DataFrame:
-    return (texts.select(F.col(id_col).alias("seq_id"), clean_residues("text", ALPHABET).alias("sequence"))
-            .where(F.length("sequence") > 0))
+    # the filter stops at the first residue, so readers of keys alone clean no text
+    return (texts.where(F.col("text").rlike(f"[{ALPHABET}{ALPHABET.lower()}]"))
+            .select(F.col(id_col).alias("seq_id"), clean_residues("text", ALPHABET).alias("sequence")))
 
 
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
