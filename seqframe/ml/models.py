@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.functions.hashing import stable_hash
-from seqframe.ml import optim
+from seqframe.ml import gp, optim
 
 
 # --- M1 / M4: pyspark.ml estimators ----------------------------------------
@@ -104,11 +104,10 @@ def _ridge_start(t: "optim.TrainingTable", W, b, l2: float) -> np.ndarray:
             y = np.stack(pdf["y"].to_numpy())[:, 0]
             acc[:(D + 1) ** 2] += (Z.T @ Z).ravel()
             acc[(D + 1) ** 2:] += Z.T @ y
-        yield pd.DataFrame({"a": [acc.tolist()]})
+        return acc
 
-    s = t.df.mapInPandas(agg, "a array<double>").agg(Summarizer.sum(array_to_vector("a")).alias("s")).first()["s"]
+    a = optim.summed(t.df, agg, (D + 1) * (D + 1) + (D + 1))
     bc.unpersist()
-    a = s.toArray()
     A = a[:(D + 1) ** 2].reshape(D + 1, D + 1) / max(t.n, 1)
     reg = np.eye(D + 1) * max(l2, 1e-6)
     reg[-1, -1] = 0.0
@@ -183,30 +182,26 @@ class KernelSVRModel(Model, _Base, _JsonParams, DefaultParamsReadable, DefaultPa
 
 # --- M3: inducing-point (subset-of-regressors) Gaussian process -------------
 
-def _rbf(A: np.ndarray, B: np.ndarray, ls: float) -> np.ndarray:
-    d2 = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2 * A @ B.T
-    return np.exp(-0.5 * np.maximum(d2, 0) / (ls * ls))
-
-
 class SparseGP(Estimator, _Base, DefaultParamsReadable, DefaultParamsWritable):
     """M3: GP regression with an RBF kernel approximated through m inducing
-    rows (subset of regressors). One distributed pass aggregates K_mn K_nm,
-    K_mn y and y'y for every candidate length-scale at once; the m x m solve
-    runs on the driver. Candidate length-scales ("restarts") are ranked by
-    the approximate log marginal likelihood. normalize_y standardises y."""
+    rows (subset of regressors). Length scale and noise maximise the evidence
+    from ``nRestarts`` starts, which share one distributed pass a step
+    (``seqframe.ml.gp``); given ``lengthScales`` are only compared, with the
+    given noise. normalize_y standardises y."""
 
     nInducing = Param(Params._dummy(), "nInducing", "inducing rows", TypeConverters.toInt)
-    noise = Param(Params._dummy(), "noise", "noise variance", TypeConverters.toFloat)
-    lengthScales = Param(Params._dummy(), "lengthScales", "candidate length-scales (empty: auto)", TypeConverters.toListFloat)
-    nRestarts = Param(Params._dummy(), "nRestarts", "extra auto candidates", TypeConverters.toInt)
+    noise = Param(Params._dummy(), "noise", "noise variance used with given length scales", TypeConverters.toFloat)
+    lengthScales = Param(Params._dummy(), "lengthScales", "length scales to compare (empty: optimise)", TypeConverters.toListFloat)
+    nRestarts = Param(Params._dummy(), "nRestarts", "starts of the optimisation", TypeConverters.toInt)
+    steps = Param(Params._dummy(), "steps", "steps of each start", TypeConverters.toInt)
     normalizeY = Param(Params._dummy(), "normalizeY", "standardise y", TypeConverters.toBoolean)
     keyCol = Param(Params._dummy(), "keyCol", "row key for picking inducing rows", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, nInducing=128, noise=0.1, lengthScales=None, nRestarts=3, normalizeY=True, keyCol="",
+    def __init__(self, *, nInducing=128, noise=0.1, lengthScales=None, nRestarts=3, steps=10, normalizeY=True, keyCol="",
                  seed=42, featuresCol="features", labelCol="label", predictionCol="prediction"):
         super().__init__()
-        self._setDefault(nInducing=128, noise=0.1, lengthScales=[], nRestarts=3, normalizeY=True, keyCol="",
+        self._setDefault(nInducing=128, noise=0.1, lengthScales=[], nRestarts=3, steps=10, normalizeY=True, keyCol="",
                          seed=42, featuresCol="features", labelCol="label", predictionCol="prediction")
         kw = {k: v for k, v in self._input_kwargs.items() if v is not None}
         self._set(**kw)
@@ -215,70 +210,24 @@ class SparseGP(Estimator, _Base, DefaultParamsReadable, DefaultParamsWritable):
         x = _features_array(df, self.getFeaturesCol())
         key = self.getOrDefault(self.keyCol)
         d = df.select(x.alias("x"), F.col(self.getLabelCol()).cast("double").alias("y"),
-                      (stable_hash(self.getSeed(), key) if key else F.xxhash64(x)).alias("_h"))
+                      (stable_hash(self.getSeed(), key) if key else F.xxhash64(x)).alias("_h"), (F.col(key) if key else F.lit(0)).alias("_k"))
         d = d.persist(StorageLevel.MEMORY_AND_DISK)
         st = d.agg(F.avg("y").alias("mu"), F.stddev_pop("y").alias("sd"), F.count(F.lit(1)).alias("n")).first()
         mu, sd = (float(st["mu"]), float(st["sd"] or 1.0) or 1.0) if self.getOrDefault(self.normalizeY) else (0.0, 1.0)
         m = self.getOrDefault(self.nInducing)
-        Z = np.array([r["x"] for r in d.orderBy("_h").limit(m).select("x").collect()])  # m rows: the method's size
-        dim = Z.shape[1]
-        ls_list = list(self.getOrDefault(self.lengthScales))
-        if not ls_list:
-            base = np.sqrt(dim)
-            ls_list = [base * (2.0 ** k) for k in range(-1, self.getOrDefault(self.nRestarts))]
-        noise = self.getOrDefault(self.noise)
-        spark = df.sparkSession
-        bc = spark.sparkContext.broadcast((Z, ls_list, mu, sd))
-        mz = len(Z)
-
-        def agg(batches):
-            Zb, lss, mu_, sd_ = bc.value
-            acc = np.zeros(len(lss) * (mz * mz + mz) + 1)
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                X = np.stack(pdf["x"].to_numpy())
-                y = (pdf["y"].to_numpy() - mu_) / sd_
-                off = 0
-                for ls in lss:
-                    K = _rbf(Zb, X, ls)
-                    acc[off:off + mz * mz] += (K @ K.T).ravel()
-                    acc[off + mz * mz: off + mz * mz + mz] += K @ y
-                    off += mz * mz + mz
-                acc[-1] += float(y @ y)
-            yield pd.DataFrame({"a": [acc.tolist()]})
-
-        s = d.mapInPandas(agg, "a array<double>").agg(Summarizer.sum(array_to_vector("a")).alias("s")).first()["s"]
-        acc = s.toArray()
-        bc.unpersist()
-        n = int(st["n"])
-        yy = acc[-1]
-        best = None
-        off = 0
-        for ls in ls_list:
-            A = acc[off:off + mz * mz].reshape(mz, mz)
-            bvec = acc[off + mz * mz: off + mz * mz + mz]
-            off += mz * mz + mz
-            Kmm = _rbf(Z, Z, ls) + 1e-8 * np.eye(mz)
-            M = noise * Kmm + A
-            try:
-                L = np.linalg.cholesky(M)
-                Lk = np.linalg.cholesky(Kmm)
-            except np.linalg.LinAlgError:
-                continue
-            alpha = np.linalg.solve(M, bvec)
-            quad = (yy - bvec @ alpha) / noise
-            logdet = (n - mz) * np.log(noise) + 2 * np.log(np.diag(L)).sum() - 2 * np.log(np.diag(Lk)).sum()
-            lml = -0.5 * (quad + logdet + n * np.log(2 * np.pi))
-            if best is None or lml > best[0]:
-                best = (lml, ls, alpha, M)
+        Z = np.array([r["x"] for r in d.orderBy("_h", "_k").limit(m).select("x").collect()])  # m rows: the method's size
+
+        def parts(pdf):
+            yield 0, np.stack(pdf["x"].to_numpy()), (pdf["y"].to_numpy() - mu) / sd
+
+        given = list(self.getOrDefault(self.lengthScales))
+        fits = gp.restarts(d, parts, [Z], np.array([float(st["n"])]), self.getOrDefault(self.nRestarts), self.getOrDefault(self.steps),
+                           self.getSeed(), 1 << 25, given or None, self.getOrDefault(self.noise) if given else None)[0]
         d.unpersist()
-        if best is None:
-            raise ValueError("no candidate length-scale gave a positive-definite system")
-        lml, ls, alpha, M = best
+        fit = gp.best(fits)
         model = SparseGPModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol())
-        model._set_state({"Z": Z.tolist(), "ls": ls, "alpha": alpha.tolist(), "Minv": np.linalg.inv(M).tolist(),
-                          "noise": noise, "mu": mu, "sd": sd, "lml": float(lml), "candidates": ls_list})
+        model._set_state({"Z": Z.tolist(), "ls": fit.length, "alpha": fit.alpha.tolist(), "Minv": fit.minv.tolist(),
+                          "noise": fit.noise, "mu": mu, "sd": sd, "lml": fit.evidence, "candidates": [f.length for f in fits if f is not None]})
         return model
 
 
@@ -300,7 +249,7 @@ class SparseGPModel(Model, _Base, _JsonParams, DefaultParamsReadable, DefaultPar
             if len(xs) == 0:
                 return pd.DataFrame({"mean": [], "std": []})
             X = np.stack(xs.to_numpy())
-            K = _rbf(X, Z, ls)
+            K = gp.rbf(X, Z, ls)
             mean = K @ alpha * sd + mu
             var = noise * np.einsum("ij,jk,ik->i", K, Minv, K)
             return pd.DataFrame({"mean": mean, "std": np.sqrt(np.maximum(var, 0)) * sd})
@@ -337,6 +286,8 @@ def _dact(z, a, kind):
 
 def _forward(w, X, ex, train: bool, rng=None):
     layers = _unpack(w, ex["sizes"])
+    if train and ex.get("input_dropout", 0) > 0:
+        X = X * (rng.random(X.shape) >= ex["input_dropout"]) / (1.0 - ex["input_dropout"])
     acts, pre, masks = [X], [], []
     a = X
     for i, (W, b) in enumerate(layers):
@@ -378,7 +329,8 @@ def _loss_grad_out(out, Y, kind):
 
 def _mlp_grad(w, X, Y, ex):
     train = ex.get("train", True)
-    rng = np.random.default_rng([int(abs(X[:1].sum() * 1e6)) % (2 ** 31), len(X)])
+    # new masks in every step, the same ones when a task of the step is run again
+    rng = np.random.default_rng([ex.get("seed", 0), ex.get("step", 0), *ex.get("at", (0, 0))])
     out, acts, pre, masks, layers = _forward(w, X, ex, train=train, rng=rng)
     loss, g = _loss_grad_out(out, Y, ex["loss"])
     if not train:
@@ -414,13 +366,14 @@ class FeedForward(Estimator, _Base, DefaultParamsReadable, DefaultParamsWritable
     epochs = Param(Params._dummy(), "epochs", "max epochs", TypeConverters.toInt)
     batches = Param(Params._dummy(), "batches", "mini-batches per epoch", TypeConverters.toInt)
     patience = Param(Params._dummy(), "patience", "early-stopping patience (0: off)", TypeConverters.toInt)
+    inputDropout = Param(Params._dummy(), "inputDropout", "dropout rate of the features", TypeConverters.toFloat)
 
     @keyword_only
-    def __init__(self, *, hidden=(64, 64), activation="relu", dropout=0.0, loss="mse", nOut=1, lr=1e-3,
+    def __init__(self, *, hidden=(64, 64), activation="relu", dropout=0.0, inputDropout=0.0, loss="mse", nOut=1, lr=1e-3,
                  epochs=50, batches=1, patience=0, seed=42, featuresCol="features", labelCol="label",
                  predictionCol="prediction"):
         super().__init__()
-        self._setDefault(hidden=[64, 64], activation="relu", dropout=0.0, loss="mse", nOut=1, lr=1e-3,
+        self._setDefault(hidden=[64, 64], activation="relu", dropout=0.0, inputDropout=0.0, loss="mse", nOut=1, lr=1e-3,
                          epochs=50, batches=1, patience=0, seed=42, featuresCol="features", labelCol="label",
                          predictionCol="prediction")
         kw = dict(self._input_kwargs)
@@ -448,7 +401,8 @@ class FeedForward(Estimator, _Base, DefaultParamsReadable, DefaultParamsWritable
         w0 = np.concatenate([np.concatenate([rng.normal(0, np.sqrt(2.0 / a), size=a * b), np.zeros(b)])
                              for a, b in _shapes(sizes)])
         ex = {"sizes": sizes, "activation": self.getOrDefault(self.activation),
-              "dropout": self.getOrDefault(self.dropout), "loss": self.getOrDefault(self.loss)}
+              "dropout": self.getOrDefault(self.dropout), "input_dropout": self.getOrDefault(self.inputDropout),
+              "loss": self.getOrDefault(self.loss), "seed": self.getSeed()}
         patience = self.getOrDefault(self.patience)
         hist: list[dict] = []
         state = {"best": None, "best_w": w0, "since": 0, "stop": None}
@@ -517,4 +471,4 @@ class FeedForwardModel(Model, _Base, _JsonParams, DefaultParamsReadable, Default
 def pooled_head(hidden: int = 128, dropout: float = 0.1, loss: str = "mse", n_out: int = 1, **kw) -> FeedForward:
     """M6: mean-pooled embedding -> dropout -> dense -> tanh -> dropout -> out,
     loss by label kind (mse regression, ce single-label, bce multi-label)."""
-    return FeedForward(hidden=[hidden], activation="tanh", dropout=dropout, loss=loss, nOut=n_out, **kw)
+    return FeedForward(hidden=[hidden], activation="tanh", dropout=dropout, inputDropout=dropout, loss=loss, nOut=n_out, **kw)

@@ -5,12 +5,8 @@ General path: every candidate x fold fit is an ordinary Spark fit of a
 fitted on each training fold only. Candidates can be fitted concurrently
 (``parallelism``: several Spark jobs in flight from driver threads).
 
-Fast path for the linear model (``lasso_cv`` / ``lasso_nested_cv``): the
-sufficient statistics (n, sum x, X'X, X'y, y'y) of every fold are summed in
-one pass over the data; any union of folds is a sum of those, so all
-candidates of all (inner and outer) folds are solved on the d x d system by
-coordinate descent without touching the rows again. Held-out predictions of
-all candidates are produced in a second pass and scored together.
+Grids of the Lasso, kernel regression and Gaussian process are fitted
+together, over plain or nested folds, by ``seqframe.ml.grids``.
 """
 
 from __future__ import annotations
@@ -22,15 +18,14 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (DecisionTreeRegressor, FMRegressor, GBTRegressor, GeneralizedLinearRegression,
                                    LinearRegression, RandomForestRegressor)
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqframe.ml import grids
 from seqframe.ml.evaluators import scorer
 from seqframe.ml.models import FeedForward, KernelSVR, SparseGP, lasso, tree_ensemble
 from seqframe.ml.scaler import PopulationScaler
@@ -218,6 +213,18 @@ def random_search(make: Make, spec: dict, df: DataFrame, key: str, n_iter: int =
     return grid_search(make, [_sample(space, rng) for _ in range(n_iter)], df, key, seed=seed, **kw)
 
 
+def _near(value, s: tuple, n: int, rng: np.random.Generator):
+    """A draw around ``value`` whose spread shrinks with the number of trials; the value itself for a choice."""
+    if s[0] == "choice":
+        return value
+    if s[0] == "int":
+        spread = max(1.0, (s[2] - s[1]) / (2 * math.sqrt(n)))
+        return int(min(max(round(rng.normal(value, spread)), s[1]), s[2]))
+    lo, hi = math.log(s[1]), math.log(s[2])
+    x = rng.normal(math.log(value), (hi - lo) / (2 * math.sqrt(n)))
+    return float(math.exp(x if lo <= x <= hi else rng.uniform(lo, hi)))
+
+
 def _propose(space: dict, history: list[tuple[dict, float]], rng, larger: bool, n_cand: int = 24,
              gamma: float = 0.25) -> dict:
     """Density-ratio proposer: split finished trials into good / bad, score
@@ -242,9 +249,9 @@ def _propose(space: dict, history: list[tuple[dict, float]], rng, larger: bool,
     for _ in range(n_cand):
         base = good[int(rng.integers(len(good)))]
         c = _sample(space, rng)
-        for k, s in space.items():  # perturb around a good point
+        for k, s in space.items():  # near a good point, never on it where the range is continuous
             if rng.random() < 0.5:
-                c[k] = base[k]
+                c[k] = _near(base[k], s, len(vals), rng)
         r = 1.0
         for k, s in space.items():
             r *= dens(c[k], [g[k] for g in good], s) / dens(c[k], [b[k] for b in bad], s)
@@ -395,173 +402,22 @@ def workflow(make: Make, candidates: list[dict], df: DataFrame, key: str, pred_d
     return res
 
 
-# --- fast path: Lasso from per-fold sufficient statistics --------------------
-
-def fold_statistics(df: DataFrame, group_cols: list[str], features: str = "features", label: str = "label") -> dict:
-    """Per-group n, sum x, X'X, X'y, sum y, y'y in one distributed pass
-    (Summarizer sums of flattened per-task partial statistics)."""
-    d = df.select(*group_cols, F.col(features).cast("array<double>").alias("x"),
-                  F.col(label).cast("double").alias("y"))
-    dim = d.select(F.max(F.size("x"))).first()[0]
-    k = 2 + dim + dim * dim + dim + 1
-
-    def part(it):
-        acc = {}
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            for g, sub in pdf.groupby(group_cols, sort=False):
-                X = np.stack(sub["x"].to_numpy())
-                y = sub["y"].to_numpy()
-                a = acc.setdefault(g if isinstance(g, tuple) else (g,), np.zeros(k))
-                a[0] += len(y)
-                a[1] += y.sum()
-                a[2:2 + dim] += X.sum(0)
-                a[2 + dim:2 + dim + dim * dim] += (X.T @ X).ravel()
-                a[2 + dim + dim * dim:2 + 2 * dim + dim * dim] += X.T @ y
-                a[-1] += y @ y
-        rows = [dict(zip(group_cols, g), s=v.tolist()) for g, v in acc.items()]
-        yield pd.DataFrame(rows, columns=[*group_cols, "s"]) if rows else pd.DataFrame(
-            {c: pd.Series(dtype="int64") for c in group_cols} | {"s": pd.Series(dtype=object)})
-
-    schema = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in group_cols) + ", s array<double>"
-    parts = d.mapInPandas(part, schema)
-    tot = parts.groupBy(*group_cols).agg(Summarizer.sum(array_to_vector("s")).alias("s")).collect()
-    out = {}
-    for r in tot:
-        v = r["s"].toArray()
-        out[tuple(r[c] for c in group_cols)] = {
-            "n": v[0], "sy": v[1], "sx": v[2:2 + dim], "xx": v[2 + dim:2 + dim + dim * dim].reshape(dim, dim),
-            "xy": v[2 + dim + dim * dim:2 + 2 * dim + dim * dim], "yy": v[-1]}
-    return out
-
-
-def _add(stats: list[dict]) -> dict:
-    out = {k: 0.0 for k in ("n", "sy", "yy")}
-    for k in ("sx", "xx", "xy"):
-        out[k] = 0
-    for s in stats:
-        for k in out:
-            out[k] = out[k] + s[k]
-    return out
-
-
-def lasso_from_stats(s: dict, alphas: list[float], iters: int = 1000, tol: float = 1e-7) -> list[dict]:
-    """Lasso (1/(2n)·RSS + alpha·||w||_1) on population-standardised features
-    with intercept, by covariance coordinate descent. Returns per alpha the
-    scaler (mu, sd) and coefficients (w on the scaled features, intercept)."""
-    n = s["n"]
-    mu = s["sx"] / n
-    cov = s["xx"] / n - np.outer(mu, mu)
-    var = np.clip(np.diag(cov), 0, None)
-    sd = np.where(var > 0, np.sqrt(var), 1.0)
-    C = cov / np.outer(sd, sd)
-    ybar = s["sy"] / n
-    c = (s["xy"] / n - mu * ybar) / sd
-    diag = np.diag(C).copy()
-    out = []
-    w = np.zeros(len(mu))
-    for a in sorted(alphas, reverse=True):  # warm starts along the path
-        for _ in range(iters):
-            delta = 0.0
-            for j in range(len(w)):
-                if diag[j] <= 1e-12:
-                    w[j] = 0.0
-                    continue
-                rho = c[j] - C[j] @ w + diag[j] * w[j]
-                new = np.sign(rho) * max(abs(rho) - a, 0.0) / diag[j]
-                delta = max(delta, abs(new - w[j]))
-                w[j] = new
-            if delta < tol:
-                break
-        out.append({"alpha": a, "mu": mu, "sd": sd, "w": w.copy(), "b": ybar})
-    return sorted(out, key=lambda m: alphas.index(m["alpha"]))
-
-
-def _predict_all(df: DataFrame, models: dict, group_col: str, features: str, label: str, key: str) -> DataFrame:
-    """Predictions of every model of a group for that group's rows:
-    (group, candidate, key, y, p)."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast({g: [(m["mu"], m["sd"], m["w"], m["b"]) for m in ms] for g, ms in models.items()})
-
-    def run(it):
-        mods = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            outs = []
-            for g, sub in pdf.groupby(group_col, sort=False):
-                X = np.stack(sub["x"].to_numpy())
-                for ci, (mu, sd, w, b) in enumerate(mods.get(g, [])):
-                    p = ((X - mu) / sd) @ w + b
-                    outs.append(pd.DataFrame({group_col: sub[group_col].to_numpy(), "candidate": ci,
-                                              key: sub[key].to_numpy(), "y": sub["y"].to_numpy(), "p": p}))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
-
-    d = df.select(group_col, key, F.col(features).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"))
-    gtype = d.schema[group_col].dataType.simpleString()
-    ktype = d.schema[key].dataType.simpleString()
-    return d.mapInPandas(run, f"{group_col} {gtype}, candidate int, {key} {ktype}, y double, p double")
-
+# --- Lasso through the shared grids ---------------------------------------
 
 def lasso_cv(df: DataFrame, key: str, alphas: list[float], k: int = 5, metric: str = "spearman", seed: int = 42,
              features: str = "features", label: str = "label") -> DataFrame:
-    """H5/H1 for M1 in two passes: (fold, candidate, alpha, score)."""
-    f = kfold(df, key, k, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    st = fold_statistics(f, ["fold"], features, label)
-    models = {}
-    for i in range(k):
-        train = _add([v for g, v in st.items() if g[0] != i])
-        models[i] = lasso_from_stats(train, list(alphas))
-    pred = _predict_all(f, models, "fold", features, label, key)
-    sc = mt.score(pred, metric, "y", "p", ["fold", "candidate"])
-    amap = literal_table(df.sparkSession, [(i, float(a)) for i, a in enumerate(alphas)], ["candidate", "alpha"])
-    res = sc.join(F.broadcast(amap), "candidate").select("fold", "candidate", "alpha", "score")
-    return res
+    """H5/H1 for M1: (fold, candidate, alpha, score), all candidates and folds from one set of Gram blocks."""
+    t = grids.fold_sets(df, key, k, seed, features, label)
+    scores = grids.lasso_grid(t, [{"alpha": a} for a in alphas], metric)
+    t.unpersist()
+    rows = [(i, j, float(a), float(scores[i, j])) for i in range(k) for j, a in enumerate(alphas)]
+    return literal_table(df.sparkSession, rows, ["fold", "candidate", "alpha", "score"])
 
 
 def lasso_nested_cv(df: DataFrame, key: str, alphas: list[float], k: int = 5, metric: str = "spearman",
                     seed: int = 42, inner_seed: int = 43, features: str = "features", label: str = "label") -> DataFrame:
-    """H6 for M1: inner grid search inside every outer training set.
-
-    Rows are copied once per outer fold they train in (k-1 copies), inner
-    folds are exact k-folds of each outer training set; one statistics pass
-    covers all (outer, inner) groups. Returns (fold, best_alpha, inner_score,
-    score): the outer-fold score of the refitted best candidate."""
-    spark = df.sparkSession
-    f = kfold(df, key, k, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    outer = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda o: o != F.col("fold")))
-    rep = f.withColumn("outer", outer)
-    inner = kfold(rep, key, k, inner_seed, out="inner", by=["outer"])
-    st = fold_statistics(inner, ["outer", "inner"], features, label)
-    larger = scorer(metric).isLargerBetter()
-    models = {}
-    for o in range(k):
-        for i in range(k):
-            train = _add([v for g, v in st.items() if g[0] == o and g[1] != i])
-            models[o * k + i] = lasso_from_stats(train, list(alphas))
-    inner_pred = _predict_all(inner.withColumn("oi", F.col("outer") * k + F.col("inner")).where(F.col("inner") >= 0),
-                              models, "oi", features, label, key)
-    isc = mt.score(inner_pred, metric, "y", "p", ["oi", "candidate"]).withColumn("outer", (F.col("oi") / k).cast("int"))
-    mean_sc = isc.groupBy("outer", "candidate").agg(F.avg("score").alias("inner_score")).collect()
-    best = {}
-    for r in mean_sc:
-        v = r["inner_score"]
-        if v is None or math.isnan(v):
-            continue
-        cur = best.get(r["outer"])
-        if cur is None or (v > cur[1] if larger else v < cur[1]) or (v == cur[1] and r["candidate"] < cur[0]):
-            best[r["outer"]] = (r["candidate"], v)
-    refit = {}
-    for o in range(k):
-        ci = best.get(o, (0, float("nan")))[0]
-        train = _add([v for g, v in st.items() if g[0] == o])
-        refit[o] = [lasso_from_stats(train, [alphas[ci]])[0]]
-    pred = _predict_all(f, refit, "fold", features, label, key)
-    osc = mt.score(pred, metric, "y", "p", ["fold"]).collect()
-    rows = [(int(r["fold"]), float(alphas[best.get(r["fold"], (0, 0))[0]]),
-             float(best.get(r["fold"], (0, float("nan")))[1]), float(r["score"]) if r["score"] is not None else float("nan"))
-            for r in osc]
-    f.unpersist()
-    return literal_table(spark, rows, ["fold", "best_alpha", "inner_score", "score"])
+    """H6 for M1: (fold, best_alpha, inner_score, score): the outer-fold score of the best candidate of the inner folds.
+
+    Best is the largest mean of inner scores among candidates that have one in every fold; without any, null and NaN."""
+    t = grids.nested_trials("linr", [{"alpha": a} for a in alphas], df, key, k, metric, seed, inner_seed, features, label)
+    return t.select("fold", F.get_json_object("best_params", "$.alpha").cast("double").alias("best_alpha"), "inner_score", "score")

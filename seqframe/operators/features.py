@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from itertools import chain
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +96,55 @@ def composition(df: DataFrame, seqcol: str, out: str = "features", alphabet: str
     return df.withColumn(out, F.array(*shares))
 
 
+_CHUNK = 1 << 20
+
+
+def cosine_features(df: DataFrame, seqcol: str, table: dict[str, list[float]], orders: int = 6, out: str = "features") -> DataFrame:
+    """Each descriptor's course along the whole sequence, at one width for any length.
+
+    Value d * orders + k is the mean over the n residues of descriptor d times
+    cos(pi * k * (place - 1/2) / n), places from 1: order 0 is the mean, the others
+    tell where in the sequence high and low values stand, so that the
+    same change at two places gives two vectors. A letter without a descriptor
+    counts as zeros; an empty sequence gives zeros and a null one null.
+    One Arrow batch of sequences is one array of letters (in chunks of 2^20).
+    """
+    width = len(next(iter(table.values())))
+    lookup = np.zeros((256, width))
+    for aa, vals in table.items():
+        lookup[ord(aa)] = vals
+
+    @F.pandas_udf("array<double>")
+    def course(seqs: pd.Series) -> pd.Series:
+        texts = [None if s is None else s.encode("latin-1", "replace") for s in seqs]
+        res, held, size = [], [], 0
+
+        def drain():
+            n = np.array([len(x) for x in held])
+            letters = np.frombuffer(b"".join(held), np.uint8)
+            starts = np.cumsum(n) - n
+            place = (np.arange(len(letters)) - np.repeat(starts, n) + 0.5) * np.repeat(np.pi / np.maximum(n, 1), n)
+            z, sums = lookup[letters], np.zeros((len(held), width, orders))
+            full = np.flatnonzero(n)
+            for k in range(orders):
+                if len(letters):
+                    sums[full, :, k] = np.add.reduceat(z * np.cos(k * place)[:, None], starts[full])
+            res.extend((sums / np.maximum(n, 1)[:, None, None]).reshape(len(held), -1).tolist())
+            held.clear()
+
+        for t in texts:
+            held.append(t or b"")
+            size += len(held[-1])
+            if size > _CHUNK:
+                drain()
+                size = 0
+        if held:
+            drain()
+        return pd.Series([None if t is None else v for t, v in zip(texts, res)], dtype=object)
+
+    return df.withColumn(out, course(F.col(seqcol)))
+
+
 def aa_features_multi(df: DataFrame, seqcol: str, tables: dict[str, dict]) -> DataFrame:
     """F1 for several descriptors in one pass: one ``features_<name>`` column each."""
     for name, tab in tables.items():

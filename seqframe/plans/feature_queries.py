@@ -48,6 +48,25 @@ def descriptor_features(spark, sf):
                     _checksum().alias("checksum"))
 
 
+ORDERS = 6
+COSINE_SQL = q.with_ctes(q.RESIDUES, DESC_CTES, body=f""",
+n AS (SELECT seq_id, length(sequence) AS n FROM seqs),
+z AS (SELECT r.seq_id, r.pos, n.n, unnest(d.vals) AS v, unnest(generate_series(0, len(d.vals) - 1)) AS j
+      FROM residues r JOIN d_z3_hellberg d USING (aa) JOIN n USING (seq_id)),
+o AS (SELECT unnest(generate_series(0, {ORDERS - 1})) AS k)
+SELECT CAST(seq_id AS BIGINT) AS seq_id, CAST(j * {ORDERS} + k AS INTEGER) AS i,
+       round(sum(v * cos(pi() * k * (pos - 0.5) / n)) / max(n), 6) + 0.0 AS value
+FROM z CROSS JOIN o GROUP BY seq_id, j, k""")
+
+
+@query("cosine_features", ("F1", "F2"), COSINE_SQL)
+def cosine_features(spark, sf):
+    """The course of three z-scales along every whole sequence: 18 values a sequence."""
+    f = ft.cosine_features(t.seqs(spark, sf), "sequence", ft.Z3_HELLBERG, ORDERS)
+    return f.select(F.col("seq_id").cast("bigint"), F.posexplode("features").alias("i", "value")).select(
+        "seq_id", "i", (F.round("value", R) + 0.0).alias("value"))
+
+
 def _pair_sql():
     names = sorted(ft.BUNDLED)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]

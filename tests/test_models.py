@@ -8,6 +8,7 @@ import pytest
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from seqframe.ml import grids
 from seqframe.ml import search as se
 from seqframe.ml.evaluators import scorer
 from seqframe.ml.models import FeedForward, KernelSVR, SparseGP, as_vector, pooled_head
@@ -22,13 +23,15 @@ def data(spark):
                                  "id long, features array<double>, label double")
 
 
-def test_lasso_from_stats_matches_spark(spark, data):
-    st = se.fold_statistics(data.withColumn("g", F.lit(0)), ["g"])[(0,)]
-    m = se.lasso_from_stats(st, [0.05])[0]
+def test_lasso_models_match_spark(spark, data):
+    t = grids.fold_sets(data, "id", 2)
+    w = grids._lasso_weights(t, grids.lasso_models(t, [0.05]), [0.05])[0][0]
+    t.unpersist()
+    train = grids.kfold(data, "id", 2).where("fold <> 0").drop("fold")
     sc, lr = se.fit_scaled(lambda p: LinearRegression(regParam=0.05, elasticNetParam=1.0, standardization=False,
-                                                       featuresCol="features_vec", tol=1e-10, maxIter=500), {}, data)
-    assert np.allclose(m["w"], lr.coefficients.toArray(), atol=1e-4)
-    assert m["b"] == pytest.approx(lr.intercept, abs=1e-4)
+                                                       featuresCol="features_vec", tol=1e-10, maxIter=500), {}, train)
+    assert np.allclose(w[:-1], lr.coefficients.toArray(), atol=1e-4)
+    assert w[-1] == pytest.approx(lr.intercept, abs=1e-4)
 
 
 def test_lasso_cv_and_nested(spark, data):
@@ -109,3 +112,30 @@ def test_workflow_modes(spark, data):
     assert len(sel["default_cv"]) == 3 and len(sel["nested_cv"]) == 3
     with pytest.raises(ValueError):
         se.workflow(se.MODELS["linr"], cands, data, "id", mode="mp")
+
+
+def test_proposals_follow_good_trials_and_do_not_repeat():
+    space = se.param_space({"alpha": [1e-4, 1.0], "n": [1, 100], "act": ["relu", "tanh"]})
+    rng = np.random.default_rng(0)
+    history = [({"alpha": 10.0 ** -i, "n": 10 * i + 1, "act": "tanh" if i < 2 else "relu"}, -abs(i - 1.0)) for i in range(4)] * 3
+    history = [(dict(p, alpha=p["alpha"] * (1 + 0.01 * j)), v) for j, (p, v) in enumerate(history)]
+    got = [se._propose(space, history, rng, True) for _ in range(40)]
+    assert len({p["alpha"] for p in got}) == 40 and all(1e-4 <= p["alpha"] <= 1.0 and 1 <= p["n"] <= 100 for p in got)
+    drawn = [se._sample(space, rng) for _ in range(400)]
+    far = lambda ps: np.median([abs(math.log10(p["alpha"]) + 1) for p in ps])
+    assert far(got) < 0.8 * far(drawn)
+
+
+def test_cosine_features_against_a_loop(spark):
+    from seqframe.operators import features as ft
+    seqs = ["ACD", "", None, "W" * 50 + "é", "MKTAYIAKQR" * 30, "CAD"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "id long, s string").repartition(2)
+    got = {r.id: r.features for r in ft.cosine_features(df, "s", ft.Z3_HELLBERG, 4).collect()}
+    for i, s in enumerate(seqs):
+        if s is None:
+            assert got[i] is None
+            continue
+        want = [sum(ft.Z3_HELLBERG.get(a, [0, 0, 0])[d] * math.cos(math.pi * k * (p + 0.5) / len(s)) for p, a in enumerate(s)) / max(len(s), 1)
+                for d in range(3) for k in range(4)]
+        assert got[i] == pytest.approx(want, abs=1e-9)
+    assert got[0][0] == pytest.approx(got[5][0]) and got[0][1] != pytest.approx(got[5][1])
