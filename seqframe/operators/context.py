@@ -9,13 +9,13 @@ so it is safe to broadcast; the data-sized input is only ever aggregated
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqframe.functions.hashing import stable_hash, stable_uniform
 from seqframe.functions.sequences import ALPHABET
 from seqframe.operators.relational import attach_row
-from seqframe.session import cut_lineage, literal_table
+from seqframe.session import checked_broadcast, cut_lineage, literal_table
 
 BOS, EOS, MASK = "^", "$", "#"
 
@@ -97,14 +97,15 @@ def site_profile(residues: DataFrame, alphabet: str = ALPHABET, pseudocount: flo
     return site_profile_from_counts(counts, alphabet, pseudocount, key)
 
 
-def neighbour_sites(df: DataFrame, key: str = "seq_id", seq: str = "sequence") -> DataFrame:
-    """(key, pos, left, aa, right) per residue; ends padded with ^ and $.
+def neighbour_sites(df: DataFrame, key: str | list[str] | tuple = "seq_id", seq: str = "sequence") -> DataFrame:
+    """(key..., pos, left, aa, right) per residue; ends padded with ^ and $.
 
     Letters are zipped with their neighbours before they are exploded: no
     window, no shuffle, and no row carries the whole sequence.
     """
-    return (df.select(key, F.posexplode(_with_neighbours(seq)).alias("p", "x"))
-            .select(key, (F.col("p") + 1).cast("int").alias("pos"), "x.prev_aa", "x.aa", "x.next_aa"))
+    key = [key] if isinstance(key, str) else list(key)
+    return (df.select(*key, F.posexplode(_with_neighbours(seq)).alias("p", "x"))
+            .select(*key, (F.col("p") + 1).cast("int").alias("pos"), "x.prev_aa", "x.aa", "x.next_aa"))
 
 
 def _with_neighbours(seq: str):
@@ -216,43 +217,55 @@ def masked_sites(masked: DataFrame, key: str = "seq_id") -> DataFrame:
     return x.where(F.col("label").isNotNull())
 
 
+def context_maps(model: DataFrame) -> DataFrame:
+    """(prev_aa, next_aa, lp map<aa, log_prob>, pred): the model folded to one row a context.
+
+    ``pred`` is its likeliest letter, the first of equals.
+    """
+    return model.groupBy("prev_aa", "next_aa").agg(
+        F.map_from_entries(F.collect_list(F.struct("aa", "log_prob"))).alias("lp"),
+        F.min_by("aa", F.struct(-F.col("log_prob"), F.col("aa"))).alias("pred"))
+
+
+def with_context(sites: DataFrame, model: DataFrame) -> DataFrame:
+    """``sites`` (.., prev_aa, next_aa) with ``lp`` and ``pred`` of their context, and ``bg`` and ``bg_pred`` of the background.
+
+    ``lp`` is null for a context the model has no row for (a masked or
+    unknown neighbour); readers then take the background. Both tables are
+    as large as the alphabet squared: they are counted and broadcast, or joined if
+    a user's model is larger.
+    """
+    maps = context_maps(model)
+    bg = context_maps(background_model(model).withColumns({"prev_aa": F.lit(BOS), "next_aa": F.lit(EOS)}))
+    bg = bg.agg(F.first("lp").alias("bg"), F.first("pred").alias("bg_pred"))
+    return attach_row(sites.join(checked_broadcast(maps), ["prev_aa", "next_aa"], "left"), bg)
+
+
+def site_log_prob(aa: Column, lp: str = "lp", bg: str = "bg") -> Column:
+    """log p(aa) in the site's context, by the background where the context is unknown; null for a letter the model lacks."""
+    return F.coalesce(F.try_element_at(F.col(lp), aa), F.try_element_at(F.col(bg), aa))
+
+
 def predict_sites(sites: DataFrame, model: DataFrame) -> DataFrame:
     """Join chosen sites with the model: log p(true residue) and argmax.
 
     Contexts that include a masked or unknown neighbour fall back to the
     background row. Ties of the argmax go to the alphabetically first residue.
     """
-    bg = background_model(model)
-    best = model.groupBy("prev_aa", "next_aa").agg(
-        F.min_by("aa", F.struct(-F.col("log_prob"), F.col("aa"))).alias("pred"))
-    bg_best = bg.agg(F.min_by("aa", F.struct(-F.col("log_prob"), F.col("aa"))).alias("bg_pred"))
-    bgl = bg.select(F.col("aa").alias("label"), F.col("log_prob").alias("bg_lp"))
-    lp = model.select("prev_aa", "next_aa", F.col("aa").alias("label"), "log_prob")
-    return (sites.join(F.broadcast(lp), ["prev_aa", "next_aa", "label"], "left")
-            .join(F.broadcast(best), ["prev_aa", "next_aa"], "left")
-            .join(F.broadcast(bgl), "label", "left")
-            .transform(lambda d: attach_row(d, bg_best))
-            .select("*", F.coalesce("log_prob", "bg_lp").alias("lp_true"),
-                    F.coalesce("pred", "bg_pred").alias("predicted")))
+    return with_context(sites, model).select(
+        *sites.columns, site_log_prob(F.col("label")).alias("lp_true"), F.coalesce("pred", "bg_pred").alias("predicted"),
+        F.try_element_at("bg", F.col("label")).alias("bg_lp_true"), F.col("bg_pred").alias("bg_predicted"))
 
 
 def context_model_eval(test: DataFrame, model: DataFrame, key: str = "seq_id", seq: str = "sequence",
                        p: float = 0.15, seed: int = 42) -> DataFrame:
     """K6: masked-residue accuracy (A11) and perplexity (A15) of the context
-    model and of its background (no-context) form on held-out sequences."""
-    sites = masked_sites_of(test, key, seq, p, seed)
-    ctx = predict_sites(sites, model)
-    bgm = model.where((F.col("prev_aa") == BOS) & (F.col("next_aa") == EOS))
-    # every context (a fixed 21 x 21 grid) with the background row's letters:
-    # the alphabet-sized background row is one array attached and exploded
-    bg_row = bgm.agg(F.collect_list(F.struct("aa", "log_prob")).alias("_bg"))
-    bg_as_model = (attach_row(model.select("prev_aa", "next_aa").distinct(), bg_row)
-                   .select("prev_aa", "next_aa", F.inline("_bg")))
-    base = predict_sites(sites, bg_as_model)
-
-    def summary(d: DataFrame, name: str) -> DataFrame:
-        return d.agg(F.lit(name).alias("model"),
-                     F.count(F.lit(1)).alias("n_sites"),
-                     F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"),
-                     F.exp(F.avg(-F.col("lp_true"))).alias("perplexity"))
-    return summary(ctx, "context").unionByName(summary(base, "background"))
+    model and of its background (no-context) form on held-out sequences, from one pass over the chosen sites."""
+    x = predict_sites(masked_sites_of(test, key, seq, p, seed), model)
+
+    def measures(predicted: str, lp: str) -> list[Column]:
+        return [F.avg((F.col(predicted) == F.col("label")).cast("double")).alias("accuracy"), F.exp(F.avg(-F.col(lp))).alias("perplexity")]
+
+    both = [("context", *measures("predicted", "lp_true")), ("background", *measures("bg_predicted", "bg_lp_true"))]
+    rows = F.array(*[F.struct(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_sites"), acc, ppl) for name, acc, ppl in both])
+    return x.agg(rows.alias("r")).select(F.inline("r"))

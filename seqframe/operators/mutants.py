@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.functions.sequences import ALPHABET, apply_mutation, format_mutation, parse_mutation
-from seqframe.operators.context import neighbour_sites, with_alphabet
+from seqframe.operators.context import neighbour_sites, site_log_prob, site_profile, with_alphabet, with_context
+from seqframe.operators.ranking import attach_values
 from seqframe.operators.relational import attach_row
-from seqframe.session import bounded_broadcast
+from seqframe.session import bounded_broadcast, cut_lineage
 
 STRATEGIES = ("wt-marginals", "masked-marginals", "pseudo-ppl", "msa")
 
@@ -110,91 +111,95 @@ def score_mutations(muts: DataFrame, log_probs: DataFrame, key: list[str] | tupl
 def masked_log_probs(wt: DataFrame, model: DataFrame, key: list[str] | tuple = (),
                      seq: str = "wt_sequence") -> DataFrame:
     """Z4 model side: for each wild-type position masked in turn, the
-    context model's log p(aa | wt neighbours). Returns (key..., pos, aa, log_prob)."""
+    context model's log p(aa | wt neighbours), the background's where a neighbour is a letter
+    the model lacks. Returns (key..., pos, aa, log_prob)."""
     key = list(key)
-    kcol = key[0] if key else "_k"
-    w = wt if key else wt.withColumn("_k", F.lit(0))
-    sites = neighbour_sites(w, kcol, seq).drop("aa")
-    lp = sites.join(F.broadcast(model), ["prev_aa", "next_aa"]).select(kcol, "pos", "aa", "log_prob")
-    return lp if key else lp.drop("_k")
+    x = with_context(neighbour_sites(wt, key, seq).drop("aa"), model)
+    return x.select(*key, "pos", F.explode(F.coalesce("lp", "bg")).alias("aa", "log_prob"))
 
 
 def pseudo_ppl(muts: DataFrame, wt: DataFrame, model: DataFrame, out: str = "score",
-               seq: str = "wt_sequence") -> DataFrame:
+               seq: str = "wt_sequence", key: list[str] | tuple = ()) -> DataFrame:
     """Per mutant, sum over all positions of log p(residue | neighbours)
     of the mutant sequence (A16). Only sites pos-1, pos, pos+1 differ from
     the wild type, so: wild-type total + the three site deltas.
-    Works for one wild type (the ``wt`` table has one row). Distinct mutations
-    are scored once and joined back; one outside the wild type or the model's
-    letters scores null."""
+
+    With ``key`` both tables hold many proteins; sites are matched on (key,
+    pos), so a protein with most of the mutations is spread over its
+    positions. A neighbour the model lacks gives the background's log p; a site whose own letter it
+    lacks counts 0. Distinct mutations are scored once and joined back; one
+    outside the wild type or to a letter the model lacks scores null."""
+    key = list(key)
     given = muts
-    muts = given.select("pos", "wt", "mt").distinct()
-    wsites = neighbour_sites(wt.withColumn("_k", F.lit(0)), "_k", seq)
-    lp = model.select("prev_aa", "aa", "next_aa", "log_prob")
-    wsc = wsites.join(F.broadcast(lp), ["prev_aa", "aa", "next_aa"]).select("pos", "prev_aa", "aa", "next_aa", "log_prob")
-    total = wsc.agg(F.sum("log_prob").alias("wt_total"))
+    muts = given.select(*key, "pos", "wt", "mt").distinct()
+    lp = F.coalesce(site_log_prob(F.col("aa")), F.lit(0.0))
+    wsc = with_context(neighbour_sites(wt, key, seq), model).select(*key, "pos", "prev_aa", "aa", "next_aa", lp.alias("lp_wt"))
+    total = wsc.groupBy(*key).agg(F.sum("lp_wt").alias("wt_total")) if key else wsc.agg(F.sum("lp_wt").alias("wt_total"))
     # affected sites of each mutant, with the mutated triple
     d = muts.select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("_d"))
-    d = d.withColumn("_site", F.col("pos") + F.col("_d"))
-    d = d.join(wsc.withColumnRenamed("pos", "_site"), "_site")
-    nl = F.when(F.col("_d") == 1, F.col("mt")).otherwise(F.col("prev_aa"))
-    nc = F.when(F.col("_d") == 0, F.col("mt")).otherwise(F.col("aa"))
-    nr = F.when(F.col("_d") == -1, F.col("mt")).otherwise(F.col("next_aa"))
-    d = d.select("_d", *muts.columns, nl.alias("nl"), nc.alias("nc"), nr.alias("nr"),
-                 F.col("log_prob").alias("lp_wt"))
-    lpm = lp.select(F.col("prev_aa").alias("nl"), F.col("aa").alias("nc"), F.col("next_aa").alias("nr"),
-                    F.col("log_prob").alias("lp_mt"))
-    d = d.join(F.broadcast(lpm), ["nl", "nc", "nr"])
-    delta = d.groupBy("pos", "wt", "mt").agg(F.sum(F.col("lp_mt") - F.col("lp_wt")).alias("_delta"),
-                                             F.max((F.col("_d") == 0).cast("int")).alias("_own")).where("_own = 1")
-    scored = attach_row(delta, total).select("pos", "wt", "mt", (F.col("wt_total") + F.col("_delta")).alias(out))
-    return given.join(scored, ["pos", "wt", "mt"], "left").select(*given.columns, out)
+    d = d.withColumn("_site", F.col("pos") + F.col("_d")).join(wsc.withColumnRenamed("pos", "_site"), [*key, "_site"])
+    at = F.col("_d")
+    d = d.select(*key, "pos", "wt", "mt", "_d", "lp_wt", F.when(at == 1, F.col("mt")).otherwise(F.col("prev_aa")).alias("prev_aa"),
+                 F.when(at == 0, F.col("mt")).otherwise(F.col("aa")).alias("aa"),
+                 F.when(at == -1, F.col("mt")).otherwise(F.col("next_aa")).alias("next_aa"))
+    own = site_log_prob(F.col("aa"))
+    d = with_context(d, model)
+    delta = d.groupBy(*key, "pos", "wt", "mt").agg(
+        F.sum(F.coalesce(own, F.lit(0.0)) - F.col("lp_wt")).alias("_delta"),
+        F.max(F.when((F.col("_d") == 0) & own.isNotNull(), 1)).alias("_own")).where("_own = 1").drop("_own")
+    if key:
+        total = cut_lineage(total)  # one row a protein
+        scored = attach_values(delta, total, key, [], total.count())
+    else:
+        scored = attach_row(delta, total)
+    scored = scored.select(*key, "pos", "wt", "mt", (F.col("wt_total") + F.col("_delta")).alias(out))
+    return given.join(scored, [*key, "pos", "wt", "mt"], "left").select(*given.columns, out)
 
 
 def msa_log_probs(aligned_residues: DataFrame, query_residues: DataFrame, alphabet: str = ALPHABET,
-                  pseudocount: float = 1.0) -> DataFrame:
+                  pseudocount: float = 1.0, key: list[str] | tuple = ()) -> DataFrame:
     """Z6 model side: site profile of the alignment with the query sequence
-    left out of its own column counts."""
-    from seqframe.operators.context import site_profile
-    return site_profile(aligned_residues, alphabet, pseudocount, exclude=query_residues)
+    left out of its own column counts, per protein with ``key``."""
+    return site_profile(aligned_residues, alphabet, pseudocount, key, exclude=query_residues)
 
 
 def zero_shot(muts: DataFrame, wt: DataFrame, strategy: str, *, profile: DataFrame | None = None,
               context_model: DataFrame | None = None, out: str = "score",
-              seq: str = "wt_sequence") -> DataFrame:
-    """Dispatch on scoring strategy; unknown strategy raises."""
+              seq: str = "wt_sequence", key: list[str] | tuple = ()) -> DataFrame:
+    """Dispatch on scoring strategy; unknown strategy raises. With ``key``
+    mutations, wild types and profile hold many proteins; the context model is shared."""
     if strategy == "wt-marginals" or strategy == "msa":
         if profile is None:
             raise ValueError(f"strategy {strategy} needs a profile table")
-        return score_mutations(muts, profile, out=out)
+        return score_mutations(muts, profile, key, out=out)
     if strategy == "masked-marginals":
         if context_model is None:
             raise ValueError("masked-marginals needs a context model")
-        return score_mutations(muts, masked_log_probs(wt, context_model, seq=seq), out=out)
+        return score_mutations(muts, masked_log_probs(wt, context_model, key, seq), key, out=out)
     if strategy == "pseudo-ppl":
         if context_model is None:
             raise ValueError("pseudo-ppl needs a context model")
-        return pseudo_ppl(muts, wt, context_model, out=out, seq=seq)
+        return pseudo_ppl(muts, wt, context_model, out, seq, key)
     raise ValueError(f"unknown scoring strategy {strategy!r}; expected one of {STRATEGIES}")
 
 
-def wt_marginals(muts: DataFrame, log_probs: DataFrame, out: str = "score") -> DataFrame:
+def wt_marginals(muts: DataFrame, log_probs: DataFrame, out: str = "score", key: list[str] | tuple = ()) -> DataFrame:
     """Z3: log p(mt) - log p(wt) under unmasked per-position log-probabilities
-    (a site profile, or any model's (pos, aa, log_prob) table)."""
-    return score_mutations(muts, log_probs, out=out)
+    (a site profile, or any model's (key..., pos, aa, log_prob) table)."""
+    return score_mutations(muts, log_probs, key, out=out)
 
 
 def masked_marginals(muts: DataFrame, wt: DataFrame, context_model: DataFrame, out: str = "score",
-                     seq: str = "wt_sequence") -> DataFrame:
+                     seq: str = "wt_sequence", key: list[str] | tuple = ()) -> DataFrame:
     """The same difference with each wild-type position masked in turn."""
-    return zero_shot(muts, wt, "masked-marginals", context_model=context_model, out=out, seq=seq)
+    return zero_shot(muts, wt, "masked-marginals", context_model=context_model, out=out, seq=seq, key=key)
 
 
 def msa_marginals(muts: DataFrame, aligned_residues: DataFrame, query_residues: DataFrame,
-                  out: str = "score", pseudocount: float = 1.0) -> DataFrame:
+                  out: str = "score", pseudocount: float = 1.0, key: list[str] | tuple = ()) -> DataFrame:
     """Marginals from the alignment's site profile, the query sequence
     left out of its own column counts (select the alignment depth first)."""
-    return score_mutations(muts, msa_log_probs(aligned_residues, query_residues, pseudocount=pseudocount), out=out)
+    return score_mutations(muts, msa_log_probs(aligned_residues, query_residues, pseudocount=pseudocount, key=key), key, out=out)
 
 
 def top_k(df: DataFrame, k: int, by: str, tie: list[str]) -> DataFrame:

@@ -31,7 +31,9 @@ F1_SQL = q.with_ctes(q.RESIDUES, DESC_CTES, body=""",
 x AS (SELECT r.seq_id, r.pos, unnest(d.vals) AS v, unnest(generate_series(1, len(d.vals))) AS j, len(d.vals) AS dd
       FROM residues r JOIN d_z3_hellberg d USING (aa))
 SELECT CAST(seq_id AS BIGINT) AS seq_id, CAST(count(*) AS BIGINT) AS n_features,
-       round(sum(v * (((pos - 1) * dd + j - 1) % 97 + 1)), 4) AS checksum FROM x GROUP BY seq_id""")
+       CAST(sum(CAST(round(v * 100) AS BIGINT) * ((pos - 1) * dd + j)) AS BIGINT) AS by_place,
+       CAST(sum(CAST(round(v * 100) AS BIGINT) * ((pos - 1) * dd + j) * ((pos - 1) * dd + j)) AS BIGINT) AS by_place_squared
+FROM x GROUP BY seq_id""")
 
 # a checksum over features weighs them by place modulo a prime: sums stay small enough to compare to 4 decimals
 def _checksum(features: str = "features"):
@@ -39,13 +41,19 @@ def _checksum(features: str = "features"):
 
 
 
+def _by_place(power: int):
+    """Exact sum of the values (two decimals) times their place, or its square."""
+    hundredths = F.transform("features", lambda x, i: F.round(x * 100).cast("bigint") * F.pow(i + 1, F.lit(power)).cast("bigint"))
+    return F.aggregate(hundredths, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
 @query("descriptor_features", ("F1", "F2", "X2"), F1_SQL)
 def descriptor_features(spark, sf):
     """Concatenated per-residue z-scale vectors of every whole sequence, with
-    their number and a place-weighted checksum."""
+    their number and two exact sums in which every place has its own weight."""
     f = ft.aa_features(t.seqs(spark, sf), "sequence", ft.Z3_HELLBERG)
     return f.select(F.col("seq_id").cast("bigint"), F.size("features").cast("bigint").alias("n_features"),
-                    _checksum().alias("checksum"))
+                    _by_place(1).alias("by_place"), _by_place(2).alias("by_place_squared"))
 
 
 ORDERS = 6

@@ -38,6 +38,27 @@ def fasta_roundtrip(spark, sf):
     return back.select("id", F.col("aligned").alias("sequence"))
 
 
+NSEQ = 300
+FASTA_DEPTH_SQL = q.with_ctes(q.SEQS, body=f"""
+, n AS (SELECT seq_id, sequence, row_number() OVER (ORDER BY seq_id) AS rank FROM seqs)
+SELECT CAST(rank AS BIGINT) AS rank, CAST(seq_id AS VARCHAR) AS id, sequence AS aligned, rank = 1 AS wild_type
+FROM n WHERE rank <= {NSEQ}""")
+
+
+@query("fasta_depth", ("S3", "S4", "S5", "T3", "X12"), FASTA_DEPTH_SQL)
+def fasta_depth(spark, sf):
+    """The family written as FASTA over several files in key order and read back: record numbers over all files and
+    their blocks, the first ``NSEQ`` records (the alignment depth) and the first record as wild type."""
+    path = _scratch(spark, "fasta_depth")
+    s = t.seqs(spark, sf).withColumnRenamed("seq_id", "id")
+    fs.write_fasta(s.repartitionByRange(5, "id").sortWithinPartitions("id"), path)
+    msa = rel.first_n(fs.read_msa(spark, path, NSEQ), "rank", NSEQ)
+    wt = fs.read_wild_type(spark, path).select(F.lit(1).cast("bigint").alias("rank"), F.lit(True).alias("_wt"),
+                                               F.col("wt_id").alias("id"), F.col("wt_sequence").alias("sequence"))
+    back = msa.join(wt, ["rank", "id", "sequence"], "left")
+    return back.select("rank", "id", "aligned", F.coalesce("_wt", F.lit(False)).alias("wild_type"))
+
+
 FEATURE_CSV_SQL = q.with_ctes(q.RESIDUES, [
     "lab AS (SELECT doc_id AS seq_id, CAST(quality AS DOUBLE) AS label FROM labels)",
 ], body=f"""

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from seqframe.operators import context as ctx
 from seqframe.functions.hashing import stable_hash_sql
 from seqframe.operators import mutants as mz
+from seqframe.operators import relational as rel
 from seqframe.operators import split as sp
+from seqframe.operators.ranking import row_number_by
 from seqframe.plans import sqlparts as q
 from seqframe.plans.registry import query
-from seqframe.session import cut_lineage
+from seqframe.session import checked_broadcast, cut_lineage
 from seqframe.sources import tables as t
 
 R = 6  # decimals kept in float outputs compared with the oracle
@@ -43,7 +45,7 @@ def mutant_scan_top10(spark, sf):
     return top.select("mutant", "pos", F.round("score", R).alias("score"))
 
 
-@query("single_mutations", ("Z1", "J6", "X9", "D5", "D1"),
+@query("single_mutations", ("Z1", "J6", "X9", "D1"),
        q.with_ctes(q.ALPHA, q.WT, q.SINGLE_MUTATIONS,
                    body="SELECT mutant, wt, CAST(pos AS BIGINT) AS pos, mt FROM muts"))
 def single_mutations_q(spark, sf):
@@ -152,8 +154,10 @@ def pseudo_ppl_scores(spark, sf):
 
 
 MSA_SQL = q.with_ctes(q.RESIDUES, q.ALPHA, q.WT, q.SINGLE_MUTATIONS, [
-    "mres AS (SELECT pos, aa FROM residues WHERE seq_id <> (SELECT min(seq_id) FROM seqs))",
-], q.profile("mres", "mprof"), body="""
+    "every AS MATERIALIZED (SELECT pos, aa, count(*) AS n FROM residues GROUP BY pos, aa)",
+    "own AS (SELECT pos, aa, count(*) AS n FROM residues WHERE seq_id = (SELECT min(seq_id) FROM seqs) GROUP BY pos, aa)",
+    "others AS (SELECT e.pos, e.aa, e.n - coalesce(o.n, 0) AS n FROM every e LEFT JOIN own o USING (pos, aa))",
+], q.profile_of_counts("others", "mprof"), body="""
 SELECT mu.mutant, CAST(mu.pos AS BIGINT) AS pos, round(a.log_prob - b.log_prob, 6) AS score
 FROM muts mu JOIN mprof a ON a.pos = mu.pos AND a.aa = mu.mt JOIN mprof b ON b.pos = mu.pos AND b.aa = mu.wt""")
 
@@ -175,10 +179,10 @@ OFFSET = 24
 
 MUTLIST_SQL = q.with_ctes(q.RESIDUES, q.ALPHA, q.profile(), q.WT, body=f""",
 fwd AS (SELECT DISTINCT w.wt || CAST(r.pos + {OFFSET - 1} AS VARCHAR) || r.aa AS mutant
-        FROM residues r JOIN wt_res w ON w.pos = r.pos
+        FROM profile_all r JOIN wt_res w ON w.pos = r.pos
         WHERE r.aa <> w.wt),
 rev AS (SELECT DISTINCT r.aa || CAST(r.pos + {OFFSET - 1} AS VARCHAR) || w.wt AS mutant
-        FROM residues r JOIN wt_res w ON w.pos = r.pos
+        FROM profile_all r JOIN wt_res w ON w.pos = r.pos
         WHERE r.aa <> w.wt),
 lst AS (SELECT mutant FROM fwd UNION SELECT mutant FROM rev),
 parsed AS (SELECT mutant, substr(mutant, 1, 1) AS wt,
@@ -218,7 +222,7 @@ HEAT_START, HEAT_END = OFFSET + 4, OFFSET + 19
 
 HEATMAP_SQL = q.with_ctes(q.RESIDUES, q.ALPHA, q.profile(), q.WT, body=f""",
 fwd AS (SELECT DISTINCT w.wt || CAST(r.pos + {OFFSET - 1} AS VARCHAR) || r.aa AS mutant, r.pos, w.wt, r.aa AS mt
-        FROM residues r JOIN wt_res w ON w.pos = r.pos
+        FROM profile_all r JOIN wt_res w ON w.pos = r.pos
         WHERE r.aa <> w.wt),
 sc AS (SELECT f.mutant, min(a.log_prob - b.log_prob) AS score FROM fwd f
        JOIN profile a ON a.pos = f.pos AND a.aa = f.mt JOIN profile b ON b.pos = f.pos AND b.aa = f.wt GROUP BY f.mutant),
@@ -241,6 +245,64 @@ def heatmap_grid_q(spark, sf):
                     F.when(F.isnan("score"), F.col("score")).otherwise(F.round("score", R)).alias("score"))
 
 
+MANY_SQL = q.with_ctes(q.RESIDUES, q.ALPHA, CTX_CTES, q.REFS, body=""",
+prot AS (SELECT seq_id AS protein, sequence, row_number() OVER (ORDER BY seq_id) - 1 AS place, count(*) OVER () AS n_proteins FROM refs),
+wtr AS (SELECT protein, place, n_proteins, sequence, CAST(i AS INTEGER) AS pos, substr(sequence, i, 1) AS wt
+        FROM (SELECT *, unnest(generate_series(1, length(sequence))) AS i FROM prot)),
+fam AS MATERIALIZED (SELECT p.protein, r.pos, r.aa, count(*) AS n, count(*) FILTER (WHERE r.seq_id = f.first_id) AS n_own
+        FROM residues r JOIN prot p ON p.place = r.seq_id % p.n_proteins
+        JOIN (SELECT seq_id % (SELECT count(*) FROM refs) AS place, min(seq_id) AS first_id FROM seqs GROUP BY 1) f ON f.place = p.place
+        GROUP BY p.protein, r.pos, r.aa),
+kgrid AS (SELECT f.protein, f.pos, a.aa FROM (SELECT DISTINCT protein, pos FROM fam) f CROSS JOIN alpha a),
+kprof AS (SELECT g.protein, g.pos, g.aa,
+   ln((coalesce(f.n, 0) + 1.0) / (sum(coalesce(f.n, 0)) OVER o + 20.0)) AS lp,
+   ln((coalesce(f.n - f.n_own, 0) + 1.0) / (sum(coalesce(f.n - f.n_own, 0)) OVER o + 20.0)) AS lp_msa
+   FROM kgrid g LEFT JOIN fam f USING (protein, pos, aa) WINDOW o AS (PARTITION BY g.protein, g.pos)),
+mu AS (SELECT w.protein, w.wt || CAST(w.pos AS VARCHAR) || 'A' AS mutant, w.pos, w.wt, 'A' AS mt, w.sequence FROM wtr w),
+ctxs AS (SELECT protein, pos, CASE WHEN pos = 1 THEN '^' ELSE substr(sequence, pos - 1, 1) END AS prev_aa,
+   CASE WHEN pos = length(sequence) THEN '$' ELSE substr(sequence, pos + 1, 1) END AS next_aa FROM wtr),
+mlp AS (SELECT c.protein, c.pos, m.aa, m.log_prob FROM ctxs c JOIN model m USING (prev_aa, next_aa)),
+ms AS (SELECT protein, mutant, substr(sequence, 1, pos - 1) || mt || substr(sequence, pos + 1) AS s FROM mu),
+mx AS (SELECT protein, mutant, CASE WHEN i = 1 THEN '^' ELSE substr(s, i - 1, 1) END AS prev_aa, substr(s, i, 1) AS aa,
+   CASE WHEN i = length(s) THEN '$' ELSE substr(s, i + 1, 1) END AS next_aa FROM (SELECT *, unnest(generate_series(1, length(s))) AS i FROM ms)),
+ppl AS (SELECT protein, mutant, sum(m.log_prob) AS score FROM mx JOIN model m USING (prev_aa, aa, next_aa) GROUP BY protein, mutant)
+SELECT CAST(mu.protein AS BIGINT) AS protein, mu.mutant, round(a.lp - b.lp, 6) + 0.0 AS wt_marginal, round(a.lp_msa - b.lp_msa, 6) + 0.0 AS msa,
+  round(ma.log_prob - mb.log_prob, 6) + 0.0 AS masked_marginal, round(p.score, 5) AS pseudo_ppl
+FROM mu LEFT JOIN kprof a ON a.protein = mu.protein AND a.pos = mu.pos AND a.aa = mu.mt
+  LEFT JOIN kprof b ON b.protein = mu.protein AND b.pos = mu.pos AND b.aa = mu.wt
+  LEFT JOIN mlp ma ON ma.protein = mu.protein AND ma.pos = mu.pos AND ma.aa = mu.mt
+  LEFT JOIN mlp mb ON mb.protein = mu.protein AND mb.pos = mu.pos AND mb.aa = mu.wt
+  LEFT JOIN ppl p ON p.protein = mu.protein AND p.mutant = mu.mutant""")
+
+
+@query("many_proteins", ("Z3", "Z4", "Z5", "Z6", "Z7", "J5", "A23"), MANY_SQL)
+def many_proteins(spark, sf):
+    """The alanine scan of every reference protein by all four strategies, keyed by protein. Each protein's family is a share of the
+    documents' sequences (dealt by id), the lowest id being left out of the alignment's counts; the context model is shared."""
+    refs = t.references(spark, sf).select(F.col("seq_id").alias("protein"), F.col("sequence").alias("wt_sequence"))
+    places = row_number_by(refs.select("protein"), ["protein"], out="rn", with_total="n")
+    s = t.seqs(spark, sf)
+    dealt = rel.attach_row(s, places.agg(F.max("n").alias("_n"))).withColumn("place", F.col("seq_id") % F.col("_n")).drop("_n")
+    fam = dealt.join(checked_broadcast(places.select("protein", (F.col("rn") - 1).alias("place"))), "place").select("protein", "seq_id", "sequence")
+    first = fam.groupBy("protein").agg(F.min("seq_id").alias("seq_id"), F.min_by("sequence", "seq_id").alias("sequence"))
+
+    def residues(df):
+        return t.residues_of(df.withColumn("_id", F.struct("protein", "seq_id")), "_id").select("_id.protein", "pos", "aa")
+
+    key = ["protein"]
+    counts = cut_lineage(ctx.residue_counts(residues(fam), key))
+    own = ctx.residue_counts(residues(first), key).withColumnRenamed("n", "n_own")
+    others = counts.join(own, ["protein", "pos", "aa"], "left").withColumn("n", F.col("n") - F.coalesce("n_own", F.lit(0))).drop("n_own")
+    model = ctx.context_model_fit(s)
+    muts = mz.mutations_of_residues(mz.wt_residues(refs, key), key, "A")
+    x = mz.zero_shot(muts, refs, "wt-marginals", profile=ctx.site_profile_from_counts(counts, key=key), out="wt_marginal", key=key)
+    x = mz.zero_shot(x, refs, "msa", profile=ctx.site_profile_from_counts(others, key=key), out="msa", key=key)
+    x = mz.zero_shot(x, refs, "masked-marginals", context_model=model, out="masked_marginal", key=key)
+    x = mz.zero_shot(x, refs, "pseudo-ppl", context_model=model, out="pseudo_ppl", key=key)
+    return x.select(F.col("protein").cast("bigint"), "mutant", *[(F.round(c, R) + 0.0).alias(c) for c in ("wt_marginal", "msa", "masked_marginal")],
+                    F.round("pseudo_ppl", 5).alias("pseudo_ppl"))
+
+
 K6_SQL = q.with_ctes(q.RESIDUES, q.TVT, q.ALPHA, [
     "tr_pos AS (SELECT r.* FROM residues r JOIN tvt USING (seq_id) WHERE split = 'train')",
 ], ctx_ctes("tr_pos"), [

@@ -16,23 +16,42 @@ from seqframe.sources import tables as t
 VOCAB_CHARS = "".join(v for v in tk.VOCAB[4:31] if len(v) == 1)  # single-letter tokens, ids 4..
 
 
-@query("aligned_sequences", ("P2", "X1", "S3-view"),
+@query("aligned_sequences", ("X1", "S3-view"),
        q.with_ctes(q.SEQS, q.WT, body="""SELECT CAST(seq_id AS BIGINT) AS seq_id, sequence FROM seqs, wt
 WHERE length(sequence) BETWEEN length(wt_sequence) // 2 AND 2 * length(wt_sequence)"""))
 def aligned_sequences(spark, sf):
     """The documents' whole residue strings that have the wild type's length to within a factor of two (P2 on the true length)."""
-    wt = t.wild_type(t.references(spark, sf)).first()["wt_sequence"]
-    s = t.seqs(spark, sf).where(F.length("sequence").between(len(wt) // 2, 2 * len(wt)))
+    n = t.wild_type(t.references(spark, sf)).select(F.length("wt_sequence").alias("_n"))
+    s = rel.attach_row(t.seqs(spark, sf), n).where("length(sequence) BETWEEN _n div 2 AND 2 * _n")
     return s.select(F.col("seq_id").cast("bigint"), "sequence")
 
 
+@query("fixed_length_sequences", ("P2",), q.with_ctes(q.SEQS, body=""",
+n AS (SELECT length(sequence) AS n FROM seqs GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)
+SELECT CAST(seq_id AS BIGINT) AS seq_id, CAST(length(sequence) AS BIGINT) AS n, md5(sequence) AS sequence_md5
+FROM seqs WHERE length(sequence) = (SELECT n FROM n)"""))
+def fixed_length_sequences(spark, sf):
+    """The sequences of one length, the family's most frequent (the longest of equals), as a feature table needs them."""
+    s = t.seqs(spark, sf)
+    n = s.groupBy(F.length("sequence").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()["n"]
+    return rel.filter_length(s, "sequence", n).select(F.col("seq_id").cast("bigint"), F.length("sequence").cast("bigint").alias("n"),
+                                                      F.md5("sequence").alias("sequence_md5"))
+
+
+def _in_order(*parts):
+    """md5 of a sequence's letters in the order of their places: any letter at another place changes it."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", F.concat(*parts).alias("x"))))
+    return F.md5(F.array_join(F.transform(rows, lambda r: r["x"]), ""))
+
+
 @query("residue_table", ("X1", "residues"),
-       q.with_ctes(q.RESIDUES, body="""SELECT CAST(seq_id AS BIGINT) AS seq_id, aa, CAST(count(*) AS BIGINT) AS n,
-  CAST(sum(pos) AS BIGINT) AS sum_pos FROM residues GROUP BY seq_id, aa"""))
+       q.with_ctes(q.RESIDUES, body="""SELECT CAST(seq_id AS BIGINT) AS seq_id, CAST(count(*) AS BIGINT) AS n,
+  CAST(max(pos) AS BIGINT) AS last_pos, md5(string_agg(aa, '' ORDER BY pos)) AS letters_md5 FROM residues GROUP BY seq_id"""))
 def residue_table(spark, sf):
-    """All residues with their places, summed per sequence and letter."""
-    r = t.residues(spark, sf).groupBy("seq_id", "aa").agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"))
-    return r.select(F.col("seq_id").cast("bigint"), "aa", "n", "sum_pos")
+    """All residues with their places; a digest per sequence covers every row in order."""
+    r = t.residues(spark, sf).groupBy("seq_id").agg(F.count("*").alias("n"), F.max("pos").cast("bigint").alias("last_pos"),
+                                                    _in_order("aa").alias("letters_md5"))
+    return r.select(F.col("seq_id").cast("bigint"), "n", "last_pos", "letters_md5")
 
 
 SEQUENCE_FORMS_SQL = """
@@ -130,15 +149,17 @@ m AS (SELECT seq_id, pos, aa,
        CASE WHEN u1 >= 0.15 THEN aa WHEN u2 < 0.8 THEN '#' WHEN u2 < 0.9 THEN rnd ELSE aa END AS input,
        CASE WHEN u1 < 0.15 THEN aa END AS label
 FROM u)
-SELECT CAST(seq_id AS BIGINT) AS seq_id, input, label, CAST(count(*) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos
-FROM m GROUP BY seq_id, input, label""")
+SELECT CAST(seq_id AS BIGINT) AS seq_id, CAST(count(*) AS BIGINT) AS n, CAST(count(label) AS BIGINT) AS n_labels,
+       md5(string_agg(input || coalesce(label, '-'), '' ORDER BY pos)) AS sites_md5
+FROM m GROUP BY seq_id""")
 
 
 @query("mlm_masking", ("K3",), MLM_SQL)
 def mlm_masking(spark, sf):
-    """Masked input and label of every residue, summed per sequence, input and label."""
-    m = ctx.mlm_mask(t.seqs(spark, sf)).groupBy("seq_id", "input", "label").agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"))
-    return m.select(F.col("seq_id").cast("bigint"), "input", "label", "n", "sum_pos")
+    """Masked input and label of every residue; a digest per sequence covers every row in order."""
+    m = ctx.mlm_mask(t.seqs(spark, sf)).groupBy("seq_id").agg(
+        F.count("*").alias("n"), F.count("label").alias("n_labels"), _in_order("input", F.coalesce("label", F.lit("-"))).alias("sites_md5"))
+    return m.select(F.col("seq_id").cast("bigint"), "n", "n_labels", "sites_md5")
 
 
 MASK_EACH_SQL = q.with_ctes(q.REFS, body=""",

@@ -39,12 +39,16 @@ WT = REFS + [
 
 
 def profile(residues: str = "residues", name: str = "profile", pc: float = 1.0) -> list[str]:
-    """A23 site profile over a residues CTE (pos, aa)."""
+    """A23 site profile over a residues CTE (pos, aa): residues are read once, into counts."""
+    return [f"""{name}_all AS MATERIALIZED (SELECT pos, aa, count(*) AS n FROM {residues} GROUP BY pos, aa)"""] + profile_of_counts(f"{name}_all", name, pc)
+
+
+def profile_of_counts(counts: str, name: str = "profile", pc: float = 1.0) -> list[str]:
+    """A23 site profile over a CTE of counts (pos, aa, n)."""
     return [
-        f"""{name}_counts AS (SELECT pos, aa, count(*) AS n FROM {residues}
-  WHERE aa IN (SELECT aa FROM alpha) GROUP BY pos, aa)""",
-        f"""{name}_grid AS (SELECT p.pos, a.aa FROM (SELECT DISTINCT pos FROM {residues}) p CROSS JOIN alpha a)""",
-        f"""{name} AS (SELECT g.pos, g.aa,
+        f"""{name}_counts AS (SELECT pos, aa, n FROM {counts} WHERE aa IN (SELECT aa FROM alpha))""",
+        f"""{name}_grid AS (SELECT p.pos, a.aa FROM (SELECT DISTINCT pos FROM {counts}) p CROSS JOIN alpha a)""",
+        f"""{name} AS MATERIALIZED (SELECT g.pos, g.aa,
   ln((coalesce(c.n, 0) + {pc}) / (sum(coalesce(c.n, 0)) OVER (PARTITION BY g.pos) + {pc} * 20)) AS log_prob
   FROM {name}_grid g LEFT JOIN {name}_counts c ON g.pos = c.pos AND g.aa = c.aa)""",
     ]

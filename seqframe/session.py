@@ -96,6 +96,13 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df)
 
 
+def checked_broadcast(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """``df`` marked for a broadcast join if it has at most ``max_rows`` rows (they are counted), else as it is.
+
+    For tables that are small by their nature but come from the caller, such as models."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     """A small constant table built from literals in the JVM (``inline`` of
     an array of structs). Unlike ``createDataFrame(list)`` it needs no Python

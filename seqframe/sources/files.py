@@ -46,30 +46,31 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
     Comment lines before the first record ('#', '!', ';') are skipped; wrapped
     sequence lines are joined; id is the first word of the header. ``rank`` is
-    the record order (file, then byte offset), so first-n stays well defined.
+    the record order (file, then byte offset), so first-n stays well defined:
+    a record's place in its block of the file, which one task reads, plus the
+    records of all earlier blocks. No window holds more than a block, but
+    for the one over the blocks' counts.
     """
+    block = ["_file", "_block"]
     raw = (spark.read.option("lineSep", "\n>").text(path)
            .select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
                    F.monotonically_increasing_id().alias("_order")))
-    v = F.col("value")
-    # one row per block of a file: its place among all blocks, and its first chunk
-    blocks = raw.groupBy("_file", "_block").agg(F.min("_order").alias("_first")).withColumn(
-        "_at", F.row_number().over(Window.orderBy("_file", "_block")))
+    order = Window.partitionBy(*block).orderBy("_order")
+    raw = raw.withColumn("_n", F.row_number().over(order))
     # only a file's first chunk can be a comment: a later one followed a ">" and is a record, whatever it begins with
-    lead = (F.col("_block") == 0) & (F.col("_order") == F.col("_first")) & v.rlike(r"^[#!;]")
-    raw = raw.join(blocks, ["_file", "_block"]).withColumn("_lead", lead)
-    v = F.when(F.col("_lead"), F.regexp_replace(v, r"^(?:[#!;][^\n]*(?:\n|$))+", "")).otherwise(v)
-    x = raw
-    x = x.select("_at", "_order", F.regexp_replace(v, "^>", "").alias("rec")).where(F.length(F.trim("rec")) > 0)
+    lead = (F.col("_block") == 0) & (F.col("_n") == 1) & F.col("value").rlike(r"^[#!;]")
+    v = F.when(lead, F.regexp_replace("value", r"^(?:[#!;][^\n]*(?:\n|$))+", "")).otherwise(F.col("value"))
+    x = raw.select(*block, "_order", F.regexp_replace(v, "^>", "").alias("rec"))
+    kept = (F.length(F.trim("rec")) > 0).cast("int")
+    x = x.withColumn("_kept", kept).withColumn("_place", F.sum("_kept").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    counts = x.groupBy(*block).agg(F.sum("_kept").alias("_c"))  # one row a block of a file
+    before = F.sum("_c").over(Window.orderBy(*block)) - F.col("_c")
+    x = x.where("_kept = 1").join(counts.select(*block, before.alias("_before")), block)
     parts = F.split(F.col("rec"), "\n", 2)
     header = F.trim(F.element_at(parts, 1))
     body = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
-    seq = F.regexp_replace(body, r"\s+", "")
-    x = x.select("_at", "_order", header.alias("description"), seq.alias("sequence"))
-    x = x.withColumn("id", F.element_at(F.split("description", r"\s+"), 1))
-    from seqframe.operators.ranking import row_number_by
-    x = row_number_by(x, ["_at", "_order"], out="rank")
-    return x.select("rank", "id", "description", "sequence")
+    return x.select((F.col("_before") + F.col("_place")).cast("bigint").alias("rank"), F.element_at(F.split(header, r"\s+"), 1).alias("id"),
+                    header.alias("description"), F.regexp_replace(body, r"\s+", "").alias("sequence"))
 
 
 def read_wild_type(spark: SparkSession, path: str) -> DataFrame:
