@@ -1,6 +1,6 @@
 """Estimators (M1-M6).
 
-M1 and M4 are configured ``pyspark.ml`` estimators. M2, M3, M5 and M6 are
+M1 is a configured ``pyspark.ml`` estimator, M4 is in ``trees``. M2, M3, M5 and M6 are
 ``pyspark.ml`` Estimator/Model subclasses whose fitting is a sequence of
 distributed aggregations (``seqframe.ml.optim``) and whose ``transform`` is an
 Arrow-batched pandas UDF over the feature arrays. All take an ARRAY<DOUBLE>
@@ -18,7 +18,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -28,7 +28,7 @@ from seqframe.functions.hashing import stable_hash
 from seqframe.ml import gp, optim
 
 
-# --- M1 / M4: pyspark.ml estimators ----------------------------------------
+# --- M1: a pyspark.ml estimator ----------------------------------------
 
 def lasso(alpha: float = 1.0, max_iter: int = 1000, featuresCol: str = "features_vec",
           labelCol: str = "label") -> LinearRegression:
@@ -38,15 +38,6 @@ def lasso(alpha: float = 1.0, max_iter: int = 1000, featuresCol: str = "features
                             featuresCol=featuresCol, labelCol=labelCol)
 
 
-def tree_ensemble(n_estimators: int = 100, seed: int = 42, featuresCol: str = "features_vec",
-                  labelCol: str = "label") -> RandomForestRegressor:
-    """M4: randomised tree ensemble without bootstrap. Spark has no random
-    split thresholds (extremely randomised trees); randomness comes from the
-    per-node feature subsets instead."""
-    return RandomForestRegressor(numTrees=n_estimators, bootstrap=False, featureSubsetStrategy="onethird",
-                                 seed=seed, featuresCol=featuresCol, labelCol=labelCol)
-
-
 def as_vector(df: DataFrame, features: str = "features", out: str = "features_vec") -> DataFrame:
     """ARRAY<DOUBLE> -> ML vector column for the built-in estimators."""
     return df.withColumn(out, array_to_vector(F.col(features).cast("array<double>")))

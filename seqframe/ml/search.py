@@ -19,6 +19,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (DecisionTreeRegressor, FMRegressor, GBTRegressor, GeneralizedLinearRegression,
                                    LinearRegression, RandomForestRegressor)
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from seqframe.ml import grids
 from seqframe.ml.evaluators import scorer
-from seqframe.ml.models import FeedForward, KernelSVR, SparseGP, lasso, tree_ensemble
+from seqframe.ml.models import FeedForward, KernelSVR, SparseGP, lasso
+from seqframe.ml.trees import RandomTrees
 from seqframe.ml.scaler import PopulationScaler
 from seqframe.operators import metrics as mt
 from seqframe.operators.split import kfold
@@ -52,7 +54,7 @@ MODELS: dict[str, Make] = {
                                epsilon=float(p.get("epsilon", 0.1)), featuresCol="features_vec"),
     "gpr": lambda p: SparseGP(nRestarts=int(p.get("n_restarts_optimizer", 3)), normalizeY=True,
                               featuresCol="features_vec"),
-    "trees": lambda p: tree_ensemble(int(p.get("n_estimators", 100))),
+    "trees": lambda p: RandomTrees(numTrees=int(p.get("n_estimators", 100)), featuresCol="features_vec"),
     "mlp": lambda p: FeedForward(hidden=[int(p.get("hidden", 64))] * int(p.get("layers", 2)),
                                  dropout=float(p.get("dropout", 0.0)), lr=float(p.get("lr", 1e-3)),
                                  epochs=int(p.get("epochs", 30)), featuresCol="features_vec"),
@@ -326,17 +328,67 @@ def default_vs_tuned(make: Make, spec: dict, train: DataFrame, test: DataFrame,
             "trials": trials}
 
 
-def two_stage_search(make: Make, spec1: dict, spec2: dict, df: DataFrame, key: str, n_trials: int = 5,
-                     metric: str = "spearman", seed: int = 42, **kw):
-    """H9: tune structure (spec1) first, then the rest (spec2) with stage-1's
-    best fixed; keep stage 2 only if it improves the stage-1 value."""
-    t1, b1 = adaptive_search(make, spec1, df, key, n_trials, metric=metric, seed=seed, **kw)
-    t2, b2 = adaptive_search(make, spec2, df, key, n_trials, metric=metric, seed=seed + 1, fixed=b1, **kw)
-    larger = scorer(metric).isLargerBetter()
-    v1 = mt.best_trial(t1, maximize=larger).first()["value"]
-    v2 = mt.best_trial(t2, maximize=larger).first()["value"]
-    keep2 = _better(v2, v1, larger)
-    return (dict(b1, **b2) if keep2 else b1), t1.withColumn("stage", F.lit(1)).unionByName(t2.withColumn("stage", F.lit(2)))
+TRIALS = "stage int, trial int, params string, value double, error string"
+
+
+def stored_trials(spark: SparkSession, path: str) -> list[dict]:
+    """The trials of a run table, in order; none when the table does not exist yet."""
+    try:
+        found = spark.read.schema(TRIALS).parquet(path).collect()  # one row a trial
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+    return [r.asDict() for r in sorted(found, key=lambda r: (r["stage"], r["trial"]))]
+
+
+def staged_search(spark: SparkSession, evaluate: Callable[[dict], float], stages: list[dict], path: str, n_trials: int = 5,
+                  larger: bool = True, seed: int = 42) -> tuple[DataFrame, dict | None, int]:
+    """H9: tune the parameters of one stage after the other, each from the best of the stages before.
+
+    Every finished trial is appended to the run table ``path`` before the next one
+    starts. A run on a table with trials goes on behind the last one: stored trials
+    are not evaluated again, and a proposal depends only on the seed, its stage
+    and number and the trials before. A trial that raises is stored with
+    its error and no value, and is skipped. A stage's best is kept only if it is better than what
+    was kept before. Returns the trials with ``kept`` (1 on the best one), the parameters kept (None: every
+    trial failed) and how many trials this call evaluated.
+    """
+    done = {(r["stage"], r["trial"]): r for r in stored_trials(spark, path)}
+    best, best_value, kept, evaluated = None, float("nan"), None, 0
+    for stage, spec in enumerate(stages, 1):
+        space, fixed, history = param_space(spec), dict(best or {}), []
+        for trial in range(n_trials):
+            row = done.get((stage, trial))
+            if row is None:
+                params = dict(fixed, **_propose(space, history, np.random.default_rng([seed, stage, trial]), larger))
+                row = {"stage": stage, "trial": trial, "params": json.dumps(params, sort_keys=True), "value": None, "error": None}
+                try:
+                    row["value"] = float(evaluate(params))
+                except Exception as e:  # noqa: BLE001  (whatever a fit raises is the trial's outcome)
+                    row["error"] = f"{type(e).__name__}: {e}"[:500]
+                spark.createDataFrame([row], TRIALS).coalesce(1).write.mode("append").parquet(path)
+                done[stage, trial] = row
+                evaluated += 1
+            params, value = json.loads(row["params"]), float("nan") if row["value"] is None else row["value"]
+            history.append(({k: params[k] for k in space}, value))
+            if _better(value, best_value, larger):
+                best, best_value, kept = params, value, (stage, trial)
+    rows = [(r["stage"], r["trial"], r["params"], float("nan") if r["value"] is None else r["value"], r["error"] or "", int(k == kept))
+            for k, r in sorted(done.items())]
+    return literal_table(spark, rows, ["stage", "trial", "params", "value", "error", "kept"]), best, evaluated
+
+
+def two_stage_search(make: Make, spec1: dict, spec2: dict, train: DataFrame, valid: DataFrame, path: str, n_trials: int = 5,
+                     metric: str = "spearman", seed: int = 42, features: str = "features", label: str = "label"):
+    """H9: structure (spec1) first, then the rest (spec2), each trial fitted on ``train`` and scored on ``valid``; see ``staged_search``."""
+    ev = scorer(metric, labelCol=label)
+
+    def evaluate(params: dict) -> float:
+        sc, m = fit_scaled(make, params, train, features)
+        return ev.evaluate(predict_scaled(sc, m, valid))
+
+    return staged_search(train.sparkSession, evaluate, [spec1, spec2], path, n_trials, ev.isLargerBetter(), seed)
 
 
 def leaderboard(train: DataFrame, test: DataFrame, metric: str = "spearman", features: str = "features",

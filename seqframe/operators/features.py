@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqframe.operators.relational import attach_row
 from seqframe.session import literal_table
 
 # Fixed values -------------------------------------------------------------
@@ -176,6 +177,36 @@ def pair_features(f1: DataFrame, f2: DataFrame, key: str, features: str = "featu
     return j.withColumn(out, F.concat("_f1", "_f2")).drop("_f1", "_f2")
 
 
+#: Entries of a descriptor table that is attached to every row as one map at most; it is counted first.
+MAX_DESCRIPTOR_ROWS = 5_000
+
+
+def descriptor_pairs(df: DataFrame, key: str, seqcol: str, table: DataFrame, out: str = "features") -> DataFrame:
+    """(key, pair, features) for every unordered pair of the descriptors in ``table`` (descriptor, aa, values).
+
+    Names are paired by a self-join (U2); the pairs and the values are attached to
+    each row as one array and one map, a sequence is encoded once by each descriptor,
+    and the encodings are put together by pair. Nothing is shuffled by key. A letter without
+    a value makes a vector null.
+    """
+    n = table.limit(MAX_DESCRIPTOR_ROWS + 1).count()
+    if n > MAX_DESCRIPTOR_ROWS:
+        raise ValueError(f"a descriptor table has at most {MAX_DESCRIPTOR_ROWS} entries")
+    by_letter = table.groupBy("descriptor").agg(F.map_from_entries(F.collect_list(F.struct("aa", "values"))).alias("m"))
+    maps = by_letter.agg(F.map_from_entries(F.collect_list(F.struct("descriptor", "m"))).alias("_maps"))
+    pairs = combinations(table.select("descriptor").distinct())
+    pairs = pairs.agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_pairs"))
+    x = attach_row(attach_row(df.select(key, F.split(F.col(seqcol), "").alias("_letters")), maps), pairs)
+    x = x.withColumn("_code", F.transform_values("_maps", lambda name, m: F.flatten(F.transform("_letters", lambda a: F.try_element_at(m, a)))))
+    x = x.select(key, "_code", F.explode("_pairs").alias("p"))
+    return x.select(key, F.concat_ws("+", "p.a", "p.b").alias("pair"), F.concat(F.element_at("_code", F.col("p.a")), F.element_at("_code", F.col("p.b"))).alias(out))
+
+
+def write_descriptor_pairs(pairs: DataFrame, path: str) -> None:
+    """J3 sink: one folder a pair, written in one pass over the encoded rows."""
+    pairs.write.mode("overwrite").partitionBy("pair").parquet(path)
+
+
 def all_descriptor_pairs(wide: DataFrame, key: str, names: list[str], out: str = "features") -> DataFrame:
     """For every 2-combination of descriptors, the concatenated features.
 

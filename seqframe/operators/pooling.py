@@ -9,7 +9,7 @@ row explode before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,69 +53,115 @@ def pool_all(df: DataFrame, key: str | list[str], vec: str) -> DataFrame:
 
 # --- F3: pluggable per-residue encoder -------------------------------------
 
-Encoder = Callable[[str], np.ndarray]  # sequence -> [L, H] float matrix
+#: Letters (with padding) of one call of an encoder at most; a longer sequence is a call of its own.
+MAX_TOKENS = 1 << 18
 
 
-def descriptor_window_encoder(table: dict[str, list[float]], window: int = 1) -> Encoder:
-    """Built-in per-residue encoder: each residue's descriptor vector next to
-    the mean descriptor vector of its +-window neighbourhood ([L, 2d]).
-    Unknown residues are zero vectors."""
-    d = len(next(iter(table.values())))
-    lut = np.zeros((128, d))
-    for aa, vals in table.items():
-        lut[ord(aa)] = vals
+class BatchEncoder:
+    """A per-residue encoder for padded batches. ``load`` runs once in each task, before its first batch."""
 
-    def enc(seq: str) -> np.ndarray:
-        codes = np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8) % 128
-        x = lut[codes]
-        if len(x) == 0:
-            return np.zeros((0, 2 * d))
-        c = np.vstack([np.zeros((1, d)), np.cumsum(x, axis=0)])
-        idx = np.arange(len(x))
-        lo = np.maximum(idx - window, 0)
-        hi = np.minimum(idx + window + 1, len(x))
-        ctx = (c[hi] - c[lo]) / (hi - lo)[:, None]
-        return np.hstack([x, ctx])
+    def load(self) -> None:
+        pass
 
-    return enc
+    def encode(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Letter codes (sequences x longest, 0 beyond a sequence's end) and lengths -> vectors (sequences x longest x width)."""
+        raise NotImplementedError
 
 
-def _pool_matrix(m: np.ndarray, how: str) -> np.ndarray:
-    if how == "mean":
-        return m.mean(axis=0)
-    if how == "sum":
-        return m.sum(axis=0)
-    if how == "max":
-        return m.max(axis=0)
-    if how == "global":
-        return np.concatenate([m.mean(axis=0), m.max(axis=0)])
-    raise ValueError(f"unknown pooling {how!r}; expected one of {POOLS}")
+class WindowEncoder(BatchEncoder):
+    """Each residue's descriptor vector next to the mean descriptor vector of its +-window neighbourhood (width 2d).
 
+    Letters without a descriptor are zero vectors."""
 
-def embed(df: DataFrame, seqcol: str, encoder: Encoder, how: str = "mean", out: str = "embedding") -> DataFrame:
-    """sequence -> pooled vector via ``mapInPandas`` (Arrow batches).
+    def __init__(self, table: dict[str, list[float]], window: int = 1):
+        self.window, d = window, len(next(iter(table.values())))
+        self.lut = np.zeros((256, d))
+        for aa, vals in table.items():
+            self.lut[ord(aa)] = vals
+
+    def encode(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        x = self.lut[tokens]
+        c = np.concatenate([np.zeros((len(x), 1, x.shape[2])), np.cumsum(x, axis=1)], axis=1)
+        at = np.arange(tokens.shape[1])[None, :]
+        lo, hi = np.maximum(at - self.window, 0), np.minimum(at + self.window + 1, lengths[:, None])
+        hi = np.maximum(hi, lo + 1)  # places beyond a sequence's end are not pooled
+        rows = np.arange(len(x))[:, None]
+        return np.concatenate([x, (c[rows, hi] - c[rows, np.broadcast_to(lo, hi.shape)]) / (hi - lo)[:, :, None]], axis=2)
+
+    def __call__(self, seq: str) -> np.ndarray:
+        own = np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)[None, :]
+        return self.encode(own, np.array([own.shape[1]]))[0]
 
-    The encoder is shipped once per task with the closure; each sequence is
-    encoded and pooled inside the batch, so no per-residue rows are shuffled.
-    """
-    if how not in POOLS:
-        raise ValueError(f"unknown pooling {how!r}; expected one of {POOLS}")
-    schema = StructType(list(df.schema.fields) + [StructField(out, ArrayType(DoubleType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            vecs = [_pool_matrix(encoder(s), how).tolist() if s else None for s in b[seqcol]]
-            yield b.assign(**{out: vecs})
+def descriptor_window_encoder(table: dict[str, list[float]], window: int = 1) -> WindowEncoder:
+    """The built-in encoder."""
+    return WindowEncoder(table, window)
 
-    return df.mapInPandas(run, schema)
 
+def batches_of(lengths: np.ndarray, max_tokens: int) -> list[np.ndarray]:
+    """Places of the sequences that are encoded together: sorted by length, with at most ``max_tokens`` letters after padding."""
+    order, out, lo = np.argsort(lengths, kind="stable"), [], 0
+    for hi in range(1, len(order) + 1):
+        if hi == len(order) or lengths[order[hi]] * (hi - lo + 1) > max_tokens:
+            out.append(order[lo:hi])
+            lo = hi
+    return out
 
-def pool_compare_input(df: DataFrame, seqcol: str, encoder: Encoder, pools=("mean", "max", "sum"),
+
+def _pooled(v: np.ndarray, lengths: np.ndarray, how: str) -> np.ndarray:
+    real = (np.arange(v.shape[1])[None, :] < lengths[:, None])[:, :, None]
+    if how == "mean":
+        return np.where(real, v, 0).sum(1) / lengths[:, None]
+    if how == "sum":
+        return np.where(real, v, 0).sum(1)
+    if how == "max":
+        return np.where(real, v, -np.inf).max(1)
+    return np.concatenate([_pooled(v, lengths, "mean"), _pooled(v, lengths, "max")], axis=1)
+
+
+def embed_pools(df: DataFrame, seqcol: str, encoder: BatchEncoder, pools=("mean", "max", "sum"), out: str = "pools",
+                max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """``df`` with a struct ``out`` of one pooled vector per pooling, all from one run of the encoder.
+
+    Sequences of an Arrow batch are put in order of their lengths, padded and encoded in
+    calls of at most ``max_tokens`` letters; pooling masks the padding. Null and empty
+    sequences have null vectors; letters beyond Latin-1 count as unknown.
+    """
+    for how in pools:
+        if how not in POOLS:
+            raise ValueError(f"unknown pooling {how!r}; expected one of {POOLS}")
+    kind = StructType([StructField(p, ArrayType(DoubleType())) for p in pools])
+
+    @F.pandas_udf(kind)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder.load()
+        for seqs in parts:
+            texts = [b"" if s is None else s.encode("latin-1", "replace") for s in seqs]
+            n = np.array([len(x) for x in texts], np.int64)
+            res = {p: [None] * len(texts) for p in pools}
+            full = np.flatnonzero(n)
+            for own in batches_of(n[full], max_tokens) if len(full) else []:
+                at = full[own]
+                tokens = np.zeros((len(at), n[at].max()), np.uint8)
+                tokens[np.arange(tokens.shape[1])[None, :] < n[at, None]] = np.frombuffer(b"".join(texts[i] for i in at), np.uint8)
+                v = encoder.encode(tokens, n[at])
+                for p in pools:
+                    for i, vec in zip(at, _pooled(v, n[at], p).tolist()):
+                        res[p][i] = vec
+            yield pd.DataFrame({p: pd.Series(res[p], dtype=object) for p in pools})
+
+    return df.withColumn(out, run(F.col(seqcol)))
+
+
+def embed(df: DataFrame, seqcol: str, encoder: BatchEncoder, how: str = "mean", out: str = "embedding") -> DataFrame:
+    """sequence -> one pooled vector; see ``embed_pools``."""
+    return embed_pools(df, seqcol, encoder, (how,), "_pools").withColumn(out, F.col(f"_pools.{how}")).drop("_pools")
+
+
+def pool_compare_input(df: DataFrame, seqcol: str, encoder: BatchEncoder, pools=("mean", "max", "sum"),
                        out: str = "embedding") -> DataFrame:
     """one table with a ``pool`` column for each pooling, ready for a
-    per-pool fit and score."""
-    parts = [embed(df, seqcol, encoder, p, out).withColumn("pool", F.lit(p)) for p in pools]
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    per-pool fit and score; the encoder runs once for all of them."""
+    x = embed_pools(df, seqcol, encoder, pools, "_pools")
+    rows = F.array(*[F.struct(F.lit(p).alias("pool"), F.col(f"_pools.{p}").alias(out)) for p in pools])
+    return x.withColumn("_row", F.explode(rows)).select(*df.columns, "_row.pool", f"_row.{out}")

@@ -98,7 +98,54 @@ SELECT CAST(seq_id AS BIGINT) AS seq_id, pair, CAST(count(*) AS BIGINT) AS n_fea
 FROM al GROUP BY seq_id, pair""")
 
 
-@query("descriptor_pairs", ("J2", "J3", "U2", "F1"), PAIRS_SQL)
+#: Eight descriptors made of the bundled ones: each whole, each z-scale alone, and two sums.
+EIGHT = {**ft.BUNDLED, **{f"z{i + 1}": {a: [v[i]] for a, v in ft.Z3_HELLBERG.items()} for i in range(3)},
+         "z_sum": {a: [round(sum(v), 2)] for a, v in ft.Z3_HELLBERG.items()},
+         "hydro_sum": {a: [round(v[0] + ft.HOPP_WOODS[a][0], 2)] for a, v in ft.KYTE_DOOLITTLE.items()}}
+EIGHT_SQL = q.with_ctes(q.REFS, [
+    "d(name, aa, vals) AS (VALUES " + ", ".join(f"('{n}', '{a}', [{', '.join(repr(float(x)) for x in v)}]::DOUBLE[])"
+                                                 for n, tab in EIGHT.items() for a, v in tab.items()) + ")"], body=""",
+l AS (SELECT seq_id, CAST(i AS INTEGER) AS pos, substr(sequence, i, 1) AS aa FROM (SELECT *, unnest(generate_series(1, length(sequence))) AS i FROM refs)),
+c AS (SELECT seq_id, name, flatten(list(vals ORDER BY pos)) AS v FROM l JOIN d USING (aa) GROUP BY seq_id, name),
+p AS (SELECT a.seq_id, a.name || '+' || b.name AS pair, list_concat(a.v, b.v) AS v FROM c a JOIN c b ON a.seq_id = b.seq_id AND a.name < b.name),
+u AS (SELECT seq_id, pair, unnest(v) AS v, unnest(generate_series(1, len(v))) AS i FROM p)
+SELECT CAST(seq_id AS BIGINT) AS seq_id, pair, CAST(count(*) AS BIGINT) AS n_features,
+  CAST(sum(CAST(round(v * 100) AS BIGINT) * i) AS BIGINT) AS by_place, CAST(sum(CAST(round(v * 100) AS BIGINT) * i * i) AS BIGINT) AS by_place_squared
+FROM u GROUP BY seq_id, pair""")
+
+
+@query("descriptor_pair_tables", ("J3", "U2", "F2"), EIGHT_SQL)
+def descriptor_pair_tables(spark, sf):
+    """All 28 pairs of eight descriptors for the reference proteins, written by pair in one pass and read back."""
+    import uuid
+
+    from seqframe.session import scratch_path
+
+    desc = ft.descriptor_table(spark, list(EIGHT), EIGHT)
+    path = scratch_path(spark, f"descriptor-pairs-{uuid.uuid4().hex}")
+    ft.write_descriptor_pairs(ft.descriptor_pairs(t.references(spark, sf), "seq_id", "sequence", desc), path)
+    back = spark.read.schema("seq_id bigint, features array<double>, pair string").parquet(path)
+    return back.select("seq_id", "pair", F.size("features").cast("bigint").alias("n_features"),
+                       _by_place(1).alias("by_place"), _by_place(2).alias("by_place_squared"))
+
+
+POOLS_SQL = q.with_ctes(q.RESIDUES, DESC_CTES, body=""",
+x AS (SELECT r.seq_id, r.pos, unnest(d.vals) AS v, unnest(generate_series(0, len(d.vals) - 1)) AS j FROM residues r JOIN d_z3_hellberg d USING (aa)),
+w AS (SELECT seq_id, j, v FROM x UNION ALL
+      SELECT seq_id, j + 3, avg(v) OVER (PARTITION BY seq_id, j ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) FROM x),
+g AS (SELECT seq_id, j, avg(v) AS mean, max(v) AS max, sum(v) AS sum FROM w GROUP BY seq_id, j)
+SELECT CAST(seq_id AS BIGINT) AS seq_id, CAST(j AS INTEGER) AS i, round(mean, 6) + 0.0 AS mean, round(max, 6) + 0.0 AS max, round(sum, 4) + 0.0 AS sum FROM g""")
+
+
+@query("embedding_pools", ("F3", "F4", "D2", "A1", "A2", "A3"), POOLS_SQL)
+def embedding_pools(spark, sf):
+    """Every whole sequence through the batched window encoder once, pooled by mean, max and sum."""
+    x = pl.embed_pools(t.seqs(spark, sf), "sequence", pl.descriptor_window_encoder(ft.Z3_HELLBERG, window=2))
+    x = x.select(F.col("seq_id").cast("bigint"), F.posexplode(F.arrays_zip("pools.mean", "pools.max", "pools.sum")).alias("i", "v"))
+    return x.select("seq_id", "i", *[(F.round(f"v.{p}", d) + 0.0).alias(p) for p, d in (("mean", R), ("max", R), ("sum", 4))])
+
+
+@query("descriptor_pairs", ("J2", "J3", "F1"), PAIRS_SQL)
 def descriptor_pairs(spark, sf):
     """Features of every 2-combination of descriptors (concatenated), with a
     position-weighted checksum per (sequence, pair)."""

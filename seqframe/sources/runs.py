@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import time
 
@@ -16,8 +17,18 @@ def save_model(model, path: str) -> None:
 
 
 def load_model(path: str):
-    """Load what ``save_model`` wrote (PipelineModel layout)."""
-    return PipelineModel.load(path)
+    """Load what ``save_model`` wrote: a pipeline, a bare ``pyspark.ml`` model or one of this library's."""
+    spark = SparkSession.getActiveSession()
+    meta = json.loads(spark.read.text(f"{path.rstrip('/')}/metadata").first()[0])
+    name = meta["class"]
+    if name.startswith("org.apache.spark.ml."):
+        name = name.replace("org.apache.spark.ml.", "pyspark.ml.")
+        if name == "pyspark.ml.PipelineModel":
+            return PipelineModel.load(path)
+    module, cls = name.rsplit(".", 1)
+    if not module.startswith(("pyspark.ml.", "seqframe.")):
+        raise ValueError(f"{path} holds a {name}, which is no model of Spark or of this library")
+    return getattr(importlib.import_module(module), cls).load(path)
 
 
 def append_run_log(spark: SparkSession, path: str, run: str, values: dict) -> DataFrame:
