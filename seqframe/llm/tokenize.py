@@ -23,9 +23,7 @@ import pyarrow.compute as pc
 MAX_PIECES = 1_200_000
 #: Marks that may close a word (fixed set).
 _MARKS = ".,;:!?"
-_GLUED = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r"(?= \S)")
-_TOGETHER = re.compile(r"\s\s|^\s|\s\Z")
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -86,12 +84,17 @@ class Encoder:
             same = [*range(33, 127), *range(161, 173), *range(174, 256)]
             other = [b for b in range(256) if b not in same]
             self.byte_chars = {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(other)}
+            self.space = self.byte_chars[32]
             self.merge = model.model.tokenize
             self.line_feed = self._word("\n")
 
     def _word(self, word: str) -> bytes:
         """Ids of one word as the pre-tokenizer would hand it to the merges."""
-        ids = [x.id for x in self.merge(word.encode().decode("latin-1").translate(self.byte_chars))]
+        if word.isascii() and word.removeprefix(" ").isalpha():  # letters stand for their own bytes
+            chars = word.replace(" ", self.space)
+        else:
+            chars = word.encode().decode("latin-1").translate(self.byte_chars)
+        ids = [x.id for x in self.merge(chars)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, new: list[str]) -> None:
@@ -125,18 +128,26 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         at = 0
         while at < len(texts):  # about 4 MB of text at a time
-            size, plain, glued, whole = 0, [], [], []
+            size, own, whole = 0, [], []
             while at < len(texts) and size < 4_000_000:
                 text = texts[at]
                 size += len(text)
                 if any(x in text for x in self.added):
                     whole.append(at)
                 elif text:
-                    (glued if _GLUED.search(text) else plain).append(at)
+                    own.append(at)
                 at += 1
-            for i, x in zip(plain, self._joined(*_split([_lines_apart(texts[i]) for i in plain]))):
+            apart = [_lines_apart(texts[i]) for i in own]
+            pieces, codes, ends = _split(apart)
+            for i, x in zip(own, self._joined(pieces, codes, ends)):
                 out[i] = x
-            for i in glued:
+            # these ids hold for texts without a space before a space or the end; a text whose lines were cut apart has none
+            bad = np.array([not p or p[0].isspace() for p in pieces])
+            bad[len(bad) - len(own):] = False  # the texts' first pieces, which follow no space
+            glued = np.add.reduceat(bad[codes], ends[:-1]) > 0 if len(own) else []
+            for i, text, odd in zip(own, apart, glued):
+                if not odd or text is not texts[i]:
+                    continue
                 parts = [x for x in _CUT.split(texts[i]) if x]
                 parts = [x[1:] if x[0] == " " and len(x) > 1 and not x[1].isspace() else " " + x for x in parts]
                 self._know(set(parts))
@@ -166,12 +177,15 @@ class Encoder:
 
 
 def _lines_apart(text: str) -> str:
-    """A line feed alone between two words is a word of its own: cut before it too."""
-    return text if "\n" not in text or _TOGETHER.search(text) else text.replace("\n", " \n")
+    """A line feed alone between two words is a word of its own: cut before it too, if all that parts the words is single spaces and line feeds."""
+    if "\n" not in text:
+        return text
+    words, n = text.split(), text.count(" ") + text.count("\n")
+    return text.replace("\n", " \n") if len(words) == n + 1 and sum(map(len, words)) + n == len(text) else text
 
 
 def _split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct pieces of texts without a space before a space or the end; codes of all pieces; where each text's begin, and the end."""
+    """Distinct pieces of texts between single spaces, then each text's first piece; codes of all pieces; where each text's begin, and the end."""
     lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
     ends = lists.offsets.to_numpy()
     found = lists.values.dictionary_encode()
