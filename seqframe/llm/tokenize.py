@@ -195,8 +195,19 @@ def _split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return pieces + [" " + h if h else "" for h in heads], codes, ends
 
 
+#: Bytes of text that are held as Python strings, with their ids, at a time.
+_SLICE_BYTES = 6 << 20
+
+
 def encoded(batches: Iterable, text: int, name: str) -> Iterator[tuple]:
-    """(batch, ids of each of its rows); a null text counts as empty."""
+    """(batch, ids of each of its rows) for slices of the batches of about ``_SLICE_BYTES``; a null text counts as empty."""
     enc = encoder(name)
     for batch in batches:
-        yield batch, enc.ids([x or "" for x in batch.column(text).to_pylist()])
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            before = upto[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(upto, before + _SLICE_BYTES, side="right")))
+            own = batch.slice(lo, hi - lo)
+            yield own, enc.ids([x or "" for x in own.column(text).to_pylist()])
+            lo = hi
