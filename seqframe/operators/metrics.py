@@ -162,6 +162,14 @@ def has_missing(df: DataFrame, features: str, by=None, out: str = "has_missing")
     return _agg(df, by, F.max(F.coalesce(bad, F.lit(True))).alias(out))
 
 
+def custom_metric(df: DataFrame, metric, y: str, p: str, by=None, out: str = "score") -> DataFrame:
+    """D3: a metric of the user's own, given as a function of the truth and prediction columns that returns an aggregate.
+
+    It is an expression, so it is aggregated partially in every task like the built-in ones; no group is collected.
+    """
+    return _agg(df, by, metric(F.col(y), F.col(p)).alias(out))
+
+
 SCORERS = {
     "r2": ("r2", True), "rmse": ("rmse", False), "mse": ("rmse", False),
     "pearson": ("pearson", True), "per": ("pearson", True),

@@ -53,11 +53,6 @@ def range_filter(df: DataFrame, col: str, start: int | None = None, end: int | N
     return df
 
 
-def sort_desc(df: DataFrame, col: str, *tie: str) -> DataFrame:
-    """Ranked output (range-partitioned global sort)."""
-    return df.orderBy(F.col(col).desc(), *tie)
-
-
 def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
     """First n records in file/record order (``order`` carries it)."""
     return df.orderBy(order).limit(n)
@@ -65,10 +60,6 @@ def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Put the columns of a one-row table (an aggregate without grouping, or
-    a single wild type) on every row of ``df``. The row is broadcast and
-    matched on a constant key, so the join is a hash join against one entry:
-    no pairs are formed and ``df`` is not shuffled."""
-    k = "_attach_key"
-    return (df.withColumn(k, F.lit(0))
-            .join(F.broadcast(one_row.withColumn(k, F.lit(0))), k)
-            .drop(k))
+    a single wild type) on every row of ``df``. The row is broadcast; Spark plans
+    a nested loop over that one row, and ``df`` is not shuffled."""
+    return df.join(F.broadcast(one_row))

@@ -271,7 +271,7 @@ SELECT CAST(m.run AS BIGINT) AS run, CAST(m.epoch AS BIGINT) AS epoch, m.loss, m
 FROM m JOIN l USING (run) WHERE m.epoch < l.last AND (m.epoch = 1 OR m.epoch % 10 = 0)"""
 
 
-@query("history_report", ("J9", "W7", "S10"), REPORT_SQL)
+@query("history_report", ("J9", "W7"), REPORT_SQL)
 def history_report(spark, sf):
     """Train rows ('view' events) and eval rows (others) merged per epoch,
     final row dropped, first and every 10th epoch kept."""

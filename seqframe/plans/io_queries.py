@@ -59,6 +59,18 @@ def fasta_depth(spark, sf):
     return back.select("rank", "id", "aligned", F.coalesce("_wt", F.lit(False)).alias("wild_type"))
 
 
+@query("training_history_lines", ("S10",), """
+SELECT CAST(event_id AS DOUBLE) AS epoch, value AS loss, CASE WHEN event_id % 2 = 0 THEN value / 2 END AS eval_loss FROM events""")
+def training_history_lines(spark, sf):
+    """Training logs written as lines of dictionaries among other lines, and read back as a table."""
+    path = _scratch(spark, "history")
+    ev = t.table(spark, sf, "events").select("event_id", "value")
+    extra = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(", 'eval_loss': "), (F.col("value") / 2).cast("string"))).otherwise("")
+    line = F.concat(F.lit("{'loss': "), F.col("value").cast("string"), extra, F.lit(", 'epoch': "), F.col("event_id").cast("double").cast("string"), F.lit("}"))
+    ev.select(F.explode(F.array(line, F.lit("Some weights were not used"))).alias("value")).write.text(path)
+    return fs.read_training_history(spark, path).select("epoch", "loss", "eval_loss")
+
+
 FEATURE_CSV_SQL = q.with_ctes(q.RESIDUES, [
     "lab AS (SELECT doc_id AS seq_id, CAST(quality AS DOUBLE) AS label FROM labels)",
 ], body=f"""

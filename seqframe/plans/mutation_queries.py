@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqframe.operators import context as ctx
+from seqframe.functions import udtf
 from seqframe.functions.hashing import stable_hash_sql
 from seqframe.operators import mutants as mz
 from seqframe.operators import relational as rel
@@ -54,6 +55,16 @@ def single_mutations_q(spark, sf):
     return m.select("mutant", "wt", F.col("pos").cast("bigint"), "mt")
 
 
+@query("mutant_generator", ("D5",), q.with_ctes(q.REFS, q.ALPHA, body="""
+SELECT CAST(seq_id AS BIGINT) AS seq_id, substr(sequence, i, 1) || CAST(i + 23 AS VARCHAR) || aa AS mutant, CAST(i AS INTEGER) AS pos
+FROM (SELECT *, CAST(unnest(generate_series(1, length(sequence))) AS INTEGER) AS i FROM refs) CROSS JOIN alpha"""))
+def mutant_generator(spark, sf):
+    """The one-to-many generator as SQL users call it, in a lateral join over every reference protein."""
+    udtf.register(spark)
+    refs = t.references(spark, sf)
+    return spark.sql("SELECT CAST(r.seq_id AS BIGINT) AS seq_id, m.mutant, m.pos FROM {refs} r, LATERAL single_mutants(r.sequence, 24) m", refs=refs)
+
+
 @query("single_residue_mutants", ("Z2", "X10"), q.with_ctes(q.ALPHA, q.WT, q.SINGLE_MUTATIONS, body="""
 SELECT m.mutant, CAST(m.pos AS BIGINT) AS pos, m.mt,
        substr(w.wt_sequence, 1, m.pos - 1) || m.mt || substr(w.wt_sequence, m.pos + 1) AS mutant_sequence

@@ -297,3 +297,25 @@ def sigmoid_scores(spark, sf):
     return li.select(F.col("l_orderkey").cast("bigint"), F.col("l_linenumber").cast("bigint"),
                      F.round(s, R).alias("score"))
 
+
+@query("custom_metrics", ("D3",), """
+SELECT l_returnflag, round(avg(abs(l_extendedprice / 1000.0 - l_quantity)), 6) AS mean_error,
+  round(max(abs(l_extendedprice / 1000.0 - l_quantity)), 6) AS worst_error FROM lineitem GROUP BY l_returnflag""")
+def custom_metrics(spark, sf):
+    """Two metrics given by the caller: mean and worst absolute error."""
+    x = t.table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_extendedprice") / 1000.0).alias("y"), F.col("l_quantity").alias("p"))
+    by = ["l_returnflag"]
+    mean = mt.custom_metric(x, lambda y, p: F.avg(F.abs(y - p)), "y", "p", by, "mean_error")
+    worst = mt.custom_metric(x, lambda y, p: F.max(F.abs(y - p)), "y", "p", by, "worst_error")
+    return mean.join(worst, by).select("l_returnflag", F.round("mean_error", R).alias("mean_error"), F.round("worst_error", R).alias("worst_error"))
+
+
+@query("masked_label_accuracy", ("P10", "A11"), """
+WITH e AS (SELECT CASE WHEN vec_id % 7 = 0 THEN -100 ELSE label END AS label, list_position(embedding, list_max(embedding)) - 1 AS pred FROM embeddings)
+SELECT round(avg(CASE WHEN label = pred % 10 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM e WHERE label <> -100""")
+def masked_label_accuracy(spark, sf):
+    """Accuracy over the rows whose label is not the ignored one."""
+    e = mt.argmax_class(t.table(spark, sf, "embeddings"), "embedding", "pred").select(
+        F.when(F.col("vec_id") % 7 == 0, F.lit(-100)).otherwise(F.col("label")).alias("label"), (F.col("pred") % 10).alias("pred"))
+    n = e.where("label <> -100").agg(F.count(F.lit(1)).alias("n"))
+    return rel.attach_row(mt.masked_accuracy(e, "label", "pred"), n).select(F.round("accuracy", R).alias("accuracy"), "n")
