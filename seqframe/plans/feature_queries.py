@@ -42,9 +42,11 @@ def _checksum(features: str = "features"):
 
 
 def _by_place(power: int):
-    """Exact sum of the values (two decimals) times their place, or its square."""
-    hundredths = F.transform("features", lambda x, i: F.round(x * 100).cast("bigint") * F.pow(i + 1, F.lit(power)).cast("bigint"))
-    return F.aggregate(hundredths, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    """Exact sum of the values (two decimals, as hundredths) times their place, or its square."""
+    def weighed(x, i):
+        h = F.floor(x * 100.0 + 0.5)
+        return h * (i + 1) if power == 1 else h * (i + 1) * (i + 1)
+    return F.aggregate(F.transform("features", weighed), F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
 @query("descriptor_features", ("F1", "F2", "X2"), F1_SQL)
