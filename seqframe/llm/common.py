@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.session import checkpoint_dir
 
+#: Spark's own setting: shuffle files go when the execution that wrote them ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -24,11 +30,39 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back.
 
     The table survives lost executors and cuts the lineage, so nothing above
-    it is computed twice.
+    it is computed twice. What the write shuffled is removed when it is done.
     """
-    path = f"{shared_dir(df.sparkSession)}/tables/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` once every job that reads them has ended in another written result."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sliced(batch: pa.RecordBatch, text: int, n_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with about ``n_bytes`` of text each; ``text`` is the place of that column."""
+    lo, size = 0, 0
+    for hi, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
+        size += n or 0
+        if size >= n_bytes:
+            yield batch.slice(lo, hi + 1 - lo)
+            lo, size = hi + 1, 0
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
 
 
 def text_or_empty(col: str = "text") -> Column:

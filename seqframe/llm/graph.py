@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import written
+from seqframe.llm.common import discard, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,8 +25,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = large.unionAll(now.where("u = v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        now = written(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, now = now, written(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                       .unionAll(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(last)
         # the same edges again: every node points at its component's smallest
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:

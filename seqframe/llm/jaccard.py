@@ -17,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import row_key, text_or_empty, written
+from seqframe.llm.common import discard, row_key, sliced, text_or_empty, written
 from seqframe.llm.graph import components
 from seqframe.llm.shingles import Shingler, set_print
 from seqframe.llm.url_filter import bloom_blocks, may_contain
 
 #: Shingles sent to the tasks as frequent, at most (8 MB): the most frequent ones. Their choice only orders the index.
 MAX_FREQUENT = 1_000_000
+#: Shingles a task counts at a time (16 MB), and set identities it keeps to know copies; a full table starts anew.
+_MAX_COUNTED = 1_000_000
+_MAX_SEEN = 500_000
 U = np.uint64
 
 
@@ -33,28 +36,45 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def frequent_shingles(texts: DataFrame, length: int, at_least: int) -> np.ndarray:
-    """Sorted prints of shingles that the tasks together saw in ``at_least`` sets, counting those seen twice or more in a task."""
+    """Sorted prints of shingles that the tasks together saw in ``at_least`` sets.
+
+    A task counts in a table of bounded size; what it saw once when the table
+    is full starts anew. Such misses only change the order of the index.
+    """
 
     def run(batches):
         shingler, seen, parts, size = Shingler(length), set(), [], 0
+        x, n = np.zeros(0, U), np.zeros(0, np.int64)
+
+        def counted(x, n):
+            both = np.concatenate([x, *parts])
+            order = np.argsort(both, kind="stable")
+            both, own = both[order], np.concatenate([n, np.ones(len(both) - len(n), np.int64)])[order]
+            starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+            x, n = both[starts], np.add.reduceat(own, starts) if len(both) else own
+            return (x[n > 1], n[n > 1]) if len(x) > _MAX_COUNTED else (x, n)
 
-        def counted():
-            x, n = np.unique(np.concatenate(parts), return_counts=True)
+        def rows(x, n):
             x, n = x[n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n)], names=["token", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                p = shingler.prints(text)
-                if len(p) and (s := set_print(p)) not in seen:
-                    seen.add(s)
-                    parts.append(p)
-                    size += len(p)
-                if size > 8_000_000:
-                    yield counted()
-                    parts, size = [], 0
-        if parts:
-            yield counted()
+            for piece in sliced(batch, 0):
+                for text in piece.column(0).to_pylist():
+                    p = shingler.prints(text)
+                    if len(p) and (s := set_print(p)) not in seen:
+                        seen.add(s)
+                        parts.append(p)
+                        size += len(p)
+                    if size > _MAX_COUNTED:
+                        x, n = counted(x, n)
+                        parts, size = [], 0
+                        if len(x) > _MAX_COUNTED:  # more repeated ones than the table holds: Spark adds them up
+                            yield rows(x, n)
+                            x, n = x[:0], n[:0]
+                if len(seen) > _MAX_SEEN:
+                    seen.clear()
+        yield rows(*counted(x, n))
 
     found = (texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
              .where(F.col("n") >= at_least).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).select("token").toArrow())
@@ -67,8 +87,10 @@ def index_sets(texts: DataFrame, frequent: np.ndarray, length: int, percent: int
 
     def run(batches):
         shingler, seen, last = Shingler(length), set(), sent.value
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in sliced(whole, 2)):
             sids, sizes, prefixes = [], [], []
+            if len(seen) > _MAX_SEEN:
+                seen.clear()
             for text in batch.column(2).to_pylist():
                 p = shingler.prints(text)
                 n, sid = len(p), set_print(p)
@@ -81,7 +103,7 @@ def index_sets(texts: DataFrame, frequent: np.ndarray, length: int, percent: int
                 if len(last):
                     hot = last[np.minimum(np.searchsorted(last, p), len(last) - 1)] == p
                     p = np.concatenate([p[~hot], p[hot]])
-                prefixes.append(p[: n - (percent * n + 99) // 100 + 1])
+                prefixes.append(p[: n - (percent * n + 99) // 100 + 1].copy())
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()),
@@ -121,6 +143,7 @@ class Join:
                        .select("key").distinct(), "keys")
         n = keys.count()
         if not n:
+            discard(keys)
             return
         blocks, n_blocks = bloom_blocks(keys, "key", n)
         rows = may_contain(self.texts.select("key", "text"), "key", blocks, n_blocks, "maybe").where("maybe").select("key", "text")
@@ -129,7 +152,7 @@ class Join:
 
         def sets(batches):
             shingler = Shingler(length)
-            for batch in batches:
+            for batch in (piece for whole in batches for piece in sliced(whole, 0)):
                 prints = [shingler.prints(x) for x in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([set_print(p) for p in prints], pa.int64()),
                                                   pa.array([p.tobytes() for p in prints], pa.binary())], names=["sid", "prints"])
@@ -148,6 +171,7 @@ class Join:
         joined = (pairs.join(found.select(F.col("sid").alias("a"), F.col("prints").alias("x")), "a")
                   .join(found.select(F.col("sid").alias("b"), F.col("prints").alias("y")), "b").select("a", "b", "x", "y"))
         self.edges.append(written(joined.mapInArrow(compare, "a long, b long"), "links"))
+        discard(keys, found)
 
     def all_edges(self) -> DataFrame | None:
         out = None
@@ -198,7 +222,9 @@ def link_sets(texts: DataFrame, indexed: DataFrame, length: int, percent: int, s
     per = placed.groupBy("token", "component").agg(F.count("*").alias("c"))
     main = per.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"))
     placed = written(placed.join(main.where("parts > 1"), "token"), "placed")
+    discard(lists)
     if placed.isEmpty():
+        discard(placed, *join.tested)
         return label
     outside = placed.where("component <> main").select("token", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("h").alias("hx"), F.col("component").alias("cx"))
     other = placed.select("token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("h").alias("hy"), F.col("component").alias("cy"),
@@ -213,6 +239,7 @@ def link_sets(texts: DataFrame, indexed: DataFrame, length: int, percent: int, s
     for done in join.tested:
         rest = rest.join(done, ["a", "b"], "left_anti")
     join.link(rest)
+    discard(placed, *join.tested)
     return components(join.all_edges()) if join.edges else None
 
 

@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from seqframe.llm import decontam, graph, jaccard, passages, queries
+from seqframe.llm import common, decontam, graph, jaccard, passages, queries
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -71,6 +71,35 @@ def test_similar_documents_edges(spark):
     assert jaccard.similar_documents(docs.limit(0)).count() == 0
 
 
+def test_similar_documents_with_small_buffers(spark, monkeypatch):
+    """Full count tables and long texts change the work only."""
+    monkeypatch.setattr(jaccard, "_MAX_COUNTED", 50)
+    monkeypatch.setattr(jaccard, "_MAX_SEEN", 3)
+    texts = near_copies(8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(docs, short=3, frequent=2, leaders=2).collect()}
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    want = components(sets)
+    assert got == {i: (len(sets[i]), want[i]) for i in sets}
+
+
+def test_slices_hold_every_row_once():
+    rows = [None, "", "é" * 50, "a" * 99, "b", None, "c" * 300, ""]
+    batch = common.pa.RecordBatch.from_arrays([common.pa.array(rows)], names=["text"])
+    for n in (1, 100, 10_000):
+        parts = list(common.sliced(batch, 0, n))
+        assert [x for p in parts for x in p.column(0).to_pylist()] == rows
+    assert not list(common.sliced(batch.slice(0, 0), 0))
+
+
+def test_discard_removes_the_table_alone(spark):
+    a, b = (common.written(spark.range(5), "t") for _ in range(2))
+    common.discard(a)
+    assert b.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(a.written_to).count()
+
+
 def test_prefix_bound_holds(spark):
     rng = np.random.default_rng(1)
     join = jaccard.Join(None, None, 5, 80)
