@@ -26,17 +26,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id; rows without an id come last. Rows without a word all stay."""
+    """One document of each group: the one with the smallest id; rows without an id come last. Rows without a word all stay.
+
+    Texts go through one shuffle at most: the join by id and key, whose order the removal of repeated rows shares.
+    """
     rows = _keyed(docs)
     found = jaccard.similar_documents(rows, id_col="__key").groupBy(F.col("doc_id").alias("__key")).agg(
         F.first("n_shingles").alias("n"), F.first("component_id").alias("component"))
-    found = common.written(found, "components")
+    found = common.written(found.where("n > 0"), "components")
     ids = rows.groupBy("__key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first"))
-    stay = found.where("n > 0").join(ids, "__key").groupBy("component").agg(F.min(F.struct("first", "__key")).alias("x"))
-    stay = stay.select(F.col("x.first.id").alias("id"), F.col("x.__key").alias("key"))
-    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__key") == F.col("key")), "left_semi")
-    wordless = rows.join(found.where("n = 0"), "__key", "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).select(*COLUMNS).unionAll(wordless.select(*COLUMNS))
+    stay = found.join(ids, "__key").groupBy("component").agg(F.min(F.struct("first", "__key")).alias("x"))
+    stay = common.written(stay.select(F.col("x.first.id").alias("doc_id"), F.col("x.__key").alias("__key")), "stay")
+    common.discard(found)
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = rows.where(worded).join(stay.where("doc_id is not null"), ["doc_id", "__key"], "left_semi").dropDuplicates(["doc_id", "__key"])
+    no_id = rows.where(worded & F.col("doc_id").isNull()).join(stay.where("doc_id is null"), "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.select(*COLUMNS).unionAll(no_id.select(*COLUMNS)).unionAll(rows.where(~worded).select(*COLUMNS))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
