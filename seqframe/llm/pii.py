@@ -29,21 +29,31 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 #: A term: three letters or more that are part of no address and no longer word.
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
-_SPAN = "array<struct<s:int,e:int,v:string>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(items: Column, both) -> Column:
+    """For each item what ``both``, an associative function, makes of it and all before it, by steps of 1, 2, 4 and so on."""
+    steps = lambda x: F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda d: d < F.size(x))
+    return _let(items, lambda x: F.aggregate(steps(x), x, lambda acc, d: F.transform(
+        acc, lambda v, i: F.when(i >= d, both(F.get(acc, i - d), v)).otherwise(v))))
 
 
 def _located(text: Column, pattern: str) -> Column:
     """Matches with their code point places: the pieces between matches tell how far each one is from the last."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["g"])
-        e = s + F.length(x["v"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
+    def spans(pieces: Column) -> Column:
+        ends = _running(F.transform(pieces, lambda x: F.length(x["g"]) + F.coalesce(F.length(x["v"]), F.lit(0))), lambda x, y: x + y)
+        return _let(ends, lambda ends: F.transform(pieces, lambda x, i: F.struct(
+            (F.get(ends, i) - F.length(x["v"])).alias("s"), F.get(ends, i).alias("e"), x["v"].alias("v"))))
 
-    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    return F.aggregate(F.arrays_zip(between.alias("g"), found.alias("v")), zero, step, lambda acc: acc["out"])
+    # the piece after the last match has none
+    return F.filter(_let(F.arrays_zip(between.alias("g"), found.alias("v")), spans), lambda x: x["v"].isNotNull())
 
 
 def _digits(v: Column) -> Column:
@@ -79,28 +89,22 @@ def base_spans(text: Column) -> Column:
     return F.concat(*kinds)
 
 
+def blanked(text: Column, base: Column) -> Column:
+    """The text with ``@`` for every code point inside a ``base`` span; places stay, and no term touches such a span."""
+    return sanitised(text, F.transform(base, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.repeat(F.lit("@"), x["e"] - x["s"]).alias("tag"))))
+
+
 def terms_of(text: Column, base: Column) -> Column:
     """array<string>: the distinct lower-cased terms of a text outside its ``base`` spans."""
-    blank = F.transform(base, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("@").alias("tag")))
-    found = F.regexp_extract_all(sanitised(text, blank), F.lit(TERM), 0)
+    found = F.regexp_extract_all(blanked(text, base), F.lit(TERM), 0)
     return F.array_distinct(F.transform(found, lambda v: F.lower(v)))
 
 
 def term_spans(text: Column, base: Column, listed: Column) -> Column:
     """array<struct<s, e, removed>>: where the terms of ``listed``, a map of term to ``removed``, stand outside ``base``."""
-    found = F.regexp_extract_all(text, F.lit(TERM), 0)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,removed:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["g"])
-        e = s + F.length(x["v"])
-        removed = F.try_element_at(listed, F.lower(x["v"]))
-        more = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), removed.alias("removed"))))
-        return F.struct(e.alias("at"), F.when(removed.isNotNull(), more).otherwise(acc["out"]).alias("out"))
-
-    between = F.slice(F.split(text, TERM, -1), F.lit(1), F.size(found))
-    spans = F.aggregate(F.arrays_zip(between.alias("g"), found.alias("v")), zero, step, lambda acc: acc["out"])
-    return F.filter(spans, lambda t: ~F.exists(base, lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
+    spans = _let(blanked(text, base), lambda t: _located(t, TERM))
+    spans = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.try_element_at(listed, F.lower(x["v"])).alias("removed")))
+    return F.filter(spans, lambda x: x["removed"].isNotNull())
 
 
 def occurrences(rows: DataFrame, terms: Column, wanted: DataFrame) -> DataFrame:
@@ -169,15 +173,25 @@ def find_personal_data(docs: DataFrame, support: int = 3, generalise: float = 0.
 
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with each span's tag in its place; of overlapping spans the first one's stands for all."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    width = 1024
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), 0)  # so that a cut does not count from the text's start
+
+    def cut(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / width).cast("int")
+        some = F.slice(blocks, first + 1, F.floor(end / width).cast("int") - first + 1)
+        return F.substr(F.array_join(some, ""), start - first * width + 1, end - start)
+
+    def replaced(blocks: Column, ordered: Column, ends: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            return _let(F.coalesce(F.get(ends, i - 1), F.lit(0)), lambda at: F.when(
+                x["s"] >= at, F.concat(cut(blocks, at, x["s"]), x["tag"])).otherwise(F.lit("")))
 
-    def step(acc: Column, x: Column) -> Column:
-        more = F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["s"] - acc["at"]), x["tag"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+        return F.concat(F.array_join(F.transform(ordered, piece), ""), F.substr(text, F.element_at(ends, -1) + 1, F.length(text)))
 
     ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["tag"].alias("tag"))))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, zero, step, lambda acc: F.concat(
-        acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))).otherwise(text)
+    clean = _let(ordered, lambda o: _let(_running(F.transform(o, lambda x: x["e"]), F.greatest), lambda ends: _let(
+        blocks, lambda blocks: replaced(blocks, o, ends))))
+    return F.when(F.size(spans) > 0, clean).otherwise(text)
 
 
 def span_text(spans: Column) -> Column:

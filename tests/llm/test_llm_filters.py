@@ -180,3 +180,44 @@ def test_digest_query_columns(spark):
         want = base_spans(texts[r.doc_id] or "")
         assert r.base_sha256 == hashlib.sha256(",".join("%s:%d:%d" % x for x in want).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[0] == k for x in want) for k in pii.KINDS[:4]]
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 200_000
+    text = "é" + "".join(f" u{i}@b.cd Zebulon," for i in range(n))
+    docs = spark.createDataFrame([(1, text)] + [(i, f"Zebulon x{i}@b.cd u1@b.cd") for i in range(2, 6)] + [(i, "write at all") for i in range(6, 90)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find_personal_data(docs).withColumn("clean", pii.sanitised(F.col("text"), F.col("pii"))).where("doc_id < 3").collect()}
+    spans = rows[1].pii
+    assert [(x.s, x.e) for x in spans if x.kind == 0] == [m.span() for m in re.finditer(r"u[0-9]+@b\.cd", text)]
+    assert [(x.s, x.e) for x in spans if x.kind == 4] == [m.span() for m in re.finditer("Zebulon", text)]
+    assert rows[1].clean == "é" + " [EMAIL] ," * n
+
+
+def test_overlapping_spans_are_replaced_once(spark):
+    spans = [(0, 0, 3, "A"), (0, 2, 9, "B"), (0, 5, 6, "C"), (0, 9, 10, "D"), (0, 12, 14, "E")]
+    rows = spark.createDataFrame([("🎉bcdefghijklmnop", spans), ("abc", []), ("", [])], "text string, p array<struct<kind:int,s:int,e:int,tag:string>>")
+    assert [r[0] for r in rows.select(pii.sanitised(F.col("text"), F.col("p"))).collect()] == ["ADklEop", "abc", ""]
+
+
+def test_disclosure_equals_a_plain_count(spark):
+    rng = random.Random(21)
+    words = ["alder", "birch", "cedar", "damson", "elder", "foxglove"]
+    texts = []
+    for i in range(240):
+        some = [w for k, w in enumerate(words) if rng.random() < (k + 1) / 9]
+        mail = [f"m{k}@corp.io" for k in range(3) if rng.random() < 0.1 * (k + 1)]
+        if "m0@corp.io" in mail:
+            some.append("zebulon")
+        texts.append(" ".join([*some, *mail, f"id{i}"]))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("__base", pii.base_spans(F.col("text"))).withColumn("__digest", F.sha2("text", 256))
+    got = {(r.entity, r.term): (r.disclosure, r.removed) for r in pii.disclosing_terms(docs, pii.terms_of(F.col("text"), F.col("__base")), 3, 0.05, 0.5).collect()}
+    want = {}
+    for m in ("m0@corp.io", "m1@corp.io", "m2@corp.io"):
+        holds = [t for t in texts if m in t]
+        for w in [*words, "zebulon"]:
+            both, n_t = sum(w in t for t in holds), sum(w in t for t in texts)
+            if both >= 3 and (d := math.log2(both * len(texts) / (len(holds) * n_t)) / math.log2(len(texts) / len(holds))) >= 0.05:
+                want["0:" + m, w] = (d, d >= 0.5)
+    assert ("0:m0@corp.io", "zebulon") in want and got.keys() == want.keys()
+    for k in want:
+        assert got[k][0] == pytest.approx(want[k][0]) and got[k][1] == want[k][1]
