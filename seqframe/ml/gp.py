@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from seqframe.ml.optim import summed
 
 JITTER = 1e-8
+#: Tried in turn for a set none of whose length scales has a positive-definite system: inducing rows may be copies or nearly so.
+MORE_JITTER = (1e-6, 1e-4, 1e-2)
 #: Noise variances that are tried (with unit variance of y), before the interval around the best is narrowed.
 NOISES = np.exp(np.linspace(math.log(1e-4), math.log(10.0), 24))
 
@@ -55,38 +57,39 @@ class Sums:
         return 2 * m * m + 2 * m
 
 
-def evidence(s: Sums, z: np.ndarray, length: float, noise: float, n: float, yy: float) -> Fit | None:
-    """The log evidence and its slope by the log length scale; None where a matrix is not positive definite."""
+def evidence(s: Sums, z: np.ndarray, length: float, noise: float, n: float, yy: float, jitter: float = JITTER) -> Fit | None:
+    """The log evidence and its slope by the log length scale; None where a matrix is not positive definite or has no inverse."""
     m, d2 = len(z), squares(z, z)
     k = np.exp(-0.5 * d2 / length ** 2)
     dk = k * d2 / length ** 2
-    k = k + JITTER * np.eye(m)
+    k = k + jitter * np.eye(m)
     try:
         chol_m, chol_k = np.linalg.cholesky(noise * k + s.a), np.linalg.cholesky(k)
+        minv, kinv = np.linalg.inv(noise * k + s.a), np.linalg.inv(k)
     except np.linalg.LinAlgError:
         return None
-    minv = np.linalg.inv(noise * k + s.a)
     alpha = minv @ s.b
     logs = (n - m) * math.log(noise) + 2 * np.log(np.diag(chol_m)).sum() - 2 * np.log(np.diag(chol_k)).sum()
     value = -0.5 * (logs + (yy - s.b @ alpha) / noise + n * math.log(2 * math.pi))
     dm = noise * dk + s.c + s.c.T
     dq = 2 * alpha @ s.db - alpha @ dm @ alpha
-    slope = -0.5 * ((minv * dm).sum() - (np.linalg.inv(k) * dk).sum() - dq / noise)
+    slope = -0.5 * ((minv * dm).sum() - (kinv * dk).sum() - dq / noise)
     return Fit(float(value), length, noise, float(slope), alpha, minv)
 
 
-def with_best_noise(s: Sums, z: np.ndarray, length: float, n: float, yy: float, noise: float | None = None) -> Fit | None:
+def with_best_noise(s: Sums, z: np.ndarray, length: float, n: float, yy: float, noise: float | None = None,
+                    jitter: float = JITTER) -> Fit | None:
     """The evidence at the given noise, or at the best one: a grid, then golden sections of its neighbourhood."""
     if noise is not None:
-        return evidence(s, z, length, noise, n, yy)
-    tried = [(f.evidence, i) for i, x in enumerate(NOISES) if (f := evidence(s, z, length, float(x), n, yy)) is not None]
+        return evidence(s, z, length, noise, n, yy, jitter)
+    tried = [(f.evidence, i) for i, x in enumerate(NOISES) if (f := evidence(s, z, length, float(x), n, yy, jitter)) is not None]
     if not tried:
         return None
     i = max(tried)[1]
     lo, hi = math.log(NOISES[max(i - 1, 0)]), math.log(NOISES[min(i + 1, len(NOISES) - 1)])
     ratio = (math.sqrt(5) - 1) / 2
     def value(x):
-        f = evidence(s, z, length, math.exp(x), n, yy)
+        f = evidence(s, z, length, math.exp(x), n, yy, jitter)
         return -math.inf if f is None else f.evidence
     for _ in range(14):
         a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
@@ -94,7 +97,7 @@ def with_best_noise(s: Sums, z: np.ndarray, length: float, n: float, yy: float,
             hi = b
         else:
             lo = a
-    got = [f for x in (math.exp((lo + hi) / 2), float(NOISES[i])) if (f := evidence(s, z, length, x, n, yy)) is not None]
+    got = [f for x in (math.exp((lo + hi) / 2), float(NOISES[i])) if (f := evidence(s, z, length, x, n, yy, jitter)) is not None]
     return max(got, key=lambda f: f.evidence)
 
 
@@ -154,22 +157,39 @@ def evidence_sums(rows: DataFrame, parts: Parts, inducing: list[np.ndarray], len
 
 
 def restarts(rows: DataFrame, parts: Parts, inducing: list[np.ndarray], n: np.ndarray, count: int, steps: int, seed: int, max_sums: int,
-             given: list[float] | None = None, noise: float | None = None) -> list[list[Fit | None]]:
+             given: list[float] | None = None, noise: float | None = None, least: int | None = None) -> list[list[Fit | None]]:
     """The best fit on each restart's way, for every set; all of them move in one pass a step.
 
-    A length scale follows the sign of its slope by a step that grows while the
-    sign stays and halves when it turns. ``given`` length scales are only evaluated.
+    ``given`` length scales are only evaluated. Sets without a fit among their first ``least`` starts (all of them if not given)
+    run again with more jitter.
     """
     first = [list(given) if given else starts(z.shape[1], count, seed) for z in inducing]
+    found: list[list[Fit | None]] = [[None] * len(own) for own in first]
+    for jitter in (JITTER, *MORE_JITTER):
+        again = [own if all(f is None for f in got[:least]) else [] for own, got in zip(first, found)]
+        if not any(again):
+            break
+        moved = _moved(rows, parts, inducing, n, again, 1 if given else steps + 1, max_sums, noise, jitter)
+        found = [new if own else old for own, new, old in zip(again, moved, found)]
+    return found
+
+
+def _moved(rows: DataFrame, parts: Parts, inducing: list[np.ndarray], n: np.ndarray, first: list[list[float]], passes: int, max_sums: int,
+           noise: float | None, jitter: float) -> list[list[Fit | None]]:
+    """The best fits on the ways from the length scales ``first``; a set without any takes no part.
+
+    A length scale follows the sign of its slope by a step that grows while the
+    sign stays and halves when it turns.
+    """
     where = [[math.log(x) for x in own] for own in first]
     move = [[0.7] * len(own) for own in first]
     last = [[0.0] * len(own) for own in first]
     found: list[list[Fit | None]] = [[None] * len(own) for own in first]
-    for step in range(1 if given else steps + 1):
+    for _ in range(passes):
         sums, yy = evidence_sums(rows, parts, inducing, [[math.exp(x) for x in own] for own in where], max_sums)
         for s, z in enumerate(inducing):
             for r, own in enumerate(sums[s]):
-                f = with_best_noise(own, z, math.exp(where[s][r]), float(n[s]), float(yy[s]), noise)
+                f = with_best_noise(own, z, math.exp(where[s][r]), float(n[s]), float(yy[s]), noise, jitter)
                 if f is not None and (found[s][r] is None or f.evidence > found[s][r].evidence):
                     found[s][r] = f
                 sign = 0.0 if f is None else float(np.sign(f.slope))

@@ -265,7 +265,7 @@ def gp_grid(t: FoldSets, candidates: list[dict], metric: str = "spearman", n_ind
             rows = train_mask(f, o, i)
             yield s, (x[rows] - mu[s]) / sd[s], (y[rows] - y_mu[s]) / y_sd[s]
 
-    trails = gp.restarts(t.rows, parts, inducing, t.n, max(wanted), steps, seed, MAX_SUMS)
+    trails = gp.restarts(t.rows, parts, inducing, t.n, max(wanted), steps, seed, MAX_SUMS, least=min(wanted))
     fits = [[gp.best(own[:r]) for r in wanted] for own in trails]
     sent = t.rows.sparkSession.sparkContext.broadcast([[(x.length, x.alpha) for x in own] for own in fits])
     z = t.rows.sparkSession.sparkContext.broadcast(inducing)

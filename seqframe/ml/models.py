@@ -206,7 +206,9 @@ class SparseGP(Estimator, _Base, DefaultParamsReadable, DefaultParamsWritable):
         st = d.agg(F.avg("y").alias("mu"), F.stddev_pop("y").alias("sd"), F.count(F.lit(1)).alias("n")).first()
         mu, sd = (float(st["mu"]), float(st["sd"] or 1.0) or 1.0) if self.getOrDefault(self.normalizeY) else (0.0, 1.0)
         m = self.getOrDefault(self.nInducing)
-        Z = np.array([r["x"] for r in d.orderBy("_h", "_k").limit(m).select("x").collect()])  # m rows: the method's size
+        # m rows: the method's size; without a key copies have one hash and would fill all m places
+        picked = d.orderBy("_h", "_k") if key else d.select("_h", "x").distinct().orderBy("_h")
+        Z = np.array([r["x"] for r in picked.limit(m).select("x").collect()])
 
         def parts(pdf):
             yield 0, np.stack(pdf["x"].to_numpy()), (pdf["y"].to_numpy() - mu) / sd

@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from seqframe.ml import grids
+from seqframe.ml import gp, grids
 from seqframe.ml import search as se
 from seqframe.ml.evaluators import scorer
 from seqframe.ml.models import FeedForward, KernelSVR, SparseGP, as_vector, pooled_head
@@ -139,3 +139,20 @@ def test_cosine_features_against_a_loop(spark):
                 for d in range(3) for k in range(4)]
         assert got[i] == pytest.approx(want, abs=1e-9)
     assert got[0][0] == pytest.approx(got[5][0]) and got[0][1] != pytest.approx(got[5][1])
+
+
+def test_gp_of_copied_rows(spark, data):
+    """Many copies of few rows: without a key all inducing rows were copies, whose matrix has no inverse."""
+    d = data.where("id < 40").crossJoin(spark.range(60).withColumnRenamed("id", "copy")).select("features", "label")
+    m = SparseGP(nInducing=30, nRestarts=2, steps=2).fit(d)
+    assert len({tuple(z) for z in m._state()["Z"]}) == 30
+    assert np.isfinite(m.transform(d).agg(F.sum("prediction")).first()[0])
+
+
+def test_gp_restarts_with_equal_inducing_rows():
+    z = np.repeat([[0.0, 1.0], [2.0, 0.5]], 40, axis=0)
+    x = np.tile([[0.0, 1.0], [2.0, 0.5]], (100_000, 1))
+    k = gp.rbf(z, x, 1.0)
+    s = gp.Sums(np.concatenate([(k @ k.T).ravel(), np.zeros(80 * 80), k @ x[:, 0], np.zeros(80)]), 80)
+    fits = [gp.with_best_noise(s, z, 1.0, len(x), float(x[:, 0] @ x[:, 0]), jitter=j) for j in (gp.JITTER, *gp.MORE_JITTER)]
+    assert fits[-1] is not None and np.isfinite(fits[-1].evidence)
