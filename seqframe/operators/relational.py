@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 
 def filter_length(df: DataFrame, col: str, n: int) -> DataFrame:
@@ -63,3 +67,48 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     a single wild type) on every row of ``df``. The row is broadcast; Spark plans
     a nested loop over that one row, and ``df`` is not shuffled."""
     return df.join(F.broadcast(one_row))
+
+
+def place_runs(places: DataFrame, key: str, width: int) -> DataFrame:
+    """(key, pos, n, n_marked, x): rows (key, pos, x, marked) that follow each other in a batch, with the same key and
+    places one after the other, as one row with the first place, the number of places and their letters joined.
+
+    Narrow: what is grouped by key afterwards is as large as the letters, not as the places' rows. Only places of
+    exactly ``width`` characters are joined; a null ``x`` counts as empty.
+    """
+    schema = StructType([places.schema[key]]).add("pos", IntegerType()).add("n", LongType()).add("n_marked", LongType()).add("x", StringType())
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, x = b.column(0), pc.fill_null(b.column(2).cast(pa.string()), "")
+            pos, marked = b.column(1).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            a, z = k.slice(0, len(k) - 1), k.slice(1)
+            same = pc.or_(pc.fill_null(pc.equal(a, z), False), pc.and_(pc.is_null(a), pc.is_null(z))).to_numpy(zero_copy_only=False)
+            fits = pc.equal(pc.utf8_length(x), width).to_numpy(zero_copy_only=False)
+            follows = same & (pos[1:] == pos[:-1] + 1) & fits[1:] & fits[:-1]
+            starts = np.flatnonzero(np.concatenate([[True], ~follows]))
+            ends = np.append(starts[1:], len(pos))
+            offsets = np.frombuffer(x.buffers()[1], np.int32)[x.offset:x.offset + len(x) + 1]
+            data = memoryview(x.buffers()[2] or b"")
+            letters = [bytes(data[i:j]) for i, j in zip(offsets[starts].tolist(), offsets[ends].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [k.take(pa.array(starts)), pa.array(pos[starts], pa.int32()), pa.array(ends - starts, pa.int64()),
+                 pa.array(np.add.reduceat(marked, starts), pa.int64()), pa.array(letters, pa.binary()).cast(pa.string())], names=schema.names)
+
+    return places.select(key, F.col("pos").cast("int").alias("pos"), "x", "marked").mapInArrow(run, schema)
+
+
+def joined_runs(runs: str, width: int) -> Column:
+    """The letters of a sorted array of runs (pos, x, n) in the order of (place, letters); runs of repeated keys may overlap."""
+    def places(r):
+        letters = F.transform(F.sequence(F.lit(0), r["n"].cast("int") - 1), lambda i: F.struct(
+            (r["pos"] + i).alias("pos"), F.when(r["n"] == 1, r["x"]).otherwise(F.substring(r["x"], i * width + 1, F.lit(width))).alias("x")))
+        return letters
+
+    r = F.col(runs)
+    overlap = F.exists(F.sequence(F.lit(1), F.size(r) - 1), lambda i: F.get(r, i - 1)["pos"] + F.get(r, i - 1)["n"] > F.get(r, i)["pos"])
+    sorted_places = F.array_sort(F.flatten(F.transform(r, places)))
+    return F.array_join(F.when((F.size(r) > 1) & overlap, F.transform(sorted_places, lambda p: p["x"]))
+                        .otherwise(F.transform(r, lambda p: p["x"])), "")

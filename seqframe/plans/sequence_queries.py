@@ -38,10 +38,14 @@ def fixed_length_sequences(spark, sf):
                                                       F.md5("sequence").alias("sequence_md5"))
 
 
-def _in_order(*parts):
-    """md5 of a sequence's letters in the order of their places: any letter at another place changes it."""
-    rows = F.array_sort(F.collect_list(F.struct("pos", F.concat(*parts).alias("x"))))
-    return F.md5(F.array_join(F.transform(rows, lambda r: r["x"]), ""))
+def _in_order(places, key, width, *parts):
+    """(key, n, n_marked, last_pos, md5): of each key's places (pos, marked) the md5 of their letters in the order of
+    the places: any letter at another place changes it. ``width`` characters a place."""
+    x = F.concat(*parts)
+    g = rel.place_runs(places.select(key, "pos", x.alias("x"), "marked"), key, width).groupBy(key).agg(
+        F.sum("n").alias("n"), F.sum("n_marked").alias("n_marked"), F.max(F.col("pos") + F.col("n") - 1).alias("last_pos"),
+        F.array_sort(F.collect_list(F.struct("pos", "x", "n"))).alias("_runs"))
+    return g.select(key, "n", "n_marked", "last_pos", F.md5(rel.joined_runs("_runs", width)).alias("md5"))
 
 
 @query("residue_table", ("X1", "residues"),
@@ -49,9 +53,8 @@ def _in_order(*parts):
   CAST(max(pos) AS BIGINT) AS last_pos, md5(string_agg(aa, '' ORDER BY pos)) AS letters_md5 FROM residues GROUP BY seq_id"""))
 def residue_table(spark, sf):
     """All residues with their places; a digest per sequence covers every row in order."""
-    r = t.residues(spark, sf).groupBy("seq_id").agg(F.count("*").alias("n"), F.max("pos").cast("bigint").alias("last_pos"),
-                                                    _in_order("aa").alias("letters_md5"))
-    return r.select(F.col("seq_id").cast("bigint"), "n", "last_pos", "letters_md5")
+    r = _in_order(t.residues(spark, sf).withColumn("marked", F.lit(False)), "seq_id", 1, "aa")
+    return r.select(F.col("seq_id").cast("bigint"), "n", "last_pos", F.col("md5").alias("letters_md5"))
 
 
 SEQUENCE_FORMS_SQL = """
@@ -157,9 +160,9 @@ FROM m GROUP BY seq_id""")
 @query("mlm_masking", ("K3",), MLM_SQL)
 def mlm_masking(spark, sf):
     """Masked input and label of every residue; a digest per sequence covers every row in order."""
-    m = ctx.mlm_mask(t.seqs(spark, sf)).groupBy("seq_id").agg(
-        F.count("*").alias("n"), F.count("label").alias("n_labels"), _in_order("input", F.coalesce("label", F.lit("-"))).alias("sites_md5"))
-    return m.select(F.col("seq_id").cast("bigint"), "n", "n_labels", "sites_md5")
+    m = ctx.mlm_mask(t.seqs(spark, sf)).withColumn("marked", F.col("label").isNotNull())
+    m = _in_order(m, "seq_id", 2, "input", F.coalesce("label", F.lit("-")))
+    return m.select(F.col("seq_id").cast("bigint"), "n", F.col("n_marked").alias("n_labels"), F.col("md5").alias("sites_md5"))
 
 
 MASK_EACH_SQL = q.with_ctes(q.REFS, body=""",

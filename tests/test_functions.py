@@ -89,3 +89,15 @@ def test_losses_match_numpy(spark):
     ce = -(zz[2] - math.log(np.exp(zz).sum()))
     bce = np.mean(np.maximum(zz, 0) - zz * np.array([0, 1, 1]) + np.log1p(np.exp(-np.abs(zz))))
     assert r["ce"] == pytest.approx(ce) and r["bce"] == pytest.approx(bce) and r["am"] == 2
+
+
+def test_place_runs_and_their_order(spark):
+    """Neighbouring places become one row; repeated keys, null keys, gaps and a run cut by a batch keep the order by (place, letters)."""
+    from seqframe.operators import relational as rel
+    rows = [(k, p + 1, c, c == "C") for k, s in ((1, "ACDA"), (1, "GCDE"), (None, "CAC"), (2, "W")) for p, c in enumerate(s)] + [(3, 5, "D", False), (3, 2, "C", True)]
+    d = spark.createDataFrame(rows, "k long, pos int, x string, marked boolean")
+    r = rel.place_runs(d.coalesce(1), "k", 1)
+    assert r.count() == 6
+    g = r.groupBy("k").agg(F.sum("n").alias("n"), F.sum("n_marked").alias("m"), F.array_sort(F.collect_list(F.struct("pos", "x", "n"))).alias("r"))
+    got = {(x["k"]): (x["n"], x["m"], x["s"]) for x in g.select("k", "n", "m", rel.joined_runs("r", 1).alias("s")).collect()}
+    assert got == {1: (8, 2, "AGCCDDAE"), None: (3, 2, "CAC"), 2: (1, 0, "W"), 3: (2, 1, "CD")}
