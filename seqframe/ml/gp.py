@@ -22,7 +22,7 @@ from seqframe.ml.optim import summed
 
 JITTER = 1e-8
 #: Tried in turn for a set none of whose length scales has a positive-definite system: inducing rows may be copies or nearly so.
-MORE_JITTER = (1e-6, 1e-4, 1e-2)
+JITTERS = (JITTER, 1e-6, 1e-4, 1e-2)
 #: Noise variances that are tried (with unit variance of y), before the interval around the best is narrowed.
 NOISES = np.exp(np.linspace(math.log(1e-4), math.log(10.0), 24))
 
@@ -58,16 +58,16 @@ class Sums:
 
 
 def evidence(s: Sums, z: np.ndarray, length: float, noise: float, n: float, yy: float, jitter: float = JITTER) -> Fit | None:
-    """The log evidence and its slope by the log length scale; None where a matrix is not positive definite or has no inverse."""
+    """The log evidence and its slope by the log length scale; None where a matrix is not positive definite."""
     m, d2 = len(z), squares(z, z)
     k = np.exp(-0.5 * d2 / length ** 2)
     dk = k * d2 / length ** 2
     k = k + jitter * np.eye(m)
     try:
         chol_m, chol_k = np.linalg.cholesky(noise * k + s.a), np.linalg.cholesky(k)
-        minv, kinv = np.linalg.inv(noise * k + s.a), np.linalg.inv(k)
     except np.linalg.LinAlgError:
         return None
+    minv, kinv = np.linalg.inv(noise * k + s.a), np.linalg.inv(k)
     alpha = minv @ s.b
     logs = (n - m) * math.log(noise) + 2 * np.log(np.diag(chol_m)).sum() - 2 * np.log(np.diag(chol_k)).sum()
     value = -0.5 * (logs + (yy - s.b @ alpha) / noise + n * math.log(2 * math.pi))
@@ -157,19 +157,22 @@ def evidence_sums(rows: DataFrame, parts: Parts, inducing: list[np.ndarray], len
 
 
 def restarts(rows: DataFrame, parts: Parts, inducing: list[np.ndarray], n: np.ndarray, count: int, steps: int, seed: int, max_sums: int,
-             given: list[float] | None = None, noise: float | None = None, least: int | None = None) -> list[list[Fit | None]]:
+             given: list[float] | None = None, noise: float | None = None, least: int | None = None, jitters: tuple[float, ...] = JITTERS) -> list[list[Fit | None]]:
     """The best fit on each restart's way, for every set; all of them move in one pass a step.
 
     ``given`` length scales are only evaluated. Sets without a fit among their first ``least`` starts (all of them if not given)
-    run again with more jitter.
+    run again with more jitter, as all do where a matrix has no inverse.
     """
     first = [list(given) if given else starts(z.shape[1], count, seed) for z in inducing]
     found: list[list[Fit | None]] = [[None] * len(own) for own in first]
-    for jitter in (JITTER, *MORE_JITTER):
+    for jitter in jitters:
         again = [own if all(f is None for f in got[:least]) else [] for own, got in zip(first, found)]
         if not any(again):
             break
-        moved = _moved(rows, parts, inducing, n, again, 1 if given else steps + 1, max_sums, noise, jitter)
+        try:
+            moved = _moved(rows, parts, inducing, n, again, 1 if given else steps + 1, max_sums, noise, jitter)
+        except np.linalg.LinAlgError:
+            continue
         found = [new if own else old for own, new, old in zip(again, moved, found)]
     return found
 

@@ -206,16 +206,23 @@ class SparseGP(Estimator, _Base, DefaultParamsReadable, DefaultParamsWritable):
         st = d.agg(F.avg("y").alias("mu"), F.stddev_pop("y").alias("sd"), F.count(F.lit(1)).alias("n")).first()
         mu, sd = (float(st["mu"]), float(st["sd"] or 1.0) or 1.0) if self.getOrDefault(self.normalizeY) else (0.0, 1.0)
         m = self.getOrDefault(self.nInducing)
-        # m rows: the method's size; without a key copies have one hash and would fill all m places
-        picked = d.orderBy("_h", "_k") if key else d.select("_h", "x").distinct().orderBy("_h")
-        Z = np.array([r["x"] for r in picked.limit(m).select("x").collect()])
+        def pick(rows):  # m rows: the method's size
+            return np.array([r["x"] for r in rows.limit(m).select("x").collect()])
+
+        Z = pick(d.orderBy("_h", "_k"))
 
         def parts(pdf):
             yield 0, np.stack(pdf["x"].to_numpy()), (pdf["y"].to_numpy() - mu) / sd
 
         given = list(self.getOrDefault(self.lengthScales))
-        fits = gp.restarts(d, parts, [Z], np.array([float(st["n"])]), self.getOrDefault(self.nRestarts), self.getOrDefault(self.steps),
-                           self.getSeed(), 1 << 25, given or None, self.getOrDefault(self.noise) if given else None)[0]
+        def fitted(jitters):
+            return gp.restarts(d, parts, [Z], np.array([float(st["n"])]), self.getOrDefault(self.nRestarts), self.getOrDefault(self.steps),
+                               self.getSeed(), 1 << 25, given or None, self.getOrDefault(self.noise) if given else None, jitters=jitters)[0]
+
+        fits = fitted(gp.JITTERS if key else gp.JITTERS[:1])
+        if not key and all(f is None for f in fits):  # copies have one hash and may fill all m places
+            Z = pick(d.select("_h", "x").distinct().orderBy("_h"))
+            fits = fitted(gp.JITTERS)
         d.unpersist()
         fit = gp.best(fits)
         model = SparseGPModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol())
