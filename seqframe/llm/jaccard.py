@@ -6,15 +6,17 @@ indexed: two sets of the wanted similarity share a known least number of prefix
 shingles. In short index lists pairs are counted and kept if they reach that
 number. A long list belongs to a large group of similar sets: there only the
 components are sought, not all links. Sets are compared with a few members of the
-list's main component, and only sets still outside it with the others; a list
-whose sets are all in one component is skipped as a whole.
+list; a list whose sets are all in one component is skipped as a whole. In the
+others each set is written as its difference from the shingles that most of the group's sets
+hold: what all share makes no candidates, sets near that centre link with
+the nearest one for certain, and the rest must share a part of their differences.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqframe.llm.common import discard, row_key, sliced, text_or_empty, written
@@ -134,44 +136,111 @@ class Join:
         prefix = lambda n: n - F.floor((n * self.percent + 99) / 100) + 1
         return F.least(prefix(a) - (a - both), prefix(b) - (b - both))
 
-    def link(self, pairs: DataFrame) -> None:
-        """Compare pairs (a, b) of sets and keep those similar enough as edges."""
-        pairs = written(pairs.select("a", "b").distinct(), "pairs")
-        self.tested.append(pairs)
-        wanted = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
+    def sets(self, wanted: DataFrame) -> DataFrame | None:
+        """(sid, prints): the whole shingles of the ``wanted`` sets, read from one text each; null when there is none."""
         keys = written(self.indexed.select("sid", "key").join(wanted, "sid").groupBy("sid").agg(F.min("key").alias("key"))
                        .select("key").distinct(), "keys")
         n = keys.count()
         if not n:
             discard(keys)
-            return
+            return None
         blocks, n_blocks = bloom_blocks(keys, "key", n)
         rows = may_contain(self.texts.select("key", "text"), "key", blocks, n_blocks, "maybe").where("maybe").select("key", "text")
         rows = rows.join(keys, "key", "left_semi").select("text")
-        length, percent = self.length, self.percent
+        length = self.length
 
         def sets(batches):
             shingler = Shingler(length)
             for batch in (piece for whole in batches for piece in sliced(whole, 0)):
                 prints = [shingler.prints(x) for x in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([set_print(p) for p in prints], pa.int64()),
-                                                  pa.array([p.tobytes() for p in prints], pa.binary())], names=["sid", "prints"])
-
-        found = written(rows.mapInArrow(sets, "sid long, prints binary").groupBy("sid").agg(F.first("prints").alias("prints")), "sets")
+                ends = np.cumsum([0, *map(len, prints)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([set_print(p) for p in prints], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, U), *prints]).view(np.int64)))],
+                    names=["sid", "prints"])
+
+        found = written(rows.mapInArrow(sets, "sid long, prints array<long>").groupBy("sid").agg(F.first("prints").alias("prints")), "sets")
+        discard(keys)
+        return found
+
+    def link(self, pairs: DataFrame, found: DataFrame | None = None) -> None:
+        """Compare pairs (a, b) of sets and keep those similar enough as edges; ``found`` has the sets if they are there."""
+        pairs = written(pairs.select("a", "b").distinct(), "pairs")
+        self.tested.append(pairs)
+        own = None
+        if found is None:
+            wanted = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
+            own = found = self.sets(wanted)
+            if own is None:
+                return
+        percent = self.percent
+
+        def rows_of(lists):
+            ends, values = lists.offsets.to_pylist(), lists.values.to_numpy()
+            return [values[lo:hi] for lo, hi in zip(ends, ends[1:])]
 
         def compare(batches):
             for batch in batches:
                 keep = []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+                for x, y in zip(rows_of(batch.column(2)), rows_of(batch.column(3))):
                     both = len(x) + len(y) - len(np.union1d(x, y))
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         joined = (pairs.join(found.select(F.col("sid").alias("a"), F.col("prints").alias("x")), "a")
                   .join(found.select(F.col("sid").alias("b"), F.col("prints").alias("y")), "b").select("a", "b", "x", "y"))
         self.edges.append(written(joined.mapInArrow(compare, "a long, b long"), "links"))
-        discard(keys, found)
+        if own is not None:
+            discard(own)
+
+    def link_groups(self, members: DataFrame) -> None:
+        """Join the components of each group's sets wherever two of its sets link; ``members`` has (main, sid, n, component).
+
+        A set's difference d holds the shingles that it or its group's centre has,
+        but not both. Two sets differ in |dx| + |dy| less twice what dx and dy share, and link if
+        that is at most (100 - percent) / (100 + percent) of their sizes' sum. So with
+        w = (100 + percent) |d| - (100 - percent) n they link for certain if wx + wy <= 0, in which case both
+        link with the set of the least w; else if 2 (100 + percent) of what they share reaches wx + wy.
+        """
+        p = self.percent
+        whole = self.sets(members.select("sid").distinct())
+        if whole is None:
+            return
+        rows = members.join(whole, "sid")
+        size = members.groupBy("main").agg(F.count("*").alias("size"))
+        held = rows.select("main", F.explode("prints").alias("token")).groupBy("main", "token").agg(F.count("*").alias("c"))
+        centre = held.join(size, "main").where("2 * c > size").groupBy("main").agg(F.collect_list("token").alias("centre"))
+        none = F.array().cast("array<long>")
+        rows = rows.join(centre, "main", "left").withColumn("centre", F.coalesce("centre", none))
+        d = F.concat(F.array_except("prints", "centre"), F.array_except("centre", "prints"))
+        diffs = written(rows.select("main", "sid", "n", "component", d.alias("d")).withColumn(
+            "w", (100 + p) * F.size("d") - (100 - p) * F.col("n")), "differences")
+
+        near = diffs.groupBy("main").agg(F.min(F.struct("w", "sid", "component")).alias("near"))
+        diffs_near = diffs.join(near, "main").withColumn("star", F.col("w") + F.col("near.w") <= 0)
+        self.edges.append(written(diffs_near.where(F.col("star") & (F.col("sid") != F.col("near.sid"))).select(
+            F.least("sid", "near.sid").alias("a"), F.greatest("sid", "near.sid").alias("b")), "links"))
+
+        # the others: shingles of differences that two sets of a group have, the rarest first, as many as a link must meet
+        tokens = diffs_near.select("main", "sid", "n", "w", F.col("near.w").alias("w0"), F.size("d").alias("nd"), F.when(F.col("star"), F.col("near.component")).otherwise(
+            F.col("component")).alias("component"), F.explode("d").alias("token"))
+        often = tokens.groupBy("main", "token").agg(F.count("*").alias("m")).where("m > 1")
+        least = F.greatest(F.lit(1), F.col("nd") - F.floor(F.col("n") * (100 - p) / p + 1e-9), F.ceil((F.col("w") + F.col("w0")) / (2 * (100 + p)) - 1e-9))
+        kept = (tokens.join(often, ["main", "token"]).groupBy("main", "sid", "n", "w", "w0", "nd", "component")
+                .agg(F.sort_array(F.collect_list(F.struct("m", "token"))).alias("t")).withColumn("h", F.size("t")).where(F.col("h") >= least))
+        kept = written(kept.select("main", "sid", "n", "w", "component", "h", F.explode(F.slice("t", F.lit(1), (F.col("h") - least + 1).cast("int"))).alias("t"))
+                       .select("main", "sid", "n", "w", "component", "h", F.col("t.token").alias("token")), "parts")
+        x = kept.where("component <> main").select("main", "token", *[F.col(c).alias(f"{c}_x") for c in ("sid", "n", "w", "component", "h")])
+        y = kept.select("main", "token", *[F.col(c).alias(f"{c}_y") for c in ("sid", "n", "w", "component", "h")])
+        rest = x.join(y, ["main", "token"]).where(
+            (F.col("component_x") != F.col("component_y")) & ((F.col("component_y") == F.col("main")) | (F.col("sid_x") < F.col("sid_y")))
+            & self.size_fits(F.col("n_x"), F.col("n_y")) & (F.col("w_x") + F.col("w_y") > 0)
+            & (2 * (100 + p) * F.least("h_x", "h_y") >= F.col("w_x") + F.col("w_y")))
+        rest = rest.select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b")).distinct()
+        for done in self.tested:
+            rest = rest.join(done, ["a", "b"], "left_anti")
+        self.link(rest, whole)
+        discard(whole, diffs, kept)
 
     def all_edges(self) -> DataFrame | None:
         out = None
@@ -184,9 +253,10 @@ def link_sets(texts: DataFrame, indexed: DataFrame, length: int, percent: int, s
     """(node, component) of the sets with links; null when there is none."""
     join = Join(texts, indexed, length, percent)
     postings = indexed.select("sid", "n", F.explode("prefix").alias("token"))
-    sizes = postings.groupBy("token").agg(F.count("*").alias("m"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
-    lists = written(postings.join(sizes.select("token", "m"), "token").groupBy("token", "sid").agg(
-        F.first("n").alias("n"), F.first("m").alias("m")), "lists")
+    # one shuffle by shingle serves the lists' sizes and their rows
+    of = Window.partitionBy("token")
+    lists = written(postings.select("*", F.count("*").over(of).alias("m"), F.min("sid").over(of).alias("lo"), F.max("sid").over(of).alias("hi"))
+                    .where("lo < hi").groupBy("token", "sid").agg(F.first("n").alias("n"), F.first("m").alias("m")), "lists")
     few, many = lists.where(F.col("m") <= short), lists.where(F.col("m") > short)
     in_long = many.groupBy("sid").agg(F.count("*").alias("h"))
     many = many.join(in_long, "sid")
@@ -216,30 +286,19 @@ def link_sets(texts: DataFrame, indexed: DataFrame, length: int, percent: int, s
     join.link(met.unionAll(led.select(F.least("sid", "y").alias("a"), F.greatest("sid", "y").alias("b"))))
     label = components(join.all_edges()) if join.edges else None
 
-    # lists not yet of one component: the sets outside their main component, with every set of another one
+    # lists not yet of one component: a group is the sets of all those with one main component
     placed = many.withColumn("component", F.col("sid")) if label is None else (
         many.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
     per = placed.groupBy("token", "component").agg(F.count("*").alias("c"))
     main = per.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"))
-    placed = written(placed.join(main.where("parts > 1"), "token"), "placed")
+    members = written(placed.join(main.where("parts > 1"), "token").groupBy("main", "sid").agg(
+        F.first("n").alias("n"), F.first("component").alias("component")), "members")
     discard(lists)
-    if placed.isEmpty():
-        discard(placed, *join.tested)
+    if members.isEmpty():
+        discard(members, *join.tested)
         return label
-    outside = placed.where("component <> main").select("token", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("h").alias("hx"), F.col("component").alias("cx"))
-    other = placed.select("token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("h").alias("hy"), F.col("component").alias("cy"),
-                          (F.col("component") == F.col("main")).alias("in_main"))
-    rest = outside.join(other, "token").where((F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y")))
-                                              & may_link(F.col("nx"), F.col("hx"), F.col("ny"), F.col("hy")))
-    # At most one of two components is a list's main one, so a pair comes once from each list that both sets are in: its
-    # rows are its shared prefix shingles, and fewer than a pair must share rule it out.
-    rest = (rest.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .agg(F.count("*").alias("c"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-            .where(F.col("c") >= join.shared_needed(F.col("nx"), F.col("ny"))).select("a", "b"))
-    for done in join.tested:
-        rest = rest.join(done, ["a", "b"], "left_anti")
-    join.link(rest)
-    discard(placed, *join.tested)
+    join.link_groups(members)
+    discard(members, *join.tested)
     return components(join.all_edges()) if join.edges else None
 
 

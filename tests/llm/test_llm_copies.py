@@ -83,6 +83,36 @@ def test_similar_documents_with_small_buffers(spark, monkeypatch):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_large_group_makes_few_candidates(spark, monkeypatch):
+    """120 sets that share most shingles and do not link, and 20 that do: candidates do not grow with the pairs."""
+    rng = np.random.default_rng(5)
+    base, texts, made = [f"w{i}" for i in range(104)], [], []
+    for i in range(140):
+        own = list(base)
+        for j in (rng.choice(range(5, 99, 6), 2, replace=False) if i < 120 else [(i % 4) * 20 + 7, (i % 4) * 20 + 13]):
+            own[j] = f"x{i}y{j}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    link = jaccard.Join.link
+
+    def counted(self, pairs, found=None):
+        made.append(pairs.distinct().count())
+        link(self, pairs, found)
+
+    monkeypatch.setattr(jaccard.Join, "link", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(docs, short=8, leaders=2).collect()}
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    want = components(sets)
+    assert got == {i: (len(sets[i]), want[i]) for i in sets}
+    assert len(made) == 2 and made[1] < 140 * 139 / 2 / 4
+    texts = [t for t in texts[:120]]
+    members = spark.createDataFrame([(0, jaccard.set_print(jaccard.Shingler().prints(t)), 100) for t in texts], "main long, sid long, n long")
+    rows = jaccard._texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    join = jaccard.Join(rows, jaccard.index_sets(rows, np.zeros(0, np.uint64), 5, 80), 5, 80)
+    join.link_groups(members.withColumn("component", members.sid))
+    assert made[2] < 120 * 119 / 2 / 4
+
+
 def test_slices_hold_every_row_once():
     rows = [None, "", "é" * 50, "a" * 99, "b", None, "c" * 300, ""]
     batch = common.pa.RecordBatch.from_arrays([common.pa.array(rows)], names=["text"])
