@@ -97,7 +97,45 @@ def composition(df: DataFrame, seqcol: str, out: str = "features", alphabet: str
     return df.withColumn(out, F.array(*shares))
 
 
-_CHUNK = 1 << 20
+#: Letters whose cosines are taken at a time (some 10 MB of numbers).
+_CHUNK = 1 << 17
+
+
+def courses(seqs, lookup: np.ndarray, orders: int) -> np.ndarray:
+    """``cosine_features`` of a batch of sequences, a row each; ``lookup`` has 256 rows of values by letter code."""
+    width = lookup.shape[1]
+
+    def sums(letters, place, starts):
+        z, got = lookup[letters], np.empty((len(starts), width, orders))
+        for k in range(orders):
+            got[:, :, k] = np.add.reduceat(z * np.cos(k * place)[:, None], starts)
+        return got
+
+    res = np.zeros((len(seqs), width * orders))
+    held, at, size = [], [], 0
+
+    def drain():
+        n = np.array([len(x) for x in held])
+        starts = np.cumsum(n) - n
+        place = (np.arange(size) - np.repeat(starts, n) + 0.5) * np.repeat(np.pi / n, n)
+        res[at] = (sums(np.frombuffer(b"".join(held), np.uint8), place, starts) / n[:, None, None]).reshape(len(held), -1)
+
+    for i, s in enumerate(seqs):
+        text = (s or "").encode("latin-1", "replace")
+        if len(text) > _CHUNK:
+            parts = ((text[lo:lo + _CHUNK], lo) for lo in range(0, len(text), _CHUNK))
+            total = sum(sums(np.frombuffer(x, np.uint8), (np.arange(lo, lo + len(x)) + 0.5) * (np.pi / len(text)), [0]) for x, lo in parts)
+            res[i] = (total / len(text)).ravel()
+        elif text:
+            held.append(text)
+            at.append(i)
+            size += len(text)
+            if size > _CHUNK:
+                drain()
+                held, at, size = [], [], 0
+    if held:
+        drain()
+    return res
 
 
 def cosine_features(df: DataFrame, seqcol: str, table: dict[str, list[float]], orders: int = 6, out: str = "features") -> DataFrame:
@@ -108,7 +146,8 @@ def cosine_features(df: DataFrame, seqcol: str, table: dict[str, list[float]], o
     tell where in the sequence high and low values stand, so that the
     same change at two places gives two vectors. A letter without a descriptor
     counts as zeros; an empty sequence gives zeros and a null one null.
-    One Arrow batch of sequences is one array of letters (in chunks of 2^20).
+    Sequences of an Arrow batch are put together to arrays of about 2^17 letters; a
+    longer sequence is summed in slices of as many, so memory does not grow with its length.
     """
     width = len(next(iter(table.values())))
     lookup = np.zeros((256, width))
@@ -117,31 +156,8 @@ def cosine_features(df: DataFrame, seqcol: str, table: dict[str, list[float]], o
 
     @F.pandas_udf("array<double>")
     def course(seqs: pd.Series) -> pd.Series:
-        texts = [None if s is None else s.encode("latin-1", "replace") for s in seqs]
-        res, held, size = [], [], 0
-
-        def drain():
-            n = np.array([len(x) for x in held])
-            letters = np.frombuffer(b"".join(held), np.uint8)
-            starts = np.cumsum(n) - n
-            place = (np.arange(len(letters)) - np.repeat(starts, n) + 0.5) * np.repeat(np.pi / np.maximum(n, 1), n)
-            z, sums = lookup[letters], np.zeros((len(held), width, orders))
-            full = np.flatnonzero(n)
-            for k in range(orders):
-                if len(letters):
-                    sums[full, :, k] = np.add.reduceat(z * np.cos(k * place)[:, None], starts[full])
-            res.extend((sums / np.maximum(n, 1)[:, None, None]).reshape(len(held), -1).tolist())
-            held.clear()
-
-        for t in texts:
-            held.append(t or b"")
-            size += len(held[-1])
-            if size > _CHUNK:
-                drain()
-                size = 0
-        if held:
-            drain()
-        return pd.Series([None if t is None else v for t, v in zip(texts, res)], dtype=object)
+        res = courses(seqs, lookup, orders)
+        return pd.Series([None if s is None else v for s, v in zip(seqs, res)], dtype=object)
 
     return df.withColumn(out, course(F.col(seqcol)))
 

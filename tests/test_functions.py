@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,26 @@ def test_place_runs_and_their_order(spark):
     g = r.groupBy("k").agg(F.sum("n").alias("n"), F.sum("n_marked").alias("m"), F.array_sort(F.collect_list(F.struct("pos", "x", "n"))).alias("r"))
     got = {(x["k"]): (x["n"], x["m"], x["s"]) for x in g.select("k", "n", "m", rel.joined_runs("r", 1).alias("s")).collect()}
     assert got == {1: (8, 2, "AGCCDDAE"), None: (3, 2, "CAC"), 2: (1, 0, "W"), 3: (2, 1, "CD")}
+
+
+def test_courses_in_bounded_memory():
+    """A long sequence and many short ones give plain means and take no more than some 40 MB."""
+    import tracemalloc
+
+    from seqframe.operators import features as ft
+    rng = np.random.default_rng(3)
+    lookup = np.zeros((256, 3))
+    for a, v in ft.Z3_HELLBERG.items():
+        lookup[ord(a)] = v
+    letters = np.frombuffer(b"ACDEFGHIKLMNPQRSTVWY", np.uint8)
+    seqs = [rng.choice(letters, n).tobytes().decode() for n in [2_000_000, *[1000] * 2000]] + [None, "", "A"]
+    tracemalloc.start()
+    got = ft.courses(seqs, lookup, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for i in (0, 1, 1500, 2003):
+        z, n = lookup[np.frombuffer(seqs[i].encode(), np.uint8)], len(seqs[i])
+        want = [(z[:, d] * np.cos(np.pi * k * (np.arange(n) + 0.5) / n)).mean() for d in range(3) for k in range(6)]
+        assert np.allclose(got[i], want, atol=1e-9)
+    assert not got[2001].any() and not got[2002].any()
+    assert peak < 40 << 20
