@@ -65,7 +65,11 @@ class _Base(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
 # --- M2: random-Fourier-feature support-vector regression -------------------
 
 def _rff(X: np.ndarray, W: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(2.0 / W.shape[1]) * np.cos(X @ W + b)
+    z = X @ W
+    z += b
+    np.cos(z, out=z)
+    z *= np.sqrt(2.0 / W.shape[1])
+    return z
 
 
 def _svr_grad(w, X, y, ex):
@@ -90,9 +94,9 @@ def _ridge_start(t: "optim.TrainingTable", W, b, l2: float) -> np.ndarray:
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            Z = _rff(np.stack(pdf["x"].to_numpy()), Wb, bb)
+            Z = _rff(optim.stacked(pdf["x"]), Wb, bb)
             Z = np.hstack([Z, np.ones((len(Z), 1))])
-            y = np.stack(pdf["y"].to_numpy())[:, 0]
+            y = optim.stacked(pdf["y"])[:, 0]
             acc[:(D + 1) ** 2] += (Z.T @ Z).ravel()
             acc[(D + 1) ** 2:] += Z.T @ y
         return acc

@@ -78,6 +78,14 @@ def summed(rows: DataFrame, run: Callable, size: int) -> np.ndarray:
     return np.concatenate([r["v"].toArray() for r in sorted(got, key=lambda r: r["piece"])])
 
 
+def stacked(arrays: pd.Series) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    rows = arrays.to_numpy()
+    if len(set(map(len, rows))) > 1:
+        raise ValueError("all rows must have the same number of values")
+    return np.concatenate(rows).reshape(len(rows), -1)
+
+
 @dataclass
 class TrainingTable:
     """A persisted (features x, labels y ARRAY<DOUBLE>, u) table ready for repeated passes.
@@ -132,7 +140,7 @@ def gradient(table: TrainingTable, params: np.ndarray, grad_fn: GradFn, extra: d
         acc, part = np.zeros(k + 2), TaskContext.get().partitionId()
         for i, pdf in enumerate(batches):
             if len(pdf):
-                g, loss = grad_fn(w, np.stack(pdf["x"].to_numpy()), np.stack(pdf["y"].to_numpy()), dict(ex, at=(part, i)))
+                g, loss = grad_fn(w, stacked(pdf["x"]), stacked(pdf["y"]), dict(ex, at=(part, i)))
                 acc[:k] += g
                 acc[k:] += loss, len(pdf)
         return acc

@@ -164,3 +164,16 @@ def test_gp_restarts_without_a_positive_definite_system(monkeypatch):
     monkeypatch.setattr(gp, "evidence_sums", lambda *a: ([[sums] * len(own) for own in a[3]], np.array([1e12])))
     fits = gp.restarts(None, None, [z], np.array([1e12]), 2, 1, 0, 1)[0]
     assert np.isfinite(gp.best(fits).evidence)
+
+
+def test_stacked_and_random_features_keep_their_values():
+    import pandas as pd
+
+    from seqframe.ml.models import _rff
+    from seqframe.ml.optim import stacked
+    rng = np.random.default_rng(0)
+    x, w, b = rng.normal(size=(50, 6)), rng.normal(size=(6, 16)), rng.uniform(size=16)
+    assert (stacked(pd.Series(list(x))) == x).all()
+    with pytest.raises(ValueError):
+        stacked(pd.Series([x[0], x[1][:2], x[2][:4]]))
+    assert (_rff(x, w, b) == np.sqrt(2.0 / 16) * np.cos(x @ w + b)).all()
