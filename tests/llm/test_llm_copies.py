@@ -317,7 +317,7 @@ def test_oracles_hold(spark):
     duckdb = pytest.importorskip("duckdb")
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLE.items():
         df = queries.QUERIES[name](spark, sf)
