@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,10 @@ U = np.uint64
 _STEP = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=U)  # a fixed random number for each byte
 _POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+_PLACES: list[np.ndarray] = [np.arange(1, dtype=U)]
+_UPPER = U(0xFFFFFFFF00000000)
+#: Bytes of text that are put end to end and taken at a time; a longer text is taken by itself.
+TAKEN = 1 << 16
 _KEYS = "block int, bucket int, keys binary, docs binary"
 _BITS = "block int, bucket int, smaller binary, shared binary"
 _KEYS_ARROW = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
@@ -58,18 +63,28 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-class Prints:
-    """Fingerprints of any stretch of one text, from sums over its prefixes."""
+def _places(n: int) -> np.ndarray:
+    if n > len(_PLACES[0]):
+        _PLACES[0] = np.arange(max(n, 2 * len(_PLACES[0])), dtype=U)
+    return _PLACES[0][:n]
 
-    def __init__(self, text: bytes):
-        self.n = len(text)
-        up, self.down = _powers(self.n + 1)
-        self.sums = np.zeros(self.n + 1, U)
-        np.cumsum(_BYTES[np.frombuffer(text, np.uint8)] * up[: self.n], out=self.sums[1:])
 
-    def all(self, length: int) -> np.ndarray:
-        """Of every stretch of that length."""
-        return _mixed((self.sums[length:] - self.sums[:-length]) * self.down[: self.n - length + 1])
+class Prints:
+    """Texts put end to end, each of 50 bytes at least, and the fingerprints of any stretch of them, from sums over prefixes."""
+
+    def __init__(self, text: np.ndarray, ends: np.ndarray):
+        self.text, self.ends, self.starts = text, ends, np.r_[0, ends[:-1]]
+        up, self.down = _powers(len(text) + 1)
+        self.sums = np.zeros(len(text) + 1, U)
+        np.cumsum(_BYTES[text] * up[: len(text)], out=self.sums[1:])
+
+    def order(self, length: int) -> np.ndarray:
+        """For every stretch of that length a number by which equal ones, also of other texts, stand next to each other: 32 bits
+        of its fingerprint and then its place."""
+        x = (self.sums[length:] - self.sums[:-length]) * self.down[: len(self.sums) - length]
+        x &= _UPPER
+        x |= _places(len(x))
+        return x
 
     def of(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Of the given stretches."""
@@ -85,25 +100,20 @@ def _sliding(x: np.ndarray, width: int, take) -> np.ndarray:
 
 
 def anchors(prints: Prints) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor positions, the fingerprints of their grams, and the first and last start of each one's 50-byte windows.
+    """Anchor positions, the number of each one's text, and the first and last start of its 50-byte windows.
 
     A window's anchor is the first gram in it with the smallest fingerprint, so
-    the windows of an anchor follow each other.
+    the windows of an anchor follow each other. No window leaves its text.
     """
-    g = prints.all(GRAM)
-    least = _sliding(g, STRETCH, np.minimum)
-    padded = np.zeros(len(least) + 2 * (STRETCH - 1), U)
-    padded[STRETCH - 1:STRETCH - 1 + len(least)] = least
-    is_some = _sliding(padded, STRETCH, np.maximum) == g  # smallest in some window
-    some = np.flatnonzero(is_some)
-    own = (np.cumsum(is_some) - is_some)[: len(least)]  # the first of these at or after each start
-    off = np.flatnonzero(g[some[own]] != least)
-    while len(off):
-        own[off] += 1
-        off = off[g[some[own[off]]] != least[off]]
-    new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    at = some[own[new]]
-    return at, g[at], new, np.r_[new[1:], len(own)] - 1
+    own = (_sliding(prints.order(GRAM), STRETCH, np.minimum) & ~_UPPER).view(np.int64)
+    inside = np.ones(len(own), bool)
+    inside[(prints.ends[:-1, None] - np.arange(1, LENGTH)).ravel()] = False
+    new = inside.copy()
+    new[1:] &= (own[1:] != own[:-1]) | ~inside[:-1]
+    first = np.flatnonzero(new)
+    at = own[first]
+    doc = np.searchsorted(prints.ends, at, "right")
+    return at, doc, first, np.minimum(np.r_[first[1:], len(own)] - 1, prints.ends[doc] - LENGTH)
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -118,36 +128,37 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _send(block: int, keys: np.ndarray, docs: np.ndarray, buckets: int, with_docs: bool = True) -> Iterator[tuple]:
-    """(block, bucket, steps between sorted distinct keys, smallest document of each)."""
+def _send(block: int, keys: np.ndarray, docs: np.ndarray, buckets: int, with_docs: bool = True, first: int = 0) -> Iterator[tuple]:
+    """(block, bucket, steps between sorted distinct keys, smallest document of each); buckets are numbered from ``first``."""
     if not len(keys):
         return
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    new = np.r_[True, keys[1:] != keys[:-1]]
-    keys, docs = keys[new], docs[new]
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    keys, docs = keys[at], np.minimum.reduceat(docs[order], at) if with_docs else docs
     where = (keys >> U(32)) * U(buckets) >> U(32)
     cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
     for lo, hi in zip(cuts, [*cuts[1:], len(keys)]):
         sent = _packed(docs[lo:hi].view(U)) if with_docs else b""
-        yield block, int(where[lo]), _packed(np.r_[keys[lo], np.diff(keys[lo:hi])]), sent
+        yield block, first + int(where[lo]), _packed(np.r_[keys[lo], np.diff(keys[lo:hi])]), sent
 
 
-def _found(keys: np.ndarray, docs: np.ndarray, answers: dict[int, tuple[bytes, bytes]], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _found(keys: np.ndarray, docs: np.ndarray, answers: dict[int, tuple[bytes, bytes]], buckets: int,
+           first: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """For each (key, document): whether a smaller document has the key, and whether any other has; here or in another block."""
     if not len(keys):
         return np.zeros(0, bool), np.zeros(0, bool)
-    order = np.lexsort((docs, keys))
+    order = np.argsort(keys)
     k, d = keys[order], docs[order]
     new = np.r_[True, k[1:] != k[:-1]]
     at = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    distinct, least, most = k[at], d[at], d[np.r_[at[1:], len(d)] - 1]
+    distinct, least, most = k[at], np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
     where = ((distinct >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
     smaller, shared = np.zeros(len(distinct), bool), most > least
     cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
     for lo, hi in zip(cuts, [*cuts[1:], len(distinct)]):
-        if bits := answers.get(int(where[lo])):
+        if bits := answers.get(first + int(where[lo])):
             smaller[lo:hi] = np.unpackbits(np.frombuffer(bits[0], np.uint8), count=hi - lo)
             shared[lo:hi] |= np.unpackbits(np.frombuffer(bits[1], np.uint8), count=hi - lo).astype(bool)
     less, other = np.empty(len(keys), bool), np.empty(len(keys), bool)
@@ -162,12 +173,12 @@ def _answer(table: pa.Table) -> Iterator[tuple]:
     each = [np.cumsum(_unpacked(r[2]), dtype=U) for r in rows]
     keys = np.concatenate(each)
     docs = np.concatenate([_unpacked(r[3]).view(np.int64) if r[3] else np.zeros(len(x), np.int64) for r, x in zip(rows, each)])
-    order = np.lexsort((docs, keys))
+    order = np.argsort(keys)
     k = keys[order]
     new = np.r_[True, k[1:] != k[:-1]]
     at, group = np.flatnonzero(new), np.cumsum(new) - 1
     least, shared = np.empty(len(k), np.int64), np.empty(len(k), bool)
-    least[order] = docs[order][at][group]
+    least[order] = np.minimum.reduceat(docs[order], at)[group]
     shared[order] = (np.diff(np.r_[at, len(k)]) > 1)[group]
     lo = 0
     for (block, bucket, _, _), x in zip(rows, each):
@@ -177,61 +188,91 @@ def _answer(table: pa.Table) -> Iterator[tuple]:
         lo = hi
 
 
+def _spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers from each first to its last one."""
+    n = last - first + 1
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def _joined(arrays: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.zeros(0, kind)
+
+
+class Part:
+    """Some texts of a block, end to end, with their documents and anchors."""
+
+    def __init__(self, ids: np.ndarray, text: np.ndarray, ends: np.ndarray):
+        self.ids, self.prints = ids, Prints(text, ends)
+        self.at, self.doc, self.first, self.last = anchors(self.prints)
+
+
+def _is_compared(table: pa.Table) -> pa.ChunkedArray:
+    return pc.and_(pc.is_valid(table.column("doc_id")), pc.greater_equal(pc.binary_length(table.column("t")), LENGTH))
+
+
+def _parts(table: pa.Table) -> Iterator[Part]:
+    """The rows of a block that are compared, in parts of about ``TAKEN`` bytes."""
+    for batch in table.select(["doc_id", "t"]).filter(_is_compared(table)).combine_chunks().to_batches():
+        if not batch.num_rows:
+            continue
+        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_binary(texts.type) else np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)
+        part = (offsets[1:] - offsets[0] - 1) // TAKEN
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        for lo, hi in zip(cuts, [*cuts[1:], len(ids)]):
+            yield Part(ids[lo:hi], data[offsets[lo]:offsets[hi]], offsets[lo + 1:hi + 1] - offsets[lo])
+
+
 class Rounds:
     """What a block of documents asks in each round, and what the answers leave open."""
 
-    def __init__(self, block: int, ids: list, texts: list[bytes], buckets: int):
-        self.block, self.ids, self.texts, self.buckets = block, ids, texts, buckets
-        self.docs = []
-        for i, t in zip(ids, texts):
-            if i is not None and len(t) >= LENGTH:
-                prints = Prints(t)
-                self.docs.append((i, prints, *anchors(prints)))
-        self.doc = np.concatenate([np.full(len(x[2]), x[0], np.int64) for x in self.docs]) if self.docs else np.zeros(0, np.int64)
+    def __init__(self, table: pa.Table, buckets: int):
+        self.buckets, self.parts = buckets, list(_parts(table))
+        self.doc = _joined([x.ids[x.doc] for x in self.parts], np.int64)
 
     def grams(self) -> np.ndarray:
         """The anchors' prints without their last bits: a wrong match here only has more compared."""
-        return np.concatenate([x[3] for x in self.docs]) & U(0xFFFFFFFFFF000000) if self.docs else np.zeros(0, U)
+        return _joined([x.prints.of(x.at, np.full(len(x.at), GRAM)) for x in self.parts], U) & U(0xFFFFFFFFFF000000)
 
     def contexts(self, open_: np.ndarray):
-        """For each document its open anchors' first and last window, and the keys of their contexts, left and right halves."""
-        lo, none, no = 0, np.zeros(0, np.int64), np.zeros(0, bool)
-        for i, p, at, _, first, last in self.docs:
-            pick = np.flatnonzero(open_[lo:lo + len(at)])
-            lo += len(at)
-            if not len(pick):
-                yield i, p, none, none, none.astype(U), none.astype(U), none.astype(U), no, no
-                continue
-            half = np.full(len(pick), HALF)
-            a, f, e = at[pick], first[pick], last[pick]
-            has_left, has_right = a >= HALF - GRAM, a + HALF <= p.n
-            left = p.of(np.where(has_left, a - (HALF - GRAM), 0), np.where(has_left, half, 0)) ^ U(0x5555)
-            right = p.of(np.where(has_right, a, 0), np.where(has_right, half, 0)) ^ U(0xAAAA)
-            yield i, p, f, e, p.of(f, e + LENGTH - f), left, right, has_left, has_right
-
-    def ask_contexts(self, contexts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        keys, docs = [], []
-        for i, _, _, _, whole, left, right, has_left, has_right in contexts:
-            keys += [whole, left[has_left], right[has_right]]
-            docs.append(np.full(len(whole) + has_left.sum() + has_right.sum(), i, np.int64))
-        return (np.concatenate(keys), np.concatenate(docs)) if keys else (np.zeros(0, U), np.zeros(0, np.int64))
+        """For each part its open anchors' documents, first and last windows, and the keys of their contexts, left and right halves."""
+        lo = 0
+        for x in self.parts:
+            pick = np.flatnonzero(open_[lo:lo + len(x.at)])
+            lo += len(x.at)
+            p, a, d, f, e = x.prints, x.at[pick], x.doc[pick], x.first[pick], x.last[pick]
+            has_left, has_right = a - (HALF - GRAM) >= p.starts[d], a + HALF <= p.ends[d]
+            left = p.of(a[has_left] - (HALF - GRAM), np.full(has_left.sum(), HALF)) ^ U(0x5555)
+            right = p.of(a[has_right], np.full(has_right.sum(), HALF)) ^ U(0xAAAA)
+            yield x, x.ids[d], f, e, p.of(f, e + LENGTH - f), left, right, has_left, has_right
+
+    def ask_contexts(self, contexts: list[tuple]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Keys and documents of the whole contexts, and of the halves, of which only is asked whether they are shared;
+        these without their last bits, as a wrong match only has more compared."""
+        halves, docs = [], []
+        for _, ids, _, _, _, left, right, has_left, has_right in contexts:
+            halves += [left, right]
+            docs += [ids[has_left], ids[has_right]]
+        whole = _joined([x[4] for x in contexts], U), _joined([x[1] for x in contexts], np.int64)
+        return whole, (_joined(halves, U) & U(0xFFFFFFFFFFFF0000), _joined(docs, np.int64))
 
     def after_contexts(self, contexts: list[tuple], smaller: np.ndarray, shared: np.ndarray):
-        """(document, its prints, its settled windows, its windows still to be compared) in the order of the documents.
+        """(part, its settled windows, its windows still to be compared, the documents of these) in the order of the parts.
 
         Settled: a smaller document has the whole context. To be compared: some
         other document has the left or the right half; the smallest document
         with a window is always among these.
         """
-        lo = 0
-        for i, p, f, e, whole, left, right, has_left, has_right in contexts:
-            n, nl, nr = len(whole), int(has_left.sum()), int(has_right.sum())
+        lo = at = 0
+        for x, ids, f, e, whole, left, right, has_left, has_right in contexts:
+            n, nl, nr = len(whole), len(left), len(right)
             settled, half = smaller[lo:lo + n], np.zeros(n, bool)
-            half[has_left] = shared[lo + n:lo + n + nl]
-            half[has_right] |= shared[lo + n + nl:lo + n + nl + nr]
-            lo += n + nl + nr
-            span = lambda m: np.concatenate([np.arange(a, b + 1) for a, b in zip(f[m], e[m])]) if m.any() else np.zeros(0, np.int64)
-            yield i, p, span(settled), span(~settled & half)
+            half[has_left] = shared[at:at + nl]
+            half[has_right] |= shared[at + nl:at + nl + nr]
+            lo, at = lo + n, at + nl + nr
+            open_ = ~settled & half
+            yield x, _spans(f[settled], e[settled]), _spans(f[open_], e[open_]), np.repeat(ids[open_], e[open_] - f[open_] + 1)
 
 
 def remove_repeats(docs: DataFrame, block_bytes: int = 3 << 20, bucket_bytes: int = 8 << 20,
@@ -291,29 +332,31 @@ def _of_round(told: pa.Table, round_: int) -> dict[int, tuple[bytes, bytes]]:
 
 
 def _windows_asked(r: Rounds, told: pa.Table) -> list[tuple]:
-    """(document, prints, settled windows, open windows) once the contexts are answered."""
+    """(part, settled windows, open windows, their documents) once the contexts are answered."""
     _, open_ = _found(r.grams(), r.doc, _of_round(told, 1), r.buckets)
     contexts = list(r.contexts(open_))
-    keys, docs = r.ask_contexts(contexts)
-    return list(r.after_contexts(contexts, *_found(keys, docs, _of_round(told, 2), r.buckets)))
+    whole, halves = r.ask_contexts(contexts)
+    answers = _of_round(told, 2)
+    return list(r.after_contexts(contexts, _found(*whole, answers, r.buckets)[0], _found(*halves, answers, r.buckets, first=r.buckets)[1]))
 
 
 def _open_keys(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    keys = [p.of(w, np.full(len(w), LENGTH)) if len(w) else np.zeros(0, U) for _, p, _, w in found]
-    docs = [np.full(len(w), i, np.int64) for i, _, _, w in found]
-    return (np.concatenate(keys), np.concatenate(docs)) if keys else (np.zeros(0, U), np.zeros(0, np.int64))
+    keys = [x.prints.of(w, np.full(len(w), LENGTH)) for x, _, w, _ in found]
+    return _joined(keys, U), _joined([docs for *_, docs in found], np.int64)
 
 
 def _rounds(table: pa.Table, told: pa.Table | None, round_: int, buckets: int) -> Iterator[tuple]:
     if not table.num_rows:
         return
     block = table.column("block")[0].as_py()
-    r = Rounds(block, table.column("doc_id").to_pylist(), table.column("t").to_pylist(), buckets)
+    r = Rounds(table, buckets)
     if round_ == 1:
         yield from _send(block, r.grams(), r.doc, buckets, with_docs=False)  # only whether a gram is shared
     elif round_ == 2:
-        open_ = _found(r.grams(), r.doc, _of_round(told, 1), buckets)[1]
-        yield from _send(block, *r.ask_contexts(list(r.contexts(open_))), buckets)
+        open_ = _found(r.grams(), r.doc, _of_round(told, 1), r.buckets)[1]
+        whole, halves = r.ask_contexts(list(r.contexts(open_)))
+        yield from _send(block, *whole, buckets)
+        yield from _send(block, *halves, buckets, with_docs=False, first=buckets)
     else:
         yield from _send(block, *_open_keys(_windows_asked(r, told)), buckets)
 
@@ -321,27 +364,27 @@ def _rounds(table: pa.Table, told: pa.Table | None, round_: int, buckets: int) -
 def _finished(table: pa.Table, told: pa.Table, buckets: int, keep_bytes: bool) -> Iterator[tuple]:
     if not table.num_rows:
         return
-    ids, texts = table.column("doc_id").to_pylist(), table.column("t").to_pylist()
-    r = Rounds(table.column("block")[0].as_py(), ids, texts, buckets)
-    found = _windows_asked(r, told)
+
+    def row(i, n: int, n_spans: int, kept: bytes) -> tuple:
+        out = i, n, n - len(kept), n_spans, hashlib.sha256(kept).hexdigest()
+        return (*out, kept) if keep_bytes else out
+
+    rest = table.filter(pc.invert(_is_compared(table)))
+    for i, t in zip(rest.column("doc_id").to_pylist(), rest.column("t").to_pylist()):
+        yield row(i, len(t), 0, t)
+    found = _windows_asked(Rounds(table, buckets), told)
     keys, docs = _open_keys(found)
     hit, lo = _found(keys, docs, _of_round(told, 3), buckets)[0], 0
-    removed = []
-    for _, _, settled, open_ in found:
-        removed.append(np.concatenate([settled, open_[hit[lo:lo + len(open_)]]]))
+    for x, settled, open_, _ in found:
+        starts = np.concatenate([settled, open_[hit[lo:lo + len(open_)]]])
         lo += len(open_)
-    k = 0
-    for i, t in zip(ids, texts):
-        starts = np.zeros(0, np.int64)
-        if i is not None and len(t) >= LENGTH:
-            starts, k = removed[k], k + 1
-        kept, n_spans = t, 0
-        if len(starts):
-            step = np.zeros(len(t) + 1, np.int32)
-            np.add.at(step, starts, 1)
-            np.add.at(step, starts + LENGTH, -1)
-            covered = np.cumsum(step[:-1]) > 0
-            kept = np.frombuffer(t, np.uint8)[~covered].tobytes()
-            n_spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
-        row = (i, len(t), len(t) - len(kept), n_spans, hashlib.sha256(kept).hexdigest())
-        yield (*row, kept) if keep_bytes else row
+        p = x.prints
+        n = len(p.text) + 1
+        is_kept = np.cumsum(np.bincount(starts, minlength=n) - np.bincount(starts + LENGTH, minlength=n))[:-1] == 0
+        begins = ~is_kept
+        begins[1:] &= is_kept[:-1]
+        begins[p.starts] = ~is_kept[p.starts]
+        n_spans = np.add.reduceat(begins.astype(np.int64), p.starts)
+        kept, ends = p.text[is_kept].tobytes(), np.cumsum(is_kept)[p.ends - 1]
+        for i, size, m, a, b in zip(x.ids.tolist(), (p.ends - p.starts).tolist(), n_spans.tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
+            yield row(i, size, m, kept[a:b])

@@ -193,6 +193,35 @@ def test_repeated_passages_against_brute_force(spark, block_bytes):
     assert passages.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_texts_of_a_block_are_taken_together(monkeypatch):
+    import pyarrow as pa
+    rng = random.Random(12)
+    shared = ["".join(rng.choice("abcd") for _ in range(n)) for n in (50, 51, 77, 400)]
+    texts = ["".join(rng.choice([*shared, "".join(rng.choice("abcd") for _ in range(40))]) for _ in range(rng.randint(1, 4))).encode() for _ in range(400)]
+    rows = [*enumerate(texts), (7, texts[3]), (401, b"a" * 49), (402, b""), (403, b"\xff" * 50)]
+    table = lambda rows: pa.table({"block": pa.array([0] * len(rows), pa.int32()), "doc_id": pa.array([i for i, _ in rows], pa.int64()),
+                                   "t": pa.array([t for _, t in rows], pa.binary())})
+    parts = list(passages._parts(table(rows)))
+    assert len(parts) <= 1 + sum(map(len, texts)) // passages.TAKEN  # and not one a text
+    seen = {}
+    for x in parts:
+        text = x.prints.text.tobytes()
+        for at, d, first, last in zip(x.at.tolist(), x.doc.tolist(), x.first.tolist(), x.last.tolist()):
+            assert x.prints.starts[d] <= first and last + passages.LENGTH <= x.prints.ends[d]
+            for w in range(first, last + 1):
+                assert 0 <= at - w <= passages.STRETCH - 1 and seen.setdefault(text[w:w + 50], at - w) == at - w
+    assert sum(len(t) - 49 for _, t in rows if len(t) > 49) == sum(int((x.last - x.first + 1).sum()) for x in parts)
+    for taken in (60, 1000, 1 << 16):  # whatever is taken at a time, the result is that of brute force
+        monkeypatch.setattr(passages, "TAKEN", taken)
+        told = pa.table({"block": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "smaller": pa.array([], pa.binary()),
+                         "shared": pa.array([], pa.binary()), "round": pa.array([], pa.int32())})
+        got = defaultdict(list)
+        for i, *r in passages._finished(table(rows), told, 1, False):
+            got[i].append(tuple(r))
+        assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in removed(rows).items()}
+    assert not len(passages.Rounds(table([(1, b"short"), (None, b"a" * 80)]), 1).grams())
+
+
 def least_edits(a, b):
     prev = [0] * (len(b) + 1)
     for i, x in enumerate(a, 1):
