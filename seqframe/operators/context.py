@@ -9,8 +9,12 @@ so it is safe to broadcast; the data-sized input is only ever aggregated
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from seqframe.functions.hashing import stable_hash, stable_uniform
 from seqframe.functions.sequences import ALPHABET
@@ -46,14 +50,125 @@ def residue_counts(residues: DataFrame, key: list[str] | tuple = (), id_col: str
     """(key..., pos, aa, n[, first_id]): one aggregation over the residue
     table (map-side partial counts; the result has at most L x |letters|
     rows per protein). ``first_id`` = lowest ``id_col`` holding that letter,
-    which identifies the reference (lowest-id) sequence's residues."""
+    which identifies the reference (lowest-id) sequence's residues.
+    Rows of ``counted_residues`` count ``n`` times."""
     key = list(key)
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs = [(F.sum("n") if "n" in residues.columns else F.count(F.lit(1))).alias("n")]
     if id_col:
         aggs.append(F.min(id_col).alias("first_id"))
     return residues.groupBy(*key, "pos", "aa").agg(*aggs)
 
 
+#: Sites whose contexts are counted at a time.
+_SITES = 1 << 18
+#: Letters that are counted in arrays, by places of a run of ``_RUN``; at most ``_CELLS`` counts are held at a time.
+_COUNTED, _RUN, _CELLS = ALPHABET + "BJOUXZ-.*", 512, 1 << 24
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of an array of strings end to end, as code points, and where each string begins (and the last ends)."""
+    column = pc.fill_null(column, "").cast(pa.string())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    if not len(data) or data.max() < 128:
+        return data, offsets - offsets[0]
+    lengths = pc.utf8_length(column).to_numpy(zero_copy_only=False)
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4"), np.r_[0, np.cumsum(lengths)].astype(np.int64)
+
+
+def counted_residues(df: DataFrame, key: list[str] | tuple = (), seq: str = "sequence") -> DataFrame:
+    """(key..., pos, aa, n): all residues of the sequences of ``df``, ``pos`` from 1, for ``residue_counts``.
+
+    Equal letters at one place of a key are counted within a task before they become rows, up to a bounded number of
+    counts at a time; so a key, place and letter may have several rows. Narrow: no shuffle.
+    """
+    key = list(key)
+    schema = StructType([StructField(k, df.schema[k].dataType) for k in key]).add("pos", IntegerType()).add("aa", StringType()).add("n", LongType())
+    other, most = 31, _CELLS
+    column_of = np.full(256, other, np.int64)
+    column_of[[ord(a) for a in _COUNTED]] = np.arange(len(_COUNTED))
+    letters = pa.array(list(_COUNTED))
+    rows = np.arange(_RUN) * 32
+
+    def count(batches):
+        held: dict[tuple, np.ndarray] = {}
+        single: list[tuple] = []  # other letters, one by one
+        types: list[pa.DataType] = []
+
+        def drained():
+            for (k, run), counts in held.items():
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v], t).take(pa.array(np.zeros(len(at), np.int64))) for v, t in zip(k, types)]
+                    + [pa.array(run * _RUN + at // 32 + 1, pa.int32()), letters.take(pa.array(at % 32)), pa.array(counts[at], pa.int64())], names=schema.names)
+            if single:
+                columns = [list(c) for c in zip(*[(*k, pos, aa, 1) for k, pos, aa in single])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, [*types, pa.int32(), pa.string(), pa.int64()])], names=schema.names)
+            held.clear()
+            single.clear()
+
+        for b in batches:
+            types = [b.column(i).type for i in range(len(key))]
+            keys = zip(*[b.column(i).to_pylist() for i in range(len(key))]) if key else [()] * b.num_rows
+            codes, offsets = _codes(b.column(len(key)))
+            there = b.column(len(key)).is_valid().to_pylist()
+            for k, lo, hi, is_there in zip(keys, offsets[:-1].tolist(), offsets[1:].tolist(), there):
+                if lo == hi and is_there:
+                    single.append((k, 1, ""))  # an empty sequence has one empty residue
+                for run, at in enumerate(range(lo, hi, _RUN)):
+                    x = codes[at:min(at + _RUN, hi)]
+                    column = column_of[np.minimum(x, 255)]
+                    counts = held.get((k, run))
+                    if counts is None:
+                        counts = held[k, run] = np.zeros(32 * _RUN, np.int32)
+                    place = np.flatnonzero(column != other)
+                    if len(place) < len(x):
+                        single += [(k, run * _RUN + i + 1, chr(x[i])) for i in np.flatnonzero(column == other).tolist()]
+                        counts[rows[place] + column[place]] += 1
+                    else:
+                        counts[rows[:len(x)] + column] += 1
+                    if len(held) * 32 * _RUN >= most or len(single) >= 1 << 16:
+                        yield from drained()
+        yield from drained()
+
+    return df.select(*key, F.col(seq).cast("string").alias("_s")).mapInArrow(count, schema)
+
+
+def counted_contexts(df: DataFrame, seq: str = "sequence", alphabet: str = ALPHABET) -> DataFrame:
+    """(prev_aa, next_aa, aa, n): letters of the alphabet between their neighbours, counted within each task (ends are ^ and $,
+    a neighbour that is neither an end nor of the alphabet is null). Narrow: no shuffle."""
+    size = len(alphabet)
+    own, left, right = (np.full(max(map(ord, alphabet + BOS + EOS)) + 2, x, np.int64) for x in (size, size + 1, size + 1))
+    for x in (own, left, right):
+        x[[ord(a) for a in alphabet]] = np.arange(size)
+    left[ord(BOS)] = right[ord(EOS)] = size
+
+    def count(batches):
+        total = np.zeros((size + 2) ** 2 * size, np.int64)
+        for b in batches:
+            codes, offsets = _codes(b.column(0))
+            filled = offsets[1:] > offsets[:-1]
+            starts, ends = offsets[:-1][filled], offsets[1:][filled]
+            for lo in range(0, len(codes), _SITES):
+                hi = min(lo + _SITES, len(codes))
+                x = np.minimum(codes[max(lo - 1, 0):hi + 1], len(own) - 1)
+                a, z = np.full(hi - lo, size, np.int64), np.full(hi - lo, size, np.int64)
+                a[lo == 0:] = left[x[:hi - max(lo, 1)]]
+                z[:len(codes) - 1 - lo] = right[x[(lo > 0) + 1:]]
+                a[starts[(starts >= lo) & (starts < hi)] - lo] = size
+                z[ends[(ends > lo) & (ends <= hi)] - 1 - lo] = size
+                aa = own[x[int(lo > 0):int(lo > 0) + hi - lo]]
+                seen = aa < size
+                total += np.bincount(((a * (size + 2) + z) * size + aa)[seen], minlength=len(total))
+        at = np.flatnonzero(total)
+        place = lambda x, end: pa.array([*alphabet, end, None], pa.string()).take(pa.array(x))
+        yield pa.RecordBatch.from_arrays([place(at // size // (size + 2), BOS), place(at // size % (size + 2), EOS), place(at % size, None),
+                                          pa.array(total[at], pa.int64())], names=["prev_aa", "next_aa", "aa", "n"])
+
+    return df.select(F.col(seq).cast("string").alias("_s")).mapInArrow(count, "prev_aa string, next_aa string, aa string, n long")
+
+
 def reference_from_counts(counts: DataFrame, key: list[str] | tuple = ()) -> DataFrame:
     """(key..., pos, wt): residue of the lowest-id sequence at every position,
     read off the count table (no second pass over the residues)."""
@@ -67,14 +182,16 @@ def site_profile_from_counts(counts: DataFrame, alphabet: str = ALPHABET, pseudo
     log((n + pc) / (n(pos) + |alphabet| pc)); non-alphabet letters (gaps)
     keep their position in the grid but count towards nothing."""
     key = list(key)
-    positions = counts.select(*key, "pos").distinct()
-    grid = with_alphabet(positions, alphabet)  # J6: positions x alphabet
-    counted = counts.where(F.col("aa").isin(list(alphabet))).select(*key, "pos", "aa", "n")
-    g = grid.join(counted, [*key, "pos", "aa"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    tot = F.sum("n").over(Window.partitionBy(*key, "pos"))
+    known = F.lit(True)
+    for k in (*key, "pos"):
+        known = known & F.col(k).isNotNull()
+    n = [F.coalesce(F.sum(F.when(known & (F.col("aa") == a), F.col("n"))), F.lit(0)).alias(f"_n{i}") for i, a in enumerate(alphabet)]
+    g = counts.groupBy(*key, "pos").agg(*n)  # a row a position: no grid is joined
+    tot = sum((F.col(f"_n{i}") for i in range(len(alphabet))), F.lit(0))
     pc = F.lit(float(pseudocount))
-    return g.select(*key, "pos", "aa",
-                    F.log((F.col("n") + pc) / (tot + pc * F.lit(len(alphabet)))).alias("log_prob"))
+    x = g.select(*key, "pos", tot.alias("_tot"), F.explode(F.array(*[F.struct(F.lit(a).alias("aa"), F.col(f"_n{i}").alias("n"))
+                                                                     for i, a in enumerate(alphabet)])).alias("x"))
+    return x.select(*key, "pos", "x.aa", F.log((F.col("x.n") + pc) / (F.col("_tot") + pc * F.lit(len(alphabet)))).alias("log_prob"))
 
 
 def site_profile(residues: DataFrame, alphabet: str = ALPHABET, pseudocount: float = 1.0,
@@ -127,10 +244,9 @@ def context_model_fit(df: DataFrame, key: str = "seq_id", seq: str = "sequence",
     Columns: left, right, aa, log_prob.
     """
     spark = df.sparkSession
-    sites = neighbour_sites(df, key, seq).where(F.col("aa").isin(list(alphabet)))
     # the fit: one pass over the sites into a (21 x 21 x 20)-bounded count
     # table, checkpointed to the shared folder so both uses below read it
-    tri = cut_lineage(sites.groupBy("prev_aa", "next_aa", "aa").agg(F.count(F.lit(1)).alias("n")))
+    tri = cut_lineage(counted_contexts(df, seq, alphabet).groupBy("prev_aa", "next_aa", "aa").agg(F.sum("n").alias("n")))
     bg = tri.groupBy("aa").agg(F.sum("n").alias("n_aa"))  # from the small table: one pass over sites
     letters = alphabet_table(spark, alphabet).drop("aa_index")
     # fixed (A+1)^2 * A grid of contexts x letters, generated without joins

@@ -30,7 +30,7 @@ FROM scored ORDER BY round(score, 9) DESC, mutant LIMIT 10""")
 def _profile_and_reference(spark, sf):
     """Profile and residue counts from one aggregation over the family's
     residues (the documents are scanned once), and the wild type's residues."""
-    counts = cut_lineage(ctx.residue_counts(t.residues(spark, sf)))  # <= L x 20 rows
+    counts = cut_lineage(ctx.residue_counts(ctx.counted_residues(t.seqs(spark, sf))))  # <= L x 20 rows
     wt_res = mz.wt_residues(t.wild_type(t.references(spark, sf)))
     return ctx.site_profile_from_counts(counts), wt_res, counts
 
@@ -78,7 +78,7 @@ def single_residue_mutants_q(spark, sf):
 @query("site_profile", ("A23", "J6"), q.with_ctes(q.RESIDUES, q.ALPHA, q.profile(), body="""
 SELECT CAST(pos AS BIGINT) AS pos, aa, round(log_prob, 6) AS log_prob FROM profile"""))
 def site_profile_q(spark, sf):
-    p = ctx.site_profile(t.residues(spark, sf))
+    p = ctx.site_profile(ctx.counted_residues(t.seqs(spark, sf)))
     return p.select(F.col("pos").cast("bigint"), "aa", F.round("log_prob", R).alias("log_prob"))
 
 
@@ -181,7 +181,7 @@ def msa_marginals(spark, sf):
     s = t.seqs(spark, sf)
     wt = t.wild_type(t.references(spark, sf))
     first = s.agg(F.min("seq_id").alias("seq_id"))
-    lp = mz.msa_log_probs(t.residues_of(s), t.residues_of(s.join(F.broadcast(first), "seq_id")))
+    lp = mz.msa_log_probs(ctx.counted_residues(s), ctx.counted_residues(s.join(F.broadcast(first), "seq_id", "left_semi")))
     scored = mz.zero_shot(mz.single_mutations(wt), wt, "msa", profile=lp)
     return scored.select("mutant", F.col("pos").cast("bigint"), F.round("score", R).alias("score"))
 
@@ -295,17 +295,20 @@ def many_proteins(spark, sf):
     s = t.seqs(spark, sf)
     dealt = rel.attach_row(s, places.agg(F.max("n").alias("_n"))).withColumn("place", F.col("seq_id") % F.col("_n")).drop("_n")
     fam = dealt.join(checked_broadcast(places.select("protein", (F.col("rn") - 1).alias("place"))), "place").select("protein", "seq_id", "sequence")
-    first = fam.groupBy("protein").agg(F.min("seq_id").alias("seq_id"), F.min_by("sequence", "seq_id").alias("sequence"))
-
-    def residues(df):
-        return t.residues_of(df.withColumn("_id", F.struct("protein", "seq_id")), "_id").select("_id.protein", "pos", "aa")
+    # only the first rows' sequences are read, and none is sorted; rows that share the lowest id are few
+    lowest = cut_lineage(fam.groupBy("protein").agg(F.min("seq_id").alias("seq_id")))
+    small = checked_broadcast(lowest)
+    first = s.join(small.select("seq_id"), "seq_id", "left_semi").join(small, "seq_id").groupBy("protein").agg(F.min_by("sequence", "seq_id").alias("sequence"))
 
     key = ["protein"]
-    counts = cut_lineage(ctx.residue_counts(residues(fam), key))
-    own = ctx.residue_counts(residues(first), key).withColumnRenamed("n", "n_own")
+    wt_res = mz.wt_residues(refs, key)
+    counts = ctx.residue_counts(ctx.counted_residues(fam, key), key)
+    # the profiles are made for the columns their wild types have; no mutation is scored elsewhere
+    counts = cut_lineage(counts.join(checked_broadcast(wt_res.select(*key, "pos").distinct()), [*key, "pos"], "left_semi"))
+    own = ctx.residue_counts(ctx.counted_residues(first, key), key).withColumnRenamed("n", "n_own")
     others = counts.join(own, ["protein", "pos", "aa"], "left").withColumn("n", F.col("n") - F.coalesce("n_own", F.lit(0))).drop("n_own")
     model = ctx.context_model_fit(s)
-    muts = mz.mutations_of_residues(mz.wt_residues(refs, key), key, "A")
+    muts = mz.mutations_of_residues(wt_res, key, "A")
     x = mz.zero_shot(muts, refs, "wt-marginals", profile=ctx.site_profile_from_counts(counts, key=key), out="wt_marginal", key=key)
     x = mz.zero_shot(x, refs, "msa", profile=ctx.site_profile_from_counts(others, key=key), out="msa", key=key)
     x = mz.zero_shot(x, refs, "masked-marginals", context_model=model, out="masked_marginal", key=key)
