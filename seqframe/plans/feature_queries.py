@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from seqframe.functions import sequences as sq
@@ -35,9 +37,24 @@ SELECT CAST(seq_id AS BIGINT) AS seq_id, CAST(count(*) AS BIGINT) AS n_features,
        CAST(sum(CAST(round(v * 100) AS BIGINT) * ((pos - 1) * dd + j) * ((pos - 1) * dd + j)) AS BIGINT) AS by_place_squared
 FROM x GROUP BY seq_id""")
 
+_WEIGHTS = np.arange(97 * 512) % 97 + 1.0
+
+
 # a checksum over features weighs them by place modulo a prime: sums stay small enough to compare to 4 decimals
 def _checksum(features: str = "features"):
-    return F.round(F.aggregate(F.transform(features, lambda x, i: x * (i % 97 + 1)), F.lit(0.0), lambda a, x: a + x), 4)
+    @F.arrow_udf("double")
+    def weighed(vectors: pa.Array) -> pa.Array:
+        out = np.zeros(len(vectors))
+        lists = vectors.offsets.to_numpy().tolist()
+        values = vectors.values.to_numpy(zero_copy_only=False)
+        for i, (lo, hi) in enumerate(zip(lists, lists[1:])):
+            for at in range(lo, hi, _WEIGHTS.size):  # a multiple of 97
+                x = values[at:min(at + _WEIGHTS.size, hi)]
+                out[i] += x @ _WEIGHTS[:len(x)]
+        missing = vectors.is_null().to_numpy(zero_copy_only=False) | np.isnan(out)
+        return pa.array(out, mask=missing)
+
+    return F.round(weighed(F.col(features)), 4)
 
 
 

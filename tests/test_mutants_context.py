@@ -63,6 +63,37 @@ def test_context_model_distribution(spark):
     assert all(abs(r["s"] - 1.0) < 1e-9 for r in sums)
 
 
+@pytest.mark.parametrize("cells", [1 << 24, 1])
+def test_residues_counted_within_tasks(spark, monkeypatch, cells):
+    monkeypatch.setattr(ctx, "_CELLS", cells)
+    r = random.Random(8)
+    odd = ["", None, "A", "MK-T.K*", "é^M$K", "a\U0001f9ecC", "X" * 3, rand_seq(512, 1), rand_seq(513, 2), rand_seq(2000, 3)]
+    rows = [(p, i, s) for p in ("p", "q", None) for i, s in enumerate(odd + [rand_seq(r.randint(1, 60), i) for i in range(30)])]
+    df = spark.createDataFrame(rows, "protein string, seq_id long, sequence string").repartition(3)
+    one = residues_of(df.withColumn("_id", F.struct("protein")), "_id").select("_id.protein", "pos", "aa")
+    for key in (["protein"], []):
+        plain = one.select(*key, "pos", "aa")
+        got, want = ctx.residue_counts(ctx.counted_residues(df, key), key), ctx.residue_counts(plain, key)
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        got, want = ([{(x.protein if key else 0, x.pos, x.aa): x.log_prob for x in ctx.site_profile(y, key=key).collect()}
+                      for y in (ctx.counted_residues(df, key), plain)])
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    # far fewer rows leave a task than there are residues
+    many = spark.createDataFrame([(rand_seq(40, i % 3),) for i in range(500)], "sequence string").coalesce(1)
+    assert cells == 1 or ctx.counted_residues(many).count() <= 3 * 40
+
+
+def test_contexts_counted_within_tasks(spark, monkeypatch):
+    odd = ["", None, "A", "MK-T.K*", "é^M$K", "a\U0001f9ecCA", "MXK", "M^K$A"]
+    df = spark.createDataFrame([(s,) for s in odd + [rand_seq(n, n) for n in range(1, 80)]], "sequence string").repartition(2)
+    sites = ctx.neighbour_sites(df, []).where(F.col("aa").isin(list(ALPHABET)))
+    known = lambda x, end: F.when(F.col(x).isin(list(ALPHABET + end)), F.col(x))
+    want = sites.groupBy(known("prev_aa", "^").alias("prev_aa"), known("next_aa", "$").alias("next_aa"), "aa").count().collect()
+    got = ctx.counted_contexts(df).groupBy("prev_aa", "next_aa", "aa").agg(F.sum("n")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want)))
+    assert len(ctx.counted_contexts(df.limit(0)).collect()) == 0
+
+
 def test_pseudo_ppl_delta_equals_brute_force(spark):
     fam = family(spark)
     model = ctx.context_model_fit(fam)
@@ -185,6 +216,30 @@ def test_descriptor_pairs_and_features(spark):
         ft.descriptor_table(spark, ["ms_whim_scores"])
 
 
+def test_descriptors_are_looked_up_in_one_pass(spark):
+    from seqframe.plans.feature_queries import _checksum
+    seqs = ["", None, "A", "AXC", "aC", "é", "ACé", "ACDEFGHIKLMNPQRSTVWY" * 40, rand_seq(70_000, 4)] + [rand_seq(n, n) for n in range(1, 40)]
+    df = spark.createDataFrame([(i % 7 or None, s, i) for i, s in enumerate(seqs)], "id long, sequence string, row int").repartition(2)
+    wide = ft.aa_features_multi(df, "sequence", ft.BUNDLED)
+    assert wide.columns == [*df.columns, *(f"features_{n}" for n in ft.BUNDLED)]
+    assert wide._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+    def vector(s, table):
+        return [v for a in s for v in table[a]] if s and all(a in table for a in s) else None
+
+    for r in wide.collect():
+        assert (r.id, r.sequence) == (r.row % 7 or None, seqs[r.row])
+        for n, table in ft.BUNDLED.items():
+            assert r[f"features_{n}"] == vector(r.sequence, table)
+    one = ft.aa_features(df, "sequence", ft.Z3_HELLBERG).select("row", F.size("features").alias("n"), _checksum().alias("c"))
+    for r in one.collect():
+        want = vector(seqs[r.row], ft.Z3_HELLBERG)
+        assert (r.c is None) == (want is None)
+        assert want is None or r.n == len(want) and r.c == pytest.approx(sum(v * (i % 97 + 1) for i, v in enumerate(want)), abs=1e-3)
+    replaced = ft.aa_features(df.withColumn("features", F.lit(1)), "sequence", ft.KYTE_DOOLITTLE)
+    assert replaced.columns == [*df.columns, "features"]
+
+
 def test_pseudo_ppl_keeps_repeated_and_unknown_codes(spark):
     fam = spark.createDataFrame([(i, s) for i, s in enumerate(["MKTAYIAK", "MKTAYLAK", "MRTAYIAR"])], "seq_id long, sequence string")
     model = ctx.context_model_fit(fam)
