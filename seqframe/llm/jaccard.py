@@ -7,8 +7,9 @@ shingles. In short index lists pairs are counted and kept if they reach that
 number. A long list belongs to a large group of similar sets: there only the
 components are sought, not all links. Sets are compared with a few members of the
 list; a list whose sets are all in one component is skipped as a whole. In the
-others each set is written as its difference from the shingles that most of the group's sets
-hold: what all share makes no candidates, sets near that centre link with
+others, a set that has few of its shingles there, say a passage that many texts hold, can link with few
+sizes only: what such sets share is counted. Each other set is written as its difference from the shingles that
+most of the group's sets hold: what all share makes no candidates, sets near that centre link with
 the nearest one for certain, and the rest must share a part of their differences.
 """
 
@@ -193,9 +194,33 @@ class Join:
         if own is not None:
             discard(own)
 
-    def link_groups(self, members: DataFrame) -> None:
+    def met_first(self) -> Column:
+        """Whether a shingle at places pos_x and pos_y can be the first that two linked sets share.
+
+        What comes before it in one set is not in the other, and all but ``both`` shingles of a set may be so.
+        """
+        both = F.ceil((F.col("n_x") + F.col("n_y")) * self.percent / (100 + self.percent) - 1e-9)
+        return (F.col("pos_x") <= F.col("n_x") - both) & (F.col("pos_y") <= F.col("n_y") - both)
+
+    def sparse_pairs(self, unsettled: DataFrame) -> DataFrame:
+        """Pairs (a, b) that may link, at least one of them sparse; ``unsettled`` has (token, sid, n, pos, u, component, dense).
+
+        A sparse set has few of its prefix shingles in these lists, so that it can link only with sets of other sizes:
+        their shared shingles are few, and are counted.
+        """
+        x, y = (unsettled.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("sid", "n", "pos", "u", "component", "dense")]) for k in "xy")
+        need = self.shared_needed(F.col("n_x"), F.col("n_y"))
+        met = x.where(~F.col("dense_x")).join(y, "token").where(
+            (F.col("component_x") != F.col("component_y")) & (F.col("dense_y") | (F.col("sid_x") < F.col("sid_y")))
+            & self.size_fits(F.col("n_x"), F.col("n_y")) & (F.least("u_x", "u_y") >= need))
+        met = met.groupBy("sid_x", "sid_y", "n_x", "n_y").agg(F.count("*").alias("c"), F.max(self.met_first()).alias("first"))
+        return met.where(F.col("first") & (F.col("c") >= need)).select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b"))
+
+    def link_groups(self, members: DataFrame, more: DataFrame | None = None) -> None:
         """Join the components of each group's sets wherever two of its sets link; ``members`` has (main, sid, n, component).
 
+        Pairs (a, b) of ``more`` are compared with what is left in the groups.
+
         A set's difference d holds the shingles that it or its group's centre has,
         but not both. Two sets differ in |dx| + |dy| less twice what dx and dy share, and link if
         that is at most (100 - percent) / (100 + percent) of their sizes' sum. So with
@@ -203,7 +228,8 @@ class Join:
         link with the set of the least w; else if 2 (100 + percent) of what they share reaches wx + wy.
         """
         p = self.percent
-        whole = self.sets(members.select("sid").distinct())
+        wanted = members.select("sid") if more is None else members.select("sid").unionAll(more.select("a")).unionAll(more.select("b"))
+        whole = self.sets(wanted.distinct())
         if whole is None:
             return
         rows = members.join(whole, "sid")
@@ -236,7 +262,8 @@ class Join:
             (F.col("component_x") != F.col("component_y")) & ((F.col("component_y") == F.col("main")) | (F.col("sid_x") < F.col("sid_y")))
             & self.size_fits(F.col("n_x"), F.col("n_y")) & (F.col("w_x") + F.col("w_y") > 0)
             & (2 * (100 + p) * F.least("h_x", "h_y") >= F.col("w_x") + F.col("w_y")))
-        rest = rest.select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b")).distinct()
+        rest = rest.select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b"))
+        rest = (rest if more is None else rest.unionAll(more)).distinct()
         for done in self.tested:
             rest = rest.join(done, ["a", "b"], "left_anti")
         self.link(rest, whole)
@@ -252,11 +279,13 @@ class Join:
 def link_sets(texts: DataFrame, indexed: DataFrame, length: int, percent: int, short: int, leaders: int) -> DataFrame | None:
     """(node, component) of the sets with links; null when there is none."""
     join = Join(texts, indexed, length, percent)
-    postings = indexed.select("sid", "n", F.explode("prefix").alias("token"))
+    postings = indexed.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
+    postings = postings.select("sid", "token", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
     # one shuffle by shingle serves the lists' sizes and their rows
     of = Window.partitionBy("token")
     lists = written(postings.select("*", F.count("*").over(of).alias("m"), F.min("sid").over(of).alias("lo"), F.max("sid").over(of).alias("hi"))
-                    .where("lo < hi").groupBy("token", "sid").agg(F.first("n").alias("n"), F.first("m").alias("m")), "lists")
+                    .where("lo < hi").groupBy("token", "sid").agg(F.first("at").alias("at"), F.first("m").alias("m"))
+                    .select("token", "sid", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("pos"), "m"), "lists")
     few, many = lists.where(F.col("m") <= short), lists.where(F.col("m") > short)
     in_long = many.groupBy("sid").agg(F.count("*").alias("h"))
     many = many.join(in_long, "sid")
@@ -286,19 +315,25 @@ def link_sets(texts: DataFrame, indexed: DataFrame, length: int, percent: int, s
     join.link(met.unionAll(led.select(F.least("sid", "y").alias("a"), F.greatest("sid", "y").alias("b"))))
     label = components(join.all_edges()) if join.edges else None
 
-    # lists not yet of one component: a group is the sets of all those with one main component
+    # lists not yet of one component: pairs in them share their prefix shingles there alone. Sets that have many are
+    # grouped: a group is the sets of all those lists with one main component. The others' pairs are counted.
     placed = many.withColumn("component", F.col("sid")) if label is None else (
         many.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
-    per = placed.groupBy("token", "component").agg(F.count("*").alias("c"))
-    main = per.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"))
-    members = written(placed.join(main.where("parts > 1"), "token").groupBy("main", "sid").agg(
-        F.first("n").alias("n"), F.first("component").alias("component")), "members")
+    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    unsettled = placed.join(mixed, "token").select("token", "sid", "n", "pos", "component")
+    unsettled = unsettled.join(unsettled.groupBy("sid").agg(F.count("*").alias("u")), "sid")
+    unsettled = written(unsettled.withColumn("dense", F.col("u") >= join.shared_needed(F.col("n"), F.col("n"))), "unsettled")
     discard(lists)
-    if members.isEmpty():
-        discard(members, *join.tested)
+    if unsettled.isEmpty():
+        discard(unsettled, *join.tested)
         return label
-    join.link_groups(members)
-    discard(members, *join.tested)
+    more = written(join.sparse_pairs(unsettled), "sparse")
+    per = unsettled.where("dense").groupBy("token", "component").agg(F.count("*").alias("c"))
+    main = per.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"))
+    members = written(unsettled.where("dense").join(main.where("parts > 1"), "token").groupBy("main", "sid").agg(
+        F.first("n").alias("n"), F.first("component").alias("component")), "members")
+    join.link_groups(members, more)
+    discard(unsettled, more, members, *join.tested)
     return components(join.all_edges()) if join.edges else None
 
 

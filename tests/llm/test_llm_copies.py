@@ -113,6 +113,49 @@ def test_large_group_makes_few_candidates(spark, monkeypatch):
     assert made[2] < 120 * 119 / 2 / 4
 
 
+def test_sets_that_share_a_passage_alone_are_not_read(spark, monkeypatch):
+    """In long lists of sets that have little else in common, only those are read whole that may link; results as by all pairs."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(24)]
+    texts = [" ".join([word() for _ in range(rng.randint(300, 1500))] + passage + [word() for _ in range(20)]) for _ in range(80)]
+    for t in texts[:6]:  # parts of others: linked with them, or just not
+        texts += [" ".join(t.split()[:round(len(t.split()) * x)]) for x in (0.78, 0.83, 0.9)] + [t + " " + word()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    read, sets_of = [], jaccard.Join.sets
+
+    def counted(self, wanted):
+        read.append(wanted.distinct().count())
+        return sets_of(self, wanted)
+
+    monkeypatch.setattr(jaccard.Join, "sets", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(docs, short=8, leaders=2, frequent=1000).collect()}
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    want = components(sets)
+    assert got == {i: (len(sets[i]), want[i]) for i in sets}
+    assert max(read) < 50  # 86 before
+
+
+@pytest.mark.parametrize("short,frequent", [(2, 2), (4, 1000)])
+def test_links_of_sparse_and_dense_sets(spark, short, frequent):
+    """Parts of texts of all lengths around the bound, with passages that many hold, so that most lists are long."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passages, texts = [[word() for _ in range(rng.randint(6, 30))] for _ in range(4)], []
+    for _ in range(25):
+        base = [word() for _ in range(rng.randint(10, 70))] + rng.choice(passages) + [word() for _ in range(rng.randint(0, 30))] + rng.choice(passages)
+        for _ in range(7):
+            own = base[:max(4, round(len(base) * rng.uniform(0.7, 1)))]
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = word()
+            texts.append(" ".join(own + [word() for _ in range(rng.randint(0, 4))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(docs, short=short, frequent=frequent, leaders=1).collect()}
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    want = components(sets)
+    assert got == {i: (len(sets[i]), want[i]) for i in sets}
+
+
 def test_slices_hold_every_row_once():
     rows = [None, "", "é" * 50, "a" * 99, "b", None, "c" * 300, ""]
     batch = common.pa.RecordBatch.from_arrays([common.pa.array(rows)], names=["text"])
