@@ -31,9 +31,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts go through one shuffle at most: the join by id and key, whose order the removal of repeated rows shares.
     """
     rows = _keyed(docs)
-    found = jaccard.similar_documents(rows, id_col="__key").groupBy(F.col("doc_id").alias("__key")).agg(
+    similar = jaccard.similar_documents(rows, id_col="__key")
+    found = similar.groupBy(F.col("doc_id").alias("__key")).agg(
         F.first("n_shingles").alias("n"), F.first("component_id").alias("component"))
     found = common.written(found.where("n > 0"), "components")
+    common.discard(*similar.tables)
     ids = rows.groupBy("__key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first"))
     stay = found.join(ids, "__key").groupBy("component").agg(F.min(F.struct("first", "__key")).alias("x"))
     stay = common.written(stay.select(F.col("x.first.id").alias("doc_id"), F.col("x.__key").alias("__key")), "stay")

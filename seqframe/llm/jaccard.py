@@ -347,7 +347,8 @@ def similar_documents(docs: DataFrame, length: int = 5, percent: int = 80, frequ
     one without a word, has the empty set and is linked with nothing. Rows of
     one text share a component. Null ids stay null and count for no component;
     repeated ids stay repeated. ``frequent``, ``short`` and
-    ``leaders`` change the work, never the result.
+    ``leaders`` change the work, never the result. What the result reads is in its ``tables``, to be
+    discarded once it is written elsewhere.
     """
     texts = _texts(docs, id_col, text_col)
     indexed = written(index_sets(texts, frequent_shingles(texts, length, frequent), length, percent), "indexed")
@@ -357,5 +358,7 @@ def similar_documents(docs: DataFrame, length: int = 5, percent: int = 80, frequ
     some = (some.withColumn("component", F.col("sid")) if label is None else
             some.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
     least = some.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return some.join(least, "component").select("doc_id", "n_shingles", "component_id").unionAll(
+    out = some.join(least, "component").select("doc_id", "n_shingles", "component_id").unionAll(
         none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out.tables = [indexed]
+    return out

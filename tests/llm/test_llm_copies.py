@@ -385,6 +385,19 @@ def test_stages_with_repeated_and_null_ids(spark, tmp_dir):
     assert got == {(None, a), (7, b), (8, None)}
 
 
+def test_near_copies_leave_no_index(spark, monkeypatch):
+    import corpus_pipeline as cp
+    made, write = [], common.written
+    monkeypatch.setattr(jaccard, "written", lambda df, tag: made.append((tag, write(df, tag))) or made[-1][1])
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(near_copies())],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = cp.near_copies(spark, docs, "")
+    tables = {tag: df for tag, df in made}
+    assert kept.count() and "indexed" in tables
+    with pytest.raises(Exception):
+        spark.read.parquet(tables["indexed"].written_to).count()
+
+
 def test_oracles_hold(spark):
     duckdb = pytest.importorskip("duckdb")
     sf = "/root/testdata/sf0.001"
